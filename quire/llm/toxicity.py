@@ -30,10 +30,10 @@ class Settings:
     bits: int = 20
     alpha: float = 1.0
     least_documents: int = 3  # a feature is held by so many training documents
-    least_ratio: float = 1.5  # and its |r| is at least this
+    least_ratio: float = 0.7  # and its |r| is at least this
     fit_rows: int = 2000  # expected rows of each class in the regression's sample
     ridge: float = 1e-3
-    steps: int = 150
+    steps: int = 200
     broadcast_labels: int = 1_000_000  # up to so many label rows (16 bytes each) are broadcast; more are joined by a shuffle
 
 
