@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, language_id, simhash, token_counts, toxicity, warc
+from quire.llm import decontamination, language_id, sharding, simhash, token_counts, toxicity, warc
 from quire.llm.shared import read_table, scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(docs, language_id.fit(docs))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+    crc, law, grown = F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit("bytes"), F.lit(None).cast("int")
+    return sharded.select("doc_id", sharding.size_of().alias("size"), crc.alias("text_crc32"), law.alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)
@@ -47,6 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_toxicity": op9_toxicity,
