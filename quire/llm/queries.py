@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, language_id, sharding, simhash, token_counts, toxicity, warc
+from quire.llm import bpe, decontamination, language_id, sharding, simhash, token_counts, toxicity, warc
 from quire.llm.shared import read_table, scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def bpe_digests(coded: DataFrame) -> DataFrame:
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find_groups(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
+    "op7_bpe": op7_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
