@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, most: int, attach: DataFrame | None = None) -> DataFrame:
     """The rows of keys that have two or more, with the columns block_x and block_y, in partitions sorted by (key, block_x, block_y).
 
     A key of more than about `most` rows is dealt into blocks by a hash of `member`; each pair of blocks, and so each
-    pair of rows, meets in a group of its own.
+    pair of rows, meets in a group of its own. The row's own block is the column `block`. Columns of `attach` are joined
+    by member once rows without a partner are gone.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / most).cast("int")
-    own = F.pmod(F.xxhash64(member), blocks).cast("int")
-    out = rows.join(sizes, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)))))
-    out = out.withColumns({"block_x": F.least("own", "other"), "block_y": F.greatest("own", "other")}).drop("n", "own", "other")
+    out = rows.join(sizes, key).withColumns({"block": F.pmod(F.xxhash64(member), blocks).cast("int"), "blocks": blocks}).drop("n")
+    if attach is not None:
+        out = out.join(attach, member)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    out = out.withColumns({"block_x": F.least("block", "other"), "block_y": F.greatest("block", "other")}).drop("other", "blocks")
     return out.repartition(key, "block_x", "block_y").sortWithinPartitions(key, "block_x", "block_y")
 
 

@@ -70,7 +70,7 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
     block = F.floor(F.col("turn") / BLOCK)
     blocks = rows.groupBy("conv_id", block.alias("block")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
 
-    role = lambda t: F.regexp_replace(escaped(t["role"]), "\n", "\\\\\\\\\n")
+    role = lambda t: F.regexp_replace(escaped(t["role"]), "\n", "\\\\\n")
     body = lambda t: F.array_join(F.transform(t["parts"], _shown), "")
     shown = F.transform("turns", lambda t: F.struct(role(t).alias("role"), body(t).alias("body"), (t["role"] == trained).alias("own")))
     blocks = blocks.select("conv_id", "block", "turns", shown.alias("shown"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontamination, language_id, sharding, simhash, token_counts, toxicity, warc
+from quire.llm import bpe, chat, decontamination, embed_dedup, language_id, sharding, simhash, token_counts, toxicity, warc
 from quire.llm.shared import read_table, scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.find_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
+    "op6_embed_dedup": op6_embed_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_toxicity": op9_toxicity,
