@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,28 +196,31 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def _cleaner(shared, settings: Settings) -> Callable[[Column], Column]:
+    """A column function from text to what is left of it; null if that holds none of its words."""
+
+    @F.arrow_udf(T.StringType())
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        phrases = shared.value
+        for part in parts:
+            texts, out = part.to_pylist(), []
+            for a, b in runs(np.array([len(t or "") for t in texts]), settings.shard_bytes):
+                n, spans, _ = search_shard(texts[a:b], phrases)
+                for t, s, w in zip(texts[a:b], spans, n.tolist(), strict=True):
+                    out.append(None if s and sum(y - x for x, y in s) == w else cut(t, s) if s else t)
+            yield pa.array(out, pa.string())
+
+    return clean
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with benchmark passages cut out of the texts and n_chars, where there is one, set anew; other rows as they are.
 
     A document that had words and has none left goes. Works for a benchmark of one block without any shuffle.
     """
-    blocks = list(_blocks(benchmark, settings))
     text = F.col("text")
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in block], settings.window))
-
-        @F.arrow_udf(T.StringType())
-        def clean(parts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            phrases = shared.value
-            for part in parts:
-                texts, out = part.to_pylist(), []
-                for a, b in runs(np.array([len(t or "") for t in texts]), settings.shard_bytes):
-                    n, spans, _ = search_shard(texts[a:b], phrases)
-                    for t, s, w in zip(texts[a:b], spans, n.tolist(), strict=True):
-                        out.append(None if s and sum(y - x for x, y in s) == w else cut(t, s) if s else t)
-                yield pa.array(out, pa.string())
-
-        text = clean(text)
+    for block in _blocks(benchmark, settings):
+        text = _cleaner(docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in block], settings.window)), settings)(text)
     out = docs.withColumn("quire_clean", text).where(F.col("quire_clean").isNotNull() | F.col("text").isNull())
     changed = ~F.col("quire_clean").eqNullSafe(F.col("text"))
     if "n_chars" in docs.columns:
