@@ -52,11 +52,23 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _padded(column: pa.Array, fill: np.ndarray | None = None) -> np.ndarray:
+    """Lists as rows of a matrix, shorter ones filled up on the right with 0 or with their row's value of `fill`."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), flat.dtype) if fill is None else np.repeat(fill[:, None], width, axis=1)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a batch of lists that all have the same length."""
-    if not len(column):
-        return np.empty((0, 0))
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Unit vectors of a batch of lists."""
+    x = _padded(column).astype(np.float64)
+    if not len(x):
+        return x
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -107,8 +119,8 @@ def _verify(s: Settings):
         for table, group in whole_groups(batches, ["key", "block_x", "block_y"], 5000):
             key, cid, copies = (table.column(c).to_numpy() for c in ("key", "cid", "copies"))
             own, block_x, block_y = (table.column(c).to_numpy() for c in ("block", "block_x", "block_y"))
-            lists = table.column("keys").combine_chunks()
-            keys = lists.flatten().to_numpy().reshape(len(table), -1) if len(set(lists.value_lengths().to_pylist())) == 1 else None
+            # Lists of vectors of another length may be shorter; what fills them up differs from row to row.
+            keys = _padded(table.column("keys").combine_chunks(), np.iinfo(np.int64).min + np.arange(len(table)))
             x, sizes = _matrix(table.column("embedding").combine_chunks()), np.bincount(group)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
             for g in np.flatnonzero(sizes > 32).tolist():
@@ -124,7 +136,7 @@ def _verify(s: Settings):
                 i, j = i[ok], j[ok]
                 ok = found(x, i, j)
                 i, j = i[ok], j[ok]
-                if keys is not None and keys.shape[1] > 1 and len(i):
+                if keys.shape[1] > 1 and len(i):
                     common = (keys[i][:, :, None] == keys[j][:, None, :]).any(axis=2)
                     ok = np.where(common, keys[i], np.iinfo(np.int64).max).min(axis=1) == key[i]
                     i, j = i[ok], j[ok]

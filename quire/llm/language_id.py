@@ -147,7 +147,7 @@ def predictor(model: Model, spark) -> Callable[[Column], Column]:
             score = np.clip(score, 0, 1)
             length = np.array([len(t or "") for t in texts])
             floor = np.append(m.floors, 2.0)[best] * np.minimum(1, np.sqrt(length / m.settings.full_chars))
-            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(score < floor)], names=["lang", "score", "rejected"])
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array((score < floor) | (best == len(m.languages)))], names=["lang", "score", "rejected"])
 
     return predict
 
