@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out
+from quire.llm.shared import held_out, runs
 
 
 @dataclass(frozen=True)
@@ -59,10 +59,12 @@ def _present(texts: list[str | None], orders: tuple[int, ...], bits: int, wanted
         yield key >> bits, key & ((1 << bits) - 1)
 
 
-def _distinct(texts: list[str | None], orders: tuple[int, ...], bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    found = [row << bits | f for row, f in _present(texts, orders, bits, wanted)]
-    key = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return key >> bits, key & ((1 << bits) - 1)
+def _distinct(texts: list[str | None], orders: tuple[int, ...], bits: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, row, feature) of some texts at a time; row counts from the first. Memory follows a block, or one text's distinct features."""
+    for a, b in runs(np.array([len(t or "") for t in texts], np.int64), grams.BLOCK // 2):
+        found = [row << bits | f for row, f in _present(texts[a:b], orders, bits, wanted)]
+        key = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        yield a, b, key >> bits, key & ((1 << bits) - 1)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
@@ -81,9 +83,11 @@ def _feature_counts(rows: DataFrame, settings: Settings) -> DataFrame:
         totals, n = np.zeros((2, 1 << bits), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             texts, toxic = batch.column("text").to_pylist(), (batch.column("toxic").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            row, feature = _distinct(texts, orders, bits)
+            for a, b, row, feature in _distinct(texts, orders, bits):
+                own = toxic[a:b][row]
+                for k in (0, 1):
+                    np.add.at(totals[k], feature[own == k], 1)
             for k in (0, 1):
-                totals[k] += np.bincount(feature[toxic[row] == k], minlength=1 << bits).astype(np.int32)
                 n[k] += int((toxic == k).sum())
         used = np.flatnonzero(totals.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(totals[1][used], n[1]).astype(np.int64)), pa.array(np.append(totals[0][used], n[0]).astype(np.int64))], names=["feature", "toxic", "other"])
@@ -137,9 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            row, feature = _distinct(texts, orders, bits, ratio.value != 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32()), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), lists], names=["toxic", "features"])
+            for a, b, row, feature in _distinct(texts, orders, bits, ratio.value != 0):
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()), pa.array(feature.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a).cast(pa.int32()), lists], names=["toxic", "features"])
 
     def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
@@ -168,8 +172,9 @@ def scorer(model: Model, spark) -> "callable":
         weights, intercept = held.value
         used = weights != 0
         for part in parts:
-            row, feature = _distinct(part.to_pylist(), orders, bits, used)
-            margin = np.bincount(row, weights[feature], len(part)) + intercept
+            margin = np.full(len(part), intercept)
+            for a, b, row, feature in _distinct(part.to_pylist(), orders, bits, used):
+                margin[a:b] += np.bincount(row, weights[feature], b - a)
             yield pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
     return score
