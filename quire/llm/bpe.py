@@ -2,8 +2,9 @@
 
 Texts are split into the tokenizer's words in Spark tasks. A task numbers the distinct words of each chunk of documents
 that it reads and keeps a document as the numbers of its words, in order: that is the position by which tokens are
-joined back. The distinct words of all chunks are dealt out by a hash of the word, so that a word's occurrences meet in
-one task, which encodes it once; its ids go back to the chunks that hold it. Decoding joins ids to pieces.
+joined back. Chunks are written as a table bucketed by chunk, so they are neither made twice nor shuffled. The distinct
+words of all chunks are dealt out by a hash of the word, so that a word's occurrences meet in one task, which encodes it
+once; its ids go back to the chunks that hold it. Decoding joins ids to pieces.
 
 Chunks are bounded by `chunk_words` (a longer document is a chunk alone), each word occurs once in a chunk, and nothing is
 broadcast but the vocabulary's pieces, whose number the tokenizer fixes; so neither a frequent word nor a hot source
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.shared import written
+from quire.llm.shared import scratch
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-_KNOWN_WORDS = 1 << 19  # words whose ids a task remembers
+_KNOWN_WORDS = 1 << 18  # words whose ids a task remembers
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -70,7 +72,7 @@ def _split_chunks(docs: DataFrame, path: str, parts: int, chunk_words: int, chun
             place[order] = np.arange(len(known))
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             lists = [zstandard.compress(json.dumps([known[i] for i in order[a:b].tolist()], ensure_ascii=False).encode("utf-8", "surrogatepass"), 3) for a, b in zip(edges, edges[1:], strict=False)]
-            flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+            flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
             doc_ids = pa.concat_arrays(ids)
             row = [pa.array([f"{task.partitionId()}-{next(serial)}"]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([_packed(np.array(lengths, np.int64))], pa.binary()), pa.array([_packed(place[flat])], pa.binary()), pa.array([lists], pa.list_(pa.binary()))]
             for x in (ids, lengths, codes, number):
@@ -81,7 +83,7 @@ def _split_chunks(docs: DataFrame, path: str, parts: int, chunk_words: int, chun
             first = 0
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = splitter.split(text)
-                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.uint32, len(own)))
                 lengths.append(len(own))
                 total += len(own)
                 if total >= chunk_words or len(number) >= chunk_distinct:
@@ -115,30 +117,47 @@ def _encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return encode
 
 
-def encode(docs: DataFrame, path: str, chunk_words: int = 4_000_000, chunk_distinct: int = 500_000) -> DataFrame:
-    """doc_id, ids (array of int) of every row of docs."""
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """rows as a table in the shared folder, in buckets by key."""
+    spark, name = rows.sparkSession, f"quire_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).option("path", scratch(spark, "bpe-chunks")).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved with its buckets; the name isn't needed any more, and the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _joined(sizes: np.ndarray, tokens: np.ndarray, codes: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each word of codes, one after the other, and where each word's begin (one more at the end)."""
+    first, out = (np.cumsum(sizes) - sizes).astype(np.int64), []
+    ends = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(sizes[codes], out=ends[1:])
+    for a in range(0, len(codes), block):
+        own = codes[a : a + block]
+        n, start = sizes[own], ends[a : a + len(own)]
+        out.append(tokens[np.arange(start[0], ends[a + len(own)]) + np.repeat(first[own] - start, n)])
+    return np.concatenate(out) if out else np.empty(0, np.int32), ends
+
+
+def encode(docs: DataFrame, path: str, chunk_words: int = 2_000_000, chunk_distinct: int = 300_000, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) of every row of docs; decoded: and text, what the ids decode to."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = written(_split_chunks(docs, path, parts, chunk_words, chunk_distinct), "bpe-chunks")
+    chunks = _bucketed(_split_chunks(docs, path, parts, chunk_words, chunk_distinct), "chunk", parts)
     lists = chunks.select("chunk", F.posexplode("words").alias("part", "words")).repartition(parts, "part")
     tokens = lists.mapInArrow(_encode_words(path), "chunk string, part int, sizes binary, tokens binary")
-    id_type = docs.schema["doc_id"].dataType
-    both = chunks.select("chunk", F.lit(-1).alias("part"), F.col("lengths").alias("sizes"), F.col("codes").alias("tokens"), "doc_ids")
-    both = both.unionByName(tokens.withColumn("doc_ids", F.lit(None).cast(T.ArrayType(id_type))))
 
-    def assemble(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("part").to_numpy(), kind="stable")
-        sizes, values = ([_unpacked(table.column(c)[int(i)].as_py()) for i in order] for c in ("sizes", "tokens"))
-        size, flat = np.concatenate([*sizes[1:], np.empty(0, np.uint32)]).astype(np.int64), np.concatenate([*values[1:], np.empty(0, np.uint32)]).astype(np.int32)
-        first, codes = np.cumsum(size) - size, values[0]
-        n = size[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(first[codes], n)]
-        offsets = ends[np.concatenate([[0], np.cumsum(sizes[0].astype(np.int64))])]
-        doc_ids = table.column("doc_ids").combine_chunks().slice(int(order[0]), 1).flatten()
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))})
+    def assemble(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
+        order = np.argsort(encoded.column("part").to_numpy(), kind="stable").tolist()
+        sizes, values = (np.concatenate([*(_unpacked(encoded.column(c)[i].as_py()) for i in order), np.empty(0, np.uint32)]) for c in ("sizes", "tokens"))
+        lengths, codes = (_unpacked(chunk.column(c)[0].as_py()) for c in ("lengths", "codes"))
+        ids, ends = _joined(sizes.astype(np.int64), values.astype(np.int32), codes)
+        offsets = ends[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+        return pa.table({"doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "ids": lists} | ({"text": _texts(lists, pieces(path))} if decoded else {}))
 
-    return both.groupBy("chunk").applyInArrow(assemble, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("text", T.StringType())] * decoded])
+    return chunks.select("chunk", "doc_ids", "lengths", "codes").groupBy("chunk").cogroup(tokens.groupBy("chunk")).applyInArrow(assemble, kind)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -160,26 +179,32 @@ def pieces(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _texts(lists: pa.ListArray, table: pa.Array, block: int = 1 << 10) -> pa.Array:
+    """Each list of ids as the text of its pieces, bytes that aren't UTF-8 replaced; a null list gives the empty text."""
+    out = []
+    for part in (lists.slice(a, block) for a in range(0, len(lists), block)):
+        ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy())])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(ids))), b"")
+        try:
+            out.append(joined.cast(pa.string()))
+        except pa.ArrowInvalid:
+            out.append(pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def decoder(path: str) -> Callable[[Column], Column]:
-    """A column function from ids to text: a join of each id to its piece, bytes that aren't UTF-8 replaced."""
+    """A column function from ids to text: a join of each id to its piece."""
 
     @F.arrow_udf(T.StringType())
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = pieces(path)
         for part in parts:
-            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy())])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(ids))), b"")
-            try:
-                yield joined.cast(pa.string())
-            except pa.ArrowInvalid:
-                yield pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            yield _texts(part, pieces(path))
 
     return decode
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, text: what the ids of every row of docs decode to."""
-    out = encode(docs, path)
-    return out.withColumn("text", decoder(path)(F.col("ids")))
+    """doc_id, ids, text: what the ids of every row of docs decode to, in the task that has joined them."""
+    return encode(docs, path, decoded=True)

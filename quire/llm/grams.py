@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-BLOCK = 1 << 20  # characters handled at once; longer texts are cut into pieces that overlap by an n-gram less one
+BLOCK = 1 << 18  # characters handled at once; longer texts are cut into pieces that overlap by an n-gram less one
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

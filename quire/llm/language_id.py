@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out
+from quire.llm.shared import held_out, written
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -40,6 +40,7 @@ class Settings:
     rounds: int = 12
     slack: float = 0.5  # of the sample's smallest cosine
     full_chars: int = 200  # shorter texts may lie farther off
+    broadcast_languages: int = 10_000  # the sizes of up to so many languages are broadcast; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         floor = settings.slack * float((near[long] if long.any() else near).min())
         return pd.DataFrame({"lang": part.lang.iloc[0], "cluster": range(len(centres)), "centroid": list(centres.astype(np.float32)), "floor": floor})
 
-    totals = rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang"))  # a row for each language
+    totals = written(rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang")), "languages")
+    if totals.count() <= settings.broadcast_languages:
+        totals = F.broadcast(totals)
     sample = rows.join(totals, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < settings.fit_rows / F.col("rows_of_lang") * 1_000_000)
     found = sample.select("doc_id", "lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centroid array<float>, floor double").toPandas().sort_values(["lang", "cluster"])
     size = 1 << settings.bits

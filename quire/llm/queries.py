@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, chat, decontamination, embed_dedup, language_id, sharding, simhash, token_counts, toxicity, warc
-from quire.llm.shared import read_table, scratch
+from quire.llm.shared import read_table, scratch, small_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,7 +72,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
+QUERIES = {name: _in_small_batches(query) for name, query in _QUERIES.items()}
 
 _OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -61,7 +61,7 @@ def _present(texts: list[str | None], orders: tuple[int, ...], bits: int, wanted
 
 def _distinct(texts: list[str | None], orders: tuple[int, ...], bits: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end, row, feature) of some texts at a time; row counts from the first. Memory follows a block, or one text's distinct features."""
-    for a, b in runs(np.array([len(t or "") for t in texts], np.int64), grams.BLOCK // 2):
+    for a, b in runs(np.array([len(t or "") for t in texts], np.int64), grams.BLOCK):
         found = [row << bits | f for row, f in _present(texts[a:b], orders, bits, wanted)]
         key = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
         yield a, b, key >> bits, key & ((1 << bits) - 1)
