@@ -134,7 +134,7 @@ def _bucket(spark: SparkSession, rows: DataFrame, bounds: list[Boundary]) -> Dat
     return rows.withColumn("cell", _prefix(F.col("key"), PROBE_BITS)).join(F.broadcast(cell), "cell").withColumn("bucket", bucket.cast("int")).drop("cell", "before", "own")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, bucket_bytes: int = 32 << 20, most_buckets: int = 4096) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, bucket_bytes: int = 32 << 20, most_buckets: int = 1 << 14) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (from 0 in each shard, without gaps), exchanged by bucket of a shard."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")

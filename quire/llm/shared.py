@@ -20,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, most: int = 16 << 20) -> SparkSession:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> SparkSession:
     """Have Spark hand Python at most so many bytes at once, so that a worker's memory doesn't follow the length of rows."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).lower().removesuffix("b")) > most:

@@ -142,8 +142,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, that of the smallest doc_id (then of the smallest hash of its text), with the columns of docs."""
     mark = F.xxhash64("text")
     rows = written(docs.select("doc_id", mark.alias("mark"), fingerprint(F.col("text")).alias("fp")), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")))
-    kept = rows.join(_grouped(rows), "fp").groupBy("root").agg(first.alias("first")).select("first.kept_id", "first.kept_mark")
-    marked = docs.withColumn("quire_mark", mark)
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("quire_mark").eqNullSafe(F.col("kept_mark")), "left_semi")
-    return out.dropDuplicates(["doc_id", "quire_mark"]).select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    kept = rows.join(_grouped(rows), "fp").groupBy("root").agg(first.alias("first"))
+    # Keys that are never null: repeated rows then are dropped where the join has dealt them.
+    keys = ["quire_none", "quire_id", "quire_mark"]
+    kept = kept.select(F.col("first.none").alias(keys[0]), F.xxhash64("first.doc_id").alias(keys[1]), F.col("first.mark").alias(keys[2]))
+    marked = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.xxhash64("doc_id"), mark), strict=True)))
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.shared import scratch, whole_text
+from quire.llm.shared import scratch, whole_text, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -98,5 +98,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counted = keyed.select("doc_id", "n_bytes", "content_digest").join(read_cache(spark, cache, version), "content_digest")
+    # Written, so that the join's sides are bare exchanges: Spark then splits the partition of a text with very many copies.
+    counts = written(read_cache(spark, cache, version), "token-counts")
+    counted = keyed.select("doc_id", "n_bytes", "content_digest").join(counts, "content_digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
