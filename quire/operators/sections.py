@@ -100,7 +100,8 @@ def chunks(docs: DataFrame, size: int = 5, overlap: int = 2, column: str = "clea
     own = F.transform(F.filter("sections", lambda s: (s["text"] != "") & (s["name"] != "references")), lambda s: F.struct(s["name"].alias("name"), s["text"].alias("text")))
     parts = F.when(F.size("sections") == 0, whole).otherwise(own)
     cut = F.transform(parts, lambda s: F.transform(windows(text.sentences(s["text"], 20), size, overlap), lambda w: F.struct(s["name"].alias("section_name"), w.alias("sentences"))))
-    rows = docs.select("doc_id", F.posexplode(F.flatten(cut)).alias("chunk_id", "c"))
+    # Outer, as a plain generator would have the whole expression evaluated once more to filter out empty arrays.
+    rows = docs.select("doc_id", F.posexplode_outer(F.flatten(cut)).alias("chunk_id", "c")).where("chunk_id is not null")
     return rows.select("doc_id", "chunk_id", "c.section_name", F.array_join("c.sentences", " ").alias("text"), F.size("c.sentences").alias("n_sentences"))
 
 

@@ -47,8 +47,8 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prepared(spark, sf_dir).select("doc_id", F.explode("sections").alias("s"))
-    return rows.select("doc_id", *[F.col(f"s.{c}").cast("long").alias(c) if c in ("ord", "start_line", "end_line") else F.col(f"s.{c}").alias(c) for c in ("ord", "name", "heading", "text", "start_line", "end_line")])
+    rows = _prepared(spark, sf_dir).select("doc_id", F.inline_outer("sections")).where("name is not null")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("ord", "start_line", "end_line")})
 
 
 def preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def quality_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def future_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = analyze.with_slots(_prepared(spark, sf_dir)).withColumns({"limits": cues.limitations(text.first_filled(F.col("s_discussion"), F.col("s_conclusion"), F.col("combined"))), "words": F.array(F.lit("retrieval"), F.lit("graph inference"))})
     out = cues.with_directions(docs, F.concat("s_conclusion", F.lit("\n"), "s_discussion"), "limits", "words")
-    return out.select("doc_id", F.posexplode("directions").alias("place", "d")).select("doc_id", "place", "d.*")
+    return out.select("doc_id", F.posexplode_outer("directions").alias("place", "d")).select("doc_id", "place", "d.*")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
