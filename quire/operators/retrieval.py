@@ -56,7 +56,8 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 5, query_rows
 def hashed_vector(t: Column, size: int = 64) -> Column:
     """A default embedding without a model: counts of words by hash."""
     at = F.transform(F.regexp_extract_all(F.lower(t), F.lit(f"{text.WORD}+"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("float"))
+    # A list of one holds the words' places, so that they are found once and not for every component.
+    return F.get(F.transform(F.array(at), lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(found, lambda x: x == k)).cast("float"))), F.lit(0))
 
 
 def contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:

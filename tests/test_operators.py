@@ -102,6 +102,12 @@ def test_answers(spark):
     assert got[2].answer == "Cats sleep all day long." and (got[2].start, got[2].end) == (0, 24) and got[2].score == round(3 / 4.1, 4)
 
 
+def test_hashed_vectors(spark):
+    a, b = (one(spark, retrieval.hashed_vector, t) for t in ("one two two", "two One two"))
+    assert len(a) == 64 and a == b and sum(a) == 3
+    assert sum(one(spark, retrieval.hashed_vector, "")) == 0
+
+
 def test_context_budget(spark):
     rows = spark.createDataFrame([(q, k, "x" * n) for q, sizes in ((1, [2500, 2500, 2500]), (2, [5000, 2000, 500])) for k, n in enumerate(sizes)], "query_id long, rank int, text string")
     assert {r.query_id: r.n_chunks for r in retrieval.contexts(rows).collect()} == {1: 2, 2: 1}
