@@ -129,6 +129,7 @@ def search_shard(texts: list[str | None], phrases: list[Phrases]) -> tuple[np.nd
 
 
 _SPANS = "array<struct<start: int, end: int>>"
+_ROW, _FOUND, _CLEAN = "quire_row", "quire_found", "quire_clean"
 
 
 def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], settings: Settings) -> DataFrame:
@@ -167,14 +168,23 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     if len(blocks) == 1:
         out = _search_block(docs, key, blocks[0], settings)
     else:
-        rows = written(docs.select(key, "text", F.monotonically_increasing_id().alias("row")), "decontamination")
-        found = _search_block(rows, "row", blocks[0], settings)
-        for block in blocks[1:]:
-            found = found.unionByName(_search_block(rows, "row", block, settings))
-        found = written(found, "spans").groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        out = rows.select(key, "row").join(found, "row").drop("row").withColumn("spans", _merged("spans"))
+        rows = written(docs.select(key, "text", F.monotonically_increasing_id().alias(_ROW)), "decontamination")
+        out = rows.select(key, _ROW).join(_search_blocks(rows, blocks, settings), _ROW).drop(_ROW)
     out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
-    return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+    return out.withColumn("n_hit", _n_hit("spans"))
+
+
+def _search_blocks(rows: DataFrame, blocks: list[list[tuple[str, str]]], settings: Settings) -> DataFrame:
+    """_ROW, n_words, spans, items of each row of the written table rows: every block is searched for in the whole texts."""
+    found = _search_block(rows, _ROW, blocks[0], settings)
+    for block in blocks[1:]:
+        found = found.unionByName(_search_block(rows, _ROW, block, settings))
+    found = written(found, "spans").groupBy(_ROW).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return found.withColumn("spans", _merged("spans"))
+
+
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def _merged(spans: str):
@@ -213,16 +223,29 @@ def _cleaner(shared, settings: Settings) -> Callable[[Column], Column]:
     return clean
 
 
+@F.arrow_udf(T.StringType())
+def _cut_all(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, spans in parts:
+        yield pa.array([cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with benchmark passages cut out of the texts and n_chars, where there is one, set anew; other rows as they are.
 
-    A document that had words and has none left goes. Works for a benchmark of one block without any shuffle.
+    A document that had words and has none left goes. Works for a benchmark of one block without any shuffle. With more
+    blocks the spans of all are merged before a text is cut once, so that no block searches what another has left.
     """
-    text = F.col("text")
-    for block in _blocks(benchmark, settings):
-        text = _cleaner(docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in block], settings.window)), settings)(text)
-    out = docs.withColumn("quire_clean", text).where(F.col("quire_clean").isNotNull() | F.col("text").isNull())
-    changed = ~F.col("quire_clean").eqNullSafe(F.col("text"))
+    blocks = list(_blocks(benchmark, settings))
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in blocks[0]], settings.window))
+        out = docs.withColumn(_CLEAN, _cleaner(shared, settings)(F.col("text"))).where(F.col(_CLEAN).isNotNull() | F.col("text").isNull())
+    else:
+        rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination")
+        found = _search_blocks(rows.select(_ROW, "text"), blocks, settings).where(F.size("spans") > 0)
+        found = found.select(_ROW, F.struct("spans", (_n_hit("spans") == F.col("n_words")).alias("whole")).alias(_FOUND))
+        out = rows.join(found, _ROW, "left").where(~F.coalesce(F.col(_FOUND)["whole"], F.lit(False)))
+        out = out.withColumn(_CLEAN, _cut_all(F.col("text"), F.col(_FOUND)["spans"]))
+    changed = ~F.col(_CLEAN).eqNullSafe(F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("quire_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("quire_clean")).select(docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.length(_CLEAN)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col(_CLEAN)).select(docs.columns)

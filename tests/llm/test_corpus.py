@@ -144,6 +144,27 @@ def test_spans(spark, items, block):
             assert left[i].n_chars == len(left[i].text) < len(t) and len(brute.words(left[i].text)) <= n - hit
 
 
+def overlapping():
+    """Items that overlap in a document, and one that only a cut would make up."""
+    w, c = [f"w{i}" for i in range(1, 31)], [f"c{i}" for i in range(1, 11)]
+    known = [(1, " ".join(w[:10])), (2, " ".join(w[5:15])), (3, " ".join(w[10:22])), (4, " ".join(c)), (5, "tiny item")]
+    texts = [" ".join(w[:15]), " ".join(w[:22]), " ".join(["head", *w[:15], "tail"]), " ".join(c[:5] + w[:10] + c[5:]), " ".join(c[:5] + w[:22] + c[5:]), "Tiny, " + " ".join(w[:10]) + " item stays", " ".join(c), "clean", None, ""]
+    return known, texts
+
+
+@pytest.mark.parametrize("block", [100, 40, 12])
+def test_blocks_do_not_change_what_is_removed(spark, block):
+    known, texts = overlapping()
+    docs, bench = brute.documents(spark, texts), spark.createDataFrame(known, "item_id long, text string")
+    left = {r.doc_id: r for r in decontamination.remove_spans(docs, bench, decontamination.Settings(block_bytes=block)).collect()}
+    whole = {r.doc_id: r for r in decontamination.remove_spans(docs, bench).collect()}
+    assert left == whole
+    for i, t in enumerate(texts):
+        n, hit, _ = brute.contamination(t, known)
+        assert (i in left) == (not n or n > hit)
+        assert i not in left or len(brute.words(left[i].text)) == n - hit
+
+
 def test_no_benchmark_and_no_documents(spark, items):
     docs, bench = brute.documents(spark, brute.TEXTS), spark.createDataFrame(items, "item_id long, text string")
     assert decontamination.find_spans(docs, bench.limit(0)).where("n_hit > 0").count() == 0
