@@ -8,8 +8,9 @@ ranks, their occurrences located by sampled suffix positions, and overlapping or
 removal spans.
 
 A shard is the documents of a batch of a task, so indexes never leave the task that builds them. The benchmark is read
-in blocks of at most `Settings.block_bytes` of text, each broadcast in turn: it is the stated query set, held against
-all documents.
+in blocks of about `Settings.block_bytes` of text, dealt by a hash of id and text: it is the stated query set, held
+against all documents. Several blocks are broadcast in turn: the spans of one are written to the shared folder and its
+broadcast is destroyed before the next is collected.
 
 A null text has no words. Items whose id or text is null are left out. Repeated items, or windows that several items
 share, count for each of them. Rows with the same doc_id each get a row. Columns other than doc_id and text are kept
@@ -26,12 +27,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.fm_index import FMIndex
-from quire.llm.shared import runs, written
+from quire.llm.shared import runs, scratch, written
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -129,11 +131,11 @@ def search_shard(texts: list[str | None], phrases: list[Phrases]) -> tuple[np.nd
 
 
 _SPANS = "array<struct<start: int, end: int>>"
-_ROW, _FOUND, _CLEAN = "quire_row", "quire_found", "quire_clean"
+_ROW, _FOUND, _CLEAN, _BLOCK = "quire_row", "quire_found", "quire_clean", "quire_block"
 
 
-def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], settings: Settings) -> DataFrame:
-    """key, n_words, spans, items of each row of docs."""
+def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], settings: Settings) -> tuple[DataFrame, Broadcast]:
+    """key, n_words, spans, items of each row of docs, and what is broadcast for it."""
     names = sorted({i for i, _ in block})
     number = {i: k for k, i in enumerate(names)}
     shared = docs.sparkSession.sparkContext.broadcast((names, phrases_of([(number[i], t) for i, t in block], settings.window)))
@@ -151,22 +153,31 @@ def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], setti
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists, found], names=[key, "n_words", "spans", "items"])
 
     kind = T.StructType([docs.schema[key], *T.StructType.fromDDL(f"n_words long, spans {_SPANS}, items array<string>").fields])
-    return docs.select(key, "text").mapInArrow(search, kind)
+    return docs.select(key, "text").mapInArrow(search, kind), shared
 
 
-def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
+    """The (item_id, text) of each block; none is collected yet."""
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     n = max(1, math.ceil((known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / settings.block_bytes))
-    for k in range(n):
-        part = known if n == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    if n == 1:
+        return [known]
+    dealt = known.dropDuplicates().withColumn(_BLOCK, F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(_BLOCK)
+    path = scratch(known.sparkSession, "blocks")
+    dealt.write.partitionBy(_BLOCK).parquet(path)
+    dealt = known.sparkSession.read.schema(dealt.schema).parquet(path)
+    return [dealt.where(F.col(_BLOCK) == k).select("item_id", "text") for k in range(n)]
+
+
+def _collected(block: DataFrame) -> list[tuple[str, str]]:
+    return [tuple(r) for r in block.collect()]
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), key: str = "doc_id") -> DataFrame:
     """key, n_words, spans, items (sorted ids), n_hit of every row of docs; spans are of words, start included, end not."""
-    blocks = list(_blocks(benchmark, settings)) if benchmark is not None else [[]]
-    if len(blocks) == 1:
-        out = _search_block(docs, key, blocks[0], settings)
+    blocks = _blocks(benchmark, settings) if benchmark is not None else []
+    if len(blocks) <= 1:
+        out, _ = _search_block(docs, key, _collected(blocks[0]) if blocks else [], settings)
     else:
         rows = written(docs.select(key, "text", F.monotonically_increasing_id().alias(_ROW)), "decontamination")
         out = rows.select(key, _ROW).join(_search_blocks(rows, blocks, settings), _ROW).drop(_ROW)
@@ -174,12 +185,20 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     return out.withColumn("n_hit", _n_hit("spans"))
 
 
-def _search_blocks(rows: DataFrame, blocks: list[list[tuple[str, str]]], settings: Settings) -> DataFrame:
+def _search_blocks(rows: DataFrame, blocks: list[DataFrame], settings: Settings) -> DataFrame:
     """_ROW, n_words, spans, items of each row of the written table rows: every block is searched for in the whole texts."""
-    found = _search_block(rows, _ROW, blocks[0], settings)
-    for block in blocks[1:]:
-        found = found.unionByName(_search_block(rows, _ROW, block, settings))
-    found = written(found, "spans").groupBy(_ROW).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    path, kind = scratch(rows.sparkSession, "spans"), None
+    for block in blocks:
+        items = _collected(block)
+        if kind is not None and not items:
+            continue
+        found, shared = _search_block(rows, _ROW, items, settings)
+        # The first block writes a row for each text, the others for those in which they occur.
+        (found if kind is None else found.where(F.size("spans") > 0)).write.mode("append").parquet(path)
+        kind = found.schema
+        shared.destroy()
+    found = rows.sparkSession.read.schema(kind).parquet(path).groupBy(_ROW)
+    found = found.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     return found.withColumn("spans", _merged("spans"))
 
 
@@ -235,9 +254,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     A document that had words and has none left goes. Works for a benchmark of one block without any shuffle. With more
     blocks the spans of all are merged before a text is cut once, so that no block searches what another has left.
     """
-    blocks = list(_blocks(benchmark, settings))
+    blocks = _blocks(benchmark, settings)
     if len(blocks) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in blocks[0]], settings.window))
+        shared = docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in _collected(blocks[0])], settings.window))
         out = docs.withColumn(_CLEAN, _cleaner(shared, settings)(F.col("text"))).where(F.col(_CLEAN).isNotNull() | F.col("text").isNull())
     else:
         rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination")

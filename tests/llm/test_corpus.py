@@ -165,6 +165,27 @@ def test_blocks_do_not_change_what_is_removed(spark, block):
         assert i not in left or len(brute.words(left[i].text)) == n - hit
 
 
+@pytest.mark.parametrize("operator", [decontamination.find_spans, decontamination.remove_spans])
+def test_one_block_is_broadcast_at_a_time(spark, monkeypatch, operator):
+    known, texts = overlapping()
+    known += [(i, known[0][1]) for i in range(100, 130)]  # a text that many items share
+    docs, bench = brute.documents(spark, texts), spark.createDataFrame(known, "item_id long, text string")
+    live, most, made = set(), [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        shared = made(self, value)
+        destroy = shared.destroy
+        shared.destroy = lambda *a: (live.discard(id(shared)), destroy(*a))
+        live.add(id(shared))
+        most.append((len(live), len(value[0])))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert operator(docs, bench, decontamination.Settings(block_bytes=200)).count() > 0
+    assert len(most) > 3 and max(n for n, _ in most) == 1 and not live
+    assert max(n for _, n in most) < 20  # items of a block
+
+
 def test_no_benchmark_and_no_documents(spark, items):
     docs, bench = brute.documents(spark, brute.TEXTS), spark.createDataFrame(items, "item_id long, text string")
     assert decontamination.find_spans(docs, bench.limit(0)).where("n_hit > 0").count() == 0
