@@ -128,6 +128,26 @@ def test_embedding_recall(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_recall_of_planted_pairs(spark, monkeypatch):
+    """Pairs at cosines from 0.95 to 0.99 among vectors that use hundreds of pivots."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(5000, 64)))
+    cosine = rng.uniform(0.9505, 0.99, 1000)[:, None]
+    aside = rng.normal(size=(1000, 64))
+    aside = unit(aside - (aside * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    x = np.vstack([x, cosine * x[:1000] + np.sqrt(1 - cosine**2) * aside])
+    used, pivots = [], embed_dedup._pivots
+    monkeypatch.setattr(embed_dedup, "_pivots", lambda *a: used.append(pivots(*a)) or used[-1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = {r.vec_id: r.n_links for r in embed_dedup.find_groups(rows).collect()}
+    pairs = int(np.triu(x @ x.T >= 0.95, 1).sum())
+    recall = sum(links.values()) / 2 / pairs
+    print(f"{len(used[0][64])} pivots, {pairs} pairs, recall {recall:.4f}")
+    assert len(used[0][64]) > 500 and pairs >= 1000
+    assert 0.9 <= recall <= 1, recall
+
+
 def test_blocks_count_each_pair_once(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=16)
