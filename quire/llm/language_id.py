@@ -3,8 +3,9 @@
 A text becomes a vector of hashed character n-grams of orders 1 to 3, weighted log(1 + tf) * idf and scaled to length
 1; idf comes from all training rows. The vectors of a bounded sample of each language (`Settings.fit_rows` expected
 rows) are clustered by spherical k-means. A text gets the language of the centroid with the largest cosine, and is
-rejected when it is too far from it: below `floor * min(1, sqrt(n_chars / 200))`, the floor being a share of the
-smallest cosine that the language's own sample had.
+rejected when it is too far from it: below `floor * min(1, sqrt(n_chars / 200))`, the floor being a share of a low
+quantile of the cosines that the language's own sample had. Clusters of less than `Settings.least_share` of the sample
+are outliers and give no centroid, so a few junk rows neither lower the floor nor attract their like.
 
 A null text, or one without a letter, is `und` with score 0 and rejected. Texts of any length count whole. With no
 training rows all texts are `und`. Ties between centroids go to the first in (language, cluster) order. Rows with the
@@ -38,7 +39,9 @@ class Settings:
     centroids: int = 4
     fit_rows: int = 1000  # expected rows of each language in the sample that is clustered
     rounds: int = 12
-    slack: float = 0.5  # of the sample's smallest cosine
+    least_share: float = 0.02  # of the sample's rows in a cluster that counts
+    quantile: float = 0.01  # of the sample's cosines, from which the floor is taken
+    slack: float = 0.7  # of that quantile
     full_chars: int = 200  # shorter texts may lie farther off
     broadcast_languages: int = 10_000  # the sizes of up to so many languages are broadcast; more are joined by a shuffle
 
@@ -116,9 +119,11 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         part = part.sort_values(["doc_id", "text"])
         x = np.vstack([_vectors(tf, shared.value) for _, tf in _counts(part.text.tolist(), settings)])
         centres = _clusters(x, settings.centroids, settings.rounds)
+        filled = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
+        centres = centres[filled >= min(settings.least_share * len(x), filled.max())]
         long = (part.text.str.len() >= settings.full_chars).to_numpy()
         near = (x @ centres.T).max(axis=1)
-        floor = settings.slack * float((near[long] if long.any() else near).min())
+        floor = settings.slack * float(np.quantile(near[long] if long.any() else near, settings.quantile))
         return pd.DataFrame({"lang": part.lang.iloc[0], "cluster": range(len(centres)), "centroid": list(centres.astype(np.float32)), "floor": floor})
 
     totals = written(rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang")), "languages")

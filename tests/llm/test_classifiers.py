@@ -1,5 +1,8 @@
 """Language ID and toxicity: held-out accuracy, defined results for odd rows, and no peeking."""
 
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +64,23 @@ def test_clean_documents_stay(docs, languages):
     assert kept.where("length(text) > 100").count() >= 0.99 * prose.count()
 
 
+def random_words(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 10))) for _ in range(n))
+
+
+def test_junk_in_letters_goes(spark, docs, languages):
+    """Also when a few junk rows are labelled as a language."""
+    rnd = random.Random(0)
+    junk = [random_words(i, 400) for i in range(40)] + ["".join(chr(rnd.randint(32, 126)) for _ in range(2000)) for _ in range(40)]
+    junk = brute.documents(spark, junk, extra=False)
+    labelled = spark.createDataFrame([(-i, random_words(-i, 400), "en") for i in range(1, 5)], "doc_id long, text string, lang string")
+    for model in (languages, language_id.fit(docs.select("doc_id", "text", "lang").unionByName(labelled))):
+        assert language_id.keep_known(junk, model).count() == 0
+        prose = docs.where("length(text) > 100")
+        assert language_id.keep_known(prose, model).count() >= 0.99 * prose.count()
+
+
 def test_held_out_toxicity(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     got = queries.op9_toxicity(spark, SF).join(labels, "doc_id").where("held_out and toxic is not null").collect()
