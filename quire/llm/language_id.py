@@ -2,7 +2,7 @@
 
 A text becomes a vector of hashed character n-grams of orders 1 to 3, weighted log(1 + tf) * idf and scaled to length
 1; idf comes from all training rows. The vectors of a bounded sample of each language (`Settings.fit_rows` expected
-rows) are clustered by spherical k-means. A text gets the language of the centroid with the largest cosine, and is
+distinct rows) are clustered by spherical k-means. A text gets the language of the centroid with the largest cosine, and is
 rejected when it is too far from it: below `floor * min(1, sqrt(n_chars / 200))`, the floor being a share of a low
 quantile of the cosines that the language's own sample had. Clusters of less than `Settings.least_share` of the sample
 are outliers and give no centroid, so a few junk rows neither lower the floor nor attract their like.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out, written
+from quire.llm.shared import held_out, sampled
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +37,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 12
     centroids: int = 4
-    fit_rows: int = 1000  # expected rows of each language in the sample that is clustered
+    fit_rows: int = 1000  # expected distinct rows of each language in the sample that is clustered
     rounds: int = 12
     least_share: float = 0.02  # of the sample's rows in a cluster that counts
     quantile: float = 0.01  # of the sample's cosines, from which the floor is taken
@@ -126,10 +126,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         floor = settings.slack * float(np.quantile(near[long] if long.any() else near, settings.quantile))
         return pd.DataFrame({"lang": part.lang.iloc[0], "cluster": range(len(centres)), "centroid": list(centres.astype(np.float32)), "floor": floor})
 
-    totals = written(rows.groupBy("lang").agg(F.count("*").alias("rows_of_lang")), "languages")
-    if totals.count() <= settings.broadcast_languages:
-        totals = F.broadcast(totals)
-    sample = rows.join(totals, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < settings.fit_rows / F.col("rows_of_lang") * 1_000_000)
+    sample = sampled(rows, "lang", settings.fit_rows, settings.broadcast_languages)
     found = sample.select("doc_id", "lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centroid array<float>, floor double").toPandas().sort_values(["lang", "cluster"])
     size = 1 << settings.bits
     return Model(settings, idf, found.lang.tolist(), np.vstack([*found.centroid, np.empty((0, size), np.float32)]).astype(np.float32), found.floor.to_numpy(float))

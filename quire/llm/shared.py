@@ -55,6 +55,20 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def sampled(rows: DataFrame, group: str, most: int, broadcast_groups: int) -> DataFrame:
+    """About `most` distinct (doc_id, text) of each group of rows, or all where there are fewer: those of small hash.
+
+    Copies of a row count once, and rows that repeat a doc_id are drawn one by one, so no id or copy swells the sample.
+    """
+    key = F.xxhash64("doc_id", "text")
+    # The estimate depends on the rows alone, not on how they are dealt out.
+    totals = written(rows.groupBy(group).agg(F.approx_count_distinct(key).alias("quire_distinct")), "sizes")
+    if totals.count() <= broadcast_groups:
+        totals = F.broadcast(totals)
+    drawn = rows.join(totals, group).where(F.pmod(key, F.lit(1_000_000)) < most / F.col("quire_distinct") * 1_000_000)
+    return drawn.select("doc_id", "text", group).dropDuplicates()
+
+
 def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes add up to about `most`; a larger row stands alone."""
     start, total = 0, 0

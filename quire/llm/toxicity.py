@@ -3,7 +3,7 @@
 Presence of a hashed character n-gram is a feature; its scale is r = log((p / |p|) / (q / |q|)), with p and q the
 smoothed numbers of toxic and other documents that hold it. Logistic regression over the scaled features gives the
 weights. The counts cover every labelled training row; only the regression is fitted on a sample, whose bound is
-`Settings.fit_rows` rows for each class.
+`Settings.fit_rows` distinct rows for each class.
 
 Null and empty texts hold no n-gram and get the score of the intercept. Of repeated labels of a document the
 largest counts; null labels count as none. With no training rows, or with rows of one class only, every score is the share of toxic
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out, runs
+from quire.llm.shared import held_out, runs, sampled
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Settings:
     alpha: float = 1.0
     least_documents: int = 3  # a feature is held by so many training documents
     least_ratio: float = 0.7  # and its |r| is at least this
-    fit_rows: int = 2000  # expected rows of each class in the regression's sample
+    fit_rows: int = 2000  # expected distinct rows of each class in the regression's sample
     ridge: float = 1e-3
     steps: int = 200
     broadcast_labels: int = 1_000_000  # up to so many label rows (16 bytes each) are broadcast; more are joined by a shuffle
@@ -134,8 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     if not toxic or not other:
         share = min(max(toxic / max(1, toxic + other), 1e-9), 1 - 1e-9)
         return Model(settings.orders, settings.bits, np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    part = F.when(F.col("toxic") > 0, settings.fit_rows / toxic).otherwise(settings.fit_rows / other)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    sample = sampled(rows.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic", settings.fit_rows, 2)
     ratio, orders, bits, ridge, steps = docs.sparkSession.sparkContext.broadcast(r), settings.orders, settings.bits, settings.ridge, settings.steps
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

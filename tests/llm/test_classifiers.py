@@ -118,3 +118,27 @@ def test_labels_joined_by_a_shuffle_give_the_same(spark, docs, toxic):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     again = toxicity.fit(docs, labels.union(labels), toxicity.Settings(broadcast_labels=1))
     assert abs(again.weights - toxic.weights).max() < 1e-4
+
+
+def test_a_repeated_id_does_not_swell_the_samples(spark, monkeypatch):
+    """One doc_id, that of the smallest hash, holds half of the rows; one row is there 200 times."""
+    known = spark.range(3000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("h")).where(~language_id.held_out())
+    hot = known.orderBy("h").first().doc_id
+    ids = [r.doc_id for r in known.where(F.col("doc_id") != hot).limit(600).collect()]
+    rows = [(i, f"text number {i} of its own") for i in ids] + [(hot, f"another text {i}") for i in range(600)] + [(hot, "a copy")] * 200
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    clusters, regression = language_id._clusters, toxicity._regression
+
+    def few_clustered(x, k, rounds):
+        assert 50 < len(x) < 200, f"{len(x)} rows are clustered"
+        return clusters(x, k, rounds)
+
+    def few_regressed(row, feature, x, y, ridge, steps):
+        assert 100 < len(y) < 400, f"{len(y)} rows are regressed"
+        return regression(row, feature, x, y, ridge, steps)
+
+    monkeypatch.setattr(language_id, "_clusters", few_clustered)
+    monkeypatch.setattr(toxicity, "_regression", few_regressed)
+    assert set(language_id.fit(docs, language_id.Settings(fit_rows=100)).languages) == {"en"}
+    labels = spark.createDataFrame([(i, int(i == hot or k % 2)) for k, i in enumerate([hot, *ids])], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, toxicity.Settings(fit_rows=100)).weights.shape
