@@ -4,7 +4,9 @@ Texts are split into the tokenizer's words in Spark tasks. A task numbers the di
 that it reads and keeps a document as the numbers of its words, in order: that is the position by which tokens are
 joined back. Chunks are written as a table bucketed by chunk, so they are neither made twice nor shuffled. The distinct
 words of all chunks are dealt out by a hash of the word, so that a word's occurrences meet in one task, which encodes it
-once; its ids go back to the chunks that hold it. Decoding joins ids to pieces.
+once as long as its memory of `_KNOWN_WORDS` words lasts; when that is full it is emptied, and words that come again are
+encoded again, to the same ids. The ids go back to the chunks that hold the word. The joins of positions to ids and of
+ids to pieces are lookups in arrays inside the chunk's task, not joins of tables.
 
 Chunks are bounded by `chunk_words` (a longer document is a chunk alone), each word occurs once in a chunk, and nothing is
 broadcast but the vocabulary's pieces, whose number the tokenizer fixes; so neither a frequent word nor a hot source
