@@ -1,16 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into the tokenizer's words in Spark tasks. A task numbers the distinct words of each chunk of documents
-that it reads and keeps a document as the numbers of its words, in order: that is the position by which tokens are
-joined back. Chunks are written as a table bucketed by chunk, so they are neither made twice nor shuffled. The distinct
-words of all chunks are dealt out by a hash of the word, so that a word's occurrences meet in one task, which encodes it
-once as long as its memory of `_KNOWN_WORDS` words lasts; when that is full it is emptied, and words that come again are
-encoded again, to the same ids. The ids go back to the chunks that hold the word. The joins of positions to ids and of
-ids to pieces are lookups in arrays inside the chunk's task, not joins of tables.
+that it reads, the most frequent first, and keeps a document as the numbers of its words, in order: that is the
+position by which tokens are joined back. Chunks are written as a table bucketed by chunk, so they are neither made
+twice nor shuffled. Their words, a row for each chunk and word, are dealt out by a hash of the word and sorted:
+each distinct word is encoded exactly once, and its ids are joined to its place in every chunk that holds it. These go
+back to their chunks, where the ids of a document are those of its words, one after the other.
 
-Chunks are bounded by `chunk_words` (a longer document is a chunk alone), each word occurs once in a chunk, and nothing is
-broadcast but the vocabulary's pieces, whose number the tokenizer fixes; so neither a frequent word nor a hot source
-makes a task uneven.
+Decoding joins each id of a document to its piece. The table of pieces is broadcast: its size is fixed by the tokenizer
+(one row for each id), so this join needs no shuffle; it runs in the task that has joined the ids of a chunk.
+
+Chunks are bounded by `chunk_words` and `chunk_distinct` (a longer document is a chunk alone). A word occurs once in a
+chunk, so neither a frequent word nor a hot source makes a task uneven.
 
 A null or empty text has no ids and decodes to the empty text. A special token's string inside a text becomes that
 token, as the tokenizers library does by default, and decodes to its string; nothing is truncated or padded. Ids that
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.shared import scratch
+from quire.llm.shared import give_back, scratch, thrifty
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-_KNOWN_WORDS = 1 << 18  # words whose ids a task remembers
+_OUT_WORDS = 1 << 17  # words of the documents that a task hands on at once
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -55,31 +56,37 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _split_chunks(docs: DataFrame, path: str, parts: int, chunk_words: int, chunk_distinct: int) -> DataFrame:
-    """chunk, doc_ids, lengths (words of each document), codes (its words' numbers), words (of each part, in order of number)."""
-    kind = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), *T.StructType.fromDDL("lengths binary, codes binary, words array<binary>").fields])
+    """A row for each chunk: doc_ids, lengths (words of each document), codes (its words' numbers), words (a sorted JSON
+    list for each of the parts that words are dealt to by their hash), numbers (of the words of these lists, in order)."""
+    doc_ids = T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))
+    kind = T.StructType([T.StructField("chunk", T.LongType()), doc_ids, *T.StructType.fromDDL("lengths array<int>, codes binary, numbers binary, words array<string>").fields])
 
+    @thrifty
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, task = words.ByteLevelWords(path), TaskContext.get()
+        splitter, first_chunk = words.ByteLevelWords(path), TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
         lengths: list[int] = []
         codes: list[np.ndarray] = []
         number: dict[str, int] = {}
-        serial, total = count(), 0
+        serial, total = count(first_chunk), 0
 
         def chunk() -> pa.RecordBatch:
-            known = list(number)
-            part = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) % parts for w in known), np.int64, len(known))
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(known), np.uint32)
-            place[order] = np.arange(len(known))
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            lists = [zstandard.compress(json.dumps([known[i] for i in order[a:b].tolist()], ensure_ascii=False).encode("utf-8", "surrogatepass"), 3) for a, b in zip(edges, edges[1:], strict=False)]
-            flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+            flat = np.concatenate([*codes, np.empty(0, np.uint32)])
+            codes.clear()
+            # Frequent words get small numbers, which take less room.
+            place = np.empty(len(number), np.uint32)
+            place[np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")] = np.arange(len(number))
+            dealt: list[list[str]] = [[] for _ in range(parts)]
+            for w in sorted(number):
+                dealt[crc32(w.encode()) % parts].append(w)
+            order = np.fromiter((number[w] for own in dealt for w in own), np.int64, len(number))
+            listed = pa.array([json.dumps(own, ensure_ascii=False, separators=(",", ":")) for own in dealt], pa.string())
             doc_ids = pa.concat_arrays(ids)
-            row = [pa.array([f"{task.partitionId()}-{next(serial)}"]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([_packed(np.array(lengths, np.int64))], pa.binary()), pa.array([_packed(place[flat])], pa.binary()), pa.array([lists], pa.list_(pa.binary()))]
-            for x in (ids, lengths, codes, number):
+            blobs = [pa.array([_packed(x)], pa.binary()) for x in (place[flat], place[order])]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (doc_ids, pa.array(lengths, pa.int32()), listed)]
+            for x in (ids, lengths, number):
                 x.clear()
-            return pa.RecordBatch.from_arrays(row, names=["chunk", "doc_ids", "lengths", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([next(serial)]), lists[0], lists[1], *blobs, lists[2]], names=kind.names)
 
         for batch in batches:
             first = 0
@@ -100,66 +107,84 @@ def _split_chunks(docs: DataFrame, path: str, parts: int, chunk_words: int, chun
     return docs.select("doc_id", "text").mapInArrow(split, kind)
 
 
-def _encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _id_type(path: str) -> str:
+    """How an id is kept inside the binary column of a word's ids."""
+    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
+
+
+def _encode_distinct(lists: DataFrame, path: str, parts: int) -> DataFrame:
+    """of_chunk, part, place, tokens of each word of lists (chunk, part, words).
+
+    All lists of a part, and so all rows of a word, meet in one partition, and a word's are sorted next to each other:
+    the table of distinct words is the first row of each such run. Only that is encoded, and its ids are joined to all
+    rows of the run.
+    """
+    kind = _id_type(path)
+
+    @thrifty
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = words.ByteLevelWords(path)
-        known: dict[str, list[int]] = {}
+        splitter, last, last_tokens = words.ByteLevelWords(path), None, b""
         for batch in batches:
-            for chunk, part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = json.loads(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
-                if len(known) + len(own) > _KNOWN_WORDS:
-                    known.clear()
-                new = [w for w in own if w not in known]
-                known.update(zip(new, splitter.encode(new), strict=True))
-                tokens = [known[w] for w in own]
-                sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                flat = np.fromiter((t for x in tokens for t in x), np.int64, int(sizes.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([_packed(sizes)], pa.binary()), pa.array([_packed(flat)], pa.binary())], names=["chunk", "part", "sizes", "tokens"])
-
-    return encode
+            if not batch.num_rows:
+                continue
+            word = batch.column("word")
+            new = np.ones(len(word), bool)
+            new[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = word[0].as_py() != last
+            tokens = [np.array(x, kind).tobytes() for x in splitter.encode(word.filter(pa.array(new)).to_pylist())]
+            table = pa.array([last_tokens, *tokens], pa.binary())
+            out = table.take(pa.array(np.cumsum(new)))
+            last, last_tokens = word[-1].as_py(), out[-1].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("chunk", "part", "place")] + [out], names=["of_chunk", "part", "place", "tokens"])
+
+    listed = F.from_json("words", T.ArrayType(T.StringType()))
+    placed = lists.repartitionById(parts, "part").select("chunk", "part", F.posexplode_outer(listed).alias("place", "word")).where("place is not null")
+    return placed.sortWithinPartitions("word").mapInArrow(encode, "of_chunk long, part int, place int, tokens binary")
 
 
 def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     """rows as a table in the shared folder, in buckets by key."""
     spark, name = rows.sparkSession, f"quire_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, key).option("path", scratch(spark, "bpe-chunks")).saveAsTable(name)
+    rows.write.bucketBy(buckets, key).option("path", scratch(spark, "bpe-chunks")).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved with its buckets; the name isn't needed any more, and the files stay
     spark.sql(f"DROP TABLE {name}")
     return out
 
 
-def _joined(sizes: np.ndarray, tokens: np.ndarray, codes: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of each word of codes, one after the other, and where each word's begin (one more at the end)."""
-    first, out = (np.cumsum(sizes) - sizes).astype(np.int64), []
-    ends = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(sizes[codes], out=ends[1:])
-    for a in range(0, len(codes), block):
-        own = codes[a : a + block]
-        n, start = sizes[own], ends[a : a + len(own)]
-        out.append(tokens[np.arange(start[0], ends[a + len(own)]) + np.repeat(first[own] - start, n)])
-    return np.concatenate(out) if out else np.empty(0, np.int32), ends
-
-
-def encode(docs: DataFrame, path: str, chunk_words: int = 2_000_000, chunk_distinct: int = 300_000, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk_words: int = 6_000_000, chunk_distinct: int = 400_000, decoded: bool = False) -> DataFrame:
     """doc_id, ids (array of int) of every row of docs; decoded: and text, what the ids decode to."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = _bucketed(_split_chunks(docs, path, parts, chunk_words, chunk_distinct), "chunk", parts)
-    lists = chunks.select("chunk", F.posexplode("words").alias("part", "words")).repartition(parts, "part")
-    tokens = lists.mapInArrow(_encode_words(path), "chunk string, part int, sizes binary, tokens binary")
+    tokens = _encode_distinct(chunks.select("chunk", F.posexplode("words").alias("part", "words")), path, parts)
+    id_type = _id_type(path)
 
     def assemble(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
-        order = np.argsort(encoded.column("part").to_numpy(), kind="stable").tolist()
-        sizes, values = (np.concatenate([*(_unpacked(encoded.column(c)[i].as_py()) for i in order), np.empty(0, np.uint32)]) for c in ("sizes", "tokens"))
-        lengths, codes = (_unpacked(chunk.column(c)[0].as_py()) for c in ("lengths", "codes"))
-        ids, ends = _joined(sizes.astype(np.int64), values.astype(np.int32), codes)
-        offsets = ends[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-        return pa.table({"doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "ids": lists} | ({"text": _texts(lists, pieces(path))} if decoded else {}))
+        """The ids of each word of the chunk, and by the positions of words those of each document."""
+        listed = np.lexsort((encoded.column("place").to_numpy(), encoded.column("part").to_numpy()))
+        order = np.empty(len(listed), np.int64)
+        order[_unpacked(chunk.column("numbers")[0].as_py())] = listed
+        own = pa.concat_arrays([*encoded.column("tokens").chunks, pa.array([], pa.binary())]).take(pa.array(order))
+        ends = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, own.offset * 4).astype(np.int64) // np.dtype(id_type).itemsize if len(own) else np.zeros(1, np.int64)
+        flat = np.frombuffer(own.buffers()[2], id_type, ends[-1]) if ends[-1] else np.empty(0, id_type)
+        codes, doc_ids = _unpacked(chunk.column("codes")[0].as_py()), chunk.column("doc_ids").combine_chunks().flatten()
+        edges = np.concatenate([[0], np.cumsum(chunk.column("lengths").combine_chunks().flatten().to_numpy().astype(np.int64))])
+        out, first = [], 0
+        while first < len(doc_ids):
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + _OUT_WORDS, "right")) - 1)
+            word = codes[edges[first] : edges[last]]
+            sizes = ends[word + 1] - ends[word]
+            place = np.concatenate([[0], np.cumsum(sizes)])
+            ids = flat[np.arange(place[-1]) + np.repeat(ends[word] - place[:-1], sizes)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(place[edges[first : last + 1] - edges[first]], pa.int32()), pa.array(ids))
+            texts = {"text": _texts(lists, pieces(path))} if decoded else {}
+            out.append(pa.RecordBatch.from_pydict({"doc_id": doc_ids.slice(first, last - first), "ids": lists} | texts))
+            first = last
+        give_back()
+        return pa.Table.from_batches(out)
 
     kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("text", T.StringType())] * decoded])
-    return chunks.select("chunk", "doc_ids", "lengths", "codes").groupBy("chunk").cogroup(tokens.groupBy("chunk")).applyInArrow(assemble, kind)
+    return chunks.select("chunk", "doc_ids", "lengths", "codes", "numbers").groupBy("chunk").cogroup(tokens.groupBy("of_chunk")).applyInArrow(assemble, kind)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -197,9 +222,10 @@ def _texts(lists: pa.ListArray, table: pa.Array, block: int = 1 << 10) -> pa.Arr
 
 
 def decoder(path: str) -> Callable[[Column], Column]:
-    """A column function from ids to text: a join of each id to its piece."""
+    """A column function from ids to text: a join of each id to its piece, by the broadcast table of pieces."""
 
     @F.arrow_udf(T.StringType())
+    @thrifty
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             yield _texts(part, pieces(path))
