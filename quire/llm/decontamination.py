@@ -7,10 +7,12 @@ symbols, and whatever else cannot hold an occurrence ends a run. Windows are sea
 ranks, their occurrences located by sampled suffix positions, and overlapping or touching occurrences merged into
 removal spans.
 
-A shard is the documents of a batch of a task, so indexes never leave the task that builds them. The benchmark is read
-in blocks of about `Settings.block_bytes` of text, dealt by a hash of id and text: it is the stated query set, held
-against all documents. Several blocks are broadcast in turn: the spans of one are written to the shared folder and its
-broadcast is destroyed before the next is collected.
+A shard is what a task is handed at once, at most about `Settings.shard_bytes` of text or one longer document, so
+indexes never leave the task that builds them. The benchmark is the stated query set, held against all documents. It is
+read in blocks of about `Settings.block_words` words, and so of no more windows, dealt by a hash of id and text. The
+driver sees the texts of one block at a time; their windows are made in the Python workers, as arrays. Several blocks
+are broadcast in turn: the spans of one are written to the shared folder and its broadcast is destroyed before the next
+is collected; all spans are merged before anything is cut.
 
 A null text has no words. Items whose id or text is null are left out. Repeated items, or windows that several items
 share, count for each of them. Rows with the same doc_id each get a row. Columns other than doc_id and text are kept
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -33,17 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.fm_index import FMIndex
-from quire.llm.shared import runs, scratch, written
+from quire.llm.shared import named, runs, scratch, thrifty, written
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_JAVA_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of text as it is
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 10
-    block_bytes: int = 16 << 20  # of benchmark text searched for at once
-    shard_bytes: int = 16 << 20  # of document text under one index
+    block_words: int = 500_000  # of benchmark text searched for at once
+    shard_bytes: int = 4 << 20  # of document text under one index
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,18 +55,18 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of one kind (all full, or those of short items), as rows of symbols, with the items of each."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set[int]]):
-        self.ids = {w: i for i, w in enumerate(sorted({w for t in windows for w in t}), 1)}
-        self.lengths = np.array([len(t) for t in windows], np.int64)
+    """Distinct windows of one length (or those of short items), as rows of symbols filled up with 0, with the items of each."""
+
+    def __init__(self, ids: dict[bytes, int], rows: np.ndarray, items: np.ndarray):
+        self.ids = ids
+        whole = np.ascontiguousarray(rows).view([("", np.void, rows.shape[1] * rows.itemsize)]).ravel()
+        _, first, own = np.unique(whole, return_index=True, return_inverse=True)
+        self.rows = rows[first]
+        self.lengths = (self.rows > 0).sum(axis=1)
         self.shortest = int(self.lengths.min())
-        self.rows = np.zeros((len(windows), int(self.lengths.max())), np.int64)
-        for i, t in enumerate(windows):
-            self.rows[i, : len(t)] = [self.ids[w] for w in t]
-        items = [sorted(x) for x in windows.values()]
-        self.item_starts = np.concatenate([[0], np.cumsum([len(x) for x in items])])
-        self.items = np.array([i for x in items for i in x], np.int64)
+        pair = np.unique(np.stack([own, items]), axis=1)
+        self.items = pair[1]
+        self.item_starts = np.searchsorted(pair[0], np.arange(len(first) + 1))
 
     def runs_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the runs that can hold a window, each run ended by a 0, and the word of each."""
@@ -81,25 +85,55 @@ class Phrases:
 
 def phrases_of(items: list[tuple[int, str]], window: int) -> list[Phrases]:
     """Of (number, text) items."""
-    full: dict[tuple[bytes, ...], set[int]] = {}
-    short: dict[tuple[bytes, ...], set[int]] = {}
+    ids: dict[bytes, int] = {}
+    full, short = ([], []), ([], [])
     for number, text in items:
         w = words_of(text)
-        for k in range(len(w) - window + 1):
-            full.setdefault(tuple(w[k : k + window]), set()).add(number)
-        if 0 < len(w) < window:
-            short.setdefault(tuple(w), set()).add(number)
-    return [Phrases(x) for x in (full, short) if x]
+        symbols = np.fromiter((ids.setdefault(x, len(ids) + 1) for x in w), np.int32, len(w))
+        if len(w) >= window:
+            rows = np.lib.stride_tricks.sliding_window_view(symbols, window)
+        elif len(w):
+            rows = np.pad(symbols, (0, window - len(w)))[None, :]
+        else:
+            continue
+        kind = full if len(w) >= window else short
+        kind[0].append(rows)
+        kind[1].append(np.full(len(rows), number))
+    return [Phrases(ids, np.concatenate(rows), np.concatenate(numbers)) for rows, numbers in (full, short) if rows]
+
+
+_MADE: dict[str, list[Phrases]] = {}  # of the block that this worker has last searched for
+
+
+def _phrases(shared: Broadcast, window: int) -> tuple[list[str], list[Phrases]]:
+    """Names of the items and phrases of the broadcast block, made once in each Python worker."""
+    block, names, items = shared.value
+    if block not in _MADE:
+        _MADE.clear()
+        _MADE[block] = phrases_of(items, window)
+    return names, _MADE[block]
+
+
+def _shared(spark, block: list[tuple[str, str]]) -> Broadcast:
+    """The texts of a block (item_id, text), with numbers for the ids."""
+    names = sorted({i for i, _ in block})
+    number = {i: k for k, i in enumerate(names)}
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, names, [(number[i], t) for i, t in block]))
 
 
 def search_shard(texts: list[str | None], phrases: list[Phrases]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[int]]]:
     """Numbers of words, merged spans of words [start, end) and item numbers of each text."""
-    split = [words_of(t) for t in texts]
+    counts = np.zeros(len(texts), np.int64)
+    found_runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in phrases]
+    for k, text in enumerate(texts):
+        words = words_of(text)
+        counts[k] = len(words)
+        for p, own in zip(phrases, found_runs, strict=True):
+            own.append(p.runs_of(words))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[list[int]] = [[] for _ in texts]
     found_spans, found_items = [], []
-    for p in phrases:
-        parts = [p.runs_of(w) for w in split]
+    for p, parts in zip(phrases, found_runs, strict=True):
         sizes = np.array([len(s) for s, _ in parts], np.int64)
         if not sizes.sum():
             continue
@@ -127,7 +161,7 @@ def search_shard(texts: list[str | None], phrases: list[Phrases]) -> tuple[np.nd
                 own.append((a, b))
         for r, i in zip(*np.unique(np.concatenate(found_items, axis=1), axis=1).tolist(), strict=True):
             items[r].append(i)
-    return np.array([len(w) for w in split], np.int64), spans, items
+    return counts, spans, items
 
 
 _SPANS = "array<struct<start: int, end: int>>"
@@ -136,16 +170,14 @@ _ROW, _FOUND, _CLEAN, _BLOCK = "quire_row", "quire_found", "quire_clean", "quire
 
 def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], settings: Settings) -> tuple[DataFrame, Broadcast]:
     """key, n_words, spans, items of each row of docs, and what is broadcast for it."""
-    names = sorted({i for i, _ in block})
-    number = {i: k for k, i in enumerate(names)}
-    shared = docs.sparkSession.sparkContext.broadcast((names, phrases_of([(number[i], t) for i, t in block], settings.window)))
+    shared = _shared(docs.sparkSession, block)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @thrifty
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, phrases = shared.value
+        names, phrases = _phrases(shared, settings.window)
         for batch in batches:
-            sizes = np.diff(np.array([0, *np.cumsum([len(t or "") for t in batch.column("text").to_pylist()])]))
-            for a, b in runs(sizes, settings.shard_bytes):
+            for a, b in runs(np.array([len(t or "") for t in batch.column("text").to_pylist()]), settings.shard_bytes):
                 part = batch.slice(a, b - a)
                 n, spans, items = search_shard(part.column("text").to_pylist(), phrases)
                 lists = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], spans_type)
@@ -159,7 +191,7 @@ def _search_block(docs: DataFrame, key: str, block: list[tuple[str, str]], setti
 def _blocks(benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
     """The (item_id, text) of each block; none is collected yet."""
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    n = max(1, math.ceil((known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / settings.block_bytes))
+    n = max(1, math.ceil((known.agg(F.sum(F.regexp_count("text", F.lit(_JAVA_WORD)))).first()[0] or 0) / settings.block_words))
     if n == 1:
         return [known]
     dealt = known.dropDuplicates().withColumn(_BLOCK, F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(_BLOCK)
@@ -225,12 +257,13 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _cleaner(shared, settings: Settings) -> Callable[[Column], Column]:
+def _cleaner(shared: Broadcast, settings: Settings) -> Callable[[Column], Column]:
     """A column function from text to what is left of it; null if that holds none of its words."""
 
     @F.arrow_udf(T.StringType())
+    @thrifty
     def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        phrases = shared.value
+        _, phrases = _phrases(shared, settings.window)
         for part in parts:
             texts, out = part.to_pylist(), []
             for a, b in runs(np.array([len(t or "") for t in texts]), settings.shard_bytes):
@@ -239,7 +272,8 @@ def _cleaner(shared, settings: Settings) -> Callable[[Column], Column]:
                     out.append(None if s and sum(y - x for x, y in s) == w else cut(t, s) if s else t)
             yield pa.array(out, pa.string())
 
-    return clean
+    # Spark would otherwise call it once more for the filter on its result.
+    return clean.asNondeterministic()
 
 
 @F.arrow_udf(T.StringType())
@@ -256,7 +290,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     """
     blocks = _blocks(benchmark, settings)
     if len(blocks) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases_of([(0, t) for _, t in _collected(blocks[0])], settings.window))
+        shared = _shared(docs.sparkSession, _collected(blocks[0]))
         out = docs.withColumn(_CLEAN, _cleaner(shared, settings)(F.col("text"))).where(F.col(_CLEAN).isNotNull() | F.col("text").isNull())
     else:
         rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination")
@@ -267,4 +301,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     changed = ~F.col(_CLEAN).eqNullSafe(F.col("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length(_CLEAN)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col(_CLEAN)).select(docs.columns)
+    return out.withColumn("text", F.col(_CLEAN)).select(named(docs.columns))

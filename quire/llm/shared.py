@@ -71,6 +71,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, also those that hold a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -123,12 +123,12 @@ def items():
     return [(1, "The quick brown fox jumps over the lazy dog and then runs far away from here"), (2, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (10, "short item"), (3, ""), (4, None), (7, "alpha beta gamma delta epsilon zeta eta theta iota kappa mu nu"), (8, "one two three four five six seven eight nine ten"), (8, "Short item"), (9, "!!!"), (11, "word word word word word word word word word word word word")]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 60])
+@pytest.mark.parametrize("block", [500_000, 10])
 def test_spans(spark, items, block):
     texts = planted(items)
     known = [(i, t) for i, t in items if t]
     docs, bench = brute.documents(spark, texts).drop("items"), spark.createDataFrame(items, "item_id long, text string")
-    s = decontamination.Settings(block_bytes=block)
+    s = decontamination.Settings(block_words=block)
     got = {r.doc_id: r for r in decontamination.find_spans(docs, bench, s).collect()}
     for i, t in enumerate(texts):
         n, hit, found = brute.contamination(t, known)
@@ -152,11 +152,11 @@ def overlapping():
     return known, texts
 
 
-@pytest.mark.parametrize("block", [100, 40, 12])
+@pytest.mark.parametrize("block", [20, 8, 3])
 def test_blocks_do_not_change_what_is_removed(spark, block):
     known, texts = overlapping()
     docs, bench = brute.documents(spark, texts), spark.createDataFrame(known, "item_id long, text string")
-    left = {r.doc_id: r for r in decontamination.remove_spans(docs, bench, decontamination.Settings(block_bytes=block)).collect()}
+    left = {r.doc_id: r for r in decontamination.remove_spans(docs, bench, decontamination.Settings(block_words=block)).collect()}
     whole = {r.doc_id: r for r in decontamination.remove_spans(docs, bench).collect()}
     assert left == whole
     for i, t in enumerate(texts):
@@ -177,15 +177,37 @@ def test_one_block_is_broadcast_at_a_time(spark, monkeypatch, operator):
         destroy = shared.destroy
         shared.destroy = lambda *a: (live.discard(id(shared)), destroy(*a))
         live.add(id(shared))
-        most.append((len(live), len(value[0])))
+        most.append((len(live), len(value[2])))
         return shared
 
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
-    assert operator(docs, bench, decontamination.Settings(block_bytes=200)).count() > 0
+    assert operator(docs, bench, decontamination.Settings(block_words=40)).count() > 0
     assert len(most) > 3 and max(n for n, _ in most) == 1 and not live
     assert max(n for _, n in most) < 20  # items of a block
 
 
+def test_windows_take_bounded_memory():
+    """At most 10 MB for each MB of benchmark text are left, and what is broadcast are the texts."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    texts = [(k, " ".join(f"w{rnd.randrange(20_000)}" for _ in range(400))) for k in range(800)]
+    size = sum(len(t) for _, t in texts)
+    tracemalloc.start()
+    phrases = decontamination.phrases_of(texts, 10)
+    left, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(phrases[0].rows) == sum(400 - 9 for _ in texts)
+    assert left < 15 * size, left / size
+
+
+def test_dotted_columns(spark, items):
+    docs = brute.documents(spark, planted(items)).withColumn("a.b", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for s in (decontamination.Settings(), decontamination.Settings(block_words=10)):
+        assert decontamination.remove_spans(docs, bench, s).columns == docs.columns
+
+
 def test_no_benchmark_and_no_documents(spark, items):
     docs, bench = brute.documents(spark, brute.TEXTS), spark.createDataFrame(items, "item_id long, text string")
     assert decontamination.find_spans(docs, bench.limit(0)).where("n_hit > 0").count() == 0
