@@ -2,14 +2,14 @@
 
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours. Probes are candidate boundaries in that
 order. Each round counts the exact bytes and rows below every probe across all partitions, in one aggregation whose
-result has at most `2 ** PROBE_BITS` rows for each splitter still sought, and sets finer probes where no boundary is
-within tolerance yet: first along the 64 bits of the hash, then, inside one text's copies, along those of the id. Then
-rows are exchanged once, into buckets of a shard each small enough for a task; a row's slot is its rank in the bucket
-after the rows that the counts found before it.
+result has about `2 ** PROBE_BITS` rows in all, whatever the number of splitters still sought, and sets finer probes
+where no boundary is within tolerance yet: first along the 64 bits of the hash, then, inside one text's copies, along
+those of the id. Then rows are exchanged once, each bucket of a shard to a partition of its own that is small enough for
+a task; a row's slot is its rank in the bucket after the rows that the counts found before it.
 
 Sizes are the UTF-8 bytes of the text plus 1 (a null text: 1), so that shards are near equal in bytes: each boundary
-lies within `tolerance` of a shard's size from its place, or beside the rows of one (text, doc_id), which stay
-together. A null doc_id comes before all others. An empty table gives no rows. Ties, being equal in text and id, are
+lies within `tolerance` of a shard's size from its place, or at the edge of a group of equal texts, which is kept whole
+if it has at most `whole` of a shard's size. A larger group is split between shards, at a doc_id. A null doc_id comes before all others. An empty table gives no rows. Ties, being equal in text and id, are
 ordered by a hash of the whole row. All columns of docs are kept; a column named shard or slot is replaced.
 
 Only DataFrame operations are used.
@@ -18,15 +18,17 @@ Only DataFrame operations are used.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.shared import written
+from quire.llm.shared import named, written
 
-PROBE_BITS, LEAST = 12, -(1 << 63)
+PROBE_BITS, CELL_BITS, LEAST = 16, 12, -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,10 @@ class _Interval:
     key: int = LEAST  # of level 1
 
 
+def _order(b: Boundary) -> tuple[int, int]:
+    return b.key, b.id
+
+
 def size_of(text: str | Column = "text") -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 1
@@ -66,16 +72,20 @@ def _first(prefix: int, bits: int) -> int:
     return (prefix << (64 - bits)) + LEAST
 
 
-def find_boundaries(keys: DataFrame, targets: list[int], slack: list[float]) -> list[Boundary]:
-    """For each target (ascending) the boundary with about so many bytes before it; keys: (key, id, size)."""
+def find_boundaries(keys: DataFrame, targets: list[int], slack: list[float], whole: float = 0) -> list[Boundary]:
+    """For each target (ascending) the boundary with about so many bytes before it; keys: (key, id, size).
+
+    A boundary that would fall into a key of at most `whole` bytes goes to the nearer edge of that.
+    """
     found: dict[int, Boundary] = {}
     seek: list[tuple[_Interval, list[int]]] = [(_Interval(0, 0, 0, 0, 0), list(range(len(targets))))]
     while seek:
         counted: dict[tuple, list] = {}
+        probe_bits = max(1, PROBE_BITS - (len(seek) - 1).bit_length())  # all rounds bring about as many rows
         for level in (0, 1):
             for bits in {i.bits for i, _ in seek if i.level == level}:
                 some = [i for i, _ in seek if (i.level, i.bits) == (level, bits)]
-                step = min(PROBE_BITS, 64 - bits)
+                step = min(probe_bits, 64 - bits)
                 column = F.col("id" if level else "key")
                 own = keys.where(F.col("key").isin([i.key for i in some])) if level else keys
                 if bits:
@@ -86,19 +96,20 @@ def find_boundaries(keys: DataFrame, targets: list[int], slack: list[float]) ->
                     counted.setdefault((level, bits, r["key"], probe >> step), []).append((probe, r["bytes"], r["rows"]))
         after: list[tuple[_Interval, list[int]]] = []
         for interval, wanted in seek:
-            step = min(PROBE_BITS, 64 - interval.bits)
+            step = min(probe_bits, 64 - interval.bits)
             cells = sorted(counted.get((interval.level, interval.bits, interval.key, interval.prefix), []))
             finer: dict[int, tuple[_Interval, list[int]]] = {}
+            below_bytes = list(accumulate((n for _, n, _ in cells), initial=interval.bytes))
+            below_rows = list(accumulate((m for _, _, m in cells), initial=interval.rows))
             for t in wanted:
-                before, rows = interval.bytes, interval.rows
-                for probe, n, m in cells:
-                    if before + n > targets[t] or probe == cells[-1][0]:
-                        break
-                    before, rows = before + n, rows + m
+                # The cell that the target falls into, or the last.
+                cell = min(bisect_right(below_bytes, targets[t]), len(cells)) - 1
+                (probe, n, m), before, rows = cells[cell], below_bytes[cell], below_rows[cell]
                 low, high = targets[t] - before, before + n - targets[t]
                 bits = interval.bits + step
                 last = interval.level == 1 and bits == 64
-                if min(low, abs(high)) <= slack[t] or last:
+                kept = interval.level == 0 and bits == 64 and n <= whole
+                if min(low, abs(high)) <= slack[t] or last or kept:
                     at, before, rows = (probe, before, rows) if low <= abs(high) else (probe + 1, before + n, rows + m)
                     first = _first(at, bits)
                     # Past the last id or key there is no boundary to name; the next larger key is one.
@@ -112,29 +123,38 @@ def find_boundaries(keys: DataFrame, targets: list[int], slack: list[float]) ->
                     finer.setdefault(probe, (_Interval(interval.level, probe, bits, before, rows, interval.key), []))[1].append(t)
             after += finer.values()
         seek = after
-    return [found[t] for t in range(len(targets))]
+    out = [found[t] for t in range(len(targets))]
+    for t in range(1, len(out)):  # a boundary that may lie farther off gives way to one that may not
+        if slack[t] >= slack[t - 1]:
+            out[t] = max(out[t], out[t - 1], key=_order)
+            continue
+        for before in range(t - 1, -1, -1):
+            if _order(out[before]) <= _order(out[t]):
+                break
+            out[before] = out[t]
+    return out
 
 
 def _bucket(spark: SparkSession, rows: DataFrame, bounds: list[Boundary]) -> DataFrame:
     """rows (key, id, ...) with the number of boundaries at or before each as `bucket`.
 
-    The boundaries are dealt by the first bits of their key, 2 ** PROBE_BITS rows, which is small enough to broadcast.
+    The boundaries are dealt by the first bits of their key, 2 ** CELL_BITS rows, which is small enough to broadcast.
     """
     cells: dict[int, list[Boundary]] = {}
     for b in bounds:
-        cells.setdefault((b.key - LEAST) >> (64 - PROBE_BITS), []).append(b)
+        cells.setdefault((b.key - LEAST) >> (64 - CELL_BITS), []).append(b)
     table, before = [], 0
-    for cell in range(1 << PROBE_BITS):
+    for cell in range(1 << CELL_BITS):
         own = cells.get(cell, [])
         table.append((cell, before, [(b.key, b.id) for b in own]))
         before += len(own)
     cell = spark.createDataFrame(table, "cell long, before int, own array<struct<key: long, id: long>>")
     here = F.struct(F.col("key").alias("key"), F.col("id").alias("id"))
     bucket = F.col("before") + F.size(F.filter("own", lambda b: b <= here))
-    return rows.withColumn("cell", _prefix(F.col("key"), PROBE_BITS)).join(F.broadcast(cell), "cell").withColumn("bucket", bucket.cast("int")).drop("cell", "before", "own")
+    return rows.withColumn("cell", _prefix(F.col("key"), CELL_BITS)).join(F.broadcast(cell), "cell").withColumn("bucket", bucket.cast("int")).drop("cell", "before", "own")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, bucket_bytes: int = 32 << 20, most_buckets: int = 1 << 14) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, whole: float = 0.01, bucket_bytes: int = 32 << 20, most_buckets: int = 1 << 14) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (from 0 in each shard, without gaps), exchanged by bucket of a shard."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
@@ -147,14 +167,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
     count = shards * parts
     targets = [total * k // count for k in range(1, count)]
     slack = [tolerance * total / shards if k % parts == 0 else 0.25 * total / count for k in range(1, count)]
-    bounds = find_boundaries(keys, targets, slack)
-    bounds = sorted(bounds, key=lambda b: (b.key, b.id))
+    bounds = find_boundaries(keys, targets, slack, whole * total / shards)
     start = [0, *(b.rows for b in bounds)]
     places = spark.createDataFrame([(k, k // parts, start[k] - start[k // parts * parts]) for k in range(count)], "bucket int, shard int, before_slot long")
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*named(docs.columns))
     rows = docs.select(row.alias("row"), key.alias("key"), ident.alias("id"))
-    exchanged = _bucket(spark, rows, bounds).repartition(count, "bucket")
+    exchanged = _bucket(spark, rows, bounds).repartitionById(count, "bucket")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "id", F.xxhash64("row")))
     ranked = exchanged.withColumn("rank", rank).join(F.broadcast(places), "bucket")
     return ranked.select("row.*", "shard", (F.col("before_slot") + F.col("rank") - 1).alias("slot"))
