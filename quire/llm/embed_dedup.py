@@ -1,17 +1,18 @@
 """Embedding near-dedup through a pivot-permutation index.
 
-Each vector is described by the order of its nearest pivots, reference points drawn from the vectors themselves. Two
-vectors are candidates when they share at least two of their `nearest` first pivots. That is what the inverted lists
-give: a list for each pair of pivots holds the vectors that have both among their first, so vectors that share two
-pivots meet in a list, and nothing is retrieved for a shared count below two. Candidates are verified by their cosine in
-double precision.
+Each vector is described by a permutation: its `nearest` first pivots, reference points drawn from the vectors themselves,
+in the order of their closeness. The inverted lists hold, for each two pivots, the vectors that have both among their
+first (the part that the two pivots' own lists share): vectors with a shared-pivot count of at least two meet in a list,
+and whatever shares less is never retrieved. For the pairs that meet, the shared pivots are counted, and how far they
+have moved from one order to the other is added up; pairs of at least `least_shared` shared pivots that moved by at most
+`most_moved` places each, on average, are candidates. Candidates are verified by their cosine in double precision.
 
 Pivots are fitted on a bounded sample (`sample_of` times as many vectors, in the order of a hash); every vector is
 indexed. Their number grows with the square root of the number of vectors, up to `most_pivots`; they are chosen less
 alike than `apart`, so that a dense group doesn't hold several.
 
 Equal vectors are one class, compared once. Lists are dealt into blocks, each pair of rows of a list meets once, and a
-pair of classes counts only in the first list that it shares; tasks return sums and spanning links, never all pairs.
+pair of classes counts only in the list of the first two pivots that it shares; tasks return sums and spanning links, never all pairs.
 
 Vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing. Vectors of
 different lengths never link. Rows with the same vec_id are rows of their own. Columns other than vec_id and embedding
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 
 from quire.llm.buckets import forest, in_blocks, pairs_by_lag, whole_groups
 from quire.llm.components import components
-from quire.llm.shared import written
+from quire.llm.shared import thrifty, written
 
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.95
     nearest: int = 6
+    least_shared: int = 2
+    most_moved: float = 3.0
     pivots_of_root: float = 9.0  # pivots for the square root of the number of classes
     least_pivots: int = 64
     most_pivots: int = 4096
@@ -88,10 +91,11 @@ def _pivots(classes: DataFrame, n: int, s: Settings) -> dict[int, np.ndarray]:
     return out
 
 
-def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], s: Settings) -> DataFrame:
-    """cid, keys: the lists that each class is in."""
+def _permutations(classes: DataFrame, pivots: dict[int, np.ndarray], s: Settings) -> DataFrame:
+    """cid, near: the first pivots of each class, the nearest first; and keys: the lists that it is in."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
+    @thrifty
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
@@ -101,29 +105,43 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray], s: Settings) -> Da
                 x, p = _matrix(lists.take(at)), pivots.get(size, np.empty((0, size)))
                 k = min(s.nearest, len(p))
                 if k < 3:  # too few to tell vectors apart: one list
-                    keys = np.full((len(x), 1), -size, np.int64)
+                    near, keys = np.empty((len(x), 0), np.int32), np.full((len(x), 1), -size, np.int64)
                 else:
-                    near = np.sort(np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k].astype(np.int64), axis=1)
-                    keys = np.stack([(size << 32) + near[:, i] * len(p) + near[:, j] for i, j in combinations(range(k), 2)], axis=1)
-                flat = pa.array(np.sort(keys, axis=1).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("cid").take(at), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * keys.shape[1], pa.int32()), flat)], names=["cid", "keys"])
+                    near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+                    first = np.sort(near, axis=1).astype(np.int64)
+                    keys = np.stack([_list_of(first[:, i], first[:, j], size) for i, j in combinations(range(k), 2)], axis=1)
+                out = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in (near, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column("cid").take(at), *out], names=["cid", "near", "keys"])
 
-    return classes.select("cid", "embedding").mapInArrow(describe, "cid long, keys array<long>")
+    return classes.select("cid", "embedding").mapInArrow(describe, "cid long, near array<int>, keys array<long>")
 
 
-def _verify(s: Settings):
-    def found(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x[i], x[j]) >= s.threshold
+def _list_of(a: np.ndarray, b: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """The list of two pivots, a < b, of vectors of a size."""
+    return (size << 40) + (a << 20) + b
+
+
+def _candidates(near: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of permutations: whether it shares enough pivots in nearly enough the same order; its first two shared pivots' list (without the size)."""
+    same = near[i][:, :, None] == near[j][:, None, :]
+    count = same.sum(axis=(1, 2))
+    places = np.arange(near.shape[1])
+    moved = (same * np.abs(places[:, None] - places)).sum(axis=(1, 2))
+    pivots = np.sort(np.where(same.any(axis=2), near[i], np.iinfo(np.int32).max), axis=1).astype(np.int64)
+    return (count >= max(2, s.least_shared)) & (moved <= s.most_moved * count), _list_of(pivots[:, 0], pivots[:, 1], 0)
+
 
+def _verify(s: Settings):
+    @thrifty
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["key", "block_x", "block_y"], 5000):
             key, cid, copies = (table.column(c).to_numpy() for c in ("key", "cid", "copies"))
             own, block_x, block_y = (table.column(c).to_numpy() for c in ("block", "block_x", "block_y"))
-            # Lists of vectors of another length may be shorter; what fills them up differs from row to row.
-            keys = _padded(table.column("keys").combine_chunks(), np.iinfo(np.int64).min + np.arange(len(table)))
+            # Vectors of another length may have fewer pivots; what fills them up differs from row to row.
+            near = _padded(table.column("near").combine_chunks(), -1 - np.arange(len(table), dtype=np.int32))
             x, sizes = _matrix(table.column("embedding").combine_chunks()), np.bincount(group)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in np.flatnonzero(sizes > 32).tolist():
+            for g in np.flatnonzero(sizes > 32).tolist():  # a product of matrices leaves few pairs to look at
                 first, n = int(np.searchsorted(group, g)), int(sizes[g])
                 i, j = np.nonzero(np.triu(x[first : first + n] @ x[first : first + n].T >= s.threshold - 1e-9, 1))
                 pairs.append((i + first, j + first))
@@ -134,12 +152,12 @@ def _verify(s: Settings):
                 # Rows of one block meet in the tasks of other blocks too; they count where both blocks are theirs.
                 ok = ((own[i] != own[j]) | (block_x[i] == block_y[i])) & (cid[i] != cid[j])
                 i, j = i[ok], j[ok]
-                ok = found(x, i, j)
-                i, j = i[ok], j[ok]
-                if keys.shape[1] > 1 and len(i):
-                    common = (keys[i][:, :, None] == keys[j][:, None, :]).any(axis=2)
-                    ok = np.where(common, keys[i], np.iinfo(np.int64).max).min(axis=1) == key[i]
+                if near.shape[1]:
+                    enough, first_list = _candidates(near, i, j, s)
+                    ok = (enough & (first_list == key[i] & ((1 << 40) - 1))) | (key[i] < 0)
                     i, j = i[ok], j[ok]
+                ok = np.einsum("ij,ij->i", x[i], x[j]) >= s.threshold
+                i, j = i[ok], j[ok]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
                 root = forest(len(table), root[i], root[j])[root]
@@ -159,11 +177,11 @@ def find_groups(vectors: DataFrame, settings: Settings = Settings()) -> DataFram
     classes = known.agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     pivots = _pivots(classes, classes.count(), settings)
-    lists = written(_lists(classes, pivots, settings), "pivot-lists")
-    members = lists.select(F.explode("keys").alias("key"), "cid")
-    attach = classes.select("cid", "copies", "embedding").join(lists, "cid")
+    permutations = written(_permutations(classes, pivots, settings), "permutations")
+    members = permutations.select(F.explode("keys").alias("key"), "cid")
+    attach = classes.select("cid", "copies", "embedding").join(permutations.select("cid", "near"), "cid")
     met = in_blocks(members, "key", "cid", settings.block, attach)
-    met = met.select("key", "block_x", "block_y", "block", "cid", "copies", "keys", "embedding").mapInArrow(_verify(settings), "a long, b long, links long")
+    met = met.select("key", "block_x", "block_y", "block", "cid", "copies", "near", "embedding").mapInArrow(_verify(settings), "a long, b long, links long")
     met = written(met, "links")
     roots = components(met.select("a", "b")).withColumnRenamed("v", "cid")
     linked = met.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
