@@ -1,7 +1,8 @@
 """Token counts through a digest cache.
 
-The cache is a table (content_digest, tokenizer_digest, n_tokens) in a shared folder. Digests of the normalised texts
-are joined to it; of those it lacks, each distinct text is encoded once and the counts are appended. Counts come from
+The cache is a table (content_digest, tokenizer_digest, n_tokens) in a shared folder, partitioned by tokenizer_digest.
+Digests of the normalised texts are joined to it; of those it lacks, each distinct text is encoded once and the counts
+are appended. A text whose digest is in the cache isn't moved. Counts come from
 the cache, also of texts that were just encoded. Normalising may not change a count, so a text is only made non-null,
 and run through the tokenizer file's own normaliser where it has one.
 
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.shared import scratch, whole_text, written
+from quire.llm.shared import scratch, thrifty, whole_text, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
+CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 _KNOWN_WORDS = 1 << 17  # words whose count a task remembers
 
 
@@ -72,33 +73,49 @@ def _normalised(text: Column, path: str) -> Column:
 
 
 def read_cache(spark: SparkSession, cache: str, tokenizer_digest: str) -> DataFrame:
-    """One row for each content digest of this tokenizer version."""
+    """One row for each content digest of this tokenizer version, whose folder alone is read."""
     rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer_digest") == tokenizer_digest)
     return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row of docs. cache: a folder that all executors see; None: a new one."""
+def _append(rows: DataFrame, cache: str) -> None:
+    rows.write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+
+
+def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 512, broadcast_misses: int = 200_000) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row of docs. cache: a folder that all executors see; None: a new one.
+
+    Digests alone are joined to the cache. Texts are only read again for those that it lacks: up to `broadcast_misses`
+    digests (32 bytes each) are broadcast to the texts, and more meet the texts by digest in one exchange.
+    """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
     version = words.digest_of(path)
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)  # so that it can be read
+    _append(spark.createDataFrame([], CACHE_SCHEMA), cache)  # so that it can be read
     text = whole_text()
-    keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    keyed = keyed.withColumn("content_digest", F.sha2(_normalised(F.col("text"), path), 256))
-
-    # Equal texts meet in the task that reads them, and then once more by digest.
-    distinct = keyed.groupBy("content_digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(read_cache(spark, cache, version), "content_digest", "left_anti")
+    digest = F.unhex(F.sha2(_normalised(text, path), 256)).alias("content_digest")
+    keyed = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "token-digests")
+    misses = keyed.select("content_digest").distinct().join(read_cache(spark, cache, version), "content_digest", "left_anti")
+    misses = written(misses, "token-misses")
+    missing = misses.count()
 
+    @thrifty
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
             n = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    if missing:
+        # Equal texts meet in the task that reads them, and then once more by digest.
+        texts = docs.select(digest, text.alias("text"))
+        if missing <= broadcast_misses:
+            texts = texts.join(F.broadcast(misses), "content_digest", "left_semi")
+        distinct = texts.groupBy("content_digest").agg(F.first("text").alias("text"))
+        if missing > broadcast_misses:
+            distinct = distinct.join(misses, "content_digest", "left_semi")
+        _append(distinct.mapInArrow(encode, CACHE_SCHEMA), cache)
     # Written, so that the join's sides are bare exchanges: Spark then splits the partition of a text with very many copies.
     counts = written(read_cache(spark, cache, version), "token-counts")
-    counted = keyed.select("doc_id", "n_bytes", "content_digest").join(counts, "content_digest")
+    counted = keyed.join(counts, "content_digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -39,7 +39,7 @@ def test_cache_takes_misses_only(spark, tmp_path):
     rows = spark.read.parquet(cache)
     assert rows.count() == 3  # distinct texts
     # A wrong count shows that the cache is what answers.
-    rows.withColumn("n_tokens", F.lit(1000).cast("long")).write.parquet(f"file://{tmp_path}/other")
+    rows.withColumn("n_tokens", F.lit(1000).cast("long")).write.partitionBy("tokenizer_digest").parquet(f"file://{tmp_path}/other")
     more = brute.documents(spark, ["a b", "new text", None])
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(more, brute.BYTE_BPE, f"file://{tmp_path}/other").collect()}
     assert got[0] == got[2] == 1000 and got[1] == 2
@@ -47,6 +47,18 @@ def test_cache_takes_misses_only(spark, tmp_path):
     assert first == sorted(token_counts.count_tokens(docs, brute.BYTE_BPE, cache).collect())
 
 
+@pytest.mark.parametrize("most", [0, 2, 200_000])
+def test_warm_cache_moves_no_text(spark, tmp_path, monkeypatch, most):
+    cache, docs = f"file://{tmp_path}/cache", brute.documents(spark, brute.TEXTS)
+    first = sorted(token_counts.count_tokens(docs, brute.BYTE_BPE, cache, broadcast_misses=most).collect())
+    encoded = []
+    monkeypatch.setattr(token_counts, "_append", lambda rows, cache: encoded.append(rows))
+    again = token_counts.count_tokens(docs, brute.BYTE_BPE, cache, broadcast_misses=most)
+    assert len(encoded) == 1  # the empty table; no text is read again
+    assert first == sorted(again.collect())
+    assert "text" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark):
     none = brute.documents(spark, ["x"]).limit(0)
     assert token_counts.count_tokens(none, brute.BYTE_BPE).count() == 0
