@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.shared import thrifty
+
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long, length long"
@@ -74,6 +77,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
 
     names = [c.split()[0] for c in INDEX.split(", ")]
 
+    @thrifty
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, out, at, name = TaskContext.get(), 0, None, 0, ""
         files, root = FileSystem.from_uri(folder)
@@ -103,14 +107,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 32 << 20) -> DataFrame:
     """The records of the selected rows of an index: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in a revisit).
 
-    Reads of the same archive that lie within `gap` bytes become one, up to `most` bytes. A response whose payload
+    The ranges are dealt to tasks in order, about `task_bytes` of archives to each. Reads of the same archive that lie within
+    `gap` bytes become one, up to `most` bytes. A response whose payload
     doesn't have its digest or length fails the task.
     """
     kind = T.StructType.fromDDL("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
+    @thrifty
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = FileSystem.from_uri(folder)
         for batch in batches:
@@ -137,5 +143,7 @@ def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, most: in
                     rows.append((page, headers.get("WARC-Target-URI"), size, digest, headers["WARC-Type"], refers, None if revisit else payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=kind.names)
 
-    ranges = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # Their number follows the bytes in the archives, of which the index rows that are exchanged say nothing to Spark.
+    parts = math.ceil((selected.agg(F.sum("length")).first()[0] or 1) / task_bytes)
+    ranges = selected.select("archive", "offset", "length").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ranges.mapInArrow(read, kind)
