@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out, sampled
+from quire.llm.shared import held_out, sampled, thrifty
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -80,6 +80,7 @@ def _vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _idf(rows: DataFrame, settings: Settings) -> np.ndarray:
     """Over all rows; the driver gets one number for each of the 2 ** bits features."""
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << settings.bits, np.int64), 0
         for batch in batches:
@@ -137,6 +138,7 @@ def predictor(model: Model, spark) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
+    @thrifty
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)

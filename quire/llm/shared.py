@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCRATCH: dict[str, list[str]] = {}  # paths of each application
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset (tests, local runs)."""
+    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset and all tasks run here."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,8 +62,22 @@ def thrifty(f: Callable) -> Callable:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which remove_scratch takes away."""
+    path = f"{shared_root(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this application's operators have written to the shared folder so far, and say how many paths that were.
+
+    Results are read from there, so call it when those that are still wanted have been written elsewhere.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -97,7 +117,8 @@ def sampled(rows: DataFrame, group: str, most: int, broadcast_groups: int) -> Da
     totals = written(rows.groupBy(group).agg(F.approx_count_distinct(key).alias("quire_distinct")), "sizes")
     if totals.count() <= broadcast_groups:
         totals = F.broadcast(totals)
-    drawn = rows.join(totals, group).where(F.pmod(key, F.lit(1_000_000)) < most / F.col("quire_distinct") * 1_000_000)
+    # All 64 bits of the hash count, so the sample stays as small however many rows there are.
+    drawn = rows.join(totals, group).where(key.cast("double") < most / F.col("quire_distinct") * 2.0**64 - 2.0**63)
     return drawn.select("doc_id", "text", group).dropDuplicates()
 
 

@@ -28,7 +28,7 @@ from xxhash import xxh64_intdigest
 
 from quire.llm.buckets import forest, in_blocks, pairs_by_lag, whole_groups
 from quire.llm.components import components
-from quire.llm.shared import written
+from quire.llm.shared import named, thrifty, written
 
 SEGMENTS, WIDTH, MOST = 8, 8, 3
 SHINGLE, SEED = 3, 42
@@ -75,6 +75,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 
 @F.arrow_udf(T.LongType())
+@thrifty
 def fingerprint(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The fingerprint as a signed long."""
     for part in parts:
@@ -104,6 +105,7 @@ def _within(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that span what all links within 3 bits join."""
 
+    @thrifty
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["key", "block_x", "block_y"]):
             key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
@@ -138,14 +140,26 @@ def find_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, that of the smallest doc_id (then of the smallest hash of its text), with the columns of docs."""
-    mark = F.xxhash64("text")
-    rows = written(docs.select("doc_id", mark.alias("mark"), fingerprint(F.col("text")).alias("fp")), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    kept = rows.join(_grouped(rows), "fp").groupBy("root").agg(first.alias("first"))
-    # Keys that are never null: repeated rows then are dropped where the join has dealt them.
-    keys = ["quire_none", "quire_id", "quire_mark"]
-    kept = kept.select(F.col("first.none").alias(keys[0]), F.xxhash64("first.doc_id").alias(keys[1]), F.col("first.mark").alias(keys[2]))
-    marked = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.xxhash64("doc_id"), mark), strict=True)))
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+def keep_one(docs: DataFrame, broadcast_marks: int = 1_000_000) -> DataFrame:
+    """One row of each group, that of the smallest doc_id (then of the smallest hash of its text), with the columns of docs.
+
+    Rows are marked by (doc_id, hash of the text). Where at most `broadcast_marks` marks (about 40 bytes each) say what goes
+    or is there repeatedly, they are broadcast and no text is exchanged; more are joined by a shuffle.
+    """
+    keys = ["quire_none", "quire_id", "quire_mark"]  # never null
+    key = dict(zip(keys, (F.col("doc_id").isNull(), F.xxhash64("doc_id"), F.xxhash64("text")), strict=True))
+    rows = written(docs.select("doc_id", *[c.alias(k) for k, c in key.items()], fingerprint(F.col("text")).alias("fp")), "simhash")
+    first = F.min(F.struct(keys[0], "doc_id", *keys[1:])).alias("first")
+    kept = rows.join(_grouped(rows), "fp").groupBy("root").agg(first).select(*[F.col("first")[k].alias(k) for k in keys])
+    kept = written(kept.withColumn("stays", F.lit(True)), "kept")
+    marked = docs.withColumns(key)
+    marks = rows.groupBy(*keys).agg(F.count("*").alias("n")).join(kept, keys, "left").where("stays is null or n > 1")
+    marks = written(marks.select(*keys, F.col("stays").isNotNull().alias("stays")), "marks")
+    if marks.count() > broadcast_marks:
+        out = marked.join(kept.select(keys), keys, "left_semi").dropDuplicates(keys)
+    else:
+        out = marked.join(F.broadcast(marks.select(keys)), keys, "left_anti")
+        if marks.where("stays").limit(1).count():
+            repeated = marked.join(F.broadcast(marks.where("stays").select(keys)), keys, "left_semi")
+            out = out.unionByName(repeated.dropDuplicates(keys))
+    return out.select(named(docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
-from quire.llm.shared import held_out, runs, sampled
+from quire.llm.shared import held_out, runs, sampled, thrifty
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,7 @@ def _feature_counts(rows: DataFrame, settings: Settings) -> DataFrame:
     """(feature, toxic documents, other documents) that hold it; feature -1 counts the documents."""
     orders, bits = settings.orders, settings.bits
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, n = np.zeros((2, 1 << bits), np.int32), np.zeros(2, np.int64)
         for batch in batches:
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sample = sampled(rows.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic", settings.fit_rows, 2)
     ratio, orders, bits, ridge, steps = docs.sparkSession.sparkContext.broadcast(r), settings.orders, settings.bits, settings.ridge, settings.steps
 
+    @thrifty
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -167,6 +169,7 @@ def scorer(model: Model, spark) -> "callable":
     orders, bits = model.orders, model.bits
 
     @F.arrow_udf("double")
+    @thrifty
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, intercept = held.value
         used = weights != 0

@@ -1,13 +1,17 @@
 """Language ID and toxicity: held-out accuracy, defined results for odd rows, and no peeking."""
 
+import math
 import random
 import string
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from quire.llm import language_id, queries, toxicity
+from quire.llm.shared import sampled
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +48,79 @@ def test_odd_texts_have_a_language(spark, languages):
         assert got[i].score == 0 or not blank
 
 
+MASK = (1 << 64) - 1
+
+
+def grams_of(text, orders, bits):
+    """Hashed n-grams of a text, in plain Python."""
+    text, out = f" {(text or '').lower()} ", []
+    for n in orders:
+        for at in range(len(text) - n + 1):
+            h = n
+            for c in text[at : at + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & MASK
+            h ^= h >> 31
+            out.append((h * 0xD6E8FEB86659FD93 & MASK) >> (64 - bits))
+    return out
+
+
+def test_scores_are_cosines_to_the_nearest_centroid(spark, languages):
+    texts = [t for t in brute.TEXTS if t and len(t) < 30_000] + [random_words(k, 50) for k in range(5)]
+    got = {r.doc_id: r for r in language_id.predict_documents(brute.documents(spark, texts), languages).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t):
+            continue
+        tf = Counter(grams_of(t, languages.settings.orders, languages.settings.bits))
+        x = {f: math.log(1 + n) * float(languages.idf[f]) for f, n in tf.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        near = [sum(v * float(c[f]) for f, v in x.items()) / length for c in languages.centroids]
+        assert got[i].lang_pred == languages.languages[near.index(max(near))]
+        assert abs(got[i].score - max(near)) < 1e-3
+
+
+def test_idf_counts_the_rows_that_hold_a_gram(spark):
+    texts = ["ab", "abab", "b", "", "ab c"]
+    docs = brute.documents(spark, texts, langs=["en"] * 5)
+    s = language_id.Settings()
+    idf = language_id._idf(docs, s)
+    held = [set(grams_of(t, s.orders, s.bits)) for t in texts]
+    for f in set().union(*held):
+        assert abs(idf[f] - (math.log(6 / (1 + sum(f in h for h in held))) + 1)) < 1e-5
+
+
+def test_ratios_and_scores_by_brute_force(spark):
+    rnd = random.Random(5)
+    texts = [f"{rnd.choice(['you fool', 'dear friend', 'vile words'])} {rnd.choice(['today', 'again', 'it rains'])} {k % 7}" for k in range(200)]
+    rows = [(k, t, int("fool" in t or "vile" in t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    s = toxicity.Settings()
+    taught = [(set(grams_of(t, s.orders, s.bits)), y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5]
+    n = [sum(y == k for _, y in taught) for k in (1, 0)]
+    r, toxic, other = toxicity.log_count_ratios(toxicity.training_rows(docs, labels, s), s)
+    assert [toxic, other] == n
+    for f in set().union(*(h for h, _ in taught)):
+        p, q = (sum(f in h for h, y in taught if y == k) for k in (1, 0))
+        want = math.log((p + s.alpha) / (n[0] + 2 * s.alpha)) - math.log((q + s.alpha) / (n[1] + 2 * s.alpha))
+        assert abs(r[f] - (want if p + q >= s.least_documents and abs(want) >= s.least_ratio else 0)) < 1e-4
+    model = toxicity.fit(docs, labels)
+    for row in toxicity.score_documents(docs, model).collect():
+        margin = model.intercept + sum(float(model.weights[f]) for f in set(grams_of(texts[row.doc_id], s.orders, s.bits)))
+        assert abs(row.score - 1 / (1 + math.exp(-margin))) < 1e-4
+        assert row.predicted == rows[row.doc_id][2]
+
+
+def test_samples_stay_bounded(spark):
+    """The share of rows that is drawn may be far below one in a million."""
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    many = rows.where("false")
+    for name, most in (("few", 5), ("more", 500)):
+        n = sampled(rows, "lang", most, 10).count()
+        assert most / 4 <= n <= 3 * most, (name, n)
+    assert sampled(many, "lang", 5, 10).count() == 0
+    assert sampled(rows.limit(20), "lang", 500, 10).count() == 20
+
+
 def test_language_ignores_labels_of_held_out_rows(docs, languages):
     odd = docs.withColumn("lang", F.when(language_id.held_out(), "xx").otherwise(F.col("lang")))
     again = language_id.fit(odd)

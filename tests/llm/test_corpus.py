@@ -41,6 +41,60 @@ def test_copies_are_split_between_shards(spark):
     check_shards(got, 4)
 
 
+def by_key(spark, docs, shards, **settings):
+    """Rows of sharded docs in the order of (hash of the text, doc_id)."""
+    out = sharding.shard_documents(docs, shards=shards, **settings)
+    return sorted(out.select(F.xxhash64("text").alias("key"), "doc_id", sharding.size_of().alias("size"), "shard", "slot").collect())
+
+
+@pytest.mark.parametrize("bucket", [32 << 20, 20_000])
+def test_shards_are_runs_of_the_sorted_rows(spark, data, bucket):
+    """The brute-force way: sort all rows, and cut where the bytes before are nearest to k shards' worth."""
+    shards = 16
+    rows = by_key(spark, spark.read.parquet(f"{data}/documents.parquet"), shards, bucket_bytes=bucket)
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    total, before, of = sum(r["size"] for r in rows), 0, {}
+    for r in rows:
+        of.setdefault(r.key, set()).add(r.shard)
+    for k, r in enumerate(rows):
+        if k and r.shard == rows[k - 1].shard:
+            assert r.slot == rows[k - 1].slot + 1
+        else:
+            assert r.slot == 0
+            group = sum(x["size"] for x in rows if x.key in (r.key, rows[k - 1].key))
+            assert abs(before - r.shard * total / shards) <= 0.002 * total / shards + group
+        before += r["size"]
+    whole = {k for k in of if sum(x["size"] for x in rows if x.key == k) <= 0.01 * total / shards}
+    assert all(len(of[k]) == 1 for k in whole)
+
+
+def test_groups_stay_whole_unless_too_large(spark):
+    texts = ["small " * 3] * 30 + ["large " * 40] * 3000 + [f"text {i} " * 5 for i in range(3000)]
+    rows = by_key(spark, brute.documents(spark, texts, extra=False), 7, whole=0.02)
+    shards, sizes = {}, {}
+    for r in rows:
+        shards.setdefault(r.key, set()).add(r.shard)
+        sizes[r.key] = sizes.get(r.key, 0) + r["size"]
+    total = sum(sizes.values())
+    assert all(len(shards[k]) == 1 for k, n in sizes.items() if n <= 0.02 * total / 7)
+    assert max(map(len, shards.values())) > 2  # the large group alone is more than two shards
+    by_shard = [sum(r["size"] for r in rows if r.shard == s) for s in range(7)]
+    assert max(abs(n - total / 7) for n in by_shard) <= 0.03 * total / 7
+
+
+def test_probes_bring_a_bounded_number_of_rows(spark, monkeypatch):
+    """Most of many borders lie in one text's copies; no round brings more than 2 ** PROBE_BITS rows and one for each interval."""
+    monkeypatch.setattr(sharding, "PROBE_BITS", 8)
+    keys = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, 5).otherwise(F.xxhash64("id")).alias("key"), "id", F.lit(10).cast("long").alias("size"))
+    total, count, seen = 200_000, 100, []
+    collect = type(keys).collect
+    monkeypatch.setattr(type(keys), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    bounds = sharding.find_boundaries(keys, [total * k // count for k in range(1, count)], [0.25 * total / count] * (count - 1))
+    assert max(map(len, seen)) <= 2 * 256 + count, list(map(len, seen))
+    assert [sharding._order(b) for b in bounds] == sorted(sharding._order(b) for b in bounds)
+    assert all(abs(b.bytes - total * k // count) <= 0.25 * total / count for k, b in enumerate(bounds, 1))
+
+
 def test_odd_ids_and_few_rows(spark):
     rows = [(None, "a")] * 3 + [(5, "a")] * 40 + [((1 << 63) - 1, None), (-(1 << 63), "b")]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
@@ -255,6 +309,16 @@ def test_archives_round_trip(spark, tmp_path, least):
     assert warc.read_records(warc.write_archives(rows.limit(0), f"{folder}-none"), f"{folder}-none").count() == 0
 
 
+def test_reads_are_dealt_to_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"u{i}", f"<p>{random.Random(i).getrandbits(4000)}</p>") for i in range(200)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    index = warc.write_archives(rows.repartition(4), folder, archive_bytes=6000)
+    assert index.select("archive").distinct().count() >= 24
+    got = warc.read_records(index, folder, task_bytes=20_000)
+    tasks = {r.task: r.n for r in got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()}
+    assert len(tasks) >= 4 and sum(tasks.values()) == 200 and max(tasks.values()) < 100
+
+
 def test_archives_are_gzip_of_records(spark, tmp_path, data):
     import gzip
 

@@ -66,6 +66,10 @@ def test_one_of_each_group_stays(spark):
     # The same doc_id twice, and null ids.
     again = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(again).collect()) == [("1", "a b c d"), ("None", "q r s t")]
+    for most in (0, 1_000_000):  # marks joined by a shuffle, and broadcast
+        got = simhash.keep_one(again.union(again).withColumn("a.b", F.lit(1)), most)
+        assert got.columns == ["doc_id", "text", "a.b"]
+        assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "a b c d"), ("None", "q r s t")]
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.find_groups(docs.limit(0)).count() == 0
 
 
@@ -128,24 +132,39 @@ def test_embedding_recall(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
-def test_recall_of_planted_pairs(spark, monkeypatch):
-    """Pairs at cosines from 0.95 to 0.99 among vectors that use hundreds of pivots."""
+def links_by_brute_force(x, threshold=0.95):
+    return np.concatenate([(x[a : a + 1000] @ x.T >= threshold).sum(axis=1) - 1 for a in range(0, len(x), 1000)])
+
+
+@pytest.mark.parametrize("n", [2000, 10_000])
+def test_recall_of_planted_pairs(spark, monkeypatch, n):
+    """Pairs at cosines from 0.93 to 0.99 among vectors that use hundreds of pivots: n above 0.95 and n / 2 below."""
     rng = np.random.default_rng(7)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = unit(rng.normal(size=(5000, 64)))
-    cosine = rng.uniform(0.9505, 0.99, 1000)[:, None]
-    aside = rng.normal(size=(1000, 64))
-    aside = unit(aside - (aside * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
-    x = np.vstack([x, cosine * x[:1000] + np.sqrt(1 - cosine**2) * aside])
+    x = unit(rng.normal(size=(3 * n // 2, 64)))
+    cosine = np.concatenate([rng.uniform(0.9505, 0.99, n), rng.uniform(0.93, 0.9495, n // 2)])[:, None]
+    aside = rng.normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    x = np.vstack([x, cosine * x + np.sqrt(1 - cosine**2) * aside])
     used, pivots = [], embed_dedup._pivots
     monkeypatch.setattr(embed_dedup, "_pivots", lambda *a: used.append(pivots(*a)) or used[-1])
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     links = {r.vec_id: r.n_links for r in embed_dedup.find_groups(rows).collect()}
-    pairs = int(np.triu(x @ x.T >= 0.95, 1).sum())
-    recall = sum(links.values()) / 2 / pairs
-    print(f"{len(used[0][64])} pivots, {pairs} pairs, recall {recall:.4f}")
-    assert len(used[0][64]) > 500 and pairs >= 1000
-    assert 0.9 <= recall <= 1, recall
+    want = links_by_brute_force(x)
+    recall = sum(links.values()) / want.sum()
+    print(f"{len(used[0][64])} pivots, {want.sum() // 2} pairs, recall {recall:.4f}")
+    assert len(used[0][64]) > 500 and want.sum() // 2 >= n
+    assert all(links[i] <= k for i, k in enumerate(want.tolist()))
+    assert recall >= 0.9, recall
+
+
+def test_orders_are_compared():
+    near = np.array([[1, 2, 3, 4], [2, 1, 4, 3], [4, 3, 2, 1], [1, 7, 8, 9], [1, 7, 5, 6]], np.int32)
+    i, j = np.array([0, 0, 0, 3]), np.array([1, 2, 3, 4])
+    ok, first = embed_dedup._candidates(near, i, j, embed_dedup.Settings(most_moved=1.5))
+    assert ok.tolist() == [True, False, False, True]  # moved by 1 and by 2 on average; one shared pivot; two
+    assert first[0] == embed_dedup._list_of(1, 2, 0) and first[3] == embed_dedup._list_of(1, 7, 0)
+    assert embed_dedup._candidates(near, i, j, embed_dedup.Settings(least_shared=3, most_moved=9))[0].tolist() == [True, True, False, False]
 
 
 def test_blocks_count_each_pair_once(spark):
