@@ -29,9 +29,11 @@ def strip(t: Column) -> Column:
 
 def plain_characters(t: Column) -> Column:
     """Ligatures, curly quotes and dashes written plainly; soft hyphens go."""
+    t = F.translate(t, fixed.QUOTES, fixed.PLAIN_QUOTES)
+    whole = t
     for one, more in fixed.LIGATURES:
-        t = F.replace(t, F.lit(one), F.lit(more))
-    return F.translate(t, fixed.QUOTES, fixed.PLAIN_QUOTES)
+        whole = F.replace(whole, F.lit(one), F.lit(more))
+    return F.when(t.rlike("[" + "".join(one for one, _ in fixed.LIGATURES) + "]"), whole).otherwise(t)
 
 
 def printable(t: Column) -> Column:
@@ -44,15 +46,16 @@ def join_hyphens(t: Column) -> Column:
 
 def drop_page_lines(t: Column) -> Column:
     """Running heads and feet become empty lines; lone page numbers go with the blank lines around them."""
-    t = F.regexp_replace(t, r"(?imud)^.{0,80}(page\s+[0-9]+\s+of\s+[0-9]+|doi:\s*10\.[0-9]+|©\s*[0-9]{4}|all rights reserved).{0,80}$", "")
-    return F.regexp_replace(t, r"(?md)^\s*[0-9]{1,4}\s*$", "")
+    t = F.regexp_replace(t, f"(?imud){fixed.RUNNING_LINE}", "")
+    return F.regexp_replace(t, f"(?md){fixed.PAGE_NUMBER_LINE}", "")
 
 
 def tidy_lines(t: Column, aggressive: bool = False) -> Column:
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    """Blanks as one space, none at the ends of lines, at most one empty line in a row. aggressive: no line of under three characters."""
+    t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " ?\n ?", "\n")
     if aggressive:
-        lines = F.filter(lines, lambda x: F.length(x) > 2)
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
+        t = F.array_join(F.filter(F.split(F.trim(t), "\n"), lambda x: F.length(x) > 2), "\n")
+    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
 def clean_text(t: Column, normalise: bool = True, aggressive: bool = False) -> Column:
@@ -64,7 +67,7 @@ def clean_text(t: Column, normalise: bool = True, aggressive: bool = False) -> C
 
 def without_references(t: Column) -> Column:
     """The text before the first references heading that stands between lines."""
-    at = F.regexp_instr(t, F.lit(r"(?i)\n\s*(references|bibliography|works\s+cited)\s*\n"))
+    at = F.regexp_instr(t, F.lit(f"(?i){fixed.REFERENCES_LINE}"))
     return F.when(at > 0, strip(F.substring(t, F.lit(1), at - 1))).otherwise(t)
 
 
@@ -82,6 +85,17 @@ def safe_file_name(t: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", "uploaded_file").otherwise(name)
 
 
+def with_clean_text(docs, column: str = "full_text", normalise: bool = True):
+    """docs with `clean_text`, up to the references. The cleaned text is a column first, as three expressions read it."""
+    whole = docs.withColumn("_whole", clean_text(F.col(column), normalise))
+    return whole.withColumn("clean_text", without_references(F.col("_whole"))).drop("_whole")
+
+
+def new_document_key() -> Column:
+    """A random UUID for each row; it differs from run to run, so write it before it is used twice."""
+    return F.uuid()
+
+
 def document_key(t: Column) -> Column:
     """A UUID in lower case; null for anything else."""
     t = F.lower(t)

@@ -77,12 +77,12 @@ def _direction(topic: Column, question: Column, reason: str, evidence: Column, i
 def topic_of(evidence: Column, words: Column) -> Column:
     known = F.get(F.filter(F.slice(words, 1, 5), lambda k: F.contains(F.lower(evidence), F.lower(k))), F.lit(0))
     start = F.regexp_replace(F.array_join(F.slice(F.split(evidence, r"\s+"), 1, 8), " "), r"[.,;:]+\z", "")
-    return F.coalesce(F.concat(F.lit("Extending "), known, F.lit(" approaches")), start)
+    return F.coalesce(F.concat(F.lit(fixed.EXTENDING[0]), known, F.lit(fixed.EXTENDING[1])), start)
 
 
 def question_of(evidence: Column) -> Column:
-    q = F.regexp_replace(evidence, r"(?iu)(?:future\s+work|future\s+research)\s+(?:should|could|will|may|might|would|can)\s+", "Could researchers ")
-    q = F.regexp_replace(q, r"(?iu)^(?:we|one)\s+(?:could|should|might)\s+", "Could researchers ")
+    q = F.regexp_replace(evidence, f"(?iu){fixed.FUTURE_START}", fixed.ASKED)
+    q = F.regexp_replace(q, f"(?iu){fixed.ACTOR_START}", fixed.ASKED)
     return F.substring(F.when(F.endswith(q, F.lit("?")), q).otherwise(F.concat(F.regexp_replace(q, r"\.+\z", ""), F.lit("?"))), 1, 250)
 
 
@@ -112,7 +112,7 @@ def with_limitations(found: Column, limits: Column) -> Column:
     cut = lambda x, n: F.regexp_replace(F.substring(x, 1, n), r"[.,]+\z", "")
 
     def add(s: Column, x: Column) -> Column:
-        new = _direction(F.concat(F.lit("Addressing: "), cut(x, 60)), F.concat(F.lit("How can the limitation — '"), cut(x, 120), F.lit("'— be overcome?")), fixed.LIMITATION_REASON, F.substring(x, 1, 300), False)
+        new = _direction(F.concat(F.lit(fixed.ADDRESSING), cut(x, 60)), F.concat(F.lit(fixed.OVERCOME[0]), cut(x, 120), F.lit(fixed.OVERCOME[1])), fixed.LIMITATION_REASON, F.substring(x, 1, 300), False)
         return F.when((F.size(s) < 5) & (F.length(x) >= 30) & _is_new(s, x), F.array_append(s, new).cast(DIRECTIONS)).otherwise(s)
 
     return F.aggregate(limits, found, add)

@@ -18,54 +18,126 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 5, query_rows: int = 2000, vector_rows: int = 20_000) -> DataFrame:
+def _nearest(near: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the largest, ties to the larger id; ids are of the columns, or of each cell."""
+    ids = np.broadcast_to(ids, near.shape)
+    if near.shape[1] > most:
+        # All that reach the last place stay, so that ties are told apart by id.
+        last = np.partition(near, -most, axis=1)[:, -most]
+        width = int((near >= last[:, None]).sum(axis=1).max())
+        at = np.argpartition(-near, width - 1, axis=1)[:, :width]
+        near, ids = np.take_along_axis(near, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((-ids, -near), axis=1)[:, :most]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 5, query_rows: int = 20_000) -> DataFrame:
     """query_id, id, score, rank: for each query its nearest vectors with a cosine above 0.1, ties to the larger id.
 
-    queries (query_id, embedding) and vectors (id, embedding) are dealt into blocks by hash; each pair of blocks meets in
-    one task, by an equi-join of block numbers, and hands on the best of each query only. Lists of another length than
-    the query block's first, null and zero vectors are left out.
+    queries (query_id, embedding) are taken in blocks of about `query_rows`, dealt by a hash. A block is broadcast, and
+    every task holds the vectors (id, embedding) that it reads against it, handing on only the best of each query; so no
+    vector is moved or copied. Vectors of another length than the query, null and zero ones are left out.
     """
-    kind = "query_id long, id long, score double"
+    kind, spark = "query_id long, id long, score double", queries.sparkSession
     usable = F.coalesce(F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
-    queries, vectors = queries.where(usable), vectors.where(usable)
-    a = max(1, -(-queries.count() // query_rows))
-    b = max(1, -(-vectors.count() // vector_rows))
-    left = queries.select("query_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(a)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("y"))
-    right = vectors.select("id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(b)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("x"))
-
-    def best(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not len(q) or not len(v):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = v.column("id").to_numpy()
-        order = np.argsort(-ids, kind="stable")
-        ids, x = ids[order], _unit(v.column("embedding"))[order]
-        y, names, out = _unit(q.column("embedding")), q.column("query_id").to_numpy(), []
-        for k in range(0, len(y), 256):
-            near = np.round(y[k : k + 256] @ x.T, 9)
-            top = np.argsort(-near, axis=1, kind="stable")[:, :most]
-            out.append((np.repeat(names[k : k + 256], top.shape[1]), ids[top].ravel(), np.take_along_axis(near, top, 1).ravel()))
-        q_id, v_id, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        keep = score > LEAST
-        return pa.table({"query_id": q_id[keep], "id": v_id[keep], "score": score[keep]})
-
-    met = left.groupBy("dim", "x", "y").cogroup(right.groupBy("dim", "x", "y")).applyInArrow(best, kind)
+    queries, vectors = queries.where(usable).select("query_id", "embedding"), vectors.where(usable).select("id", "embedding")
+    blocks = max(1, -(-queries.count() // query_rows))
+    found = None
+    for k in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
+        own = _against(vectors, spark.sparkContext.broadcast(_by_length(block)), most, kind)
+        found = own if found is None else found.unionByName(own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
-    return met.withColumn("rank", rank).where(F.col("rank") <= most)
+    return found.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(names, unit vectors) of each length of vectors; the first column names them."""
+    sizes = rows.column("embedding").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.empty(0, int)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        some = rows.take(pa.array(np.flatnonzero(sizes == size)))
+        out[size] = (some.column(0).to_numpy(), _unit(some.column("embedding")))
+    return out
+
+
+def _against(vectors: DataFrame, shared, most: int, kind: str) -> DataFrame:
+    def search(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for size, (ids, x) in _by_length(pa.Table.from_batches([batch])).items():
+                if size not in shared.value:
+                    continue
+                y = shared.value[size][1]
+                if size not in best:
+                    best[size] = (np.full((len(y), most), -2.0), np.zeros((len(y), most), np.int64))
+                score, name = best[size]
+                for a in range(0, len(y), 256):
+                    here = slice(a, a + 256)
+                    near, own = _nearest(np.round(y[here] @ x.T, 9), ids, most)
+                    score[here], name[here] = _nearest(np.hstack([score[here], near]), np.hstack([name[here], own]), most)
+        for size, (score, name) in best.items():
+            q = np.repeat(shared.value[size][0], most)
+            keep = score.ravel() > LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(name.ravel()[keep]), pa.array(score.ravel()[keep])], names=["query_id", "id", "score"])
+
+    return vectors.mapInArrow(search, kind)
 
 
 def hashed_vector(t: Column, size: int = 64) -> Column:
-    """A default embedding without a model: counts of words by hash."""
-    at = F.transform(F.regexp_extract_all(F.lower(t), F.lit(f"{text.WORD}+"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    """A default embedding without a model: counts of words by hash, in up to 256 places."""
+    digits = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int")
+    at = F.transform(F.regexp_extract_all(F.lower(t), F.lit(f"{text.WORD}+"), F.lit(0)), lambda w: F.pmod(digits(w), F.lit(size)))
     # A list of one holds the words' places, so that they are found once and not for every component.
     return F.get(F.transform(F.array(at), lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(found, lambda x: x == k)).cast("float"))), F.lit(0))
 
 
+def retrieved(questions: DataFrame, chunked: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, rank, chunk_id, section_name, page_numbers, text, score: of each question the nearest chunks of its own document.
+
+    questions (query_id, doc_id, question); chunked (doc_id, chunk_id, section_name, page_numbers, text). They meet by
+    doc_id, and so a question only meets the chunks of one document. Scores of 0.1 or less don't count, ties go to the
+    later chunk.
+    """
+    q = questions.select("query_id", "doc_id", hashed_vector(F.col("question")).alias("_q"))
+    c = chunked.select("doc_id", "chunk_id", "section_name", "page_numbers", "text", hashed_vector(F.col("text")).alias("_c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    near = dot("_q", "_c") / F.greatest(F.sqrt(dot("_q", "_q")) * F.sqrt(dot("_c", "_c")), F.lit(1e-10))
+    met = q.join(c, "doc_id").withColumn("score", F.round(near, 9)).where(F.col("score") > LEAST)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chunk_id")))
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).drop("_q", "_c")
+
+
 def contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:
-    """query_id, context, n_chunks from ranked (query_id, rank, text): chunks in order of rank until the first that overflows."""
+    """query_id, context, n_chunks from ranked (query_id, rank, text): chunks in order of rank until the first that overflows.
+
+    Where ranked has section_name, page_numbers and score, also sources: struct<section, pages, similarity> of each chunk.
+    """
     run = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    told = {"section_name", "page_numbers", "score"} <= set(ranked.columns)
+    each = ["rank", "text"]
+    if told:
+        section = F.coalesce(F.nullif("section_name", F.lit("")), F.lit(fixed.UNKNOWN_SECTION))
+        each.append(F.struct(section.alias("section"), F.col("page_numbers").alias("pages"), F.bround("score", 3).alias("similarity")).alias("source"))
     kept = ranked.withColumn("run", run).where(F.col("run") <= budget)
-    rows = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return kept.groupBy("query_id").agg(F.array_join(rows["text"], "\n\n").alias("context"), F.count("*").alias("n_chunks"))
+    rows = F.array_sort(F.collect_list(F.struct(*each)))
+    sources = [rows["source"].alias("sources")] if told else []
+    return kept.groupBy("query_id").agg(F.array_join(rows["text"], "\n\n").alias("context"), F.count("*").alias("n_chunks"), *sources)
+
+
+def paper_answers(questions: DataFrame, docs: DataFrame, chunked: DataFrame, most: int = 5) -> DataFrame:
+    """questions (query_id, doc_id, question) with `result` and `sources`, answered from the chunks of their own document.
+
+    A document without chunks is answered from the start of its clean_text, without sources; where no chunk is near
+    enough there is no context, and so no answer.
+    """
+    counted = chunked.groupBy("doc_id").agg(F.count("*").alias("_chunks"))
+    start = docs.select("doc_id", F.substring("clean_text", 1, 8000).alias("_start")).join(counted, "doc_id", "left")
+    out = questions.join(start, "doc_id").join(contexts(retrieved(questions, chunked, most)), "query_id", "left")
+    out = out.withColumn("context", F.when(F.col("_chunks").isNull(), F.col("_start")).otherwise(F.coalesce("context", F.lit(""))))
+    out = answers(out)
+    result = F.when(F.col("context") == "", _not_found(fixed.NO_RELEVANT)).otherwise(F.col("result"))
+    return out.withColumn("result", result).select(*questions.columns, "result", "sources")
 
 
 ANSWER = "struct<answer: string, score: double, found_in_paper: boolean, start: int, end: int>"

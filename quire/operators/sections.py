@@ -54,7 +54,17 @@ def combined(*texts: Column) -> Column:
 
 def abstract_without_headings(t: Column) -> Column:
     """What follows the word Abstract, up to a blank line or a line like a heading; null if there is none."""
-    return F.nullif(text.strip(F.regexp_extract(t, r"(?isu)\bAbstract\b[\s:—\-]*\n?(.*?)(?=\n\n|\n[A-Z][A-Za-z\s]{2,40}\n)", 1)), F.lit(""))
+    return F.nullif(text.strip(F.regexp_extract(t, f"(?isu){fixed.ABSTRACT_START}(?={fixed.ABSTRACT_END})", 1)), F.lit(""))
+
+
+def texts_of(names: list[str], sections: str = "sections") -> Column:
+    """The filled texts of the sections of these very names, in this order, with an empty line between them."""
+    get = lambda n: F.get(F.filter(sections, lambda s: s["name"] == n), F.lit(0))["text"]
+    return F.concat_ws("\n\n", *[F.nullif(get(n), F.lit("")) for n in names])
+
+
+def names_of(sections: str = "sections") -> Column:
+    return F.col(sections)["name"]
 
 
 # -- metadata --
@@ -63,17 +73,17 @@ def abstract_without_headings(t: Column) -> Column:
 def title(t: Column) -> Column:
     """Of the first three likely lines among the first ten the longest, the earlier one on a tie."""
     lines = F.slice(F.filter(F.transform(F.split(t, "\n"), text.strip), lambda x: x != ""), 1, 10)
-    good = lambda x: (F.length(x) >= 10) & (F.length(x) <= 200) & ~x.rlike(r"10\.[0-9]{4,}/\S+") & ~((x == F.upper(x)) & (x != F.lower(x)))
+    good = lambda x: (F.length(x) >= 10) & (F.length(x) <= 200) & ~x.rlike(fixed.DOI) & ~((x == F.upper(x)) & (x != F.lower(x)))
     some = F.slice(F.filter(lines, good), 1, 3)
     return F.aggregate(some, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best), lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit(fixed.NO_TITLE)))
 
 
 def doi(t: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_extract(F.substring(t, 1, 3000), r"10\.[0-9]{4,}/\S+", 0), r"[.,)]+\z", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.substring(t, 1, 3000), fixed.DOI, 0), r"[.,)]+\z", ""), F.lit(""))
 
 
 def year(t: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.substring(t, 1, 2000), r"\b(19|20)[0-9]{2}\b", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(F.substring(t, 1, 2000), fixed.YEAR, 0), F.lit(""))
 
 
 def abstract_paragraph(t: Column) -> Column:
@@ -84,6 +94,18 @@ def authors(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, r"(?i)[,;]|\band\b"), text.strip), lambda x: F.length(x) > 2)
 
 
+def with_embedded(docs: DataFrame) -> DataFrame:
+    """docs (clean_text; pdf_title, pdf_author and pdf_subject where a file had them) with title, authors, keywords, doi and year.
+
+    An embedded title of over three characters wins over the likely lines; authors and keywords are embedded or none.
+    """
+    t, own = F.col("clean_text"), text.strip(F.coalesce("pdf_title", F.lit("")))
+    listed = lambda c, cut: F.coalesce(cut(text.strip(F.coalesce(c, F.lit("")))), F.expr("cast(array() as array<string>)"))
+    words = lambda c: F.filter(F.transform(F.split(c, ","), text.strip), lambda x: x != "")
+    named = F.when(F.length(own) > 3, own).otherwise(title(t))
+    return docs.withColumns({"title": named, "authors": listed("pdf_author", authors), "keywords": listed("pdf_subject", words), "doi": doi(t), "year": year(t)})
+
+
 # -- chunks --
 
 
@@ -99,9 +121,11 @@ def chunks(docs: DataFrame, size: int = 5, overlap: int = 2, column: str = "clea
     whole = F.array(F.struct(F.lit("full_document").alias("name"), F.col(column).alias("text")))
     own = F.transform(F.filter("sections", lambda s: (s["text"] != "") & (s["name"] != "references")), lambda s: F.struct(s["name"].alias("name"), s["text"].alias("text")))
     parts = F.when(F.size("sections") == 0, whole).otherwise(own)
-    cut = F.transform(parts, lambda s: F.transform(windows(text.sentences(s["text"], 20), size, overlap), lambda w: F.struct(s["name"].alias("section_name"), w.alias("sentences"))))
+    # A column of its own: a section is cut into sentences once, not for each of its windows.
+    split = docs.select("doc_id", F.transform(parts, lambda s: F.struct(s["name"].alias("name"), text.sentences(s["text"], 20).alias("all"))).alias("parts"))
+    cut = F.transform("parts", lambda s: F.transform(windows(s["all"], size, overlap), lambda w: F.struct(s["name"].alias("section_name"), w.alias("sentences"))))
     # Outer, as a plain generator would have the whole expression evaluated once more to filter out empty arrays.
-    rows = docs.select("doc_id", F.posexplode_outer(F.flatten(cut)).alias("chunk_id", "c")).where("chunk_id is not null")
+    rows = split.select("doc_id", F.posexplode_outer(F.flatten(cut)).alias("chunk_id", "c")).where("chunk_id is not null")
     return rows.select("doc_id", "chunk_id", "c.section_name", F.array_join("c.sentences", " ").alias("text"), F.size("c.sentences").alias("n_sentences"))
 
 

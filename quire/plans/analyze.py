@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
 from quire.operators import cues, ranking, sections
+from quire.sources import documents
 
 
 def prepared(papers: DataFrame, normalise: bool = True) -> DataFrame:
     """papers (doc_id, full_text) with clean_text, sections and preamble; a paper without headings gets an abstract section if it has one."""
-    out = sections.with_sections(papers.withColumn("clean_text", text.without_references(text.clean_text(F.col("full_text"), normalise))))
+    out = sections.with_sections(text.with_clean_text(papers, normalise=normalise))
     found = sections.abstract_without_headings(F.col("clean_text"))
     alone = F.array(F.struct(F.lit(0).alias("ord"), F.lit("abstract").alias("name"), F.lit("Abstract").alias("heading"), found.alias("text"), F.lit(0).alias("start_line"), F.lit(10).alias("end_line")))
     kind = out.schema["sections"].dataType
@@ -82,9 +83,10 @@ def with_insights(rows: DataFrame) -> DataFrame:
 
 def analyse(papers: DataFrame, normalise: bool = True) -> DataFrame:
     """One row for each paper: metadata, statements with their fallbacks, summaries, keywords, domain and directions."""
-    docs = with_slots(prepared(papers, normalise))
+    # Cleaned and cut once, for all the parts that are ranked, searched and joined by document.
+    docs = documents.kept(with_slots(prepared(papers, normalise)), "slots")
     base = docs.select("doc_id", sections.title(F.col("clean_text")).alias("title"), sections.year(F.col("clean_text")).alias("year"), sections.doi(F.col("clean_text")).alias("doi"), F.size("sections").alias("n_sections"), "s_conclusion", "s_discussion")
-    ranked = ranked_slots(docs)
+    ranked = documents.kept(ranked_slots(docs), "ranked")
     wide = ranked.groupBy("doc_id").pivot("slot", ["objective", "methodology", "findings", "contribution", "summary", "conclusion", "abstract"]).agg(F.first("sents"))
     wide = wide.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in wide.columns if c != "doc_id"])
     words = cues.keywords(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("keywords"))

@@ -55,3 +55,18 @@ def papers(docs: DataFrame) -> DataFrame:
 
 #: The same, over a view `documents` in another engine.
 PAPERS_SQL = f"SELECT doc_id, concat_ws(chr(10), {', '.join(LINES)}) AS full_text FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS tx FROM documents)"
+
+#: A note without headings, from tx.
+NOTE = "concat('A plain note number ', doc_id, chr(10), 'Abstract - ', substr(tx, 1, 600), chr(10), chr(10), substr(tx, 601))"
+
+#: What a file's own metadata may say; some have none.
+EMBEDDED = {
+    "pdf_title": "CASE doc_id % 4 WHEN 0 THEN concat(' Embedded title ', doc_id, ' ') WHEN 1 THEN 'abc' WHEN 2 THEN '' END",
+    "pdf_author": "CASE doc_id % 3 WHEN 0 THEN 'Ann Lee and Bo Chan; Cy Diaz' WHEN 1 THEN ' ' END",
+    "pdf_subject": "CASE WHEN doc_id % 2 = 0 THEN concat('graphs, , retrieval ,corpus ', doc_id % 5) END",
+}
+
+#: A UUID made from an id, and the fields of a request for a paper.
+KEY = "concat(substr(md5(cast({0} as varchar(20))), 1, 8), '-', substr(md5(cast({0} as varchar(20))), 9, 4), '-', substr(md5(cast({0} as varchar(20))), 13, 4), '-', substr(md5(cast({0} as varchar(20))), 17, 4), '-', substr(md5(cast({0} as varchar(20))), 21, 12))"
+REQUEST_ID = f"CASE conv_id % 5 WHEN 0 THEN 'not-a-key' WHEN 1 THEN {KEY.format('(0 - 1 - conv_id)')} WHEN 2 THEN upper({KEY.format('conv_id')}) ELSE {KEY.format('conv_id')} END"
+REQUEST_QUESTION = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'hi' WHEN 1 THEN '    ' WHEN 2 THEN NULL ELSE text END"

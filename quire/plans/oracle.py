@@ -39,7 +39,7 @@ def unnested(source: str, keys: str, lists: str, name: str, first: int = 0) -> s
     return f"SELECT {keys}, unnest({lists}) AS {name}, generate_subscripts({lists}, 1) - 1 + {first} AS pos FROM {source}"
 
 
-_REFERENCES = r"\n\s*(references|bibliography|works\s+cited)\s*\n"
+_REFERENCES = fixed.REFERENCES_LINE
 _NAMES = " ".join(f"WHEN regexp_matches(heading, {_q('(?i)' + p)}) THEN {_q(n)}" for n, p in fixed.HEADINGS)
 
 BASE = rf"""
@@ -87,17 +87,17 @@ t5{name} AS (SELECT grp, pos, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS r
 w{name} AS (SELECT grp, pos, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY grp, pos)) AS w FROM t5{name})"""
 
 
-def scored(rows: str) -> str:
-    """CTE scored (grp, pos, sent, n, tfidf, similarity, position, score)."""
+def scored(rows: str, name: str = "") -> str:
+    """CTE scored{name} (grp, pos, sent, n, tfidf, similarity, position, score) and placed{name}."""
     scale = lambda c: f"CASE WHEN max({c}) OVER g - min({c}) OVER g < 1e-12 THEN 1.0 ELSE ({c} - min({c}) OVER g) / (max({c}) OVER g - min({c}) OVER g) END"
-    return f"""{tfidf(rows)},
-c AS (SELECT grp, term, sum(w) AS c FROM w GROUP BY ALL),
-v AS (SELECT grp, count(*) AS v, sqrt(sum(c * c)) AS norm FROM c GROUP BY grp),
-s AS (SELECT grp, pos, sum(w) AS mass, sum(w * c) AS dot FROM w JOIN c USING (grp, term) GROUP BY grp, pos),
-p AS (SELECT r.grp, r.pos, r.sent, r.n, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(mass / v, 0.0) END AS tfidf, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(dot / norm, 0.0) END AS similarity,
-  greatest(0.0, 1.0 - r.pos / greatest(0.3 * n, 1.0), 1.0 - (n - 1 - r.pos) / greatest(0.3 * n, 1.0))::double AS position FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) r LEFT JOIN s USING (grp, pos) LEFT JOIN v USING (grp)),
-scored AS (SELECT *, 0.5 * ({scale('tfidf')}) + 0.3 * ({scale('similarity')}) + 0.2 * ({scale('position')}) AS score FROM p WINDOW g AS (PARTITION BY grp)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, pos DESC) AS place FROM scored)"""
+    return f"""{tfidf(rows, name=name)},
+c{name} AS (SELECT grp, term, sum(w) AS c FROM w{name} GROUP BY ALL),
+v{name} AS (SELECT grp, count(*) AS v, sqrt(sum(c * c)) AS norm FROM c{name} GROUP BY grp),
+s{name} AS (SELECT grp, pos, sum(w) AS mass, sum(w * c) AS dot FROM w{name} JOIN c{name} USING (grp, term) GROUP BY grp, pos),
+p{name} AS (SELECT r.grp, r.pos, r.sent, r.n, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(mass / v, 0.0) END AS tfidf, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(dot / norm, 0.0) END AS similarity,
+  greatest(0.0, 1.0 - r.pos / greatest(0.3 * n, 1.0), 1.0 - (n - 1 - r.pos) / greatest(0.3 * n, 1.0))::double AS position FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) r LEFT JOIN s{name} USING (grp, pos) LEFT JOIN v{name} USING (grp)),
+scored{name} AS (SELECT *, 0.5 * ({scale('tfidf')}) + 0.3 * ({scale('similarity')}) + 0.2 * ({scale('position')}) AS score FROM p{name} WINDOW g AS (PARTITION BY grp)),
+placed{name} AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, pos DESC) AS place FROM scored{name})"""
 
 
 def first_match(t: str, patterns: list[str], group: int) -> str:
@@ -115,12 +115,12 @@ def first_filled(*names: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names) + ", '')"
 
 
-def statements() -> str:
+def statements(between: str = "'|'") -> str:
     f = fixed
     a, m, r = first_filled("s_abstract", "s_introduction", "start"), first_filled("s_methodology", "combined"), first_filled("s_results", "s_experiments", "s_conclusion", "combined")
     c, d = first_filled("s_abstract", "s_introduction", "s_conclusion", "combined"), first_filled("s_discussion", "s_conclusion", "combined")
     e = first_filled("s_methodology", "s_experiments", "substr(clean_text, 1, 5000)")
-    return f"SELECT doc_id, {first_match(a, f.OBJECTIVE, 1)} AS objective, {first_match(m, f.METHOD, 0)} AS methodology, array_to_string({all_matches(r, f.FINDING, 40, 6)}, '|') AS findings, {first_match(c, f.CONTRIBUTION, 0)} AS contribution, array_to_string({all_matches(d, f.LIMITATION, 30, 5)}, '|') AS limitations, array_to_string({all_matches(e, f.DATASET, 3, 5, 1, False)}, ', ') AS datasets FROM slots"
+    return f"SELECT doc_id, {first_match(a, f.OBJECTIVE, 1)} AS objective, {first_match(m, f.METHOD, 0)} AS methodology, array_to_string({all_matches(r, f.FINDING, 40, 6)}, {between}) AS findings, {first_match(c, f.CONTRIBUTION, 0)} AS contribution, array_to_string({all_matches(d, f.LIMITATION, 30, 5)}, {between}) AS limitations, array_to_string({all_matches(e, f.DATASET, 3, 5, 1, False)}, ', ') AS datasets FROM slots"
 
 
 KEYWORDS = f"""{BASE},
@@ -154,5 +154,85 @@ cut AS (SELECT doc_id, ord, name, unnest(list_transform(range(0, 1 + greatest(0,
 chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, c.k) - 1 AS chunk_id, name AS section_name, array_to_string(c.w, ' ') AS text, len(c.w) AS n_sentences FROM cut)"""
 
 
-PAGES = """fx_pages AS (SELECT doc_id, p AS page_number, CASE WHEN doc_id % 10 = 9 THEN substr(substr(full_text, 1500 * (p - 1) + 1, 1500), 1, 40) ELSE substr(full_text, 1500 * (p - 1) + 1, 1500) END AS raw_text
-  FROM (SELECT doc_id, full_text, unnest(range(1, 2 + (greatest(length(full_text), 1) - 1) // 1500)) AS p FROM papers))"""
+PAGES = """fx_pages AS (SELECT doc_id, p AS page_number, substr(full_text, 1500 * (p - 1) + 1, 1500) AS raw_text
+  FROM (SELECT doc_id, full_text, unnest(range(1, 2 + (greatest(length(full_text), 1) - 1) // 1500)) AS p FROM papers)
+  UNION ALL SELECT -1 - doc_id, 1, substr(full_text, 1, 40) FROM papers WHERE doc_id % 10 = 9)"""
+
+
+_HEX = "'0123456789abcdef'"
+
+
+def hashed(t: str, size: int = 64) -> str:
+    """A list of counts of words by the first byte of their MD5, modulo size."""
+    byte = f"((strpos({_HEX}, substr(md5(w), 1, 1)) - 1) * 16 + strpos({_HEX}, substr(md5(w), 2, 1)) - 1)"
+    places = f"list_transform(regexp_extract_all(lower({t}), '{_WORD}+'), lambda w: {byte} % {size})"
+    return f"list_transform(range(0, {size}), lambda k: len(list_filter({places}, lambda x: x = k))::double)"
+
+
+#: CTE chunks with page_numbers (a list), from the CTEs of BASE, chunk_rows and PAGES.
+PAGED = f"""
+pt AS (SELECT doc_id, page_number, {clean('raw_text')} AS page FROM fx_pages),
+needles AS (SELECT doc_id, chunk_id, {strip('substr(text, 1, 60)')} AS needle FROM chunks),
+paged AS (SELECT n.doc_id, n.chunk_id, coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number), '') AS pages
+  FROM needles n LEFT JOIN pt ON pt.doc_id = n.doc_id AND needle <> '' AND contains(page, needle) GROUP BY n.doc_id, n.chunk_id)"""
+
+_QSTOP = "[" + ", ".join(map(_q, fixed.QUESTION_STOP_WORDS)) + "]"
+
+
+def answered(source: str, keys: str) -> str:
+    """CTE r (keys, question, context, answer, score, found_in_paper) from source (keys, question, context)."""
+    words = lambda t: rf"list_distinct(regexp_extract_all(lower({t}), '{_WORD}+'))"
+    split = "string_split(regexp_replace(substr(context, 1, 15000), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    content = f"list_filter(ws, lambda w: NOT list_contains({_QSTOP}, w))"
+    return f"""
+qw AS (SELECT *, {words('question')} AS ws FROM {source}),
+qc AS (SELECT *, CASE WHEN len({content}) > 0 THEN {content} ELSE ws END AS cw, list_filter(list_transform({split}, lambda s: {strip('s')}), lambda s: length(s) > 15) AS ss FROM qw),
+qe AS (SELECT {keys}, cw, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM qc),
+qb AS (SELECT {keys}, arg_max(s, score - i * 1e-9) AS best, max(score) AS score FROM (SELECT *, len(list_intersect({words('s')}, cw)) / (len(cw) + 0.1) AS score FROM qe) GROUP BY {keys}),
+qm AS (SELECT qc.*, best, score, coalesce(trim(question), '') = '' OR coalesce(trim(context), '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM qc LEFT JOIN qb USING ({keys})),
+r AS (SELECT {keys}, question, context, CASE WHEN none THEN {_q(fixed.NO_CONTEXT)} WHEN hit THEN best ELSE {_q(fixed.NO_ANSWER)} END AS answer,
+  CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper FROM qm)"""
+
+
+def directions(words: list[str]) -> str:
+    """CTE directions (doc_id, place, topic, question, reason, evidence, is_inferred) after SLOTS, with the same keywords for all.
+
+    The folds are recursive: a candidate after the other, with what has been found so far.
+    """
+    f = fixed
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS pat, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(search, {_q('(?i)' + p)}, 0), lambda x: {strip('x')}), lambda x: length(x) >= 30) AS hs FROM searched)"
+        for k, p in enumerate(f.FUTURE)
+    )
+    new = lambda x: f"list_contains(list_transform(found, lambda d: lower(substr(d.x, 1, 60))), lower(substr({x}, 1, 60)))"
+    after = f"CASE WHEN c.pat = f.over OR {new('c.hit')} THEN f.found ELSE list_append(f.found, {{'inferred': 0, 'x': c.hit}}) END"
+    limited = f"CASE WHEN len(f.found) >= 5 OR length(c.x) < 30 OR {new('c.x')} THEN f.found ELSE list_append(f.found, {{'inferred': 1, 'x': c.x}}) END"
+    limits = all_matches(first_filled("s_discussion", "s_conclusion", "combined"), f.LIMITATION, 30, 5)
+    known = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(x), {_q(w.lower())}) THEN {_q(f.EXTENDING[0] + w + f.EXTENDING[1])} END" for w in words[:5])
+    topic = known + ", regexp_replace(array_to_string(regexp_split_to_array(x, '\\s+')[1:8], ' '), '[.,;:]+$', ''))"
+    asked = f"regexp_replace(regexp_replace(x, {_q('(?i)' + f.FUTURE_START)}, {_q(f.ASKED)}, 'g'), {_q('(?i)' + f.ACTOR_START)}, {_q(f.ASKED)})"
+    question = f"substr(CASE WHEN ends_with({asked}, '?') THEN {asked} ELSE regexp_replace({asked}, '\\.+$', '') || '?' END, 1, 250)"
+    cut = lambda n: f"regexp_replace(substr(x, 1, {n}), '[.,]+$', '')"
+    some = lambda n: ", ".join(words[:n])
+    templates = [
+        ("Scalability and efficiency", f"Can the proposed approach scale to larger datasets or more domains ({some(2)})?", "Scalability is a common challenge in research; extending the work to larger or more diverse settings is valuable.", f"Inferred from research domain keywords: {some(4)}"),
+        ("Cross-domain generalization", f"How well does the method generalize beyond its tested domain, particularly for {words[0]}?", "Generalization across domains is a key open challenge in most ML research.", "Inferred from the scope of evaluation described in findings."),
+        ("Robustness and fairness evaluation", "Are there biases or robustness issues in the proposed approach that could affect real-world deployment?", "Responsible AI research requires evaluation of fairness, bias, and adversarial robustness.", "Inferred: no explicit fairness/robustness analysis was identified in the paper."),
+    ]
+    filled = " UNION ALL ".join(f"SELECT doc_id, n + {k} AS place, {', '.join(map(_q, t))}, true FROM told WHERE n < {3 - k}" for k, t in enumerate(templates))
+    return f"""
+searched AS (SELECT doc_id, s_conclusion || chr(10) || s_discussion AS search FROM slots),
+cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pat, i) AS k FROM ({hits})),
+fold AS (SELECT doc_id, 0 AS k, []::STRUCT(inferred INTEGER, x VARCHAR)[] AS found, -1 AS over FROM slots
+  UNION ALL SELECT f.doc_id, f.k + 1, {after}, CASE WHEN c.pat <> f.over AND len({after}) >= 5 THEN c.pat ELSE f.over END FROM fold f JOIN cand c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
+explicit AS (SELECT doc_id, found FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+lims AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT doc_id, {limits} AS xs FROM slots)),
+fold2 AS (SELECT doc_id, 0 AS k, found FROM explicit
+  UNION ALL SELECT f.doc_id, f.k + 1, {limited} FROM fold2 f JOIN lims c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
+told AS (SELECT doc_id, found, len(found) AS n FROM fold2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+each AS (SELECT doc_id, unnest(found).inferred AS inferred, unnest(found).x AS x, generate_subscripts(found, 1) - 1 AS place FROM told),
+directions AS (SELECT * FROM (
+  SELECT doc_id, place, CASE WHEN inferred = 0 THEN {topic} ELSE {_q(f.ADDRESSING)} || {cut(60)} END AS topic,
+    CASE WHEN inferred = 0 THEN {question} ELSE {_q(f.OVERCOME[0])} || {cut(120)} || {_q(f.OVERCOME[1])} END AS question,
+    CASE WHEN inferred = 0 THEN {_q(f.EXPLICIT_REASON)} ELSE {_q(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
+  UNION ALL {filled}) WHERE place < 6)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,11 +27,12 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers cut into pages of 1,500 characters; every tenth is as short as if it had been scanned."""
+    """Papers cut into pages of 1,500 characters, and beside every tenth paper one of its own (-1 - doc_id) as if scanned: a page of 40."""
     rows = _papers(spark, sf_dir).withColumn("page_number", F.explode(F.sequence(F.lit(1), F.ceil(F.greatest(F.length("full_text"), F.lit(1)) / 1500.0).cast("int"))))
     page = F.substring("full_text", 1500 * (F.col("page_number") - 1) + 1, F.lit(1500))
-    page = F.when(F.col("doc_id") % 10 == 9, F.substring(page, 1, 40)).otherwise(page)
-    return rows.select("doc_id", "page_number", page.alias("raw_text")).withColumn("char_count", F.length(text.strip(F.col("raw_text"))))
+    whole = rows.select("doc_id", "page_number", page.alias("raw_text"))
+    scans = _papers(spark, sf_dir).where("doc_id % 10 = 9").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(1).alias("page_number"), F.substring("full_text", 1, 40).alias("raw_text"))
+    return whole.unionByName(scans).withColumn("char_count", F.length(text.strip(F.col("raw_text"))))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _papers(spark, sf_dir).withColumn("clean_text", text.without_references(text.clean_text(F.col("full_text"))))
+    docs = text.with_clean_text(_papers(spark, sf_dir))
     return docs.select("doc_id", "clean_text", documents.problem(F.col("full_text"), F.col("clean_text")).alias("problem"))
 
 
@@ -166,6 +165,64 @@ def overlap_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")}).withColumn("problem", retrieval.question_problem(F.col("question")).cast("long")).drop("question")
 
 
+def whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", text.one_spaced(F.col("text")).alias("one_spaced"))
+
+
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sections.texts_of(["conclusion", "abstract", "appendix"])
+    return _prepared(spark, sf_dir).select("doc_id", texts.alias("texts"), F.array_join(sections.names_of(), ",").alias("names"))
+
+
+def abstracts_without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a plain note whose first 600 characters follow the word Abstract; no line is a heading."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("tx"))
+    notes = docs.select("doc_id", F.expr(fixtures.NOTE.replace("chr(10)", "char(10)")).alias("full_text"))
+    rows = analyze.prepared(notes).select("doc_id", F.inline_outer("sections")).where("name is not null")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("ord", "start_line", "end_line")})
+
+
+def embedded_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text.with_clean_text(_papers(spark, sf_dir)).withColumns({c: F.expr(x) for c, x in fixtures.EMBEDDED.items()})
+    out = sections.with_embedded(docs)
+    return out.select("doc_id", "title", "doi", "year", *[F.array_join(c, "|").alias(c) for c in ("authors", "keywords")])
+
+
+def query_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence of each document is the query."""
+    rows = _sentences(spark, sf_dir)
+    out = ranking.query_similarity(rows, rows.where("pos = 0").select("doc_id", "sent"), ["doc_id"])
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("similarity", 6).alias("similarity"))
+
+
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as JSON bodies of requests; some name no paper, an unknown one, or lack a field."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    made = turns.select("conv_id", "turn", F.expr(fixtures.REQUEST_ID).alias("document_id"), F.expr(fixtures.REQUEST_QUESTION).alias("question"))
+    bodies = made.select("conv_id", "turn", F.to_json(F.struct("document_id", "question")).alias("body"))
+    known = table(spark, sf_dir, "documents").select(F.expr(fixtures.KEY.format("doc_id")).alias("document_id"))
+    out = documents.requests(bodies, known)
+    return out.select("conv_id", "turn", "document_id", "question", F.col("status").cast("long").alias("status"))
+
+
+def paper_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paper is asked one of the suggested questions; the chunks of the paper that lie nearest give the context."""
+    docs = documents.kept(_prepared(spark, sf_dir).select("doc_id", "clean_text", "sections"), "papers")
+    pages = _pages(spark, sf_dir).select("doc_id", "page_number", text.clean_text(F.col("raw_text")).alias("text"))
+    chunked = documents.kept(sections.chunk_pages(sections.chunks(docs), pages), "chunks")
+    listed = F.array(*map(F.lit, fixed.QUESTIONS))
+    questions = docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.get(listed, (F.col("doc_id") % len(fixed.QUESTIONS)).cast("int")).alias("question"))
+    out = retrieval.paper_answers(questions, docs, chunked)
+    shown = F.transform("sources", lambda s: F.concat_ws(":", s["section"], F.array_join(s["pages"].cast("array<string>"), ","), F.format_number(s["similarity"], 3)))
+    return out.select("doc_id", "question", "result.answer", "result.found_in_paper", F.col("result.score").alias("confidence"), F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("sources"))
+
+
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analysis(spark, sf_dir).withColumn("findings", F.array_join("findings", "|"))
+    return rows.select("doc_id", "objective", "methodology", "findings", "contribution", "summary", "conclusion", "key_insight", "simple_explanation", "why_it_matters")
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.analyse(_papers(spark, sf_dir))
 
@@ -176,8 +233,7 @@ def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers written as files, read as a stream, cleaned, segmented and appended once."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quire-")
-    folder = f"{root.rstrip('/')}/quire-ingest-{uuid.uuid4().hex}"
+    folder = documents.shared_folder(spark, "ingest")
     _papers(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "full_text").write.parquet(f"{folder}/in")
     ingest.start(ingest.arriving(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "clean_text", F.size("sections").cast("long").alias("n_sections"))
@@ -188,6 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
+        whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights,
     )
 }
 
@@ -210,7 +267,7 @@ ORACLE_SQL: dict[str, str] = {
     "sentences": f"WITH {_RAW} SELECT grp AS doc_id, pos, sent, {oracle.CONTENT} AS content FROM rows",
     "chunks_5_2": f"WITH {oracle.BASE}, {oracle.chunk_rows()} SELECT * FROM chunks",
     "chunk_pages": f"WITH {oracle.BASE}, {oracle.chunk_rows()}, {oracle.PAGES}, pt AS (SELECT doc_id, page_number, {oracle.clean('raw_text')} AS page FROM fx_pages), n AS (SELECT doc_id, chunk_id, {oracle.strip('substr(text, 1, 60)')} AS needle FROM chunks) SELECT n.doc_id, chunk_id, coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number), '') AS page_numbers FROM n LEFT JOIN pt ON pt.doc_id = n.doc_id AND needle <> '' AND contains(page, needle) GROUP BY n.doc_id, chunk_id",
-    "documents_from_pages": f"WITH papers AS ({fixtures.PAPERS_SQL}), {oracle.PAGES}, d AS (SELECT doc_id, count(*) AS total_pages, string_agg(raw_text, chr(10) ORDER BY page_number) AS full_text, avg(length({oracle.strip('raw_text')})) AS a FROM fx_pages GROUP BY doc_id) SELECT doc_id, total_pages, full_text, a < 80 AS is_scanned, CASE WHEN a < 80 THEN format('This document appears to be scanned (average {{:.0f}} characters a page).', a) END AS warning FROM d",
+    "documents_from_pages": f"WITH papers AS ({fixtures.PAPERS_SQL}), {oracle.PAGES}, d AS (SELECT doc_id, count(*) AS total_pages, string_agg(raw_text, chr(10) ORDER BY page_number) AS full_text, avg(length({oracle.strip('raw_text')})) AS a FROM fx_pages GROUP BY doc_id) SELECT doc_id, total_pages, full_text, a < 80 AS is_scanned, CASE WHEN a < 80 THEN format('This PDF appears to be scanned or image-based (avg {{:.0f}} chars/page). Text extraction quality may be poor. OCR is not available.', a) END AS warning FROM d",
     "upload_admission": r"WITH p AS (SELECT *, CASE page_id % 4 WHEN 0 THEN concat('%PDF-1.4', html) WHEN 1 THEN html WHEN 2 THEN '' ELSE concat('%PDF', html) END AS body FROM pages) SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 415 WHEN strlen(body) > 52428800 THEN 413 WHEN strlen(body) = 0 THEN 400 WHEN substr(body, 1, 4) <> '%PDF' THEN 422 ELSE 200 END::bigint AS status, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_.\-]', '_', 'g'), '^[.\-]+', ''), ''), 'uploaded_file') AS file_name, CASE WHEN length(url) <= 20 THEN url ELSE regexp_replace(substr(url, 1, 20), ' [^ ]*$', '') || '...' END AS short_url, strlen(html) / 1048576.0::double AS mb FROM p",
     "cue_statements": f"WITH {oracle.SLOTS} {oracle.statements()}",
     "ranked_slots": f"WITH {_POINTS} SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS sents FROM best GROUP BY doc_id, slot",
@@ -230,5 +287,41 @@ r AS (SELECT *, coalesce(trim(question), '') = '' OR coalesce(trim(context), '')
 SELECT conv_id, turn, CASE WHEN none THEN '{fixed.NO_CONTEXT}' WHEN hit THEN best ELSE '{fixed.NO_ANSWER}' END AS answer, CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper,
 CASE WHEN NOT none AND hit THEN strpos(context, best) - 1 ELSE 0 END::bigint AS start, CASE WHEN NOT none AND hit THEN strpos(context, best) - 1 + length(best) ELSE 0 END::bigint AS end,
 CASE WHEN question IS NULL OR length(question) < 3 OR length(question) > 500 THEN 422 WHEN trim(question) = '' THEN 400 END::bigint AS problem FROM r""",
+    "future_research": f"WITH RECURSIVE {oracle.SLOTS}, {oracle.directions(['retrieval', 'graph inference'])} SELECT doc_id, place::integer AS place, topic, question, reason, evidence, is_inferred FROM directions",
+    "whitespace": r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one_spaced FROM documents",
+    "section_lookup": f"WITH {oracle.BASE} SELECT c.doc_id, concat_ws(chr(10) || chr(10), nullif(max(text) FILTER (name = 'conclusion'), ''), nullif(max(text) FILTER (name = 'abstract'), ''), nullif(max(text) FILTER (name = 'appendix'), '')) AS texts, coalesce(string_agg(name, ',' ORDER BY ord), '') AS names FROM clean c LEFT JOIN sections s ON s.doc_id = c.doc_id GROUP BY c.doc_id",
+    "abstracts_without_headings": f"WITH notes AS (SELECT doc_id, {oracle.clean('full_text')} AS t FROM (SELECT doc_id, {fixtures.NOTE} AS full_text FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS tx FROM documents))), a AS (SELECT doc_id, {oracle.strip(f"regexp_extract(t, '(?is){fixed.ABSTRACT_START}({fixed.ABSTRACT_END})', 1)")} AS text FROM notes) SELECT doc_id, 0::bigint AS ord, 'abstract' AS name, 'Abstract' AS heading, text, 0::bigint AS start_line, 10::bigint AS end_line FROM a WHERE text <> ''",
+    "embedded_metadata": f"""WITH {oracle.BASE}, m AS ({oracle.METADATA}), e AS (SELECT doc_id, {', '.join(f'{x} AS {c}' for c, x in fixtures.EMBEDDED.items())} FROM clean)
+SELECT doc_id, CASE WHEN length({oracle.strip("coalesce(pdf_title, '')")}) > 3 THEN {oracle.strip("coalesce(pdf_title, '')")} ELSE title END AS title, doi, year,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(pdf_author, ''), '(?i)[,;]|\\band\\b'), lambda x: {oracle.strip('x')}), lambda x: length(x) > 2), '|') AS authors,
+  array_to_string(list_filter(list_transform(string_split(coalesce(pdf_subject, ''), ','), lambda x: {oracle.strip('x')}), lambda x: x <> ''), '|') AS keywords FROM m JOIN e USING (doc_id)""",
+    "query_similarity": f"""WITH {_RAW}, both_rows AS (SELECT * FROM rows UNION ALL SELECT grp, sent, -1 AS pos FROM rows WHERE pos = 0), {oracle.tfidf('both_rows')},
+c AS (SELECT grp, term, sum(w) AS c FROM w WHERE pos < 0 GROUP BY ALL), v AS (SELECT grp, sqrt(sum(c * c)) AS norm FROM c GROUP BY grp),
+s AS (SELECT grp, pos, sum(w * c) / any_value(norm) AS near FROM w JOIN c USING (grp, term) JOIN v USING (grp) WHERE pos >= 0 GROUP BY grp, pos)
+SELECT grp AS doc_id, pos, round(CASE WHEN n < 2 THEN 1.0 ELSE coalesce(near, 0.0) END, 6) AS similarity FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM rows) LEFT JOIN s USING (grp, pos)""",
+    "chat_requests": f"""WITH m AS (SELECT conv_id, turn, {fixtures.REQUEST_ID} AS raw, {fixtures.REQUEST_QUESTION} AS question FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')),
+k AS (SELECT *, CASE WHEN regexp_full_match(lower(raw), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN lower(raw) END AS document_id FROM m),
+d AS (SELECT DISTINCT {fixtures.KEY.format('doc_id')} AS id FROM documents)
+SELECT conv_id, turn, document_id, question, CASE WHEN raw IS NULL OR question IS NULL OR length(question) < 3 OR length(question) > 500 THEN 422 WHEN document_id IS NULL THEN 400 WHEN id IS NULL THEN 404 WHEN {oracle.strip('question')} = '' THEN 400 ELSE 200 END::bigint AS status FROM k LEFT JOIN d ON id = document_id""",
+    "paper_answers": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, {oracle.PAGES}, {oracle.PAGED},
+asked AS (SELECT doc_id, [{', '.join(f"'{x}'" for x in fixed.QUESTIONS)}][doc_id % {len(fixed.QUESTIONS)} + 1] AS question FROM clean),
+qv AS (SELECT doc_id, question, {oracle.hashed('question')} AS q FROM asked), cv AS (SELECT *, {oracle.hashed('text')} AS c FROM chunks),
+near AS (SELECT doc_id, chunk_id, section_name, text, round(list_sum(list_transform(range(1, 65), lambda i: q[i] * c[i])) / greatest(sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-10), 9) AS score FROM qv JOIN cv USING (doc_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id DESC) AS rank FROM near WHERE score > 0.1 QUALIFY rank <= 5),
+fit AS (SELECT * FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY rank) AS run FROM top) WHERE run <= 6000),
+ctx AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(coalesce(nullif(section_name, ''), '{fixed.UNKNOWN_SECTION}') || ':' || pages || ':' || format('{{:.3f}}', round_even(score, 3)), '|' ORDER BY rank) AS sources FROM fit JOIN paged USING (doc_id, chunk_id) GROUP BY doc_id),
+given AS (SELECT a.doc_id, question, CASE WHEN a.doc_id NOT IN (SELECT doc_id FROM chunks) THEN substr(clean_text, 1, 8000) ELSE coalesce(context, '') END AS context, coalesce(sources, '') AS sources FROM asked a JOIN clean USING (doc_id) LEFT JOIN ctx USING (doc_id)),
+{oracle.answered('given', 'doc_id')}
+SELECT r.doc_id, r.question, CASE WHEN r.context = '' THEN '{fixed.NO_RELEVANT}' ELSE answer END AS answer, found_in_paper, score AS confidence, sources FROM r JOIN given USING (doc_id)""",
+    "insights": f"""WITH {_POINTS}, st AS ({oracle.statements('chr(1)')}),
+told AS (SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS t, string_agg(sent, chr(1) ORDER BY pos) AS listed FROM best GROUP BY doc_id, slot),
+wide AS (SELECT doc_id, {', '.join(f"max(t) FILTER (slot = '{x}') AS r_{x}" for x in ('objective', 'methodology', 'contribution', 'summary', 'conclusion', 'abstract'))}, max(listed) FILTER (slot = 'findings') AS r_findings FROM told GROUP BY doc_id),
+base AS (SELECT st.doc_id, {', '.join(f"coalesce(nullif({x}, ''), r_{x}, '') AS {x}" for x in ('objective', 'methodology', 'contribution', 'findings'))}, coalesce(r_summary, '{fixed.NO_SUMMARY}') AS summary, coalesce(nullif(r_conclusion, ''), nullif(r_abstract, ''), '') AS conclusion FROM st LEFT JOIN wide USING (doc_id)),
+derived AS (SELECT doc_id, 'one' AS slot, 1 AS most, summary AS t FROM base UNION ALL SELECT doc_id, 'two', 2, substr(summary || ' ' || methodology, 1, 1000) FROM base),
+rows2 AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos FROM ({oracle.unnested('derived', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')}) WHERE sent IS NOT NULL), {oracle.scored('rows2', '2')},
+told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t FROM placed2 p JOIN (SELECT DISTINCT grp, doc_id, slot, most FROM rows2) r USING (grp) WHERE place <= most GROUP BY r.doc_id, r.slot),
+picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
+keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''), one, substr(summary, 1, 200)) END AS key_insight FROM picked)
+SELECT doc_id, objective, methodology, replace(findings, chr(1), '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
     "stream_ingest": f"WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)",
 }

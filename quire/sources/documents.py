@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import fixed, text
 
 MOST_BYTES = 50 << 20
 TYPES = ("application/pdf", "application/octet-stream")
@@ -16,6 +19,24 @@ SCANNED_BELOW, LEAST_CHARACTERS = 80, 200
 PAGES = "doc_id string, page_number int, raw_text string, char_count int, image_count int, has_text boolean"
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors see; of this machine only if all tasks run here."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/quire-{label}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """rows, written to the shared folder once for all that reads them."""
+    path = shared_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, content of the files under path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
@@ -46,10 +67,29 @@ def documents_of(pages: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("page_number", "raw_text")))
     out = pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"))
     scanned = F.col("average") < SCANNED_BELOW
-    warning = F.when(scanned, F.format_string("This document appears to be scanned (average %d characters a page).", F.bround("average").cast("long")))
+    before, after = fixed.SCANNED
+    warning = F.when(scanned, F.concat(F.lit(before), F.bround("average").cast("long").cast("string"), F.lit(after)))
     return out.select("doc_id", "total_pages", "full_text", scanned.alias("is_scanned"), warning.alias("warning"))
 
 
+REQUEST = "document_id string, question string"
+
+
+def requests(bodies: DataFrame, known: DataFrame, body: str = "body") -> DataFrame:
+    """bodies with document_id (null unless it is a UUID), question and `status`: the answer that a request for a paper gets.
+
+    422: no JSON object with both fields, or a question of under 3 or over 500 characters; 400: an id that isn't a UUID, or
+    a blank question; 404: an id that `known` (document_id) lacks; else 200. A point lookup is the same with one row.
+    """
+    asked = bodies.withColumn("_r", F.from_json(body, REQUEST))
+    asked = asked.withColumns({"document_id": text.document_key(F.col("_r.document_id")), "question": F.col("_r.question")})
+    found = known.select(text.document_key(F.col("document_id")).alias("document_id")).distinct().withColumn("_known", F.lit(True))
+    out, n = asked.join(found, "document_id", "left"), F.length("question")
+    bad = F.col("_r.document_id").isNull() | F.col("question").isNull() | (n < 3) | (n > 500)
+    status = F.when(bad, 422).when(F.col("document_id").isNull(), 400).when(F.col("_known").isNull(), 404).when(text.strip(F.col("question")) == "", 400).otherwise(200)
+    return out.withColumn("status", status).select(*bodies.columns, "document_id", "question", "status")
+
+
 def problem(full_text: Column, clean: Column) -> Column:
     """Why a document isn't analysed; null if it is."""
     return F.when(text.strip(F.coalesce(full_text, F.lit(""))) == "", "no text").when(F.length(clean) < LEAST_CHARACTERS, "too short")

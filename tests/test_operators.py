@@ -124,6 +124,81 @@ def test_files(spark, tmp_path):
     assert len(out) == 2 and all(r.total_pages == 2 and r.is_scanned for r in out)
 
 
+def test_scanned_papers_are_told(spark):
+    rows = [(1, k, "x" * n, n) for k, n in enumerate((80, 79, 79), 1)] + [(2, 1, "x" * 100, 100)]
+    out = {r.doc_id: r for r in documents.documents_of(spark.createDataFrame(rows, "doc_id long, page_number int, raw_text string, char_count int")).collect()}
+    assert out[1].warning == "This PDF appears to be scanned or image-based (avg 79 chars/page). Text extraction quality may be poor. OCR is not available."
+    assert out[1].is_scanned and not out[2].is_scanned and out[2].warning is None
+
+
+def test_requests(spark):
+    key = "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"
+    bodies = [("no json", 422), ("{}", 422), (f'{{"document_id": "{key.upper()}", "question": "what?"}}', 200), (f'{{"document_id": "{key}", "question": "ab"}}', 422), (f'{{"document_id": "{key}", "question": "    "}}', 400), ('{"document_id": "nope", "question": "what?"}', 400), (f'{{"document_id": "b{key[1:]}", "question": "what?"}}', 404), (None, 422)]
+    rows = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(bodies)], "k int, body string")
+    known = spark.createDataFrame([(key,), (key,)], "document_id string")
+    got = {r.k: r for r in documents.requests(rows, known).collect()}
+    assert [got[k].status for k in range(len(bodies))] == [s for _, s in bodies]
+    assert got[2].document_id == key and got[5].document_id is None
+    assert spark.range(2).select(text.new_document_key().alias("k")).where(text.document_key(F.col("k")).isNotNull()).distinct().count() == 2
+
+
+def test_embedded_metadata_wins(spark):
+    rows = [(1, "A likely title line\nmore", " Given title ", "Ann Lee and Bo Chan", "a, ,b "), (2, "A likely title line\nmore", "abc", None, None)]
+    got = sections.with_embedded(spark.createDataFrame(rows, "doc_id long, clean_text string, pdf_title string, pdf_author string, pdf_subject string")).orderBy("doc_id").collect()
+    assert (got[0].title, got[0].authors, got[0].keywords) == ("Given title", ["Ann Lee", "Bo Chan"], ["a", "b"])
+    assert (got[1].title, got[1].authors, got[1].keywords) == ("A likely title line", [], [])
+
+
+def test_answers_come_from_the_nearest_chunks(spark):
+    chunked = spark.createDataFrame([(1, 0, "results", [2], "The graph model improves recall on every split."), (1, 1, "", [3], "Bananas are yellow and apples are green."), (2, 0, "x", [], "zzz")], "doc_id long, chunk_id int, section_name string, page_numbers array<int>, text string")
+    docs = spark.createDataFrame([(1, "whole"), (2, "whole"), (3, "The graph model improves recall here too."), (4, "")], "doc_id long, clean_text string")
+    asked = spark.createDataFrame([(k, k, "Which graph model improves recall?") for k in (1, 2, 3, 4)], "query_id long, doc_id long, question string")
+    got = {r.doc_id: r for r in retrieval.paper_answers(asked, docs, chunked).collect()}
+    assert got[1].result.answer == "The graph model improves recall on every split." and got[1].sources[0].section == "results" and got[1].sources[0].pages == [2]
+    assert got[2].result.answer.startswith("I could not find relevant content") and not got[2].result.found_in_paper
+    assert got[3].result.found_in_paper and got[3].sources is None
+    assert not got[4].result.found_in_paper
+
+
+def test_query_similarity(spark):
+    rows = [(1, 0, "graphs recall models"), (1, 1, "bananas apples"), (1, 2, "graphs again"), (2, 0, "alone graphs")]
+    got = ranking.query_similarity(spark.createDataFrame(rows, "doc_id long, pos int, sent string"), spark.createDataFrame([(1, "graphs models"), (1, "recall"), (2, "none")], "doc_id long, sent string"), ["doc_id"])
+    near = {(r.doc_id, r.pos): r.similarity for r in got.collect()}
+    assert near[2, 0] == 1.0 and near[1, 1] == 0.0 and near[1, 0] > near[1, 2] > 0
+
+
+def test_chunks_take_linear_time(spark):
+    """Twice the sentences in a section take less than three times as long."""
+    import time
+
+    def seconds(n):
+        long = " ".join(f"Sentence number {k} says something of its own." for k in range(n))
+        docs = spark.createDataFrame([(1, long)], "doc_id long, clean_text string").withColumn("sections", F.expr("cast(array() as array<struct<ord: int, name: string, heading: string, text: string, start_line: int, end_line: int>>)"))
+        began = time.time()
+        assert sections.chunks(docs).count() == 1 + math.ceil((n - 5) / 3)
+        sections.chunks(docs).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(12_800) < 3 * seconds(6_400) + 1
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_blocks_of_queries_do_not_matter(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [(k, rng.normal(size=8 if k % 5 else 4).round(1).tolist()) for k in range(300)] + [(k, [1.0] * 8) for k in range(300, 320)] + [(400, [0.0] * 8), (401, None)]
+    queries = [(k, v) for k, v in vectors if k % 13 == 0] + [(500, [1.0] * 8)]
+    got = retrieval.cosine_top(spark.createDataFrame(queries, "query_id long, embedding array<double>"), spark.createDataFrame(vectors, "id long, embedding array<double>").repartition(4), 5, block)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((-r.score, -r.id))
+    for name, q in queries:
+        near = [(-round(float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)), 9), -k) for k, v in vectors if v and any(v) and q and any(q) and len(v) == len(q)]
+        assert sorted(found.get(name, [])) == sorted(x for x in near if -x[0] > 0.1)[:5], name
+
+
 def test_append_new_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, t string")
     for _ in range(2):
