@@ -120,6 +120,7 @@ EXTENDING = ("Extending ", " approaches")
 RUNNING_LINE = r"^.{0,80}(page\s+[0-9]+\s+of\s+[0-9]+|doi:\s*10\.[0-9]+|©\s*[0-9]{4}|all rights reserved).{0,80}$"
 PAGE_NUMBER_LINE = r"^\s*[0-9]{1,4}\s*$"
 REFERENCES_LINE = r"\n\s*(references|bibliography|works\s+cited)\s*\n"
+BLOCK_END = r"[^\p{L}\p{N}_\s'\-]+"
 DOI = r"10\.[0-9]{4,}/\S+"
 YEAR = r"\b(19|20)[0-9]{2}\b"
 ABSTRACT_START = r"\bAbstract\b[\s:—\-]*\n?(.*?)"

@@ -236,3 +236,38 @@ directions AS (SELECT * FROM (
     CASE WHEN inferred = 0 THEN {question} ELSE {_q(f.OVERCOME[0])} || {cut(120)} || {_q(f.OVERCOME[1])} END AS question,
     CASE WHEN inferred = 0 THEN {_q(f.EXPLICIT_REASON)} ELSE {_q(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
   UNION ALL {filled}) WHERE place < 6)"""
+
+
+def phrases(most: int = 8000) -> str:
+    """CTE scores (doc_id, phrase, n, score) after BASE: runs of up to three words by the statistics of their words."""
+    blocks = rf"regexp_split_to_array(sent, {_q(fixed.BLOCK_END)})"
+    words = f"regexp_extract_all(b, '{_WORD}+')"
+    block = "(PARTITION BY doc_id, sent_no, block ORDER BY spot)"
+    term = "(PARTITION BY doc_id, term)"
+    share = lambda c: f"coalesce(count(DISTINCT {c}) / nullif(count({c}), 0), 0.0)"
+    return rf"""
+ys AS (SELECT doc_id, sent, pos AS sent_no FROM ({unnested('clean', 'doc_id', sentences(f'substr(clean_text, 1, {most})', 0), 'sent')})),
+yb AS (SELECT doc_id, sent_no, unnest({blocks}) AS b, generate_subscripts({blocks}, 1) - 1 AS block FROM ys),
+yw AS (SELECT doc_id, sent_no, block, unnest({words}) AS word, generate_subscripts({words}, 1) - 1 AS spot FROM yb),
+yk AS (SELECT *, lower(word) AS term, CASE WHEN NOT regexp_matches(word, '\p{{L}}') THEN 'number'
+    WHEN list_contains({_STOP}, lower(word)) OR length(word) < 3 THEN 'stop' ELSE 'word' END AS kind FROM yw),
+yn AS (SELECT *, lag(term) OVER {block} AS before, lead(term) OVER {block} AS next1, lead(kind) OVER {block} AS kind1,
+    lead(term, 2) OVER {block} AS next2, lead(kind, 2) OVER {block} AS kind2 FROM yk),
+yt AS (SELECT doc_id, term, any_value(kind) AS kind, count(*) AS tf, median(sent_no) AS middle, count(DISTINCT sent_no) AS in_sents,
+    {share('before')} + {share('next1')} AS sides,
+    greatest(count(*) FILTER (regexp_matches(word, '^\p{{Lu}}') AND NOT (block = 0 AND spot = 0)), count(*) FILTER (length(word) > 1 AND word = upper(word) AND word <> term)) AS cased
+  FROM yn GROUP BY doc_id, term),
+yd AS (SELECT doc_id, avg(tf) FILTER (kind = 'word') + stddev_pop(tf) FILTER (kind = 'word') AS usual, max(tf) AS most FROM yt GROUP BY doc_id),
+yl AS (SELECT doc_id, max(sent_no) + 1 AS sents FROM yw GROUP BY doc_id),
+yr AS (SELECT *, 1.0::double + sides * tf / most AS rel FROM yt JOIN yd USING (doc_id) JOIN yl USING (doc_id)),
+yv AS (SELECT doc_id, term, tf, rel * ln(ln(3.0 + middle)) / (cased / (1.0 + ln(tf)) + (tf / usual) / rel + (in_sents / sents) / rel) AS weight FROM yr),
+yp AS (SELECT doc_id, term, next1, count(*) AS follows FROM yn WHERE next1 IS NOT NULL GROUP BY ALL),
+yc AS (SELECT yn.*, a.weight AS w, b.weight AS w1, c.weight AS w2, (p.follows / a.tf) * (q.follows / b.tf) AS bound
+  FROM yn JOIN yv a USING (doc_id, term) LEFT JOIN yv b ON b.doc_id = yn.doc_id AND b.term = yn.next1 LEFT JOIN yv c ON c.doc_id = yn.doc_id AND c.term = yn.next2
+  LEFT JOIN yp p ON p.doc_id = yn.doc_id AND p.term = yn.term AND p.next1 = yn.next1
+  LEFT JOIN yp q ON q.doc_id = yn.doc_id AND q.term = yn.next1 AND q.next1 = yn.next2 WHERE yn.kind = 'word'),
+ye AS (SELECT doc_id, term AS phrase, 1 AS n, w AS times, w AS plus FROM yc
+  UNION ALL SELECT doc_id, term || ' ' || next1, 2, w * w1, w + w1 FROM yc WHERE kind1 = 'word'
+  UNION ALL SELECT doc_id, term || ' ' || next1 || ' ' || next2, 3, w * (CASE kind1 WHEN 'stop' THEN 2.0 - bound ELSE w1 END) * w2, w + (CASE kind1 WHEN 'stop' THEN bound - 1.0 ELSE w1 END) + w2
+    FROM yc WHERE kind1 IN ('word', 'stop') AND kind2 = 'word'),
+scores AS (SELECT doc_id, phrase, n, any_value(times) / (count(*) * (1.0 + any_value(plus))) AS score FROM ye GROUP BY doc_id, phrase, n)"""

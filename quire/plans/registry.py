@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
-from quire.operators import cues, ranking, retrieval, sections
+from quire.operators import cues, phrases, ranking, retrieval, sections
 from quire.plans import analyze, fixtures, oracle
 from quire.sources import documents
 from quire.streaming import ingest
@@ -218,6 +218,15 @@ def paper_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "question", "result.answer", "result.found_in_paper", F.col("result.score").alias("confidence"), F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("sources"))
 
 
+def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrases.phrase_scores(_prepared(spark, sf_dir))
+    return rows.select("doc_id", "phrase", F.col("n").cast("long").alias("n"), F.round("score", 6).alias("score"))
+
+
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.key_phrases(_prepared(spark, sf_dir))
+
+
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysis(spark, sf_dir).withColumn("findings", F.array_join("findings", "|"))
     return rows.select("doc_id", "objective", "methodology", "findings", "contribution", "summary", "conclusion", "key_insight", "simple_explanation", "why_it_matters")
@@ -244,7 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
-        whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights,
+        whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights, phrase_scores, key_phrases,
     )
 }
 
@@ -323,5 +332,6 @@ told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t F
 picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
 keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''), one, substr(summary, 1, 200)) END AS key_insight FROM picked)
 SELECT doc_id, objective, methodology, replace(findings, chr(1), '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
+    "phrase_scores": f"WITH {oracle.BASE}, {oracle.phrases()} SELECT doc_id, phrase, n::bigint AS n, round(score, 6) AS score FROM scores",
     "stream_ingest": f"WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)",
 }

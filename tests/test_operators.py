@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import cues, ranking, retrieval, sections
+from quire.operators import cues, phrases, ranking, retrieval, sections
 from quire.plans import analyze, registry
 from quire.sources import documents
 
@@ -231,3 +231,38 @@ def test_query_matches_sql(spark, data, duck, name):
 def test_analysis(spark, data):
     rows = registry.analysis(spark, data).collect()
     assert len(rows) == 200 and all(len(r.directions) >= 3 and r.summary and r.objective and r.keywords and r.domain for r in rows)
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_key_phrases(spark, data):
+    """The fold over the scored phrases against a plain loop; the scores are held against SQL."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 20").select("doc_id", F.col("text").alias("clean_text")).cache()
+    listed = {}
+    for r in phrases.phrase_scores(docs).collect():
+        listed.setdefault(r.doc_id, []).append((round(r.score, 12), r.phrase))
+    want = set()
+    for doc_id, found in listed.items():
+        kept = []
+        for score, phrase in sorted(found):
+            if len(kept) < 20 and all(1 - edits(p, phrase) / max(len(p), len(phrase)) <= 0.7 for _, p in kept):
+                kept.append((score, phrase))
+        want |= {(doc_id, k, p) for k, (_, p) in enumerate(kept[:15], 1)}
+    got = {(r.doc_id, r.rank, r.phrase) for r in phrases.key_phrases(docs).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_phrases_of_odd_texts(spark):
+    rows = [(1, None), (2, " "), (3, "12 34, 5."), (4, "of the of"), (5, "Deep learning, deep learning of graphs. Deep learning 7 wins"), (5, "Deep nets"), (5, "Deep nets"), (None, "Lone word")]
+    got = phrases.phrase_scores(spark.createDataFrame(rows, "doc_id long, clean_text string")).collect()
+    assert {r.doc_id for r in got} == {5, None} and all(r.score > 0 for r in got)
+    told = {r.phrase for r in got if r.doc_id == 5}
+    assert sum(r.phrase == "deep nets" for r in got) == 1 and {"deep", "deep learning", "learning of graphs", "deep nets"} <= told
+    assert not any("7" in p or p.startswith("of") or p.endswith(" of") for p in told) and "learning deep" not in told
