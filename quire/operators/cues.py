@@ -60,7 +60,11 @@ def domain_of(docs: DataFrame, words: str, heading: str) -> DataFrame:
     """docs with `domain`, of which most cue words are part of the keywords and the title; the earlier one on a tie."""
     t = F.concat(F.lower(F.array_join(words, " ")), F.lit(" "), F.lower(heading))
     out = docs.withColumn("_t", t)
-    counts = F.array(*[F.struct(F.size(F.filter(F.array(*map(F.lit, cues)), lambda c: F.contains(F.col("_t"), c))).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, cues) in enumerate(fixed.DOMAINS)])
+    found = lambda cues: F.size(F.filter(F.array(*map(F.lit, cues)), lambda c: F.contains(F.col("_t"), c)))
+    counts = F.array(*[
+        F.struct(found(cues).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name"))
+        for k, (name, cues) in enumerate(fixed.DOMAINS)
+    ])
     best = F.array_max(counts)
     return out.withColumn("_best", best).withColumn("domain", F.when(F.col("_best.score") > 0, F.col("_best.name")).otherwise(fixed.NO_DOMAIN)).drop("_t", "_best")
 
@@ -112,7 +116,8 @@ def with_limitations(found: Column, limits: Column) -> Column:
     cut = lambda x, n: F.regexp_replace(F.substring(x, 1, n), r"[.,]+\z", "")
 
     def add(s: Column, x: Column) -> Column:
-        new = _direction(F.concat(F.lit(fixed.ADDRESSING), cut(x, 60)), F.concat(F.lit(fixed.OVERCOME[0]), cut(x, 120), F.lit(fixed.OVERCOME[1])), fixed.LIMITATION_REASON, F.substring(x, 1, 300), False)
+        asked = F.concat(F.lit(fixed.OVERCOME[0]), cut(x, 120), F.lit(fixed.OVERCOME[1]))
+        new = _direction(F.concat(F.lit(fixed.ADDRESSING), cut(x, 60)), asked, fixed.LIMITATION_REASON, F.substring(x, 1, 300), False)
         return F.when((F.size(s) < 5) & (F.length(x) >= 30) & _is_new(s, x), F.array_append(s, new).cast(DIRECTIONS)).otherwise(s)
 
     return F.aggregate(limits, found, add)

@@ -24,7 +24,8 @@ def with_sections(docs: DataFrame, column: str = "clean_text") -> DataFrame:
     """
     lines = F.split(F.col(column), "\n")
     out = docs.withColumn("_lines", lines)
-    heads = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), heading_name(x).alias("name"), text.strip(x).alias("heading"))), lambda h: h["name"].isNotNull())
+    told = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), heading_name(x).alias("name"), text.strip(x).alias("heading")))
+    heads = F.filter(told, lambda h: h["name"].isNotNull())
     out = out.withColumn("_heads", heads)
 
     def section(h: Column, k: Column) -> Column:
@@ -32,7 +33,8 @@ def with_sections(docs: DataFrame, column: str = "clean_text") -> DataFrame:
         before = F.exists(F.slice("_heads", F.lit(1), k), lambda x: x["name"] == h["name"])
         name = F.when(before, F.concat(h["name"], F.lit("_"), k.cast("string"))).otherwise(h["name"])
         body = F.array_join(F.slice("_lines", h["at"] + 2, end - h["at"] - 1), "\n")
-        return F.struct(k.cast("int").alias("ord"), name.alias("name"), h["heading"].alias("heading"), text.strip(body).alias("text"), h["at"].alias("start_line"), (end - 1).alias("end_line"))
+        named = [k.cast("int").alias("ord"), name.alias("name"), h["heading"].alias("heading"), text.strip(body).alias("text")]
+        return F.struct(*named, h["at"].alias("start_line"), (end - 1).alias("end_line"))
 
     first = F.coalesce(F.get("_heads", F.lit(0))["at"], F.size("_lines"))
     out = out.withColumns({"sections": F.transform("_heads", section), "preamble": text.strip(F.array_join(F.slice("_lines", F.lit(1), first), "\n"))})
@@ -132,6 +134,8 @@ def chunks(docs: DataFrame, size: int = 5, overlap: int = 2, column: str = "clea
 def chunk_pages(chunked: DataFrame, pages: DataFrame) -> DataFrame:
     """chunked with page_numbers: pages of the document that hold the chunk's first 60 characters; an equi-join by document."""
     needle = text.strip(F.substring("text", 1, 60))
-    hits = chunked.select("doc_id", "chunk_id", needle.alias("needle")).where("needle <> ''").join(pages.select("doc_id", "page_number", F.col("text").alias("page")), "doc_id").where(F.col("page").contains(F.col("needle")))
+    needles = chunked.select("doc_id", "chunk_id", needle.alias("needle")).where("needle <> ''")
+    read = pages.select("doc_id", "page_number", F.col("text").alias("page"))
+    hits = needles.join(read, "doc_id").where(F.col("page").contains(F.col("needle")))
     found = hits.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("page_number")).alias("page_numbers"))
     return chunked.join(found, ["doc_id", "chunk_id"], "left").withColumn("page_numbers", F.coalesce("page_numbers", F.expr("cast(array() as array<int>)")))

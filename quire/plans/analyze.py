@@ -14,7 +14,8 @@ def prepared(papers: DataFrame, normalise: bool = True) -> DataFrame:
     """papers (doc_id, full_text) with clean_text, sections and preamble; a paper without headings gets an abstract section if it has one."""
     out = sections.with_sections(text.with_clean_text(papers, normalise=normalise))
     found = sections.abstract_without_headings(F.col("clean_text"))
-    alone = F.array(F.struct(F.lit(0).alias("ord"), F.lit("abstract").alias("name"), F.lit("Abstract").alias("heading"), found.alias("text"), F.lit(0).alias("start_line"), F.lit(10).alias("end_line")))
+    named = [F.lit(0).alias("ord"), F.lit("abstract").alias("name"), F.lit("Abstract").alias("heading"), found.alias("text")]
+    alone = F.array(F.struct(*named, F.lit(0).alias("start_line"), F.lit(10).alias("end_line")))
     kind = out.schema["sections"].dataType
     return out.withColumn("sections", F.when((F.size("sections") == 0) & found.isNotNull(), alone.cast(kind)).otherwise(F.col("sections")))
 
@@ -45,7 +46,17 @@ def statements(slots: DataFrame) -> DataFrame:
 
 
 #: Ranked texts: slot, its texts in order of preference, sentences that are kept.
-_RANKED = [("objective", ["s_abstract", "s_introduction", "start"], 2), ("methodology", ["s_methodology", "combined"], 3), ("findings", ["s_results", "s_experiments", "s_conclusion", "combined"], 5), ("contribution", ["s_abstract", "s_introduction", "s_conclusion", "combined"], 2), ("summary", ["combined"], 6), ("conclusion", ["s_conclusion"], 3), ("abstract", ["s_abstract"], 2), ("main", ["combined"], 8), *[(f"point_{k}", [f"s_{name}"], 3) for k, name in enumerate(("abstract", "conclusion", "results", "methodology"))]]
+_RANKED = [
+    ("objective", ["s_abstract", "s_introduction", "start"], 2),
+    ("methodology", ["s_methodology", "combined"], 3),
+    ("findings", ["s_results", "s_experiments", "s_conclusion", "combined"], 5),
+    ("contribution", ["s_abstract", "s_introduction", "s_conclusion", "combined"], 2),
+    ("summary", ["combined"], 6),
+    ("conclusion", ["s_conclusion"], 3),
+    ("abstract", ["s_abstract"], 2),
+    ("main", ["combined"], 8),
+    *[(f"point_{k}", [f"s_{name}"], 3) for k, name in enumerate(("abstract", "conclusion", "results", "methodology"))],
+]
 
 
 def ranked_slots(slots: DataFrame) -> DataFrame:
@@ -69,7 +80,11 @@ def main_points(ranked: DataFrame) -> DataFrame:
 
 def with_insights(rows: DataFrame) -> DataFrame:
     """rows (with contribution, findings, methodology, summary) with key_insight, simple_explanation and why_it_matters."""
-    texts = F.array(F.struct(F.lit("one").alias("slot"), F.col("summary").alias("t"), F.lit(1).alias("most")), F.struct(F.lit("two").alias("slot"), F.substring(F.concat("summary", F.lit(" "), "methodology"), 1, 1000).alias("t"), F.lit(2).alias("most")))
+    start = F.substring(F.concat("summary", F.lit(" "), "methodology"), 1, 1000)
+    texts = F.array(*[
+        F.struct(F.lit(slot).alias("slot"), t.alias("t"), F.lit(most).alias("most"))
+        for slot, t, most in (("one", F.col("summary"), 1), ("two", start, 2))
+    ])
     each = rows.select("doc_id", F.explode(texts).alias("e")).select("doc_id", "e.slot", "e.most", "e.t")
     best = ranking.top_sentences(ranking.sentence_rows(each, ["doc_id", "slot", "most"], "t"), ["doc_id", "slot"], 2).where("place <= most")
     told = ranking.joined(best, ["doc_id", "slot"], "told").groupBy("doc_id").pivot("slot", ["one", "two"]).agg(F.first("told"))
@@ -85,7 +100,9 @@ def analyse(papers: DataFrame, normalise: bool = True) -> DataFrame:
     """One row for each paper: metadata, statements with their fallbacks, summaries, keywords, domain and directions."""
     # Cleaned and cut once, for all the parts that are ranked, searched and joined by document.
     docs = documents.kept(with_slots(prepared(papers, normalise)), "slots")
-    base = docs.select("doc_id", sections.title(F.col("clean_text")).alias("title"), sections.year(F.col("clean_text")).alias("year"), sections.doi(F.col("clean_text")).alias("doi"), F.size("sections").alias("n_sections"), "s_conclusion", "s_discussion")
+    t = F.col("clean_text")
+    told_by = [sections.title(t).alias("title"), sections.year(t).alias("year"), sections.doi(t).alias("doi")]
+    base = docs.select("doc_id", *told_by, F.size("sections").alias("n_sections"), "s_conclusion", "s_discussion")
     ranked = documents.kept(ranked_slots(docs), "ranked")
     wide = ranked.groupBy("doc_id").pivot("slot", ["objective", "methodology", "findings", "contribution", "summary", "conclusion", "abstract"]).agg(F.first("sents"))
     wide = wide.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in wide.columns if c != "doc_id"])
@@ -94,8 +111,16 @@ def analyse(papers: DataFrame, normalise: bool = True) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     told = lambda name: F.coalesce(F.array_join(f"r_{name}", " "), F.lit(""))
     out = out.withColumns({n: F.when(F.col(n) != "", F.col(n)).otherwise(told(n)) for n in ("objective", "methodology", "contribution")})
-    out = out.withColumns({"findings": F.when(F.size("findings") > 0, F.col("findings")).otherwise(F.coalesce("r_findings", none)), "keywords": F.coalesce("keywords", none), "main_points": F.coalesce("main_points", none), "summary": F.coalesce(F.array_join("r_summary", " "), F.lit(fixed.NO_SUMMARY)), "conclusion": text.first_filled(told("conclusion"), told("abstract"))})
+    out = out.withColumns({
+        "findings": F.when(F.size("findings") > 0, F.col("findings")).otherwise(F.coalesce("r_findings", none)),
+        "keywords": F.coalesce("keywords", none),
+        "main_points": F.coalesce("main_points", none),
+        "summary": F.coalesce(F.array_join("r_summary", " "), F.lit(fixed.NO_SUMMARY)),
+        "conclusion": text.first_filled(told("conclusion"), told("abstract")),
+    })
     out = with_insights(out)
     out = cues.domain_of(out, "keywords", "title")
     out = cues.with_directions(out, F.concat("s_conclusion", F.lit("\n"), "s_discussion"), "limitations", "keywords")
-    return out.select("doc_id", "title", "year", "doi", "n_sections", "objective", "methodology", "findings", "contribution", "limitations", "datasets", "main_points", "summary", "conclusion", "key_insight", "simple_explanation", "why_it_matters", "keywords", "domain", "directions")
+    stated = ("objective", "methodology", "findings", "contribution", "limitations", "datasets", "main_points", "summary", "conclusion")
+    derived = ("key_insight", "simple_explanation", "why_it_matters", "keywords", "domain", "directions")
+    return out.select("doc_id", "title", "year", "doi", "n_sections", *stated, *derived)

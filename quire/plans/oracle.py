@@ -45,13 +45,21 @@ _NAMES = " ".join(f"WHEN regexp_matches(heading, {_q('(?i)' + p)}) THEN {_q(n)}"
 BASE = rf"""
 papers AS ({PAPERS_SQL}),
 clean0 AS (SELECT doc_id, full_text, {clean('full_text')} AS t FROM papers),
-clean AS (SELECT doc_id, full_text, CASE WHEN regexp_matches(t, '(?i){_REFERENCES}') THEN {strip(f"regexp_extract(t, '(?is)^(.*?){_REFERENCES}', 1)")} ELSE t END AS clean_text FROM clean0),
-lines AS (SELECT doc_id, unnest(string_split(clean_text, chr(10))) AS line, generate_subscripts(string_split(clean_text, chr(10)), 1) - 1 AS lno FROM clean),
-heads AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lno) - 1 AS ord, lead(lno) OVER (PARTITION BY doc_id ORDER BY lno) AS nxt, row_number() OVER (PARTITION BY doc_id, base ORDER BY lno) AS nth
-  FROM (SELECT doc_id, lno, heading, CASE {_NAMES} END AS base FROM (SELECT doc_id, lno, {strip('line')} AS heading FROM lines) WHERE length(heading) <= 80 AND regexp_matches(heading, {_q(fixed.HEADING)})) WHERE base IS NOT NULL),
-sections AS (SELECT h.doc_id, h.ord, CASE WHEN nth > 1 THEN base || '_' || h.ord ELSE base END AS name, heading, {strip("coalesce(string_agg(l.line, chr(10) ORDER BY l.lno), '')")} AS text, h.lno AS start_line, coalesce(nxt, n) - 1 AS end_line
-  FROM heads h JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) USING (doc_id) LEFT JOIN lines l ON l.doc_id = h.doc_id AND l.lno > h.lno AND l.lno < coalesce(nxt, n) GROUP BY ALL),
-preambles AS (SELECT doc_id, {strip("coalesce(string_agg(line, chr(10) ORDER BY lno) FILTER (lno < lead_line), '')")} AS preamble FROM lines LEFT JOIN (SELECT doc_id, min(lno) AS lead_line FROM heads GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+clean AS (SELECT doc_id, full_text, CASE WHEN regexp_matches(t, '(?i){_REFERENCES}') THEN
+    {strip(f"regexp_extract(t, '(?is)^(.*?){_REFERENCES}', 1)")} ELSE t END AS clean_text FROM clean0),
+lines AS (SELECT doc_id, unnest(string_split(clean_text, chr(10))) AS line, generate_subscripts(string_split(clean_text, chr(10)),
+    1) - 1 AS lno FROM clean),
+heads AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lno) - 1 AS ord, lead(lno) OVER (PARTITION BY doc_id ORDER BY lno) AS
+    nxt, row_number() OVER (PARTITION BY doc_id, base ORDER BY lno) AS nth
+  FROM (SELECT doc_id, lno, heading, CASE {_NAMES} END AS base FROM (SELECT doc_id, lno, {strip('line')} AS heading FROM lines)
+    WHERE length(heading) <= 80 AND regexp_matches(heading, {_q(fixed.HEADING)})) WHERE base IS NOT NULL),
+sections AS (SELECT h.doc_id, h.ord, CASE WHEN nth > 1 THEN base || '_' || h.ord
+    ELSE base END AS name, heading, {strip("coalesce(string_agg(l.line, chr(10) ORDER BY l.lno), '')")} AS text, h.lno AS start_line,
+    coalesce(nxt, n) - 1 AS end_line
+  FROM heads h JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN lines l ON l.doc_id = h.doc_id AND l.lno > h.lno AND l.lno < coalesce(nxt, n) GROUP BY ALL),
+preambles AS (SELECT doc_id, {strip("coalesce(string_agg(line, chr(10) ORDER BY lno) FILTER (lno < lead_line), '')")} AS preamble
+    FROM lines LEFT JOIN (SELECT doc_id, min(lno) AS lead_line FROM heads GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
 """
 
 
@@ -64,7 +72,8 @@ _ORDER = ("abstract", "introduction", "methodology", "results", "discussion", "c
 _SLOTS = ", ".join(f"coalesce(s_{n}, '') AS s_{n}" for n in fixed.SECTION_CAPS)
 _COMBINED = ", ".join(f"nullif(s_{n}, '')" for n in _ORDER)
 SLOTS = f"""{BASE},
-slots0 AS (SELECT c.doc_id, c.clean_text, substr(c.clean_text, 1, 2000) AS start, {_SLOTS} FROM clean c LEFT JOIN (SELECT doc_id, {', '.join(map(_slot, fixed.SECTION_CAPS))} FROM sections GROUP BY doc_id) USING (doc_id)),
+slots0 AS (SELECT c.doc_id, c.clean_text, substr(c.clean_text, 1, 2000) AS start, {_SLOTS} FROM clean c LEFT JOIN
+    (SELECT doc_id, {', '.join(map(_slot, fixed.SECTION_CAPS))} FROM sections GROUP BY doc_id) USING (doc_id)),
 slots AS (SELECT *, substr(concat_ws(chr(10) || chr(10), {_COMBINED}), 1, {fixed.COMBINED_CAP}) AS combined FROM slots0)
 """
 
@@ -78,8 +87,10 @@ PLAIN = rf"array_to_string(list_filter(regexp_extract_all(lower(sent), '{_WORD}{
 def tfidf(rows: str, words: str = CONTENT, vocabulary: int = 5000, name: str = "") -> str:
     """CTE w{name} (grp, pos, term, w) from a CTE rows (grp, pos, sent)."""
     return rf"""
-t0{name} AS (SELECT grp, pos, n, regexp_extract_all({words}, '{_WORD}{{2,}}') AS ws FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) WHERE n > 1),
-t1{name} AS (SELECT grp, pos, n, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM t0{name}),
+t0{name} AS (SELECT grp, pos, n, regexp_extract_all({words}, '{_WORD}{{2,}}') AS ws FROM
+    (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) WHERE n > 1),
+t1{name} AS (SELECT grp, pos, n, unnest(list_concat(ws, list_transform(range(1, len(ws)),
+    lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM t0{name}),
 t2{name} AS (SELECT grp, pos, n, term, count(*) AS tf FROM t1{name} GROUP BY ALL),
 t3{name} AS (SELECT grp, term, count(*) AS df, sum(tf) AS total FROM t2{name} GROUP BY ALL),
 t4{name} AS (SELECT grp, term, df FROM t3{name} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY total DESC, term) <= {vocabulary}),
@@ -94,9 +105,12 @@ def scored(rows: str, name: str = "") -> str:
 c{name} AS (SELECT grp, term, sum(w) AS c FROM w{name} GROUP BY ALL),
 v{name} AS (SELECT grp, count(*) AS v, sqrt(sum(c * c)) AS norm FROM c{name} GROUP BY grp),
 s{name} AS (SELECT grp, pos, sum(w) AS mass, sum(w * c) AS dot FROM w{name} JOIN c{name} USING (grp, term) GROUP BY grp, pos),
-p{name} AS (SELECT r.grp, r.pos, r.sent, r.n, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(mass / v, 0.0) END AS tfidf, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(dot / norm, 0.0) END AS similarity,
-  greatest(0.0, 1.0 - r.pos / greatest(0.3 * n, 1.0), 1.0 - (n - 1 - r.pos) / greatest(0.3 * n, 1.0))::double AS position FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) r LEFT JOIN s{name} USING (grp, pos) LEFT JOIN v{name} USING (grp)),
-scored{name} AS (SELECT *, 0.5 * ({scale('tfidf')}) + 0.3 * ({scale('similarity')}) + 0.2 * ({scale('position')}) AS score FROM p{name} WINDOW g AS (PARTITION BY grp)),
+p{name} AS (SELECT r.grp, r.pos, r.sent, r.n, CASE WHEN v IS NULL THEN 1.0 ELSE coalesce(mass / v, 0.0) END AS tfidf, CASE
+    WHEN v IS NULL THEN 1.0 ELSE coalesce(dot / norm, 0.0) END AS similarity,
+  greatest(0.0, 1.0 - r.pos / greatest(0.3 * n, 1.0), 1.0 - (n - 1 - r.pos) / greatest(0.3 * n, 1.0))::double AS position FROM
+    (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {rows}) r LEFT JOIN s{name} USING (grp, pos) LEFT JOIN v{name} USING (grp)),
+scored{name} AS (SELECT *, 0.5 * ({scale('tfidf')}) + 0.3 * ({scale('similarity')}) + 0.2 * ({scale('position')}) AS score
+    FROM p{name} WINDOW g AS (PARTITION BY grp)),
 placed{name} AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, pos DESC) AS place FROM scored{name})"""
 
 
@@ -120,38 +134,50 @@ def statements(between: str = "'|'") -> str:
     a, m, r = first_filled("s_abstract", "s_introduction", "start"), first_filled("s_methodology", "combined"), first_filled("s_results", "s_experiments", "s_conclusion", "combined")
     c, d = first_filled("s_abstract", "s_introduction", "s_conclusion", "combined"), first_filled("s_discussion", "s_conclusion", "combined")
     e = first_filled("s_methodology", "s_experiments", "substr(clean_text, 1, 5000)")
-    return f"SELECT doc_id, {first_match(a, f.OBJECTIVE, 1)} AS objective, {first_match(m, f.METHOD, 0)} AS methodology, array_to_string({all_matches(r, f.FINDING, 40, 6)}, {between}) AS findings, {first_match(c, f.CONTRIBUTION, 0)} AS contribution, array_to_string({all_matches(d, f.LIMITATION, 30, 5)}, {between}) AS limitations, array_to_string({all_matches(e, f.DATASET, 3, 5, 1, False)}, ', ') AS datasets FROM slots"
+    return f"""SELECT doc_id, {first_match(a, f.OBJECTIVE, 1)} AS objective, {first_match(m, f.METHOD, 0)} AS methodology,
+    array_to_string({all_matches(r, f.FINDING, 40, 6)}, {between}) AS findings, {first_match(c, f.CONTRIBUTION, 0)} AS contribution,
+    array_to_string({all_matches(d, f.LIMITATION, 30, 5)}, {between}) AS limitations,
+    array_to_string({all_matches(e, f.DATASET, 3, 5, 1, False)}, ', ') AS datasets FROM slots"""
 
 
 KEYWORDS = f"""{BASE},
 krows AS (SELECT doc_id AS grp, sent, pos FROM ({unnested('clean', 'doc_id', sentences('substr(clean_text, 1, 5000)', 10), 'sent')})),
 {tfidf('krows', PLAIN, 200, 'k')},
 ks AS (SELECT grp AS doc_id, term, round(sum(w), 9) AS score FROM wk GROUP BY ALL),
-keywords AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term DESC) AS rank, term, round(score, 6) AS score FROM ks QUALIFY rank <= 15)
+keywords AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term DESC) AS rank, term, round(score, 6) AS score
+    FROM ks QUALIFY rank <= 15)
 """
 
 _T3 = rf"list_filter(list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1:10], lambda x: length(x) BETWEEN 10 AND 200 AND NOT regexp_matches(x, '10\.[0-9]{{4,}}/\S+') AND NOT (x = upper(x) AND x <> lower(x)))[1:3]"
 TITLE = f"coalesce(list_filter({_T3}, lambda x: length(x) = list_max(list_transform({_T3}, lambda y: length(y))))[1], {_q(fixed.NO_TITLE)})"
-METADATA = rf"""SELECT doc_id, {TITLE} AS title, nullif(regexp_replace(regexp_extract(substr(clean_text, 1, 3000), '10\.[0-9]{{4,}}/\S+'), '[.,)]+$', ''), '') AS doi,
+METADATA = rf"""SELECT doc_id, {TITLE} AS title, nullif(regexp_replace(regexp_extract(substr(clean_text, 1, 3000),
+    '10\.[0-9]{{4,}}/\S+'), '[.,)]+$', ''), '') AS doi,
   nullif(regexp_extract(substr(clean_text, 1, 2000), '\b(19|20)[0-9]{{2}}\b'), '') AS year,
-  list_filter(list_transform(string_split(substr(clean_text, 1, 3000), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: length(x) > 200)[1] AS abstract_paragraph,
-  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_split(full_text, chr(10))[2], ''), '(?i)[,;]|\band\b'), lambda x: {strip('x')}), lambda x: length(x) > 2), '|') AS authors FROM clean"""
+  list_filter(list_transform(string_split(substr(clean_text, 1, 3000), chr(10) || chr(10)), lambda x: {strip('x')}),
+    lambda x: length(x) > 200)[1] AS abstract_paragraph,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_split(full_text, chr(10))[2], ''),
+    '(?i)[,;]|\band\b'), lambda x: {strip('x')}), lambda x: length(x) > 2), '|') AS authors FROM clean"""
 
 _SCORE = lambda cues: " + ".join(f"contains(t, {_q(c)})::int" for c in cues)
 _BEST = "greatest(" + ", ".join(f"({_SCORE(c)})" for _, c in fixed.DOMAINS) + ")"
 DOMAIN = f"""{KEYWORDS},
-named AS (SELECT c.doc_id, lower(coalesce(k.ks, '')) || ' ' || lower({TITLE}) AS t FROM clean c LEFT JOIN (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS ks FROM keywords GROUP BY doc_id) k USING (doc_id)),
-domains AS (SELECT doc_id, CASE WHEN {_BEST} = 0 THEN {_q(fixed.NO_DOMAIN)} {' '.join(f"WHEN ({_SCORE(c)}) = {_BEST} THEN {_q(n)}" for n, c in fixed.DOMAINS)} END AS domain FROM named)
+named AS (SELECT c.doc_id, lower(coalesce(k.ks, '')) || ' ' || lower({TITLE}) AS t FROM clean c LEFT JOIN
+    (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS ks FROM keywords GROUP BY doc_id) k USING (doc_id)),
+domains AS (SELECT doc_id, CASE WHEN {_BEST} = 0 THEN {_q(fixed.NO_DOMAIN)}
+    {' '.join(f"WHEN ({_SCORE(c)}) = {_BEST} THEN {_q(n)}" for n, c in fixed.DOMAINS)} END AS domain FROM named)
 """
 
 
 def chunk_rows(longer_than: int = 20, size: int = 5, overlap: int = 2) -> str:
     step = size - overlap
     return f"""
-parts AS (SELECT doc_id, ord, name, text FROM sections WHERE text <> '' AND name <> 'references' UNION ALL SELECT doc_id, 0, 'full_document', clean_text FROM clean WHERE doc_id NOT IN (SELECT doc_id FROM sections)),
+parts AS (SELECT doc_id, ord, name, text FROM sections WHERE text <> '' AND name <> 'references'
+    UNION ALL SELECT doc_id, 0, 'full_document', clean_text FROM clean WHERE doc_id NOT IN (SELECT doc_id FROM sections)),
 listed AS (SELECT doc_id, ord, name, {sentences('text', longer_than)} AS ss FROM parts),
-cut AS (SELECT doc_id, ord, name, unnest(list_transform(range(0, 1 + greatest(0, ceil((len(ss) - {size}) / {step}.0))::bigint), lambda k: {{'k': k, 'w': ss[k * {step} + 1:k * {step} + {size}]}})) AS c FROM listed WHERE len(ss) > 0),
-chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, c.k) - 1 AS chunk_id, name AS section_name, array_to_string(c.w, ' ') AS text, len(c.w) AS n_sentences FROM cut)"""
+cut AS (SELECT doc_id, ord, name, unnest(list_transform(range(0, 1 + greatest(0, ceil((len(ss) - {size}) / {step}.0))::bigint),
+    lambda k: {{'k': k, 'w': ss[k * {step} + 1:k * {step} + {size}]}})) AS c FROM listed WHERE len(ss) > 0),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, c.k) - 1 AS chunk_id, name AS section_name,
+    array_to_string(c.w, ' ') AS text, len(c.w) AS n_sentences FROM cut)"""
 
 
 PAGES = """fx_pages AS (SELECT doc_id, p AS page_number, substr(full_text, 1500 * (p - 1) + 1, 1500) AS raw_text
@@ -186,11 +212,15 @@ def answered(source: str, keys: str) -> str:
     content = f"list_filter(ws, lambda w: NOT list_contains({_QSTOP}, w))"
     return f"""
 qw AS (SELECT *, {words('question')} AS ws FROM {source}),
-qc AS (SELECT *, CASE WHEN len({content}) > 0 THEN {content} ELSE ws END AS cw, list_filter(list_transform({split}, lambda s: {strip('s')}), lambda s: length(s) > 15) AS ss FROM qw),
+qc AS (SELECT *, CASE WHEN len({content}) > 0 THEN {content}
+    ELSE ws END AS cw, list_filter(list_transform({split}, lambda s: {strip('s')}), lambda s: length(s) > 15) AS ss FROM qw),
 qe AS (SELECT {keys}, cw, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM qc),
-qb AS (SELECT {keys}, arg_max(s, score - i * 1e-9) AS best, max(score) AS score FROM (SELECT *, len(list_intersect({words('s')}, cw)) / (len(cw) + 0.1) AS score FROM qe) GROUP BY {keys}),
-qm AS (SELECT qc.*, best, score, coalesce(trim(question), '') = '' OR coalesce(trim(context), '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM qc LEFT JOIN qb USING ({keys})),
-r AS (SELECT {keys}, question, context, CASE WHEN none THEN {_q(fixed.NO_CONTEXT)} WHEN hit THEN best ELSE {_q(fixed.NO_ANSWER)} END AS answer,
+qb AS (SELECT {keys}, arg_max(s, score - i * 1e-9) AS best, max(score) AS score FROM
+    (SELECT *, len(list_intersect({words('s')}, cw)) / (len(cw) + 0.1) AS score FROM qe) GROUP BY {keys}),
+qm AS (SELECT qc.*, best, score, coalesce(trim(question), '') = '' OR coalesce(trim(context),
+    '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM qc LEFT JOIN qb USING ({keys})),
+r AS (SELECT {keys}, question, context, CASE WHEN none THEN {_q(fixed.NO_CONTEXT)} WHEN hit THEN best
+    ELSE {_q(fixed.NO_ANSWER)} END AS answer,
   CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper FROM qm)"""
 
 
@@ -201,7 +231,9 @@ def directions(words: list[str]) -> str:
     """
     f = fixed
     hits = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS pat, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(search, {_q('(?i)' + p)}, 0), lambda x: {strip('x')}), lambda x: length(x) >= 30) AS hs FROM searched)"
+        f"""SELECT doc_id, {k} AS pat, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i FROM
+    (SELECT doc_id, list_filter(list_transform(regexp_extract_all(search, {_q('(?i)' + p)}, 0), lambda x: {strip('x')}),
+    lambda x: length(x) >= 30) AS hs FROM searched)"""
         for k, p in enumerate(f.FUTURE)
     )
     new = lambda x: f"list_contains(list_transform(found, lambda d: lower(substr(d.x, 1, 60))), lower(substr({x}, 1, 60)))"
@@ -224,7 +256,8 @@ def directions(words: list[str]) -> str:
 searched AS (SELECT doc_id, s_conclusion || chr(10) || s_discussion AS search FROM slots),
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pat, i) AS k FROM ({hits})),
 fold AS (SELECT doc_id, 0 AS k, []::STRUCT(inferred INTEGER, x VARCHAR)[] AS found, -1 AS over FROM slots
-  UNION ALL SELECT f.doc_id, f.k + 1, {after}, CASE WHEN c.pat <> f.over AND len({after}) >= 5 THEN c.pat ELSE f.over END FROM fold f JOIN cand c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
+  UNION ALL SELECT f.doc_id, f.k + 1, {after}, CASE WHEN c.pat <> f.over AND len({after}) >= 5 THEN c.pat ELSE f.over END FROM fold f
+    JOIN cand c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
 explicit AS (SELECT doc_id, found FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
 lims AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT doc_id, {limits} AS xs FROM slots)),
 fold2 AS (SELECT doc_id, 0 AS k, found FROM explicit
@@ -234,7 +267,8 @@ each AS (SELECT doc_id, unnest(found).inferred AS inferred, unnest(found).x AS x
 directions AS (SELECT * FROM (
   SELECT doc_id, place, CASE WHEN inferred = 0 THEN {topic} ELSE {_q(f.ADDRESSING)} || {cut(60)} END AS topic,
     CASE WHEN inferred = 0 THEN {question} ELSE {_q(f.OVERCOME[0])} || {cut(120)} || {_q(f.OVERCOME[1])} END AS question,
-    CASE WHEN inferred = 0 THEN {_q(f.EXPLICIT_REASON)} ELSE {_q(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
+    CASE WHEN inferred = 0 THEN {_q(f.EXPLICIT_REASON)}
+    ELSE {_q(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
   UNION ALL {filled}) WHERE place < 6)"""
 
 
@@ -255,19 +289,24 @@ yn AS (SELECT *, lag(term) OVER {block} AS before, lead(term) OVER {block} AS ne
     lead(term, 2) OVER {block} AS next2, lead(kind, 2) OVER {block} AS kind2 FROM yk),
 yt AS (SELECT doc_id, term, any_value(kind) AS kind, count(*) AS tf, median(sent_no) AS middle, count(DISTINCT sent_no) AS in_sents,
     {share('before')} + {share('next1')} AS sides,
-    greatest(count(*) FILTER (regexp_matches(word, '^\p{{Lu}}') AND NOT (block = 0 AND spot = 0)), count(*) FILTER (length(word) > 1 AND word = upper(word) AND word <> term)) AS cased
+    greatest(count(*) FILTER (regexp_matches(word, '^\p{{Lu}}') AND NOT (block = 0 AND spot = 0)),
+    count(*) FILTER (length(word) > 1 AND word = upper(word) AND word <> term)) AS cased
   FROM yn GROUP BY doc_id, term),
-yd AS (SELECT doc_id, avg(tf) FILTER (kind = 'word') + stddev_pop(tf) FILTER (kind = 'word') AS usual, max(tf) AS most FROM yt GROUP BY doc_id),
+yd AS (SELECT doc_id, avg(tf) FILTER (kind = 'word') + stddev_pop(tf) FILTER (kind = 'word') AS usual, max(tf) AS most FROM yt
+    GROUP BY doc_id),
 yl AS (SELECT doc_id, max(sent_no) + 1 AS sents FROM yw GROUP BY doc_id),
 yr AS (SELECT *, 1.0::double + sides * tf / most AS rel FROM yt JOIN yd USING (doc_id) JOIN yl USING (doc_id)),
-yv AS (SELECT doc_id, term, tf, rel * ln(ln(3.0 + middle)) / (cased / (1.0 + ln(tf)) + (tf / usual) / rel + (in_sents / sents) / rel) AS weight FROM yr),
+yv AS (SELECT doc_id, term, tf, rel * ln(ln(3.0 + middle)) / (cased / (1.0 + ln(tf)) + (tf / usual) / rel + (in_sents / sents) / rel) AS
+    weight FROM yr),
 yp AS (SELECT doc_id, term, next1, count(*) AS follows FROM yn WHERE next1 IS NOT NULL GROUP BY ALL),
 yc AS (SELECT yn.*, a.weight AS w, b.weight AS w1, c.weight AS w2, (p.follows / a.tf) * (q.follows / b.tf) AS bound
-  FROM yn JOIN yv a USING (doc_id, term) LEFT JOIN yv b ON b.doc_id = yn.doc_id AND b.term = yn.next1 LEFT JOIN yv c ON c.doc_id = yn.doc_id AND c.term = yn.next2
+  FROM yn JOIN yv a USING (doc_id, term) LEFT JOIN yv b ON b.doc_id = yn.doc_id AND b.term = yn.next1
+    LEFT JOIN yv c ON c.doc_id = yn.doc_id AND c.term = yn.next2
   LEFT JOIN yp p ON p.doc_id = yn.doc_id AND p.term = yn.term AND p.next1 = yn.next1
   LEFT JOIN yp q ON q.doc_id = yn.doc_id AND q.term = yn.next1 AND q.next1 = yn.next2 WHERE yn.kind = 'word'),
 ye AS (SELECT doc_id, term AS phrase, 1 AS n, w AS times, w AS plus FROM yc
   UNION ALL SELECT doc_id, term || ' ' || next1, 2, w * w1, w + w1 FROM yc WHERE kind1 = 'word'
-  UNION ALL SELECT doc_id, term || ' ' || next1 || ' ' || next2, 3, w * (CASE kind1 WHEN 'stop' THEN 2.0 - bound ELSE w1 END) * w2, w + (CASE kind1 WHEN 'stop' THEN bound - 1.0 ELSE w1 END) + w2
+  UNION ALL SELECT doc_id, term || ' ' || next1 || ' ' || next2, 3, w * (CASE kind1 WHEN 'stop' THEN 2.0 - bound
+    ELSE w1 END) * w2, w + (CASE kind1 WHEN 'stop' THEN bound - 1.0 ELSE w1 END) + w2
     FROM yc WHERE kind1 IN ('word', 'stop') AND kind2 = 'word'),
 scores AS (SELECT doc_id, phrase, n, any_value(times) / (count(*) * (1.0 + any_value(plus))) AS score FROM ye GROUP BY doc_id, phrase, n)"""

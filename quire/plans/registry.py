@@ -62,7 +62,14 @@ def section_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("clean_text")
     line = F.coalesce(F.get(F.split("full_text", "\n"), F.lit(1)), F.lit(""))
-    return _prepared(spark, sf_dir).select("doc_id", sections.title(t).alias("title"), sections.doi(t).alias("doi"), sections.year(t).alias("year"), sections.abstract_paragraph(t).alias("abstract_paragraph"), F.array_join(sections.authors(line), "|").alias("authors"))
+    return _prepared(spark, sf_dir).select(
+        "doc_id",
+        sections.title(t).alias("title"),
+        sections.doi(t).alias("doi"),
+        sections.year(t).alias("year"),
+        sections.abstract_paragraph(t).alias("abstract_paragraph"),
+        F.array_join(sections.authors(line), "|").alias("authors"),
+    )
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +95,13 @@ def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").withColumn("body", F.expr("CASE page_id % 4 WHEN 0 THEN concat('%PDF-1.4', html) WHEN 1 THEN html WHEN 2 THEN '' ELSE concat('%PDF', html) END"))
     kind = F.when(F.col("page_id") % 5 == 4, "text/plain").otherwise("application/pdf")
     status = documents.admission(F.col("body").cast("binary"), kind)
-    return rows.select("page_id", status.cast("long").alias("status"), text.safe_file_name(F.col("url")).alias("file_name"), text.truncated(F.col("url"), 20).alias("short_url"), (F.octet_length("html") / 1048576.0).alias("mb"))
+    return rows.select(
+        "page_id",
+        status.cast("long").alias("status"),
+        text.safe_file_name(F.col("url")).alias("file_name"),
+        text.truncated(F.col("url"), 20).alias("short_url"),
+        (F.octet_length("html") / 1048576.0).alias("mb"),
+    )
 
 
 def rank_sentences_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +151,9 @@ def quality_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def future_research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = analyze.with_slots(_prepared(spark, sf_dir)).withColumns({"limits": cues.limitations(text.first_filled(F.col("s_discussion"), F.col("s_conclusion"), F.col("combined"))), "words": F.array(F.lit("retrieval"), F.lit("graph inference"))})
+    limits = cues.limitations(text.first_filled(F.col("s_discussion"), F.col("s_conclusion"), F.col("combined")))
+    words = F.array(F.lit("retrieval"), F.lit("graph inference"))
+    docs = analyze.with_slots(_prepared(spark, sf_dir)).withColumns({"limits": limits, "words": words})
     out = cues.with_directions(docs, F.concat("s_conclusion", F.lit("\n"), "s_discussion"), "limits", "words")
     return out.select("doc_id", F.posexplode_outer("directions").alias("place", "d")).select("doc_id", "place", "d.*")
 
@@ -263,75 +278,159 @@ _SPLIT = "string_split(regexp_replace(substr(context, 1, 15000), '([.!?])\\s+',
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 _QSTOP = "[" + ", ".join(f"'{w}'" for w in fixed.QUESTION_STOP_WORDS) + "]"
 _RANKED = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS slot, {oracle.first_filled(*ts)} AS t, {m} AS most FROM slots" for n, ts, m in analyze._RANKED)
-_POINTS = f"{oracle.SLOTS}, slotted AS ({_RANKED}), rows AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos FROM ({oracle.unnested('slotted', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')}) WHERE sent IS NOT NULL), {oracle.scored('rows')}, best AS (SELECT r.doc_id, r.slot, p.pos, p.sent FROM placed p JOIN (SELECT DISTINCT grp, doc_id, slot, most FROM rows) r USING (grp) WHERE place <= most)"
+_POINTS = f"""{oracle.SLOTS}, slotted AS ({_RANKED}), rows AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos
+    FROM ({oracle.unnested('slotted', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')})
+    WHERE sent IS NOT NULL), {oracle.scored('rows')}, best AS (SELECT r.doc_id, r.slot, p.pos, p.sent FROM placed p JOIN
+    (SELECT DISTINCT grp, doc_id, slot, most FROM rows) r USING (grp) WHERE place <= most)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "rank_sentences_top3": f"WITH {_RAW}, {oracle.scored('rows')} SELECT grp AS doc_id, pos, sent, round(score, 6) AS score FROM placed WHERE place <= 3",
-    "sentence_scores": f"WITH {_RAW}, {oracle.scored('rows')} SELECT grp AS doc_id, pos, round(tfidf, 6) AS tfidf, round(similarity, 6) AS similarity, round(position, 6) AS position, round(score, 6) AS score FROM scored",
-    "clean_text": f"WITH {oracle.BASE} SELECT doc_id, clean_text, CASE WHEN trim(full_text) = '' THEN 'no text' WHEN length(clean_text) < 200 THEN 'too short' END AS problem FROM clean",
+    "rank_sentences_top3": f"""WITH {_RAW}, {oracle.scored('rows')} SELECT grp AS doc_id, pos, sent, round(score, 6) AS score
+    FROM placed WHERE place <= 3""",
+    "sentence_scores": f"""WITH {_RAW}, {oracle.scored('rows')}
+    SELECT grp AS doc_id, pos, round(tfidf, 6) AS tfidf, round(similarity, 6) AS similarity, round(position, 6) AS position, round(score, 6)
+    AS score FROM scored""",
+    "clean_text": f"""WITH {oracle.BASE} SELECT doc_id, clean_text, CASE WHEN trim(full_text) = '' THEN 'no text'
+    WHEN length(clean_text) < 200 THEN 'too short' END AS problem FROM clean""",
     "sections_of": f"WITH {oracle.BASE} SELECT * FROM sections",
     "preambles": f"WITH {oracle.BASE} SELECT * FROM preambles",
     "section_slots": f"WITH {oracle.SLOTS} SELECT doc_id, {', '.join('s_' + n for n in fixed.SECTION_CAPS)}, combined FROM slots",
     "metadata": f"WITH {oracle.BASE} {oracle.METADATA}",
     "sentences": f"WITH {_RAW} SELECT grp AS doc_id, pos, sent, {oracle.CONTENT} AS content FROM rows",
     "chunks_5_2": f"WITH {oracle.BASE}, {oracle.chunk_rows()} SELECT * FROM chunks",
-    "chunk_pages": f"WITH {oracle.BASE}, {oracle.chunk_rows()}, {oracle.PAGES}, pt AS (SELECT doc_id, page_number, {oracle.clean('raw_text')} AS page FROM fx_pages), n AS (SELECT doc_id, chunk_id, {oracle.strip('substr(text, 1, 60)')} AS needle FROM chunks) SELECT n.doc_id, chunk_id, coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number), '') AS page_numbers FROM n LEFT JOIN pt ON pt.doc_id = n.doc_id AND needle <> '' AND contains(page, needle) GROUP BY n.doc_id, chunk_id",
-    "documents_from_pages": f"WITH papers AS ({fixtures.PAPERS_SQL}), {oracle.PAGES}, d AS (SELECT doc_id, count(*) AS total_pages, string_agg(raw_text, chr(10) ORDER BY page_number) AS full_text, avg(length({oracle.strip('raw_text')})) AS a FROM fx_pages GROUP BY doc_id) SELECT doc_id, total_pages, full_text, a < 80 AS is_scanned, CASE WHEN a < 80 THEN format('This PDF appears to be scanned or image-based (avg {{:.0f}} chars/page). Text extraction quality may be poor. OCR is not available.', a) END AS warning FROM d",
-    "upload_admission": r"WITH p AS (SELECT *, CASE page_id % 4 WHEN 0 THEN concat('%PDF-1.4', html) WHEN 1 THEN html WHEN 2 THEN '' ELSE concat('%PDF', html) END AS body FROM pages) SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 415 WHEN strlen(body) > 52428800 THEN 413 WHEN strlen(body) = 0 THEN 400 WHEN substr(body, 1, 4) <> '%PDF' THEN 422 ELSE 200 END::bigint AS status, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_.\-]', '_', 'g'), '^[.\-]+', ''), ''), 'uploaded_file') AS file_name, CASE WHEN length(url) <= 20 THEN url ELSE regexp_replace(substr(url, 1, 20), ' [^ ]*$', '') || '...' END AS short_url, strlen(html) / 1048576.0::double AS mb FROM p",
+    "chunk_pages": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, {oracle.PAGES}, pt AS
+    (SELECT doc_id, page_number, {oracle.clean('raw_text')} AS page FROM fx_pages), n AS
+    (SELECT doc_id, chunk_id, {oracle.strip('substr(text, 1, 60)')} AS needle FROM chunks)
+    SELECT n.doc_id, chunk_id, coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number), '') AS page_numbers FROM n
+    LEFT JOIN pt ON pt.doc_id = n.doc_id AND needle <> '' AND contains(page, needle) GROUP BY n.doc_id, chunk_id""",
+    "documents_from_pages": f"""WITH papers AS ({fixtures.PAPERS_SQL}), {oracle.PAGES}, d AS
+    (SELECT doc_id, count(*) AS total_pages, string_agg(raw_text, chr(10) ORDER BY page_number) AS full_text,
+    avg(length({oracle.strip('raw_text')})) AS a FROM fx_pages GROUP BY doc_id)
+    SELECT doc_id, total_pages, full_text, a < 80 AS is_scanned, CASE
+    WHEN a < 80 THEN
+    format('This PDF appears to be scanned or image-based (avg {{:.0f}} chars/page). Text extraction quality may be poor. OCR is not available.',
+    a) END AS warning FROM d""",
+    "upload_admission": r"""WITH p AS (SELECT *, CASE page_id % 4 WHEN 0 THEN concat('%PDF-1.4', html) WHEN 1 THEN html WHEN 2 THEN ''
+    ELSE concat('%PDF', html) END AS body FROM pages) SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 415
+    WHEN strlen(body) > 52428800 THEN 413 WHEN strlen(body) = 0 THEN 400 WHEN substr(body, 1, 4) <> '%PDF' THEN 422
+    ELSE 200 END::bigint AS status, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_.\-]', '_', 'g'), '^[.\-]+', ''),
+    ''), 'uploaded_file') AS file_name, CASE WHEN length(url) <= 20 THEN url ELSE regexp_replace(substr(url, 1, 20),
+    ' [^ ]*$', '') || '...' END AS short_url, strlen(html) / 1048576.0::double AS mb FROM p""",
     "cue_statements": f"WITH {oracle.SLOTS} {oracle.statements()}",
     "ranked_slots": f"WITH {_POINTS} SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS sents FROM best GROUP BY doc_id, slot",
-    "main_points": f"WITH {_POINTS}, have AS (SELECT DISTINCT doc_id FROM best WHERE slot LIKE 'point%'), listed AS (SELECT doc_id, slot, pos, sent FROM best WHERE slot LIKE 'point%' UNION ALL SELECT doc_id, slot, pos, sent FROM best WHERE slot = 'main' AND doc_id NOT IN (SELECT doc_id FROM have)), firsts AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY doc_id, substr(sent, 1, 50) ORDER BY slot, pos) = 1), eight AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY slot, pos) <= 8) SELECT doc_id, string_agg(sent, '|' ORDER BY slot, pos) AS main_points FROM eight GROUP BY doc_id",
+    "main_points": f"""WITH {_POINTS}, have AS (SELECT DISTINCT doc_id FROM best WHERE slot LIKE 'point%'), listed AS
+    (SELECT doc_id, slot, pos, sent FROM best WHERE slot LIKE 'point%' UNION ALL SELECT doc_id, slot, pos, sent FROM best
+    WHERE slot = 'main' AND doc_id NOT IN (SELECT doc_id FROM have)), firsts AS (SELECT * FROM listed
+    QUALIFY row_number() OVER (PARTITION BY doc_id, substr(sent, 1, 50) ORDER BY slot, pos) = 1), eight AS (SELECT * FROM firsts
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY slot, pos) <= 8)
+    SELECT doc_id, string_agg(sent, '|' ORDER BY slot, pos) AS main_points FROM eight GROUP BY doc_id""",
     "tfidf_keywords": f"WITH {oracle.KEYWORDS} SELECT * FROM keywords",
     "domain": f"WITH {oracle.DOMAIN} SELECT * FROM domains",
-    "quality_by_domain": f"WITH {oracle.DOMAIN} SELECT domain, count(*) AS n, round(avg(quality), 6) AS quality FROM domains JOIN labels USING (doc_id) GROUP BY domain",
-    "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank, round(score, 6) AS score FROM s WHERE score > 0.1 QUALIFY rank <= 5",
-    "context_build": f"WITH {oracle.BASE}, {oracle.chunk_rows()}, r AS (SELECT doc_id, chunk_id, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS run FROM chunks) SELECT doc_id AS query_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_id) AS context, count(*) AS n_chunks FROM r WHERE run <= 6000 GROUP BY doc_id",
-    "overlap_qa": f"""WITH t AS (SELECT conv_id, turn, role, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS context FROM conversations),
+    "quality_by_domain": f"""WITH {oracle.DOMAIN} SELECT domain, count(*) AS n, round(avg(quality), 6) AS quality FROM domains
+    JOIN labels USING (doc_id) GROUP BY domain""",
+    "cosine_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::double[],
+    v.embedding::double[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank, round(score, 6) AS score
+    FROM s WHERE score > 0.1 QUALIFY rank <= 5""",
+    "context_build": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, r AS
+    (SELECT doc_id, chunk_id, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS run FROM chunks)
+    SELECT doc_id AS query_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_id) AS context, count(*) AS n_chunks FROM r
+    WHERE run <= 6000 GROUP BY doc_id""",
+    "overlap_qa": f"""WITH t AS (SELECT conv_id, turn, role, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role,
+    text) AS context FROM conversations),
 q AS (SELECT *, {_WORDS.format('question')} AS ws FROM t WHERE role = 'user'),
-c AS (SELECT *, CASE WHEN len(list_filter(ws, lambda w: NOT list_contains({_QSTOP}, w))) > 0 THEN list_filter(ws, lambda w: NOT list_contains({_QSTOP}, w)) ELSE ws END AS cw, list_filter(list_transform({_SPLIT}, lambda s: {oracle.strip('s')}), lambda s: length(s) > 15) AS ss FROM q),
+c AS (SELECT *, CASE WHEN len(list_filter(ws, lambda w: NOT list_contains({_QSTOP}, w))) > 0 THEN list_filter(ws, lambda w: NOT
+    list_contains({_QSTOP}, w)) ELSE ws END AS cw, list_filter(list_transform({_SPLIT}, lambda s: {oracle.strip('s')}),
+    lambda s: length(s) > 15) AS ss FROM q),
 e AS (SELECT conv_id, turn, question, context, cw, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM c),
-b AS (SELECT conv_id, turn, question, context, arg_max(s, score - i * 1e-9) AS best, max(score) AS score FROM (SELECT *, len(list_intersect({_WORDS.format('s')}, cw)) / (len(cw) + 0.1) AS score FROM e) GROUP BY ALL),
+b AS (SELECT conv_id, turn, question, context, arg_max(s, score - i * 1e-9) AS best, max(score) AS score FROM
+    (SELECT *, len(list_intersect({_WORDS.format('s')}, cw)) / (len(cw) + 0.1) AS score FROM e) GROUP BY ALL),
 m AS (SELECT c.conv_id, c.turn, c.question, c.context, c.ss, b.best, b.score FROM c LEFT JOIN b USING (conv_id, turn, question, context)),
-r AS (SELECT *, coalesce(trim(question), '') = '' OR coalesce(trim(context), '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM m)
-SELECT conv_id, turn, CASE WHEN none THEN '{fixed.NO_CONTEXT}' WHEN hit THEN best ELSE '{fixed.NO_ANSWER}' END AS answer, CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper,
-CASE WHEN NOT none AND hit THEN strpos(context, best) - 1 ELSE 0 END::bigint AS start, CASE WHEN NOT none AND hit THEN strpos(context, best) - 1 + length(best) ELSE 0 END::bigint AS end,
-CASE WHEN question IS NULL OR length(question) < 3 OR length(question) > 500 THEN 422 WHEN trim(question) = '' THEN 400 END::bigint AS problem FROM r""",
-    "future_research": f"WITH RECURSIVE {oracle.SLOTS}, {oracle.directions(['retrieval', 'graph inference'])} SELECT doc_id, place::integer AS place, topic, question, reason, evidence, is_inferred FROM directions",
+r AS (SELECT *, coalesce(trim(question), '') = '' OR coalesce(trim(context),
+    '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM m)
+SELECT conv_id, turn, CASE WHEN none THEN '{fixed.NO_CONTEXT}' WHEN hit THEN best ELSE '{fixed.NO_ANSWER}' END AS answer, CASE
+    WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper,
+CASE WHEN NOT none AND hit THEN strpos(context, best) - 1 ELSE 0 END::bigint AS start, CASE
+    WHEN NOT none AND hit THEN strpos(context, best) - 1 + length(best) ELSE 0 END::bigint AS end,
+CASE WHEN question IS NULL OR length(question) < 3 OR length(question) > 500 THEN 422
+    WHEN trim(question) = '' THEN 400 END::bigint AS problem FROM r""",
+    "future_research": f"""WITH RECURSIVE {oracle.SLOTS}, {oracle.directions(['retrieval', 'graph inference'])}
+    SELECT doc_id, place::integer AS place, topic, question, reason, evidence, is_inferred FROM directions""",
     "whitespace": r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one_spaced FROM documents",
-    "section_lookup": f"WITH {oracle.BASE} SELECT c.doc_id, concat_ws(chr(10) || chr(10), nullif(max(text) FILTER (name = 'conclusion'), ''), nullif(max(text) FILTER (name = 'abstract'), ''), nullif(max(text) FILTER (name = 'appendix'), '')) AS texts, coalesce(string_agg(name, ',' ORDER BY ord), '') AS names FROM clean c LEFT JOIN sections s ON s.doc_id = c.doc_id GROUP BY c.doc_id",
-    "abstracts_without_headings": f"WITH notes AS (SELECT doc_id, {oracle.clean('full_text')} AS t FROM (SELECT doc_id, {fixtures.NOTE} AS full_text FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS tx FROM documents))), a AS (SELECT doc_id, {oracle.strip(f"regexp_extract(t, '(?is){fixed.ABSTRACT_START}({fixed.ABSTRACT_END})', 1)")} AS text FROM notes) SELECT doc_id, 0::bigint AS ord, 'abstract' AS name, 'Abstract' AS heading, text, 0::bigint AS start_line, 10::bigint AS end_line FROM a WHERE text <> ''",
-    "embedded_metadata": f"""WITH {oracle.BASE}, m AS ({oracle.METADATA}), e AS (SELECT doc_id, {', '.join(f'{x} AS {c}' for c, x in fixtures.EMBEDDED.items())} FROM clean)
-SELECT doc_id, CASE WHEN length({oracle.strip("coalesce(pdf_title, '')")}) > 3 THEN {oracle.strip("coalesce(pdf_title, '')")} ELSE title END AS title, doi, year,
-  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(pdf_author, ''), '(?i)[,;]|\\band\\b'), lambda x: {oracle.strip('x')}), lambda x: length(x) > 2), '|') AS authors,
-  array_to_string(list_filter(list_transform(string_split(coalesce(pdf_subject, ''), ','), lambda x: {oracle.strip('x')}), lambda x: x <> ''), '|') AS keywords FROM m JOIN e USING (doc_id)""",
-    "query_similarity": f"""WITH {_RAW}, both_rows AS (SELECT * FROM rows UNION ALL SELECT grp, sent, -1 AS pos FROM rows WHERE pos = 0), {oracle.tfidf('both_rows')},
+    "section_lookup": f"""WITH {oracle.BASE} SELECT c.doc_id, concat_ws(chr(10) || chr(10),
+    nullif(max(text) FILTER (name = 'conclusion'), ''), nullif(max(text) FILTER (name = 'abstract'), ''),
+    nullif(max(text) FILTER (name = 'appendix'), '')) AS texts, coalesce(string_agg(name, ',' ORDER BY ord), '') AS names FROM clean c
+    LEFT JOIN sections s ON s.doc_id = c.doc_id GROUP BY c.doc_id""",
+    "abstracts_without_headings": f"""WITH notes AS (SELECT doc_id, {oracle.clean('full_text')} AS t FROM
+    (SELECT doc_id, {fixtures.NOTE} AS full_text FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS tx FROM documents))),
+    a AS (SELECT doc_id, {oracle.strip(f"regexp_extract(t, '(?is){fixed.ABSTRACT_START}({fixed.ABSTRACT_END})', 1)")} AS text
+    FROM notes) SELECT doc_id, 0::bigint AS ord, 'abstract' AS name, 'Abstract' AS heading, text, 0::bigint AS start_line, 10::bigint AS
+    end_line FROM a WHERE text <> ''""",
+    "embedded_metadata": f"""WITH {oracle.BASE}, m AS ({oracle.METADATA}), e AS
+    (SELECT doc_id, {', '.join(f'{x} AS {c}' for c, x in fixtures.EMBEDDED.items())} FROM clean)
+SELECT doc_id, CASE WHEN length({oracle.strip("coalesce(pdf_title, '')")}) > 3 THEN {oracle.strip("coalesce(pdf_title, '')")}
+    ELSE title END AS title, doi, year,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(pdf_author, ''), '(?i)[,;]|\\band\\b'),
+    lambda x: {oracle.strip('x')}), lambda x: length(x) > 2), '|') AS authors,
+  array_to_string(list_filter(list_transform(string_split(coalesce(pdf_subject, ''), ','), lambda x: {oracle.strip('x')}),
+    lambda x: x <> ''), '|') AS keywords FROM m JOIN e USING (doc_id)""",
+    "query_similarity": f"""WITH {_RAW}, both_rows AS (SELECT * FROM rows UNION ALL SELECT grp, sent, -1 AS pos FROM rows
+    WHERE pos = 0), {oracle.tfidf('both_rows')},
 c AS (SELECT grp, term, sum(w) AS c FROM w WHERE pos < 0 GROUP BY ALL), v AS (SELECT grp, sqrt(sum(c * c)) AS norm FROM c GROUP BY grp),
-s AS (SELECT grp, pos, sum(w * c) / any_value(norm) AS near FROM w JOIN c USING (grp, term) JOIN v USING (grp) WHERE pos >= 0 GROUP BY grp, pos)
-SELECT grp AS doc_id, pos, round(CASE WHEN n < 2 THEN 1.0 ELSE coalesce(near, 0.0) END, 6) AS similarity FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM rows) LEFT JOIN s USING (grp, pos)""",
-    "chat_requests": f"""WITH m AS (SELECT conv_id, turn, {fixtures.REQUEST_ID} AS raw, {fixtures.REQUEST_QUESTION} AS question FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')),
-k AS (SELECT *, CASE WHEN regexp_full_match(lower(raw), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN lower(raw) END AS document_id FROM m),
+s AS (SELECT grp, pos, sum(w * c) / any_value(norm) AS near FROM w JOIN c USING (grp, term) JOIN v USING (grp) WHERE pos >= 0
+    GROUP BY grp, pos)
+SELECT grp AS doc_id, pos, round(CASE WHEN n < 2 THEN 1.0 ELSE coalesce(near, 0.0) END, 6) AS similarity FROM
+    (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM rows) LEFT JOIN s USING (grp, pos)""",
+    "chat_requests": f"""WITH m AS (SELECT conv_id, turn, {fixtures.REQUEST_ID} AS raw, {fixtures.REQUEST_QUESTION} AS question FROM
+    (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')),
+k AS (SELECT *, CASE WHEN regexp_full_match(lower(raw),
+    '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN lower(raw) END AS document_id FROM m),
 d AS (SELECT DISTINCT {fixtures.KEY.format('doc_id')} AS id FROM documents)
-SELECT conv_id, turn, document_id, question, CASE WHEN raw IS NULL OR question IS NULL OR length(question) < 3 OR length(question) > 500 THEN 422 WHEN document_id IS NULL THEN 400 WHEN id IS NULL THEN 404 WHEN {oracle.strip('question')} = '' THEN 400 ELSE 200 END::bigint AS status FROM k LEFT JOIN d ON id = document_id""",
+SELECT conv_id, turn, document_id, question, CASE WHEN raw IS NULL OR question IS NULL OR length(question) < 3 OR length(question) > 500
+    THEN 422 WHEN document_id IS NULL THEN 400 WHEN id IS NULL THEN 404 WHEN {oracle.strip('question')} = '' THEN 400
+    ELSE 200 END::bigint AS status FROM k LEFT JOIN d ON id = document_id""",
     "paper_answers": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, {oracle.PAGES}, {oracle.PAGED},
 asked AS (SELECT doc_id, [{', '.join(f"'{x}'" for x in fixed.QUESTIONS)}][doc_id % {len(fixed.QUESTIONS)} + 1] AS question FROM clean),
 qv AS (SELECT doc_id, question, {oracle.hashed('question')} AS q FROM asked), cv AS (SELECT *, {oracle.hashed('text')} AS c FROM chunks),
-near AS (SELECT doc_id, chunk_id, section_name, text, round(list_sum(list_transform(range(1, 65), lambda i: q[i] * c[i])) / greatest(sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-10), 9) AS score FROM qv JOIN cv USING (doc_id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id DESC) AS rank FROM near WHERE score > 0.1 QUALIFY rank <= 5),
+near AS (SELECT doc_id, chunk_id, section_name, text, round(list_sum(list_transform(range(1, 65),
+    lambda i: q[i] * c[i])) / greatest(sqrt(list_sum(list_transform(q, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x *
+    x))), 1e-10), 9) AS score FROM qv JOIN cv USING (doc_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id DESC) AS rank FROM near WHERE score > 0.1
+    QUALIFY rank <= 5),
 fit AS (SELECT * FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY rank) AS run FROM top) WHERE run <= 6000),
-ctx AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(coalesce(nullif(section_name, ''), '{fixed.UNKNOWN_SECTION}') || ':' || pages || ':' || format('{{:.3f}}', round_even(score, 3)), '|' ORDER BY rank) AS sources FROM fit JOIN paged USING (doc_id, chunk_id) GROUP BY doc_id),
-given AS (SELECT a.doc_id, question, CASE WHEN a.doc_id NOT IN (SELECT doc_id FROM chunks) THEN substr(clean_text, 1, 8000) ELSE coalesce(context, '') END AS context, coalesce(sources, '') AS sources FROM asked a JOIN clean USING (doc_id) LEFT JOIN ctx USING (doc_id)),
+ctx AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(coalesce(nullif(section_name, ''),
+    '{fixed.UNKNOWN_SECTION}') || ':' || pages || ':' || format('{{:.3f}}', round_even(score, 3)), '|' ORDER BY rank) AS sources
+    FROM fit JOIN paged USING (doc_id, chunk_id) GROUP BY doc_id),
+given AS (SELECT a.doc_id, question, CASE WHEN a.doc_id NOT IN (SELECT doc_id FROM chunks) THEN substr(clean_text, 1, 8000)
+    ELSE coalesce(context, '') END AS context, coalesce(sources, '') AS sources FROM asked a JOIN clean USING (doc_id)
+    LEFT JOIN ctx USING (doc_id)),
 {oracle.answered('given', 'doc_id')}
-SELECT r.doc_id, r.question, CASE WHEN r.context = '' THEN '{fixed.NO_RELEVANT}' ELSE answer END AS answer, found_in_paper, score AS confidence, sources FROM r JOIN given USING (doc_id)""",
+SELECT r.doc_id, r.question, CASE WHEN r.context = '' THEN '{fixed.NO_RELEVANT}'
+    ELSE answer END AS answer, found_in_paper, score AS confidence, sources FROM r JOIN given USING (doc_id)""",
     "insights": f"""WITH {_POINTS}, st AS ({oracle.statements('chr(1)')}),
-told AS (SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS t, string_agg(sent, chr(1) ORDER BY pos) AS listed FROM best GROUP BY doc_id, slot),
-wide AS (SELECT doc_id, {', '.join(f"max(t) FILTER (slot = '{x}') AS r_{x}" for x in ('objective', 'methodology', 'contribution', 'summary', 'conclusion', 'abstract'))}, max(listed) FILTER (slot = 'findings') AS r_findings FROM told GROUP BY doc_id),
-base AS (SELECT st.doc_id, {', '.join(f"coalesce(nullif({x}, ''), r_{x}, '') AS {x}" for x in ('objective', 'methodology', 'contribution', 'findings'))}, coalesce(r_summary, '{fixed.NO_SUMMARY}') AS summary, coalesce(nullif(r_conclusion, ''), nullif(r_abstract, ''), '') AS conclusion FROM st LEFT JOIN wide USING (doc_id)),
-derived AS (SELECT doc_id, 'one' AS slot, 1 AS most, summary AS t FROM base UNION ALL SELECT doc_id, 'two', 2, substr(summary || ' ' || methodology, 1, 1000) FROM base),
-rows2 AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos FROM ({oracle.unnested('derived', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')}) WHERE sent IS NOT NULL), {oracle.scored('rows2', '2')},
-told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t FROM placed2 p JOIN (SELECT DISTINCT grp, doc_id, slot, most FROM rows2) r USING (grp) WHERE place <= most GROUP BY r.doc_id, r.slot),
-picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
-keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''), one, substr(summary, 1, 200)) END AS key_insight FROM picked)
-SELECT doc_id, objective, methodology, replace(findings, chr(1), '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
+told AS (SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS t, string_agg(sent, chr(1) ORDER BY pos) AS listed FROM best
+    GROUP BY doc_id, slot),
+wide AS (SELECT doc_id,
+    {', '.join(f"max(t) FILTER (slot = '{x}') AS r_{x}" for x in ('objective', 'methodology', 'contribution', 'summary', 'conclusion', 'abstract'))},
+    max(listed) FILTER (slot = 'findings') AS r_findings FROM told GROUP BY doc_id),
+base AS (SELECT st.doc_id,
+    {', '.join(f"coalesce(nullif({x}, ''), r_{x}, '') AS {x}" for x in ('objective', 'methodology', 'contribution', 'findings'))},
+    coalesce(r_summary, '{fixed.NO_SUMMARY}') AS summary, coalesce(nullif(r_conclusion, ''), nullif(r_abstract, ''), '') AS conclusion
+    FROM st LEFT JOIN wide USING (doc_id)),
+derived AS (SELECT doc_id, 'one' AS slot, 1 AS most, summary AS t FROM base
+    UNION ALL SELECT doc_id, 'two', 2, substr(summary || ' ' || methodology, 1, 1000) FROM base),
+rows2 AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos
+    FROM ({oracle.unnested('derived', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')})
+    WHERE sent IS NOT NULL), {oracle.scored('rows2', '2')},
+told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t FROM placed2 p JOIN
+    (SELECT DISTINCT grp, doc_id, slot, most FROM rows2) r USING (grp) WHERE place <= most GROUP BY r.doc_id, r.slot),
+picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN
+    (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
+keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''),
+    one, substr(summary, 1, 200)) END AS key_insight FROM picked)
+SELECT doc_id, objective, methodology, replace(findings, chr(1),
+    '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE
+    WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
     "phrase_scores": f"WITH {oracle.BASE}, {oracle.phrases()} SELECT doc_id, phrase, n::bigint AS n, round(score, 6) AS score FROM scores",
-    "stream_ingest": f"WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)",
+    "stream_ingest": f"""WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN
+    (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)""",
 }
