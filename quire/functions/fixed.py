@@ -105,6 +105,11 @@ SCANNED = (
     " chars/page). Text extraction quality may be poor. OCR is not available.",
 )
 UNKNOWN_SECTION = "unknown"
+# Why a file gives no pages; the file's name, or what the extractor says, stands after or between these.
+NOT_FOUND = "PDF file not found: "
+NOT_PDF = "File is not a PDF: "
+NOT_OPENED = ("Cannot open PDF '", "': ")
+NO_PAGES = ("PDF '", "' contains no pages.")
 EXPLICIT_REASON = "Explicitly mentioned in the paper as future work."
 LIMITATION_REASON = "This limitation was identified in the paper and represents a gap to fill."
 

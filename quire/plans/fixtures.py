@@ -70,3 +70,15 @@ EMBEDDED = {
 KEY = "concat(substr(md5(cast({0} as varchar(20))), 1, 8), '-', substr(md5(cast({0} as varchar(20))), 9, 4), '-', substr(md5(cast({0} as varchar(20))), 13, 4), '-', substr(md5(cast({0} as varchar(20))), 17, 4), '-', substr(md5(cast({0} as varchar(20))), 21, 12))"
 REQUEST_ID = f"CASE conv_id % 5 WHEN 0 THEN 'not-a-key' WHEN 1 THEN {KEY.format('(0 - 1 - conv_id)')} WHEN 2 THEN upper({KEY.format('conv_id')}) ELSE {KEY.format('conv_id')} END"
 REQUEST_QUESTION = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'hi' WHEN 1 THEN '    ' WHEN 2 THEN NULL ELSE text END"
+
+#: A file made of a row of pages: its path, whether the reader finds it, and its content.
+FILE = "concat('/in/', page_id, CASE WHEN page_id % 7 = 6 THEN '.txt' ELSE '.PDF' END)"
+FILE_FOUND = "page_id % 11 <> 10"
+FILE_CONTENT = "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN coalesce(html, '') ELSE concat('%PDF', coalesce(html, '')) END"
+
+
+def file_texts(content: bytes) -> list[tuple[str, int]]:
+    """A stand-in for a page extractor: a page ends at each </p>, and images are tags."""
+    if content and not content.startswith(b"%PDF"):
+        raise ValueError("no header")
+    return [(x, x.count("<img")) for x in content[4:].decode().split("</p>")] if content else []

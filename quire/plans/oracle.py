@@ -6,7 +6,7 @@ from quire.functions import fixed
 from quire.plans.fixtures import PAPERS_SQL
 
 
-def _q(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
@@ -17,8 +17,8 @@ def strip(t: str) -> str:
 def clean(t: str) -> str:
     t = f"nfc_normalize(coalesce({t}, ''))"
     for one, more in fixed.LIGATURES:
-        t = f"replace({t}, {_q(one)}, {_q(more)})"
-    t = f"translate({t}, {_q(fixed.QUOTES)}, {_q(fixed.PLAIN_QUOTES)})"
+        t = f"replace({t}, {quoted(one)}, {quoted(more)})"
+    t = f"translate({t}, {quoted(fixed.QUOTES)}, {quoted(fixed.PLAIN_QUOTES)})"
     t = rf"regexp_replace({t}, '[^\P{{C}}\n\t]|[^\P{{Z}} ]', '', 'g')"
     t = rf"regexp_replace({t}, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
     t = rf"regexp_replace({t}, '(?im)^.{{0,80}}(page\s+[0-9]+\s+of\s+[0-9]+|doi:\s*10\.[0-9]+|©\s*[0-9]{{4}}|all rights reserved).{{0,80}}$', '', 'g')"
@@ -40,7 +40,7 @@ def unnested(source: str, keys: str, lists: str, name: str, first: int = 0) -> s
 
 
 _REFERENCES = fixed.REFERENCES_LINE
-_NAMES = " ".join(f"WHEN regexp_matches(heading, {_q('(?i)' + p)}) THEN {_q(n)}" for n, p in fixed.HEADINGS)
+_NAMES = " ".join(f"WHEN regexp_matches(heading, {quoted('(?i)' + p)}) THEN {quoted(n)}" for n, p in fixed.HEADINGS)
 
 BASE = rf"""
 papers AS ({PAPERS_SQL}),
@@ -52,7 +52,7 @@ lines AS (SELECT doc_id, unnest(string_split(clean_text, chr(10))) AS line, gene
 heads AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lno) - 1 AS ord, lead(lno) OVER (PARTITION BY doc_id ORDER BY lno) AS
     nxt, row_number() OVER (PARTITION BY doc_id, base ORDER BY lno) AS nth
   FROM (SELECT doc_id, lno, heading, CASE {_NAMES} END AS base FROM (SELECT doc_id, lno, {strip('line')} AS heading FROM lines)
-    WHERE length(heading) <= 80 AND regexp_matches(heading, {_q(fixed.HEADING)})) WHERE base IS NOT NULL),
+    WHERE length(heading) <= 80 AND regexp_matches(heading, {quoted(fixed.HEADING)})) WHERE base IS NOT NULL),
 sections AS (SELECT h.doc_id, h.ord, CASE WHEN nth > 1 THEN base || '_' || h.ord
     ELSE base END AS name, heading, {strip("coalesce(string_agg(l.line, chr(10) ORDER BY l.lno), '')")} AS text, h.lno AS start_line,
     coalesce(nxt, n) - 1 AS end_line
@@ -64,7 +64,7 @@ preambles AS (SELECT doc_id, {strip("coalesce(string_agg(line, chr(10) ORDER BY
 
 
 def _slot(name: str) -> str:
-    order = " ".join(f"WHEN name = {_q(a)} THEN {2 * k} WHEN starts_with(name, {_q(a)}) THEN {2 * k + 1}" for k, a in enumerate(fixed.ALIASES.get(name, [name])))
+    order = " ".join(f"WHEN name = {quoted(a)} THEN {2 * k} WHEN starts_with(name, {quoted(a)}) THEN {2 * k + 1}" for k, a in enumerate(fixed.ALIASES.get(name, [name])))
     return f"substr(coalesce(arg_min(text, 10000 * (CASE {order} END) + ord) FILTER (text <> '' AND (CASE {order} END) IS NOT NULL), ''), 1, {fixed.SECTION_CAPS[name]}) AS s_{name}"
 
 
@@ -78,9 +78,9 @@ slots AS (SELECT *, substr(concat_ws(chr(10) || chr(10), {_COMBINED}), 1, {fixed
 """
 
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_STOP = "[" + ", ".join(map(_q, fixed.STOP_WORDS)) + "]"
+_STOP = "[" + ", ".join(map(quoted, fixed.STOP_WORDS)) + "]"
 _WORD = r"[\p{L}\p{N}_]"
-CONTENT = rf"array_to_string(list_filter(regexp_split_to_array(translate(lower(sent), {_q(_PUNCT)}, ''), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)), ' ')"
+CONTENT = rf"array_to_string(list_filter(regexp_split_to_array(translate(lower(sent), {quoted(_PUNCT)}, ''), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)), ' ')"
 PLAIN = rf"array_to_string(list_filter(regexp_extract_all(lower(sent), '{_WORD}{{2,}}'), lambda w: NOT list_contains({_STOP}, w)), ' ')"
 
 
@@ -115,12 +115,12 @@ placed{name} AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(sc
 
 
 def first_match(t: str, patterns: list[str], group: int) -> str:
-    return "coalesce(" + ", ".join(f"nullif({strip(f'regexp_extract({t}, {_q('(?i)' + p)}, {group})')}, '')" for p in patterns) + ", '')"
+    return "coalesce(" + ", ".join(f"nullif({strip(f'regexp_extract({t}, {quoted('(?i)' + p)}, {group})')}, '')" for p in patterns) + ", '')"
 
 
 def all_matches(t: str, patterns: list[str], longer_than: int, most: int, group: int = 0, any_case: bool = True) -> str:
     """A list, distinct, in order: an entry counts where the list has it first."""
-    found = "list_concat(" + ", ".join(f"regexp_extract_all({t}, {_q(('(?i)' if any_case else '') + p)}, {group})" for p in patterns) + ")"
+    found = "list_concat(" + ", ".join(f"regexp_extract_all({t}, {quoted(('(?i)' if any_case else '') + p)}, {group})" for p in patterns) + ")"
     kept = f"list_filter(list_transform({found}, lambda x: {strip('x')}), lambda x: length(x) > {longer_than})"
     return f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)[1:{most}]"
 
@@ -149,7 +149,7 @@ keywords AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY scor
 """
 
 _T3 = rf"list_filter(list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1:10], lambda x: length(x) BETWEEN 10 AND 200 AND NOT regexp_matches(x, '10\.[0-9]{{4,}}/\S+') AND NOT (x = upper(x) AND x <> lower(x)))[1:3]"
-TITLE = f"coalesce(list_filter({_T3}, lambda x: length(x) = list_max(list_transform({_T3}, lambda y: length(y))))[1], {_q(fixed.NO_TITLE)})"
+TITLE = f"coalesce(list_filter({_T3}, lambda x: length(x) = list_max(list_transform({_T3}, lambda y: length(y))))[1], {quoted(fixed.NO_TITLE)})"
 METADATA = rf"""SELECT doc_id, {TITLE} AS title, nullif(regexp_replace(regexp_extract(substr(clean_text, 1, 3000),
     '10\.[0-9]{{4,}}/\S+'), '[.,)]+$', ''), '') AS doi,
   nullif(regexp_extract(substr(clean_text, 1, 2000), '\b(19|20)[0-9]{{2}}\b'), '') AS year,
@@ -158,13 +158,13 @@ METADATA = rf"""SELECT doc_id, {TITLE} AS title, nullif(regexp_replace(regexp_ex
   array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(string_split(full_text, chr(10))[2], ''),
     '(?i)[,;]|\band\b'), lambda x: {strip('x')}), lambda x: length(x) > 2), '|') AS authors FROM clean"""
 
-_SCORE = lambda cues: " + ".join(f"contains(t, {_q(c)})::int" for c in cues)
+_SCORE = lambda cues: " + ".join(f"contains(t, {quoted(c)})::int" for c in cues)
 _BEST = "greatest(" + ", ".join(f"({_SCORE(c)})" for _, c in fixed.DOMAINS) + ")"
 DOMAIN = f"""{KEYWORDS},
 named AS (SELECT c.doc_id, lower(coalesce(k.ks, '')) || ' ' || lower({TITLE}) AS t FROM clean c LEFT JOIN
     (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS ks FROM keywords GROUP BY doc_id) k USING (doc_id)),
-domains AS (SELECT doc_id, CASE WHEN {_BEST} = 0 THEN {_q(fixed.NO_DOMAIN)}
-    {' '.join(f"WHEN ({_SCORE(c)}) = {_BEST} THEN {_q(n)}" for n, c in fixed.DOMAINS)} END AS domain FROM named)
+domains AS (SELECT doc_id, CASE WHEN {_BEST} = 0 THEN {quoted(fixed.NO_DOMAIN)}
+    {' '.join(f"WHEN ({_SCORE(c)}) = {_BEST} THEN {quoted(n)}" for n, c in fixed.DOMAINS)} END AS domain FROM named)
 """
 
 
@@ -202,7 +202,7 @@ needles AS (SELECT doc_id, chunk_id, {strip('substr(text, 1, 60)')} AS needle FR
 paged AS (SELECT n.doc_id, n.chunk_id, coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number), '') AS pages
   FROM needles n LEFT JOIN pt ON pt.doc_id = n.doc_id AND needle <> '' AND contains(page, needle) GROUP BY n.doc_id, n.chunk_id)"""
 
-_QSTOP = "[" + ", ".join(map(_q, fixed.QUESTION_STOP_WORDS)) + "]"
+_QSTOP = "[" + ", ".join(map(quoted, fixed.QUESTION_STOP_WORDS)) + "]"
 
 
 def answered(source: str, keys: str) -> str:
@@ -219,8 +219,8 @@ qb AS (SELECT {keys}, arg_max(s, score - i * 1e-9) AS best, max(score) AS score
     (SELECT *, len(list_intersect({words('s')}, cw)) / (len(cw) + 0.1) AS score FROM qe) GROUP BY {keys}),
 qm AS (SELECT qc.*, best, score, coalesce(trim(question), '') = '' OR coalesce(trim(context),
     '') = '' OR len(ss) = 0 AS none, coalesce(score > 0.2, false) AS hit FROM qc LEFT JOIN qb USING ({keys})),
-r AS (SELECT {keys}, question, context, CASE WHEN none THEN {_q(fixed.NO_CONTEXT)} WHEN hit THEN best
-    ELSE {_q(fixed.NO_ANSWER)} END AS answer,
+r AS (SELECT {keys}, question, context, CASE WHEN none THEN {quoted(fixed.NO_CONTEXT)} WHEN hit THEN best
+    ELSE {quoted(fixed.NO_ANSWER)} END AS answer,
   CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper FROM qm)"""
 
 
@@ -232,7 +232,7 @@ def directions(words: list[str]) -> str:
     f = fixed
     hits = " UNION ALL ".join(
         f"""SELECT doc_id, {k} AS pat, unnest(hs) AS hit, generate_subscripts(hs, 1) AS i FROM
-    (SELECT doc_id, list_filter(list_transform(regexp_extract_all(search, {_q('(?i)' + p)}, 0), lambda x: {strip('x')}),
+    (SELECT doc_id, list_filter(list_transform(regexp_extract_all(search, {quoted('(?i)' + p)}, 0), lambda x: {strip('x')}),
     lambda x: length(x) >= 30) AS hs FROM searched)"""
         for k, p in enumerate(f.FUTURE)
     )
@@ -240,9 +240,9 @@ def directions(words: list[str]) -> str:
     after = f"CASE WHEN c.pat = f.over OR {new('c.hit')} THEN f.found ELSE list_append(f.found, {{'inferred': 0, 'x': c.hit}}) END"
     limited = f"CASE WHEN len(f.found) >= 5 OR length(c.x) < 30 OR {new('c.x')} THEN f.found ELSE list_append(f.found, {{'inferred': 1, 'x': c.x}}) END"
     limits = all_matches(first_filled("s_discussion", "s_conclusion", "combined"), f.LIMITATION, 30, 5)
-    known = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(x), {_q(w.lower())}) THEN {_q(f.EXTENDING[0] + w + f.EXTENDING[1])} END" for w in words[:5])
+    known = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(x), {quoted(w.lower())}) THEN {quoted(f.EXTENDING[0] + w + f.EXTENDING[1])} END" for w in words[:5])
     topic = known + ", regexp_replace(array_to_string(regexp_split_to_array(x, '\\s+')[1:8], ' '), '[.,;:]+$', ''))"
-    asked = f"regexp_replace(regexp_replace(x, {_q('(?i)' + f.FUTURE_START)}, {_q(f.ASKED)}, 'g'), {_q('(?i)' + f.ACTOR_START)}, {_q(f.ASKED)})"
+    asked = f"regexp_replace(regexp_replace(x, {quoted('(?i)' + f.FUTURE_START)}, {quoted(f.ASKED)}, 'g'), {quoted('(?i)' + f.ACTOR_START)}, {quoted(f.ASKED)})"
     question = f"substr(CASE WHEN ends_with({asked}, '?') THEN {asked} ELSE regexp_replace({asked}, '\\.+$', '') || '?' END, 1, 250)"
     cut = lambda n: f"regexp_replace(substr(x, 1, {n}), '[.,]+$', '')"
     some = lambda n: ", ".join(words[:n])
@@ -251,7 +251,7 @@ def directions(words: list[str]) -> str:
         ("Cross-domain generalization", f"How well does the method generalize beyond its tested domain, particularly for {words[0]}?", "Generalization across domains is a key open challenge in most ML research.", "Inferred from the scope of evaluation described in findings."),
         ("Robustness and fairness evaluation", "Are there biases or robustness issues in the proposed approach that could affect real-world deployment?", "Responsible AI research requires evaluation of fairness, bias, and adversarial robustness.", "Inferred: no explicit fairness/robustness analysis was identified in the paper."),
     ]
-    filled = " UNION ALL ".join(f"SELECT doc_id, n + {k} AS place, {', '.join(map(_q, t))}, true FROM told WHERE n < {3 - k}" for k, t in enumerate(templates))
+    filled = " UNION ALL ".join(f"SELECT doc_id, n + {k} AS place, {', '.join(map(quoted, t))}, true FROM told WHERE n < {3 - k}" for k, t in enumerate(templates))
     return f"""
 searched AS (SELECT doc_id, s_conclusion || chr(10) || s_discussion AS search FROM slots),
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pat, i) AS k FROM ({hits})),
@@ -265,16 +265,16 @@ fold2 AS (SELECT doc_id, 0 AS k, found FROM explicit
 told AS (SELECT doc_id, found, len(found) AS n FROM fold2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
 each AS (SELECT doc_id, unnest(found).inferred AS inferred, unnest(found).x AS x, generate_subscripts(found, 1) - 1 AS place FROM told),
 directions AS (SELECT * FROM (
-  SELECT doc_id, place, CASE WHEN inferred = 0 THEN {topic} ELSE {_q(f.ADDRESSING)} || {cut(60)} END AS topic,
-    CASE WHEN inferred = 0 THEN {question} ELSE {_q(f.OVERCOME[0])} || {cut(120)} || {_q(f.OVERCOME[1])} END AS question,
-    CASE WHEN inferred = 0 THEN {_q(f.EXPLICIT_REASON)}
-    ELSE {_q(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
+  SELECT doc_id, place, CASE WHEN inferred = 0 THEN {topic} ELSE {quoted(f.ADDRESSING)} || {cut(60)} END AS topic,
+    CASE WHEN inferred = 0 THEN {question} ELSE {quoted(f.OVERCOME[0])} || {cut(120)} || {quoted(f.OVERCOME[1])} END AS question,
+    CASE WHEN inferred = 0 THEN {quoted(f.EXPLICIT_REASON)}
+    ELSE {quoted(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
   UNION ALL {filled}) WHERE place < 6)"""
 
 
 def phrases(most: int = 8000) -> str:
     """CTE scores (doc_id, phrase, n, score) after BASE: runs of up to three words by the statistics of their words."""
-    blocks = rf"regexp_split_to_array(sent, {_q(fixed.BLOCK_END)})"
+    blocks = rf"regexp_split_to_array(sent, {quoted(fixed.BLOCK_END)})"
     words = f"regexp_extract_all(b, '{_WORD}+')"
     block = "(PARTITION BY doc_id, sent_no, block ORDER BY spot)"
     term = "(PARTITION BY doc_id, term)"

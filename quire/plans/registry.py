@@ -104,6 +104,19 @@ def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files, and the error of each file that is missing, isn't called a PDF, can't be opened or has no pages."""
+    rows = table(spark, sf_dir, "pages")
+    asked = rows.select(F.expr(fixtures.FILE).alias("path"))
+    files = rows.where(fixtures.FILE_FOUND).select(F.expr(fixtures.FILE).alias("path"), F.expr(fixtures.FILE_CONTENT).cast("binary").alias("content"))
+    out = documents.read_pages(files, fixtures.file_texts).unionByName(documents.missing_files(asked, files))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_number", "char_count", "image_count")})
+
+
+def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.as_json(metadata(spark, sf_dir))
+
+
 def rank_sentences_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = ranking.top_sentences(_sentences(spark, sf_dir), ["doc_id"], 3)
     return best.select("doc_id", F.col("pos").cast("long").alias("pos"), "sent", F.round("score", 6).alias("score"))
@@ -269,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
         whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights, phrase_scores, key_phrases,
+        file_pages, metadata_json,
     )
 }
 
@@ -315,6 +329,20 @@ ORACLE_SQL: dict[str, str] = {
     ELSE 200 END::bigint AS status, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_.\-]', '_', 'g'), '^[.\-]+', ''),
     ''), 'uploaded_file') AS file_name, CASE WHEN length(url) <= 20 THEN url ELSE regexp_replace(substr(url, 1, 20),
     ' [^ ]*$', '') || '...' END AS short_url, strlen(html) / 1048576.0::double AS mb FROM p""",
+    "file_pages": f"""WITH f AS (SELECT {fixtures.FILE} AS path, {fixtures.FILE_FOUND} AS found, {fixtures.FILE_CONTENT} AS body FROM pages),
+    e AS (SELECT path, body, regexp_extract(path, '[^/]*$') AS name, CASE WHEN NOT found THEN concat('{fixed.NOT_FOUND}', path)
+    WHEN lower(path) NOT LIKE '%.pdf' THEN concat('{fixed.NOT_PDF}', name)
+    WHEN body = '' THEN concat({oracle.quoted(fixed.NO_PAGES[0])}, name, {oracle.quoted(fixed.NO_PAGES[1])})
+    WHEN substr(body, 1, 4) <> '%PDF' THEN concat({oracle.quoted(fixed.NOT_OPENED[0])}, name, {oracle.quoted(fixed.NOT_OPENED[1])}, 'no header')
+    END AS error FROM f),
+    p AS (SELECT path, unnest(ps) AS t, generate_subscripts(ps, 1) AS k FROM
+    (SELECT path, string_split(substr(body, 5), '</p>') AS ps FROM e WHERE error IS NULL)),
+    n AS (SELECT *, length({oracle.strip('t')}) AS n FROM p)
+    SELECT path AS doc_id, k AS page_number, t AS raw_text, n AS char_count, (length(t) - length(replace(t, '<img', ''))) // 4 AS image_count,
+    n > 10 AS has_text, NULL::varchar AS error FROM n
+    UNION ALL SELECT DISTINCT path, NULL, NULL, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL""",
+    "metadata_json": f"""WITH {oracle.BASE}, m AS ({oracle.METADATA}) SELECT doc_id, to_json({{title: title, doi: doi, year: year,
+    abstract_paragraph: abstract_paragraph, authors: authors}})::varchar AS json FROM m""",
     "cue_statements": f"WITH {oracle.SLOTS} {oracle.statements()}",
     "ranked_slots": f"WITH {_POINTS} SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS sents FROM best GROUP BY doc_id, slot",
     "main_points": f"""WITH {_POINTS}, have AS (SELECT DISTINCT doc_id FROM best WHERE slot LIKE 'point%'), listed AS

@@ -16,7 +16,7 @@ from quire.functions import fixed, text
 MOST_BYTES = 50 << 20
 TYPES = ("application/pdf", "application/octet-stream")
 SCANNED_BELOW, LEAST_CHARACTERS = 80, 200
-PAGES = "doc_id string, page_number int, raw_text string, char_count int, image_count int, has_text boolean"
+PAGES = "doc_id string, page_number int, raw_text string, char_count int, image_count int, has_text boolean, error string"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -50,22 +50,44 @@ def admission(content: Column, content_type: Column | None = None, most_bytes: i
 
 
 def read_pages(files: DataFrame, extract: Callable[[bytes], Iterator[tuple[str, int]]]) -> DataFrame:
-    """Pages of files by an extractor from bytes to (text, number of images) of each page; no PDF library comes with this one."""
+    """Pages of files by an extractor from bytes to (text, number of images) of each page; no PDF library comes with this one.
+
+    A file that isn't called *.pdf, that the extractor fails on, or that has no pages, gives one row with `error` and no
+    page, so that one bad file stops nothing. A null content counts as empty.
+    """
+
+    def of_file(path: str, content: bytes | None) -> list[tuple]:
+        name = path.rsplit("/", 1)[-1]
+        error = fixed.NO_PAGES[0] + name + fixed.NO_PAGES[1]
+        if not name.lower().endswith(".pdf"):
+            return [(path, None, None, None, None, None, fixed.NOT_PDF + name)]
+        try:
+            texts = list(extract(content or b""))
+        except Exception as e:  # whatever an extractor raises is told of its file
+            texts, error = [], f"{fixed.NOT_OPENED[0]}{name}{fixed.NOT_OPENED[1]}{e}"
+        found = [(path, k, t, len(t.strip()), n, len(t.strip()) > 10, None) for k, (t, n) in enumerate(texts, 1)]
+        return found or [(path, None, None, None, None, None, error)]
 
     def pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                rows = [(path, k, t, len(t.strip()), n, len(t.strip()) > 10) for k, (t, n) in enumerate(extract(content), 1)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+                yield pd.DataFrame(of_file(path, content), columns=[c.split()[0] for c in PAGES.split(", ")], dtype=object)
 
     return files.select("path", "content").mapInPandas(pages, PAGES)
 
 
+def missing_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """A row with `error`, as of read_pages, for each path of asked that files lack; paths alone are read and joined."""
+    lacking = asked.select("path").distinct().join(files.select("path"), "path", "left_anti")
+    told = {"doc_id": F.col("path"), "error": F.concat(F.lit(fixed.NOT_FOUND), "path")}
+    return lacking.select(*[told.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in PAGES.split(", ")])
+
+
 def documents_of(pages: DataFrame) -> DataFrame:
-    """doc_id, total_pages, full_text, is_scanned, warning of documents whose pages are given."""
+    """doc_id, total_pages, full_text, is_scanned, warning of documents whose pages are given; rows without a page are left out."""
     average = F.avg("char_count")
     rows = F.array_sort(F.collect_list(F.struct("page_number", "raw_text")))
-    out = pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"))
+    out = pages.where("page_number is not null").groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"))
     scanned = F.col("average") < SCANNED_BELOW
     before, after = fixed.SCANNED
     warning = F.when(scanned, F.concat(F.lit(before), F.bround("average").cast("long").cast("string"), F.lit(after)))
@@ -81,13 +103,14 @@ def requests(bodies: DataFrame, known: DataFrame, body: str = "body") -> DataFra
     422: no JSON object with both fields, or a question of under 3 or over 500 characters; 400: an id that isn't a UUID, or
     a blank question; 404: an id that `known` (document_id) lacks; else 200. A point lookup is the same with one row.
     """
-    asked = bodies.withColumn("_r", F.from_json(body, REQUEST))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    asked = bodies.withColumn("_r", F.from_json(quoted(body), REQUEST))
     asked = asked.withColumns({"document_id": text.document_key(F.col("_r.document_id")), "question": F.col("_r.question")})
     found = known.select(text.document_key(F.col("document_id")).alias("document_id")).distinct().withColumn("_known", F.lit(True))
     out, n = asked.join(found, "document_id", "left"), F.length("question")
     bad = F.col("_r.document_id").isNull() | F.col("question").isNull() | (n < 3) | (n > 500)
     status = F.when(bad, 422).when(F.col("document_id").isNull(), 400).when(F.col("_known").isNull(), 404).when(text.strip(F.col("question")) == "", 400).otherwise(200)
-    return out.withColumn("status", status).select(*bodies.columns, "document_id", "question", "status")
+    return out.withColumn("status", status).select(*map(quoted, bodies.columns), "document_id", "question", "status")
 
 
 def problem(full_text: Column, clean: Column) -> Column:
@@ -96,12 +119,14 @@ def problem(full_text: Column, clean: Column) -> Column:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.to_json(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("json"))
+    """doc_id and `json`, an object of all other columns; a null stays in it as null."""
+    others = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    return rows.select("doc_id", F.to_json(others, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def append_new(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Append the rows whose key the table at path lacks; a second call with the same rows adds none."""
+    """Append the rows whose key the table at path lacks; a second call with the same rows adds none. A null is a key too."""
     spark = rows.sparkSession
     rows.limit(0).write.mode("append").parquet(path)
-    known = spark.read.schema(rows.schema).parquet(path).select(key)
-    rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
+    known = spark.read.schema(rows.schema).parquet(path).select(F.col(key).alias("_known"))
+    rows.dropDuplicates([key]).join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").write.mode("append").parquet(path)

@@ -124,6 +124,37 @@ def test_files(spark, tmp_path):
     assert len(out) == 2 and all(r.total_pages == 2 and r.is_scanned for r in out)
 
 
+def test_files_without_pages(spark):
+    def extract(content):
+        if content == b"bad":
+            raise ValueError("broken")
+        return [(content.decode(), 2)] if content else []
+
+    files = spark.createDataFrame([("/x/a.PDF", b"some longer text"), ("/x/b.pdf", b"bad"), ("/x/c.pdf", b""), ("/x/d.pdf", None), ("/x/e.doc", b"text")], "path string, content binary")
+    pages = documents.read_pages(files, extract)
+    got = {r.doc_id: r for r in pages.collect()}
+    assert tuple(got["/x/a.PDF"])[1:] == (1, "some longer text", 16, 2, True, None)
+    told = ["Cannot open PDF 'b.pdf': broken", "PDF 'c.pdf' contains no pages.", "PDF 'd.pdf' contains no pages.", "File is not a PDF: e.doc"]
+    assert [got[f"/x/{n}"].error for n in ("b.pdf", "c.pdf", "d.pdf", "e.doc")] == told
+    assert [r.doc_id for r in documents.documents_of(pages).collect()] == ["/x/a.PDF"]
+    asked = spark.createDataFrame([("/x/a.PDF",), ("/x/z.pdf",), ("/x/z.pdf",)], "path string")
+    assert [(r.doc_id, r.page_number, r.error) for r in documents.missing_files(asked, files).collect()] == [("/x/z.pdf", None, "PDF file not found: /x/z.pdf")]
+    assert documents.missing_files(asked, files).schema == pages.schema
+    assert documents.read_pages(files.limit(0), extract).count() == 0
+
+
+def test_json_keeps_nulls(spark):
+    rows = spark.createDataFrame([(1, None, ["a"]), (None, "b", None)], "doc_id long, title string, authors array<string>")
+    assert [r.json for r in documents.as_json(rows).collect()] == ['{"title":null,"authors":["a"]}', '{"title":"b","authors":null}']
+
+
+def test_append_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "doc_id long, t string")
+    for _ in range(2):
+        documents.append_new(rows, f"file://{tmp_path}/t")
+    assert sorted(str(r.doc_id) for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == ["1", "None"]
+
+
 def test_scanned_papers_are_told(spark):
     rows = [(1, k, "x" * n, n) for k, n in enumerate((80, 79, 79), 1)] + [(2, 1, "x" * 100, 100)]
     out = {r.doc_id: r for r in documents.documents_of(spark.createDataFrame(rows, "doc_id long, page_number int, raw_text string, char_count int")).collect()}
@@ -139,6 +170,8 @@ def test_requests(spark):
     got = {r.k: r for r in documents.requests(rows, known).collect()}
     assert [got[k].status for k in range(len(bodies))] == [s for _, s in bodies]
     assert got[2].document_id == key and got[5].document_id is None
+    dotted = documents.requests(rows.withColumnRenamed("body", "a.b").withColumn("c d", F.lit(1)), known, "a.b")
+    assert dotted.columns == ["k", "a.b", "c d", "document_id", "question", "status"] and dotted.count() == len(bodies)
     assert spark.range(2).select(text.new_document_key().alias("k")).where(text.document_key(F.col("k")).isNotNull()).distinct().count() == 2
 
 
