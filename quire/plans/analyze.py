@@ -97,12 +97,17 @@ def with_insights(rows: DataFrame) -> DataFrame:
 
 
 def analyse(papers: DataFrame, normalise: bool = True) -> DataFrame:
-    """One row for each paper: metadata, statements with their fallbacks, summaries, keywords, domain and directions."""
-    # Cleaned and cut once, for all the parts that are ranked, searched and joined by document.
-    docs = documents.kept(with_slots(prepared(papers, normalise)), "slots")
+    """One row for each row of papers: metadata, statements with their fallbacks, summaries, keywords, domain and directions.
+
+    Rows are told apart by numbers of their own, so those that share a doc_id, or have none, are analysed each by itself.
+    A null text counts as empty. Columns other than doc_id and full_text are not read.
+    """
+    numbered = papers.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("_given"), "full_text")
+    # Cleaned and cut once, for all the parts that are ranked, searched and joined by number; writing fixes the numbers.
+    docs = documents.kept(with_slots(prepared(numbered, normalise)), "slots")
     t = F.col("clean_text")
     told_by = [sections.title(t).alias("title"), sections.year(t).alias("year"), sections.doi(t).alias("doi")]
-    base = docs.select("doc_id", *told_by, F.size("sections").alias("n_sections"), "s_conclusion", "s_discussion")
+    base = docs.select("doc_id", "_given", *told_by, F.size("sections").alias("n_sections"), "s_conclusion", "s_discussion")
     ranked = documents.kept(ranked_slots(docs), "ranked")
     wide = ranked.groupBy("doc_id").pivot("slot", ["objective", "methodology", "findings", "contribution", "summary", "conclusion", "abstract"]).agg(F.first("sents"))
     wide = wide.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in wide.columns if c != "doc_id"])
@@ -123,4 +128,4 @@ def analyse(papers: DataFrame, normalise: bool = True) -> DataFrame:
     out = cues.with_directions(out, F.concat("s_conclusion", F.lit("\n"), "s_discussion"), "limitations", "keywords")
     stated = ("objective", "methodology", "findings", "contribution", "limitations", "datasets", "main_points", "summary", "conclusion")
     derived = ("key_insight", "simple_explanation", "why_it_matters", "keywords", "domain", "directions")
-    return out.select("doc_id", "title", "year", "doi", "n_sections", *stated, *derived)
+    return out.select(F.col("_given").alias("doc_id"), "title", "year", "doi", "n_sections", *stated, *derived)

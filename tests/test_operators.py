@@ -266,6 +266,20 @@ def test_analysis(spark, data):
     assert len(rows) == 200 and all(len(r.directions) >= 3 and r.summary and r.objective and r.keywords and r.domain for r in rows)
 
 
+def test_analysis_of_odd_ids(spark, data):
+    """Rows that share an id, or have none, get a row each: that which the same text gets alone; a null text is empty."""
+    whole = registry._papers(spark, data).orderBy("doc_id").limit(2).collect()
+    texts = [r.full_text for r in whole]
+    odd = [(7, texts[0], 1), (7, texts[1], 2), (7, texts[0], 3), (None, texts[0], 4), (None, texts[1], 5), (8, None, 6), (9, "", 7)]
+    got = [r.asDict() for r in analyze.analyse(spark.createDataFrame(odd, "doc_id long, full_text string, `a.b` int")).collect()]
+    want = {r.doc_id: r.asDict() for r in analyze.analyse(spark.createDataFrame([(0, texts[0]), (1, texts[1])], "doc_id long, full_text string")).collect()}
+    assert sorted(str(r["doc_id"]) for r in got) == ["7", "7", "7", "8", "9", "None", "None"]
+    bare = lambda r: {k: v for k, v in r.items() if k != "doc_id"}
+    for k, times in ((0, 3), (1, 2)):
+        assert sum(bare(r) == bare(want[k]) for r in got) == times
+    assert analyze.analyse(spark.createDataFrame([], "doc_id long, full_text string")).count() == 0
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
