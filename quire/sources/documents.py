@@ -53,11 +53,11 @@ def read_pages(files: DataFrame, extract: Callable[[bytes], Iterator[tuple[str,
     """Pages of files by an extractor from bytes to (text, number of images) of each page; no PDF library comes with this one.
 
     A file that isn't called *.pdf, that the extractor fails on, or that has no pages, gives one row with `error` and no
-    page, so that one bad file stops nothing. A null content counts as empty.
+    page, so that one bad file stops nothing. A null content counts as empty, a null path as one without a name.
     """
 
-    def of_file(path: str, content: bytes | None) -> list[tuple]:
-        name = path.rsplit("/", 1)[-1]
+    def of_file(path: str | None, content: bytes | None) -> list[tuple]:
+        name = (path or "").rsplit("/", 1)[-1]
         error = fixed.NO_PAGES[0] + name + fixed.NO_PAGES[1]
         if not name.lower().endswith(".pdf"):
             return [(path, None, None, None, None, None, fixed.NOT_PDF + name)]
@@ -77,8 +77,8 @@ def read_pages(files: DataFrame, extract: Callable[[bytes], Iterator[tuple[str,
 
 
 def missing_files(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """A row with `error`, as of read_pages, for each path of asked that files lack; paths alone are read and joined."""
-    lacking = asked.select("path").distinct().join(files.select("path"), "path", "left_anti")
+    """A row with `error`, as of read_pages, for each path of asked, but null, that files lack; paths alone are read and joined."""
+    lacking = asked.select("path").where("path is not null").distinct().join(files.select("path"), "path", "left_anti")
     told = {"doc_id": F.col("path"), "error": F.concat(F.lit(fixed.NOT_FOUND), "path")}
     return lacking.select(*[told.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in PAGES.split(", ")])
 

@@ -130,14 +130,15 @@ def test_files_without_pages(spark):
             raise ValueError("broken")
         return [(content.decode(), 2)] if content else []
 
-    files = spark.createDataFrame([("/x/a.PDF", b"some longer text"), ("/x/b.pdf", b"bad"), ("/x/c.pdf", b""), ("/x/d.pdf", None), ("/x/e.doc", b"text")], "path string, content binary")
+    files = spark.createDataFrame([("/x/a.PDF", b"some longer text"), ("/x/b.pdf", b"bad"), ("/x/c.pdf", b""), ("/x/d.pdf", None), ("/x/e.doc", b"text"), (None, b"text")], "path string, content binary")
     pages = documents.read_pages(files, extract)
     got = {r.doc_id: r for r in pages.collect()}
     assert tuple(got["/x/a.PDF"])[1:] == (1, "some longer text", 16, 2, True, None)
     told = ["Cannot open PDF 'b.pdf': broken", "PDF 'c.pdf' contains no pages.", "PDF 'd.pdf' contains no pages.", "File is not a PDF: e.doc"]
+    assert got[None].error == "File is not a PDF: " and got[None].page_number is None
     assert [got[f"/x/{n}"].error for n in ("b.pdf", "c.pdf", "d.pdf", "e.doc")] == told
     assert [r.doc_id for r in documents.documents_of(pages).collect()] == ["/x/a.PDF"]
-    asked = spark.createDataFrame([("/x/a.PDF",), ("/x/z.pdf",), ("/x/z.pdf",)], "path string")
+    asked = spark.createDataFrame([("/x/a.PDF",), ("/x/z.pdf",), ("/x/z.pdf",), (None,)], "path string")
     assert [(r.doc_id, r.page_number, r.error) for r in documents.missing_files(asked, files).collect()] == [("/x/z.pdf", None, "PDF file not found: /x/z.pdf")]
     assert documents.missing_files(asked, files).schema == pages.schema
     assert documents.read_pages(files.limit(0), extract).count() == 0
