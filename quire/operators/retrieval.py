@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
+from quire.operators import sections
+from quire.sources import documents
 
 LEAST = 0.1
 
 
+def usable(embedding: str = "embedding") -> Column:
+    """Whether a vector has a direction: not null, empty or zero, and without null or NaN components."""
+    return F.coalesce(F.exists(embedding, lambda x: x != 0) & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
@@ -34,21 +41,23 @@ def _nearest(near: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray,
 def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 5, query_rows: int = 20_000) -> DataFrame:
     """query_id, id, score, rank: for each query its nearest vectors with a cosine above 0.1, ties to the larger id.
 
-    queries (query_id, embedding) are taken in blocks of about `query_rows`, dealt by a hash. A block is broadcast, and
-    every task holds the vectors (id, embedding) that it reads against it, handing on only the best of each query; so no
-    vector is moved or copied. Vectors of another length than the query, null and zero ones are left out.
+    queries (query_id, embedding) are taken in blocks of about `query_rows`, dealt by a hash, one after the other: a block
+    is collected and broadcast, every task holds the vectors (id, embedding) that it reads against it and hands on only
+    the best of each query, the result is written, and the broadcast is given up before the next. So no vector is moved or copied, and
+    neither driver nor executor holds more than a block. `clusters.nearest` gives the same rows with one pass over the
+    vectors for all queries. Vectors of another length than the query, null and zero ones are left out.
     """
     kind, spark = "query_id long, id long, score double", queries.sparkSession
-    usable = F.coalesce(F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
-    queries, vectors = queries.where(usable).select("query_id", "embedding"), vectors.where(usable).select("id", "embedding")
+    queries, vectors = queries.where(usable()).select("query_id", "embedding"), vectors.where(usable()).select("id", "embedding")
     blocks = max(1, -(-queries.count() // query_rows))
-    found = None
-    for k in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
-        own = _against(vectors, spark.sparkContext.broadcast(_by_length(block)), most, kind)
-        found = own if found is None else found.unionByName(own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most)
+    folder = documents.shared_folder(spark, "nearest")
+    for k in range(blocks):
+        shared = spark.sparkContext.broadcast(_by_length(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()))
+        best = _against(vectors, shared, most, kind).withColumn("rank", rank).where(F.col("rank") <= most)
+        best.write.mode("append").parquet(folder)
+        shared.destroy()
+    return spark.read.schema(f"{kind}, rank int").parquet(folder)
 
 
 def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -84,28 +93,47 @@ def _against(vectors: DataFrame, shared, most: int, kind: str) -> DataFrame:
     return vectors.mapInArrow(search, kind)
 
 
+def _places(t: Column, size: int) -> Column:
+    """The place of each word, by the first byte of its hash, in order of place."""
+    digits = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int")
+    return F.array_sort(F.transform(F.regexp_extract_all(F.lower(t), F.lit(f"{text.WORD}+"), F.lit(0)), lambda w: F.pmod(digits(w), F.lit(size))))
+
+
+def _counts(places: Column, size: int) -> Column:
+    """How often each place comes in a sorted list: with every place once more, counts are the distances of their first ones."""
+    marked = F.array_sort(F.concat(places, F.sequence(F.lit(0), F.lit(size))))
+    # A list of one holds the sorted places, so that they are found once and not for every component.
+    return F.get(F.transform(F.array(marked), lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (F.array_position(m, k + 1) - F.array_position(m, k) - 1).cast("float"))), F.lit(0))
+
+
 def hashed_vector(t: Column, size: int = 64) -> Column:
     """A default embedding without a model: counts of words by hash, in up to 256 places."""
-    digits = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int")
-    at = F.transform(F.regexp_extract_all(F.lower(t), F.lit(f"{text.WORD}+"), F.lit(0)), lambda w: F.pmod(digits(w), F.lit(size)))
-    # A list of one holds the words' places, so that they are found once and not for every component.
-    return F.get(F.transform(F.array(at), lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(found, lambda x: x == k)).cast("float"))), F.lit(0))
+    return _counts(_places(t, size), size)
+
+
+def _square(places: Column) -> Column:
+    """The sum of squared counts of a sorted list, in one pass: the k-th of equal places adds 2 k - 1."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+    run = lambda s, p: F.when(s["last"] == p, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+    return F.aggregate(places, start, lambda s, p: F.struct(p.alias("last"), run(s, p).alias("run"), (s["sum"] + 2 * run(s, p) - 1).alias("sum")), lambda s: s["sum"].cast("double"))
 
 
-def retrieved(questions: DataFrame, chunked: DataFrame, most: int = 5) -> DataFrame:
-    """query_id, rank, chunk_id, section_name, page_numbers, text, score: of each question the nearest chunks of its own document.
+def retrieved(questions: DataFrame, chunked: DataFrame, most: int = 5, size: int = 64) -> DataFrame:
+    """query_id, rank, score and the columns of chunked: of each question the nearest chunks of its own document.
 
-    questions (query_id, doc_id, question); chunked (doc_id, chunk_id, section_name, page_numbers, text). They meet by
-    doc_id, and so a question only meets the chunks of one document. Scores of 0.1 or less don't count, ties go to the
-    later chunk.
+    questions (query_id, doc_id, question); chunked (doc_id, chunk_id, text, and others). They meet by doc_id, and so a
+    question only meets the chunks of one document. The cosine is that of hashed vectors, summed over the words of
+    a chunk in one pass. Scores of 0.1 or less don't count, ties go to the later chunk.
     """
-    q = questions.select("query_id", "doc_id", hashed_vector(F.col("question")).alias("_q"))
-    c = chunked.select("doc_id", "chunk_id", "section_name", "page_numbers", "text", hashed_vector(F.col("text")).alias("_c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    near = dot("_q", "_c") / F.greatest(F.sqrt(dot("_q", "_q")) * F.sqrt(dot("_c", "_c")), F.lit(1e-10))
+    q = questions.select("query_id", "doc_id", _places(F.col("question"), size).alias("_p"))
+    q = q.select("query_id", "doc_id", _counts(F.col("_p"), size).alias("_q"), _square(F.col("_p")).alias("_qq"))
+    c = chunked.withColumn("_c", _places(F.col("text"), size))
+    c = c.withColumn("_cc", _square(F.col("_c")))
+    dot = F.aggregate("_c", F.lit(0.0), lambda s, p: s + F.get("_q", p))
+    near = dot / F.greatest(F.sqrt("_qq") * F.sqrt("_cc"), F.lit(1e-10))
     met = q.join(c, "doc_id").withColumn("score", F.round(near, 9)).where(F.col("score") > LEAST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chunk_id")))
-    return met.withColumn("rank", rank).where(F.col("rank") <= most).drop("_q", "_c")
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).drop("_q", "_qq", "_c", "_cc")
 
 
 def contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:
@@ -125,15 +153,18 @@ def contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:
     return kept.groupBy("query_id").agg(F.array_join(rows["text"], "\n\n").alias("context"), F.count("*").alias("n_chunks"), *sources)
 
 
-def paper_answers(questions: DataFrame, docs: DataFrame, chunked: DataFrame, most: int = 5) -> DataFrame:
+def paper_answers(questions: DataFrame, docs: DataFrame, chunked: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
     """questions (query_id, doc_id, question) with `result` and `sources`, answered from the chunks of their own document.
 
-    A document without chunks is answered from the start of its clean_text, without sources; where no chunk is near
-    enough there is no context, and so no answer.
+    pages (doc_id, page_number, text) are only searched for the chunks that a question has retrieved. A document without
+    chunks is answered from the start of its clean_text, without sources; where no chunk is near enough there is no
+    context, and so no answer.
     """
     counted = chunked.groupBy("doc_id").agg(F.count("*").alias("_chunks"))
     start = docs.select("doc_id", F.substring("clean_text", 1, 8000).alias("_start")).join(counted, "doc_id", "left")
-    out = questions.join(start, "doc_id").join(contexts(retrieved(questions, chunked, most)), "query_id", "left")
+    near = documents.kept(retrieved(questions, chunked, most), "near")
+    told = sections.chunk_pages(near, pages)
+    out = questions.join(start, "doc_id").join(contexts(told), "query_id", "left")
     out = out.withColumn("context", F.when(F.col("_chunks").isNull(), F.col("_start")).otherwise(F.coalesce("context", F.lit(""))))
     out = answers(out)
     result = F.when(F.col("context") == "", _not_found(fixed.NO_RELEVANT)).otherwise(F.col("result"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
+from quire.sources import documents
 
 
 def heading_name(line: Column) -> Column:
@@ -131,11 +132,60 @@ def chunks(docs: DataFrame, size: int = 5, overlap: int = 2, column: str = "clea
     return rows.select("doc_id", "chunk_id", "c.section_name", F.array_join("c.sentences", " ").alias("text"), F.size("c.sentences").alias("n_sentences"))
 
 
+#: What tells a needle's place: so many whole words; or so many characters, where it has no whole word.
+ANCHOR_WORDS, ANCHOR_CHARACTERS, NEEDLE = 3, 8, 60
+FEW = 16  # chunks of a document that are held against all of its pages
+
+
+def _parts(t: Column) -> Column:
+    return F.split(t, r"\s+")
+
+
+def _word_anchors(words: Column) -> Column:
+    """Hashes of all runs of ANCHOR_WORDS words; words is a column."""
+    last = F.size(words) - ANCHOR_WORDS
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(ANCHOR_WORDS)])))
+
+
+def _character_anchors(t: Column) -> Column:
+    """Of each NEEDLE characters in a row the smallest hash of ANCHOR_CHARACTERS: equal stretches have equal ones."""
+    inner = NEEDLE - ANCHOR_CHARACTERS + 1
+    n = F.length(t) - ANCHOR_CHARACTERS + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substring(t, i, F.lit(ANCHOR_CHARACTERS))))
+    # A list of one holds the hashes, so that they are made once.
+    least = F.get(F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(n - inner + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, inner)))), F.lit(0))
+    return F.when(F.length(t) >= NEEDLE, least)
+
+
 def chunk_pages(chunked: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunked with page_numbers: pages of the document that hold the chunk's first 60 characters; an equi-join by document."""
-    needle = text.strip(F.substring("text", 1, 60))
-    needles = chunked.select("doc_id", "chunk_id", needle.alias("needle")).where("needle <> ''")
-    read = pages.select("doc_id", "page_number", F.col("text").alias("page"))
-    hits = needles.join(read, "doc_id").where(F.col("page").contains(F.col("needle")))
-    found = hits.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("page_number")).alias("page_numbers"))
-    return chunked.join(found, ["doc_id", "chunk_id"], "left").withColumn("page_numbers", F.coalesce("page_numbers", F.expr("cast(array() as array<int>)")))
+    """chunked with page_numbers: pages of the document that hold the chunk's first 60 characters.
+
+    A chunk meets the pages that share an anchor with it, by document and anchor, and only those are searched for it; so
+    the work of a document grows with its length, and a long one is spread over many tasks. All but the first and last
+    word of those characters are whole words of the page as well: the anchor is a run of three of them, else the longest
+    one. Where there is none, as in a script without spaces, it is the smallest hash of eight characters in a row, which
+    the page's stretch of 60 characters shares. Shorter texts of one or two words, one for a section at most, and the
+    chunks of a document that asks for at most FEW, meet all pages of their document. Columns of chunked are kept; a document without pages has no page numbers.
+    """
+    needle = text.strip(F.substring("text", 1, NEEDLE))
+    asked = chunked.select("doc_id", needle.alias("needle")).where("needle <> ''").distinct().withColumn("_w", _parts(F.col("needle")))
+    asked = asked.withColumn("_w", F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.size("_w") - 2)))
+    longest = F.get(F.array_sort(F.transform("_w", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    few = F.count("*").over(Window.partitionBy("doc_id")) <= FEW
+    asked = asked.withColumn("_few", few)
+    kind = F.when(F.col("_few"), 0).when(F.size("_w") >= ANCHOR_WORDS, 3).when(F.col("_w").isNotNull(), 1).when(F.length("needle") == NEEDLE, 8).otherwise(0)
+    anchor = F.when(F.col("kind") == 3, F.get(_word_anchors(F.col("_w")), F.lit(0))).when(F.col("kind") == 1, F.xxhash64(longest)).when(F.col("kind") == 8, F.get(_character_anchors(F.col("needle")), F.lit(0))).otherwise(0)
+    # Both are read twice, so they are written once.
+    asked = documents.kept(asked.withColumn("kind", kind).select("doc_id", "needle", "kind", anchor.alias("anchor")), "needles")
+    read = documents.kept(pages.select("doc_id", "page_number", F.col("text").alias("page")), "pages")
+    kinds = asked.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    own = read.join(kinds, "doc_id").withColumn("_w", _parts(F.col("page")))
+    none = F.expr("cast(array() as array<bigint>)")
+    of = lambda k, anchors: F.when(F.array_contains("kinds", k), F.transform(F.array_distinct(F.coalesce(anchors, none)), lambda h: F.struct(F.lit(k).alias("kind"), h.alias("anchor")))).otherwise(F.expr("cast(array() as array<struct<kind: int, anchor: bigint>>)"))
+    found = F.concat(of(3, _word_anchors(F.col("_w"))), of(1, F.transform("_w", lambda w: F.xxhash64(w))), of(8, _character_anchors(F.col("page"))), of(0, F.array(F.lit(0).cast("long"))))
+    places = own.select("doc_id", "page_number", F.explode_outer(found).alias("a")).where("a is not null").select("doc_id", "page_number", "a.kind", "a.anchor")
+    met = asked.join(places, ["doc_id", "kind", "anchor"]).select("doc_id", "page_number", "needle").distinct()
+    hits = met.join(read, ["doc_id", "page_number"]).where(F.col("page").contains(F.col("needle")))
+    numbers = hits.groupBy("doc_id", "needle").agg(F.array_sort(F.collect_list("page_number")).alias("page_numbers"))
+    out = chunked.withColumn("_needle", needle).join(numbers.withColumnRenamed("needle", "_needle"), ["doc_id", "_needle"], "left").drop("_needle")
+    return out.withColumn("page_numbers", F.coalesce("page_numbers", F.expr("cast(array() as array<int>)")))

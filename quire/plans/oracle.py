@@ -310,3 +310,19 @@ ye AS (SELECT doc_id, term AS phrase, 1 AS n, w AS times, w AS plus FROM yc
     ELSE w1 END) * w2, w + (CASE kind1 WHEN 'stop' THEN bound - 1.0 ELSE w1 END) + w2
     FROM yc WHERE kind1 IN ('word', 'stop') AND kind2 = 'word'),
 scores AS (SELECT doc_id, phrase, n, any_value(times) / (count(*) * (1.0 + any_value(plus))) AS score FROM ye GROUP BY doc_id, phrase, n)"""
+
+
+def sparse_top(source: str, keys: str, most: int = 5) -> str:
+    """CTE sparse_top (query_id, keys, rank, score): all rows of source (keys, text) against the first sentences of rows (grp, pos, sent), exhaustively."""
+    words = f"regexp_extract_all({CONTENT}, '{_WORD}{{2,}}')"
+    return f"""
+st AS (SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest({words}) AS term FROM (SELECT {keys}, text AS sent FROM {source})) GROUP BY ALL),
+si AS (SELECT term, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1.0 AS idf FROM st GROUP BY term),
+sw AS (SELECT {keys}, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {keys})) AS w FROM
+    (SELECT {keys}, term, tf * idf AS raw FROM st JOIN si USING (term))),
+sq AS (SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS q FROM
+    (SELECT query_id, term, any_value(idf) * count(*) AS raw FROM (SELECT grp AS query_id, unnest({words}) AS term FROM rows
+    WHERE pos = 0 AND grp % 100 = 0) JOIN si USING (term) GROUP BY query_id, term)),
+sr AS (SELECT query_id, {keys}, round(sum(q * w), 9) AS score FROM sq JOIN sw USING (term) GROUP BY query_id, {keys}),
+sparse_top AS (SELECT query_id, {keys}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {keys}) AS rank, round(score, 6) AS score
+    FROM sr WHERE score > 0.1 QUALIFY rank <= {most})"""

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
-from quire.operators import cues, phrases, ranking, retrieval, sections
+from quire.operators import clusters, cues, phrases, postings, ranking, retrieval, sections
 from quire.plans import analyze, fixtures, oracle
-from quire.sources import documents
+from quire.sources import documents, store
 from quire.streaming import ingest
 
 
@@ -83,7 +83,7 @@ def chunks_5_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).select("doc_id", "page_number", text.clean_text(F.col("raw_text")).alias("text"))
-    out = sections.chunk_pages(sections.chunks(_prepared(spark, sf_dir)), pages)
+    out = sections.chunk_pages(documents.kept(sections.chunks(_prepared(spark, sf_dir)), "chunks"), pages)
     return out.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"))
 
 
@@ -179,6 +179,34 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of cosine_topk, by clusters that are passed over where they lie too far off."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best, _ = clusters.nearest(queries, rows.select(F.col("vec_id").alias("id"), "embedding"))
+    return best.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentences of the documents whose id is divisible by 100, held against the chunks of all papers."""
+    chunked = documents.kept(sections.chunks(_prepared(spark, sf_dir)), "chunks")
+    asked = _sentences(spark, sf_dir).where("pos = 0 and doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("sent").alias("text"))
+    best, _ = postings.search(asked, postings.build(chunked, ["doc_id", "chunk_id"]))
+    return best.select("query_id", "doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends that share keys, then a lookup of many keys: each key's first row stays, and keys that were never added aren't found."""
+    path = documents.shared_folder(spark, "store")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    store.append(docs.where("doc_id % 3 = 0").withColumn("batch", F.lit(1)), path)
+    second = docs.where("doc_id % 5 <> 0").withColumns({"batch": F.lit(2), "text": F.concat(F.lit("later "), "text")})
+    store.append(second, path, order=["text"])
+    rows = second.schema
+    asked = docs.where("doc_id % 2 = 0").select("doc_id")
+    return store.find(asked, path, rows, "doc_id").select("doc_id", F.col("batch").cast("long").alias("batch"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sections.chunks(_prepared(spark, sf_dir)).select(F.col("doc_id").alias("query_id"), F.col("chunk_id").alias("rank"), "text")
     return retrieval.contexts(rows)
@@ -238,10 +266,10 @@ def paper_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paper is asked one of the suggested questions; the chunks of the paper that lie nearest give the context."""
     docs = documents.kept(_prepared(spark, sf_dir).select("doc_id", "clean_text", "sections"), "papers")
     pages = _pages(spark, sf_dir).select("doc_id", "page_number", text.clean_text(F.col("raw_text")).alias("text"))
-    chunked = documents.kept(sections.chunk_pages(sections.chunks(docs), pages), "chunks")
+    chunked = documents.kept(sections.chunks(docs), "chunks")
     listed = F.array(*map(F.lit, fixed.QUESTIONS))
     questions = docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.get(listed, (F.col("doc_id") % len(fixed.QUESTIONS)).cast("int")).alias("question"))
-    out = retrieval.paper_answers(questions, docs, chunked)
+    out = retrieval.paper_answers(questions, docs, chunked, pages)
     shown = F.transform("sources", lambda s: F.concat_ws(":", s["section"], F.array_join(s["pages"].cast("array<string>"), ","), F.format_number(s["similarity"], 3)))
     return out.select("doc_id", "question", "result.answer", "result.found_in_paper", F.col("result.score").alias("confidence"), F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("sources"))
 
@@ -282,7 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
         whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights, phrase_scores, key_phrases,
-        file_pages, metadata_json,
+        file_pages, metadata_json, pruned_topk, sparse_topk, keyed_store,
     )
 }
 
@@ -459,6 +487,11 @@ SELECT doc_id, objective, methodology, replace(findings, chr(1),
     '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE
     WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
     "phrase_scores": f"WITH {oracle.BASE}, {oracle.phrases()} SELECT doc_id, phrase, n::bigint AS n, round(score, 6) AS score FROM scores",
+    "sparse_topk": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, {_RAW}, {oracle.sparse_top('chunks', 'doc_id, chunk_id')} SELECT * FROM sparse_top""",
+    "keyed_store": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::bigint AS batch, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'later ' || text END)
+    AS digest FROM d WHERE doc_id % 3 = 0 OR doc_id % 5 <> 0""",
     "stream_ingest": f"""WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN
     (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)""",
 }
+ORACLE_SQL["pruned_topk"] = ORACLE_SQL["cosine_topk"]

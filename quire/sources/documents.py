@@ -37,8 +37,8 @@ def kept(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """path, length, content of the files under path."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
+    """path, length, content of the files under path, however their suffix is written."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
@@ -122,11 +122,3 @@ def as_json(rows: DataFrame) -> DataFrame:
     """doc_id and `json`, an object of all other columns; a null stays in it as null."""
     others = F.struct(*[c for c in rows.columns if c != "doc_id"])
     return rows.select("doc_id", F.to_json(others, {"ignoreNullFields": "false"}).alias("json"))
-
-
-def append_new(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Append the rows whose key the table at path lacks; a second call with the same rows adds none. A null is a key too."""
-    spark = rows.sparkSession
-    rows.limit(0).write.mode("append").parquet(path)
-    known = spark.read.schema(rows.schema).parquet(path).select(F.col(key).alias("_known"))
-    rows.dropDuplicates([key]).join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").write.mode("append").parquet(path)

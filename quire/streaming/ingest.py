@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.functions import text
 from quire.operators import sections
-from quire.sources import documents
+from quire.sources import store
 
 
 def arriving(spark: SparkSession, path: str, schema: str = "doc_id long, full_text string", files_at_once: int = 1000) -> DataFrame:
@@ -20,7 +20,7 @@ def start(stream: DataFrame, out: str, checkpoint: str, available_only: bool = T
     docs = stream.withColumn("clean_text", text.without_references(text.clean_text(F.col("full_text"))))
 
     def write(batch: DataFrame, number: int) -> None:
-        documents.append_new(sections.with_sections(batch), out)
+        store.append(sections.with_sections(batch), out)
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_only else writer).start()

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import cues, phrases, ranking, retrieval, sections
+from quire.operators import clusters, cues, phrases, postings, ranking, retrieval, sections
 from quire.plans import analyze, registry
-from quire.sources import documents
+from quire.sources import documents, store
 
 TABLES = "documents embeddings pages labels conversations".split()
 
@@ -115,7 +115,8 @@ def test_context_budget(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
-    (tmp_path / "b.pdf").write_bytes(b"plain")
+    (tmp_path / "b.PDF").write_bytes(b"plain")
+    (tmp_path / "c.txt").write_bytes(b"%PDF")
     files = documents.read_files(spark, f"file://{tmp_path}")
     assert sorted(r.s for r in files.select(documents.admission(F.col("content")).alias("s")).collect()) == [200, 422]
     assert spark.range(1).select(documents.admission(F.lit(b"")).alias("s")).first().s == 400  # Spark's reader leaves empty files out
@@ -152,7 +153,7 @@ def test_json_keeps_nulls(spark):
 def test_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "doc_id long, t string")
     for _ in range(2):
-        documents.append_new(rows, f"file://{tmp_path}/t")
+        store.append(rows, f"file://{tmp_path}/t")
     assert sorted(str(r.doc_id) for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == ["1", "None"]
 
 
@@ -184,10 +185,11 @@ def test_embedded_metadata_wins(spark):
 
 
 def test_answers_come_from_the_nearest_chunks(spark):
-    chunked = spark.createDataFrame([(1, 0, "results", [2], "The graph model improves recall on every split."), (1, 1, "", [3], "Bananas are yellow and apples are green."), (2, 0, "x", [], "zzz")], "doc_id long, chunk_id int, section_name string, page_numbers array<int>, text string")
+    chunked = spark.createDataFrame([(1, 0, "results", "The graph model improves recall on every split."), (1, 1, "", "Bananas are yellow and apples are green."), (2, 0, "x", "zzz")], "doc_id long, chunk_id int, section_name string, text string")
+    pages = spark.createDataFrame([(1, 1, "nothing"), (1, 2, "so: The graph model improves recall on every split. more"), (2, 2, "The graph model improves recall on every split.")], "doc_id long, page_number int, text string")
     docs = spark.createDataFrame([(1, "whole"), (2, "whole"), (3, "The graph model improves recall here too."), (4, "")], "doc_id long, clean_text string")
     asked = spark.createDataFrame([(k, k, "Which graph model improves recall?") for k in (1, 2, 3, 4)], "query_id long, doc_id long, question string")
-    got = {r.doc_id: r for r in retrieval.paper_answers(asked, docs, chunked).collect()}
+    got = {r.doc_id: r for r in retrieval.paper_answers(asked, docs, chunked, pages).collect()}
     assert got[1].result.answer == "The graph model improves recall on every split." and got[1].sources[0].section == "results" and got[1].sources[0].pages == [2]
     assert got[2].result.answer.startswith("I could not find relevant content") and not got[2].result.found_in_paper
     assert got[3].result.found_in_paper and got[3].sources is None
@@ -236,7 +238,7 @@ def test_blocks_of_queries_do_not_matter(spark, block):
 def test_append_new_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, t string")
     for _ in range(2):
-        documents.append_new(rows, f"file://{tmp_path}/t")
+        store.append(rows, f"file://{tmp_path}/t")
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 2
 
 
