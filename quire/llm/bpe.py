@@ -7,8 +7,9 @@ twice nor shuffled. Their words, a row for each chunk and word, are dealt out by
 each distinct word is encoded exactly once, and its ids are joined to its place in every chunk that holds it. These go
 back to their chunks, where the ids of a document are those of its words, one after the other.
 
-Decoding joins each id of a document to its piece. The table of pieces is broadcast: its size is fixed by the tokenizer
-(one row for each id), so this join needs no shuffle; it runs in the task that has joined the ids of a chunk.
+Decoding joins each id of a document to its piece. It is a lookup join by a dense key, not one that Spark plans: each
+worker reads the table of pieces (one for each id, so its size is fixed) from the tokenizer's file, and the task that has
+put a chunk's ids together takes the pieces by id. Rows of single ids for a planned join would exceed the input on disk.
 
 Chunks are bounded by `chunk_words` and `chunk_distinct` (a longer document is a chunk alone). A word occurs once in a
 chunk, so neither a frequent word nor a hot source makes a task uneven.
@@ -222,7 +223,7 @@ def _texts(lists: pa.ListArray, table: pa.Array, block: int = 1 << 10) -> pa.Arr
 
 
 def decoder(path: str) -> Callable[[Column], Column]:
-    """A column function from ids to text: a join of each id to its piece, by the broadcast table of pieces."""
+    """A column function from ids to text: each id joined to its piece, by a lookup in the worker's table of pieces."""
 
     @F.arrow_udf(T.StringType())
     @thrifty

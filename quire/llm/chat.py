@@ -9,7 +9,8 @@ also across parts, and one pass over `\\x` pairs undoes it.
 A conversation's rows are ordered by (turn, role, parts), null turns first; repeated rows are turns of their own. Null
 roles, texts and parts count as empty, parts of an unknown type as text. A part's size is in images, seconds or pages; a
 null size counts as 1. Null conv_ids form one conversation. Turns are first joined in blocks of `BLOCK` turn numbers, so that
-the rows of a hot conversation spread over tasks, and then blocks; a conversation itself is one string.
+the rows of a hot conversation spread over tasks, and then blocks; a conversation itself is one string. Rows of a
+conversation that all share a turn (or have none) are one block, and so one task's.
 Columns besides conv_id, turn, role and text (or parts) are not read.
 
 Only DataFrame operations are used.

@@ -1,15 +1,17 @@
 """Embedding near-dedup through a pivot-permutation index.
 
 Each vector is described by a permutation: its `nearest` first pivots, reference points drawn from the vectors themselves,
-in the order of their closeness. The inverted lists hold, for each two pivots, the vectors that have both among their
+in the order of their closeness. The description is made of centred vectors, from which the mean direction of the sample is taken, so that
+it tells vectors apart that all have one direction in common. The inverted lists hold, for each two pivots, the vectors that have both among their
 first (the part that the two pivots' own lists share): vectors with a shared-pivot count of at least two meet in a list,
-and whatever shares less is never retrieved. For the pairs that meet, the shared pivots are counted, and how far they
-have moved from one order to the other is added up; pairs of at least `least_shared` shared pivots that moved by at most
-`most_moved` places each, on average, are candidates. Candidates are verified by their cosine in double precision.
+and whatever shares less is never retrieved. Where `least_shared` is larger, shared pivots are counted before anything else is done for a pair.
+Every pair that is retrieved is verified, by the cosine of the vectors as they are, in double precision; none that passes is dropped.
 
-Pivots are fitted on a bounded sample (`sample_of` times as many vectors, in the order of a hash); every vector is
-indexed. Their number grows with the square root of the number of vectors, up to `most_pivots`; they are chosen less
-alike than `apart`, so that a dense group doesn't hold several.
+Pivots and mean are fitted on a bounded sample (`sample_of` times as many vectors, in the order of a hash); every vector
+is indexed. The number of pivots grows with the square root of the number of vectors, up to `most_pivots` and `most_pivot_bytes`
+(beyond that lists grow with the table); near copies of a pivot give no other. `nearest` is fitted, too: partners are planted beside vectors
+of the sample, at cosines from the threshold to 0.99, and it is the smallest number up to `most_nearest` with which
+`recall` of them are retrieved. With under three pivots, as in a table of near copies alone, there is a single list.
 
 Equal vectors are one class, compared once. Lists are dealt into blocks, each pair of rows of a list meets once, and a
 pair of classes counts only in the list of the first two pivots that it shares; tasks return sums and spanning links, never all pairs.
@@ -39,14 +41,16 @@ from quire.llm.shared import thrifty, written
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.95
-    nearest: int = 6
+    nearest: int = 6  # at least
+    most_nearest: int = 12
+    recall: float = 0.95  # of planted partners
     least_shared: int = 2
-    most_moved: float = 3.0
     pivots_of_root: float = 9.0  # pivots for the square root of the number of classes
     least_pivots: int = 64
-    most_pivots: int = 4096
-    sample_of: int = 4
-    apart: float = 0.8
+    most_pivots: int = 32_768
+    most_pivot_bytes: int = 64 << 20
+    sample_of: int = 2
+    apart: float = 0.9  # cosine of centred vectors below which a vector is a pivot of its own
     block: int = 512
 
 
@@ -76,40 +80,88 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pivots(classes: DataFrame, n: int, s: Settings) -> dict[int, np.ndarray]:
-    """For each length of vectors; the driver gets at most sample_of * most_pivots vectors."""
-    wanted = int(min(max(s.pivots_of_root * math.sqrt(n), s.least_pivots), s.most_pivots))
-    rows = [r["embedding"] for r in classes.orderBy("h1", "h2").select("embedding").limit(s.sample_of * wanted).collect()]
-    out: dict[int, np.ndarray] = {}
-    for size in {len(r) for r in rows}:
-        x = _matrix(pa.array([r for r in rows if len(r) == size], pa.list_(pa.float64())))
-        picked = np.empty((0, size))
-        for v in x:
-            if len(picked) < wanted and (not len(picked) or (picked @ v).max() < s.apart):
-                picked = np.vstack([picked, v])
-        out[size] = picked
-    return out
+@dataclass(frozen=True)
+class Pivots:
+    """Of one length of vectors: the mean direction, the pivots (centred), and how many describe a vector."""
+
+    mean: np.ndarray
+    points: np.ndarray
+    nearest: int
+
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        z = x - self.mean
+        return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+
+    def near(self, x: np.ndarray, k: int | None = None) -> np.ndarray:
+        return np.argsort(-(self.centred(x) @ self.points.T), axis=1, kind="stable")[:, : k or self.nearest].astype(np.int32)
+
+
+def _planted(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of x a vector at a cosine between the threshold and 0.99, in a direction drawn with a fixed seed."""
+    draw = np.random.default_rng(5)
+    noise = draw.normal(size=x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    noise /= np.maximum(np.sqrt((noise * noise).sum(axis=1, keepdims=True)), 1e-12)
+    c = draw.uniform(threshold, max(threshold, 0.99), len(x))[:, None]
+    return c * x + np.sqrt(1 - c * c) * noise
+
+
+def _fitted(x: np.ndarray, wanted: int, s: Settings) -> Pivots:
+    """From a sample of unit vectors, taken in their order."""
+    plain = Pivots(x.mean(axis=0), np.empty((0, x.shape[1])), s.nearest)
+    z = plain.centred(x)
+    picked = np.empty(wanted, np.int64)
+    n = 0
+    for first in range(0, len(x), 512):
+        part = np.arange(first, min(first + 512, len(x)))
+        if n == wanted:
+            break
+        alike = ((z[part] @ z[picked[:n]].T >= s.apart) | (x[part] @ x[picked[:n]].T >= s.threshold)).any(axis=1)
+        among = (z[part] @ z[part].T >= s.apart) | (x[part] @ x[part].T >= s.threshold)
+        own: list[int] = []
+        for i in np.flatnonzero(~alike).tolist():
+            if n + len(own) < wanted and not among[i, own].any():
+                own.append(i)
+        picked[n : n + len(own)] = part[own]
+        n += len(own)
+    points = z[picked[:n]]
+    some = x[:: max(1, len(x) // 1000)]
+    a, b = (Pivots(plain.mean, points, 0).near(v, s.most_nearest) for v in (some, _planted(some, s.threshold)))
+    nearest = s.nearest
+    while nearest < min(s.most_nearest, n):
+        shared = (a[:, :nearest, None] == b[:, None, :nearest]).sum(axis=(1, 2))
+        if (shared >= max(2, s.least_shared)).mean() >= s.recall:
+            break
+        nearest += 1
+    return Pivots(plain.mean, points, nearest)
+
 
+def _pivots(classes: DataFrame, n: int, s: Settings) -> dict[int, Pivots]:
+    """For each length of vectors; the driver gets at most sample_of times as many vectors as there are pivots."""
+    longest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    wanted = int(min(max(s.pivots_of_root * math.sqrt(n), s.least_pivots), s.most_pivots, max(s.least_pivots, s.most_pivot_bytes // (8 * longest))))
+    rows = classes.orderBy("h1", "h2").select(F.col("embedding").cast("array<double>").alias("embedding")).limit(s.sample_of * wanted).toArrow().column("embedding").combine_chunks()
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.empty(0, int)
+    return {size: _fitted(_matrix(rows.take(pa.array(np.flatnonzero(sizes == size)))), wanted, s) for size in np.unique(sizes).tolist()}
 
-def _permutations(classes: DataFrame, pivots: dict[int, np.ndarray], s: Settings) -> DataFrame:
+
+def _permutations(classes: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
     """cid, near: the first pivots of each class, the nearest first; and keys: the lists that it is in."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     @thrifty
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
         for batch in batches:
             lists, sizes = batch.column("embedding"), batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes).tolist():
-                at = pa.array(np.flatnonzero(sizes == size))
-                x, p = _matrix(lists.take(at)), pivots.get(size, np.empty((0, size)))
-                k = min(s.nearest, len(p))
-                if k < 3:  # too few to tell vectors apart: one list
+                at, p = pa.array(np.flatnonzero(sizes == size)), shared.value.get(size)
+                x = _matrix(lists.take(at))
+                if p is None or min(p.nearest, len(p.points)) < 3:  # too few to tell vectors apart: one list
                     near, keys = np.empty((len(x), 0), np.int32), np.full((len(x), 1), -size, np.int64)
                 else:
-                    near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+                    near = p.near(x)
                     first = np.sort(near, axis=1).astype(np.int64)
-                    keys = np.stack([_list_of(first[:, i], first[:, j], size) for i, j in combinations(range(k), 2)], axis=1)
+                    keys = np.stack([_list_of(first[:, i], first[:, j], size) for i, j in combinations(range(near.shape[1]), 2)], axis=1)
                 out = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in (near, keys)]
                 yield pa.RecordBatch.from_arrays([batch.column("cid").take(at), *out], names=["cid", "near", "keys"])
 
@@ -121,14 +173,19 @@ def _list_of(a: np.ndarray, b: np.ndarray, size: int | np.ndarray) -> np.ndarray
     return (size << 40) + (a << 20) + b
 
 
-def _candidates(near: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Of each pair of permutations: whether it shares enough pivots in nearly enough the same order; its first two shared pivots' list (without the size)."""
+def _shared(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of permutations: how many pivots they share; the list of the first two of these (without the size)."""
     same = near[i][:, :, None] == near[j][:, None, :]
-    count = same.sum(axis=(1, 2))
-    places = np.arange(near.shape[1])
-    moved = (same * np.abs(places[:, None] - places)).sum(axis=(1, 2))
     pivots = np.sort(np.where(same.any(axis=2), near[i], np.iinfo(np.int32).max), axis=1).astype(np.int64)
-    return (count >= max(2, s.least_shared)) & (moved <= s.most_moved * count), _list_of(pivots[:, 0], pivots[:, 1], 0)
+    return same.sum(axis=(1, 2)), _list_of(pivots[:, 0], pivots[:, 1], 0)
+
+
+def _counts(near: np.ndarray) -> np.ndarray:
+    """How many pivots each two rows share."""
+    known, at = np.unique(near, return_inverse=True)
+    held = np.zeros((len(near), len(known)), np.float32)
+    held[np.repeat(np.arange(len(near)), near.shape[1]), at.ravel()] = 1
+    return held @ held.T
 
 
 def _verify(s: Settings):
@@ -141,9 +198,12 @@ def _verify(s: Settings):
             near = _padded(table.column("near").combine_chunks(), -1 - np.arange(len(table), dtype=np.int32))
             x, sizes = _matrix(table.column("embedding").combine_chunks()), np.bincount(group)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            counted = near.shape[1] and s.least_shared > 2  # all rows of a list share two
             for g in np.flatnonzero(sizes > 32).tolist():  # a product of matrices leaves few pairs to look at
                 first, n = int(np.searchsorted(group, g)), int(sizes[g])
-                i, j = np.nonzero(np.triu(x[first : first + n] @ x[first : first + n].T >= s.threshold - 1e-9, 1))
+                own_rows = slice(first, first + n)
+                pick = np.triu(_counts(near[own_rows]) >= s.least_shared if counted else np.ones((n, n), bool), 1)
+                i, j = np.nonzero(pick & (x[own_rows] @ x[own_rows].T >= s.threshold - 1e-9)) if pick.any() else (np.empty(0, int),) * 2
                 pairs.append((i + first, j + first))
             small = np.flatnonzero(sizes[group] <= 32)
             pairs += [(small[i], small[j]) for i, j in pairs_by_lag(group[small])]
@@ -153,8 +213,8 @@ def _verify(s: Settings):
                 ok = ((own[i] != own[j]) | (block_x[i] == block_y[i])) & (cid[i] != cid[j])
                 i, j = i[ok], j[ok]
                 if near.shape[1]:
-                    enough, first_list = _candidates(near, i, j, s)
-                    ok = (enough & (first_list == key[i] & ((1 << 40) - 1))) | (key[i] < 0)
+                    count, first_list = _shared(near, i, j)
+                    ok = ((count >= s.least_shared) & (first_list == key[i] & ((1 << 40) - 1))) | (key[i] < 0)
                     i, j = i[ok], j[ok]
                 ok = np.einsum("ij,ij->i", x[i], x[j]) >= s.threshold
                 i, j = i[ok], j[ok]
@@ -167,6 +227,18 @@ def _verify(s: Settings):
     return verify
 
 
+def list_pairs(permutations: DataFrame) -> int:
+    """How many pairs meet in the lists, those that meet in several as often."""
+    n = permutations.select(F.explode("keys").alias("key")).groupBy("key").count()
+    return int(n.agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0)
+
+
+def indexed(classes: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, dict[int, Pivots]]:
+    """The permutations of classes (cid, h1, h2, embedding), and the pivots they are made of."""
+    pivots = _pivots(classes, classes.count(), settings)
+    return written(_permutations(classes, pivots), "permutations"), pivots
+
+
 def find_groups(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors."""
     e = F.col("embedding")
@@ -176,8 +248,7 @@ def find_groups(vectors: DataFrame, settings: Settings = Settings()) -> DataFram
     known = rows.where(F.col("h1").isNotNull()).groupBy("h1", "h2")
     classes = known.agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    pivots = _pivots(classes, classes.count(), settings)
-    permutations = written(_permutations(classes, pivots, settings), "permutations")
+    permutations, _ = indexed(classes, settings)
     members = permutations.select(F.explode("keys").alias("key"), "cid")
     attach = classes.select("cid", "copies", "embedding").join(permutations.select("cid", "near"), "cid")
     met = in_blocks(members, "key", "cid", settings.block, attach)

@@ -28,7 +28,7 @@ from quire.llm import grams
 from quire.llm.shared import held_out, sampled, thrifty
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 _ROWS = 256  # rows of a dense block
 
 
@@ -55,6 +55,11 @@ class Model:
     floors: np.ndarray
 
 
+def _has_letter(text: str) -> bool:
+    """Whether a character is a letter, of the categories L; numbers that look like letters are none."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
+
+
 def _counts(texts: list[str | None], settings: Settings) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, n-gram counts of up to _ROWS texts)."""
     size = 1 << settings.bits
@@ -149,7 +154,7 @@ def predictor(model: Model, spark) -> Callable[[Column], Column]:
                 for first, tf in _counts(texts, m.settings):
                     near = _vectors(tf, m.idf) @ m.centroids.T
                     best[first : first + len(near)], score[first : first + len(near)] = near.argmax(axis=1), near.max(axis=1)
-            blank = np.array([not t or not _LETTER.search(t) for t in texts], bool)
+            blank = np.array([not t or not _has_letter(t) for t in texts], bool)
             best[blank], score[blank] = len(m.languages), 0.0
             score = np.clip(score, 0, 1)
             length = np.array([len(t or "") for t in texts])

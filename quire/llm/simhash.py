@@ -143,6 +143,8 @@ def find_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, broadcast_marks: int = 1_000_000) -> DataFrame:
     """One row of each group, that of the smallest doc_id (then of the smallest hash of its text), with the columns of docs.
 
+    Of rows with equal doc_id and text whose other columns differ any one stays.
+
     Rows are marked by (doc_id, hash of the text). Where at most `broadcast_marks` marks (about 40 bytes each) say what goes
     or is there repeatedly, they are broadcast and no text is exchanged; more are joined by a shuffle.
     """

@@ -2,8 +2,12 @@
 
 The cache is a table (content_digest, tokenizer_digest, n_tokens) in a shared folder, partitioned by tokenizer_digest.
 Digests of the normalised texts are joined to it; of those it lacks, each distinct text is encoded once and the counts
-are appended. A text whose digest is in the cache isn't moved. Counts come from
-the cache, also of texts that were just encoded. Normalising may not change a count, so a text is only made non-null,
+are appended. Counts come from the cache, also of texts that were just encoded.
+
+Texts are read again for the misses only. Up to `broadcast_misses` digests are broadcast to the texts, and no other text
+moves. More of them set bits in a map of 2 ** BITS places, broadcast instead (16 MB, however many there are): a text whose
+bit isn't set stays where it is, so of the texts in the cache about misses / 2 ** BITS move, until the exact join by digest.
+ Normalising may not change a count, so a text is only made non-null,
 and run through the tokenizer file's own normaliser where it has one.
 
 Kinds of tokenizer files: `.json` (tokenizers) and `.model` (sentencepiece), without begin, end or added special
@@ -28,6 +32,7 @@ from quire.llm.shared import scratch, thrifty, whole_text, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
+BITS = 27  # places of the map of misses, as a power of two
 _KNOWN_WORDS = 1 << 17  # words whose count a task remembers
 
 
@@ -78,6 +83,25 @@ def read_cache(spark: SparkSession, cache: str, tokenizer_digest: str) -> DataFr
     return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _place(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(1 << BITS))
+
+
+def _marked(misses: DataFrame) -> DataFrame:
+    """quire_part, quire_bits: the places of the misses, 32,768 to a row; at most 2 ** BITS / 32,768 rows of 4 KB."""
+    at = misses.select(_place(F.col("content_digest")).alias("at"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("quire_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("quire_bits"))
+
+
+def perhaps_missing(texts: DataFrame, misses: DataFrame) -> DataFrame:
+    """The rows of texts whose digest may be among the misses: all that are, and few others; no row moves."""
+    kept = texts.withColumn("quire_at", _place(F.col("content_digest")))
+    kept = kept.join(F.broadcast(_marked(misses)), F.bitmap_bucket_number("quire_at") == F.col("quire_part"))
+    bit = F.bitmap_bit_position("quire_at")
+    byte = F.conv(F.hex(F.substring("quire_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return kept.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _append(rows: DataFrame, cache: str) -> None:
     rows.write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
 
@@ -86,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs. cache: a folder that all executors see; None: a new one.
 
     Digests alone are joined to the cache. Texts are only read again for those that it lacks: up to `broadcast_misses`
-    digests (32 bytes each) are broadcast to the texts, and more meet the texts by digest in one exchange.
+    digests (32 bytes each) are broadcast to the texts; more are broadcast as bits, and what passes meets them by digest in one exchange.
     """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
@@ -111,6 +135,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
         texts = docs.select(digest, text.alias("text"))
         if missing <= broadcast_misses:
             texts = texts.join(F.broadcast(misses), "content_digest", "left_semi")
+        elif read_cache(spark, cache, version).limit(1).count():  # else nothing would stay
+            texts = perhaps_missing(texts, misses)
         distinct = texts.groupBy("content_digest").agg(F.first("text").alias("text"))
         if missing > broadcast_misses:
             distinct = distinct.join(misses, "content_digest", "left_semi")

@@ -5,6 +5,9 @@ smoothed numbers of toxic and other documents that hold it. Logistic regression
 weights. The counts cover every labelled training row; only the regression is fitted on a sample, whose bound is
 `Settings.fit_rows` distinct rows for each class.
 
+A feature counts only if at least `least_documents` training documents hold it and the size of its ratio is at least `least_ratio`;
+a corpus with fewer documents, or without any n-gram that tells the classes apart, learns the intercept alone.
+
 Null and empty texts hold no n-gram and get the score of the intercept. Of repeated labels of a document the
 largest counts; null labels count as none. With no training rows, or with rows of one class only, every score is the share of toxic
 rows (0 without any). Rows with the same doc_id each get a row of their own.

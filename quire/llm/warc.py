@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.shared import thrifty
+from quire.llm.shared import thrifty, written
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,15 +64,21 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return headers, http, payload
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = 128 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write pages (page_id, url, html) as archives under folder, which all executors see; returns their index."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = 128 << 20, date: str = "1970-01-01T00:00:00Z", broadcast_marks: int = 500_000) -> DataFrame:
+    """Write pages (page_id, url, html) as archives under folder, which all executors see; returns their index.
+
+    Up to `broadcast_marks` revisits (an id, a digest and an id each) are broadcast.
+    """
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"))
-    # Only ids and digests meet by digest. The pages themselves meet by page_id, which no hot payload makes uneven.
+    # Only ids and digests meet by digest. The pages themselves stay where they are while the marks of revisits can be
+    # broadcast; else they meet by page_id, which no hot payload makes uneven.
     same = pages.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
     keeper = same.groupBy("sha1").agg(F.max("page_id").alias("refers_to"))
     revisits = same.distinct().join(keeper, "sha1").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = revisits.select(F.col("page_id").alias("r_page"), F.col("sha1").alias("r_sha1"), "refers_to")
+    revisits = written(revisits.select(F.col("page_id").alias("r_page"), F.col("sha1").alias("r_sha1"), "refers_to"), "revisits")
+    if revisits.count() <= broadcast_marks:
+        revisits = F.broadcast(revisits)
     decided = pages.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "html", "sha1", "refers_to")
 
     names = [c.split()[0] for c in INDEX.split(", ")]

@@ -33,6 +33,10 @@ TEXTS = [
     "x" * 50_000,
     " ".join(f"w{i % 977}" for i in range(20_000)),
     "!!! ??? ...",
+    "½ ² ³",
+    "①②",
+    "Ⅷ 12 ٣",
+    "ªº",
 ]
 
 

@@ -284,12 +284,12 @@ def bare(payload):
     return base64.b32encode(hashlib.sha1((payload or "").encode()).digest()).decode()
 
 
-@pytest.mark.parametrize("least", [0, 3])
-def test_archives_round_trip(spark, tmp_path, least):
+@pytest.mark.parametrize(("least", "marks"), [(0, 0), (3, 0), (0, 100)])
+def test_archives_round_trip(spark, tmp_path, least, marks):
     pages = [(1, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "long " * 50_000), (6, "u", "日本\r\n\r\n👩"), (7, "u", "ab"), (8, "u", "ab"), (8, "u", "ab"), (None, "n", "<p>x</p>"), (None, "n", "only")]
     rows = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, sha1 string")
     folder = f"file://{tmp_path}/warc"
-    index = warc.write_archives(rows, folder, least_bytes=least, archive_bytes=300)
+    index = warc.write_archives(rows, folder, least_bytes=least, archive_bytes=300, broadcast_marks=marks)
     got = warc.read_records(index, folder).collect()
     assert len(got) == len(pages)
     top = {}

@@ -136,35 +136,50 @@ def links_by_brute_force(x, threshold=0.95):
     return np.concatenate([(x[a : a + 1000] @ x.T >= threshold).sum(axis=1) - 1 for a in range(0, len(x), 1000)])
 
 
-@pytest.mark.parametrize("n", [2000, 10_000])
-def test_recall_of_planted_pairs(spark, monkeypatch, n):
-    """Pairs at cosines from 0.93 to 0.99 among vectors that use hundreds of pivots: n above 0.95 and n / 2 below."""
+@pytest.mark.parametrize(("n", "size", "common"), [(1500, 64, 0.0), (8000, 64, 0.0), (1500, 384, 0.0), (1500, 64, 0.6), (1500, 64, 0.85), (1200, 384, 0.85)])
+def test_recall_of_planted_pairs(spark, monkeypatch, n, size, common):
+    """Pairs at cosines from 0.93 to 0.99 among vectors whose mean cosine is `common`: n above 0.95 and n / 2 below."""
     rng = np.random.default_rng(7)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = unit(rng.normal(size=(3 * n // 2, 64)))
+    x = unit(np.sqrt(common) * unit(rng.normal(size=(1, size))) + np.sqrt(1 - common) * unit(rng.normal(size=(3 * n // 2, size))))
     cosine = np.concatenate([rng.uniform(0.9505, 0.99, n), rng.uniform(0.93, 0.9495, n // 2)])[:, None]
     aside = rng.normal(size=x.shape)
     aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
     x = np.vstack([x, cosine * x + np.sqrt(1 - cosine**2) * aside])
-    used, pivots = [], embed_dedup._pivots
-    monkeypatch.setattr(embed_dedup, "_pivots", lambda *a: used.append(pivots(*a)) or used[-1])
+    used, original = [], embed_dedup.indexed
+
+    def watched(*a):
+        permutations, pivots = original(*a)
+        used.append((embed_dedup.list_pairs(permutations), pivots[size]))
+        return permutations, pivots
+
+    monkeypatch.setattr(embed_dedup, "indexed", watched)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     links = {r.vec_id: r.n_links for r in embed_dedup.find_groups(rows).collect()}
     want = links_by_brute_force(x)
-    recall = sum(links.values()) / want.sum()
-    print(f"{len(used[0][64])} pivots, {want.sum() // 2} pairs, recall {recall:.4f}")
-    assert len(used[0][64]) > 500 and want.sum() // 2 >= n
+    recall, share = sum(links.values()) / want.sum(), used[0][0] / (len(x) * (len(x) - 1) / 2)
+    print(f"{len(used[0][1].points)} pivots, {used[0][1].nearest} nearest, {want.sum() // 2} pairs, recall {recall:.4f}, compared {share:.4f}")
+    assert len(used[0][1].points) > 100 and want.sum() // 2 >= n and share < 0.05
     assert all(links[i] <= k for i, k in enumerate(want.tolist()))
     assert recall >= 0.9, recall
 
 
-def test_orders_are_compared():
+def test_shared_pivots_are_counted():
     near = np.array([[1, 2, 3, 4], [2, 1, 4, 3], [4, 3, 2, 1], [1, 7, 8, 9], [1, 7, 5, 6]], np.int32)
     i, j = np.array([0, 0, 0, 3]), np.array([1, 2, 3, 4])
-    ok, first = embed_dedup._candidates(near, i, j, embed_dedup.Settings(most_moved=1.5))
-    assert ok.tolist() == [True, False, False, True]  # moved by 1 and by 2 on average; one shared pivot; two
+    count, first = embed_dedup._shared(near, i, j)
+    assert count.tolist() == [4, 4, 1, 2] and embed_dedup._counts(near)[i, j].tolist() == [4, 4, 1, 2]
     assert first[0] == embed_dedup._list_of(1, 2, 0) and first[3] == embed_dedup._list_of(1, 7, 0)
-    assert embed_dedup._candidates(near, i, j, embed_dedup.Settings(least_shared=3, most_moved=9))[0].tolist() == [True, True, False, False]
+
+
+def test_a_larger_count_only_takes_links_away(spark):
+    """Vectors around one centre share all their pivots, in lists of over 32 rows and under."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(300, 16)), rng.normal(size=(1, 16)) + rng.normal(scale=0.01, size=(60, 16))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want, _ = exact_groups(list(range(len(x))), x.tolist())
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.find_groups(rows, embed_dedup.Settings(least_shared=3, recall=0.99)).collect()}
+    assert all(got[i][0] <= n for i, (n, _) in want.items()) and sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
 
 
 def test_blocks_count_each_pair_once(spark):

@@ -59,6 +59,20 @@ def test_warm_cache_moves_no_text(spark, tmp_path, monkeypatch, most):
     assert "text" not in again._jdf.queryExecution().executedPlan().toString()
 
 
+def test_partly_warm_cache_moves_what_it_lacks(spark, tmp_path, monkeypatch):
+    cache, texts = f"file://{tmp_path}/cache", [f"text number {i} of many" for i in range(400)]
+    docs = brute.documents(spark, texts + texts[:50])
+    token_counts.count_tokens(docs.where("doc_id >= 30 and doc_id < 400"), brute.BYTE_BPE, cache)
+    seen, original = [], token_counts.perhaps_missing
+    monkeypatch.setattr(token_counts, "perhaps_missing", lambda texts, misses: seen.append(original(texts, misses)) or seen[-1])
+    got = sorted(tuple(r) for r in token_counts.count_tokens(docs, brute.BYTE_BPE, cache, broadcast_misses=5).collect())
+    assert got == sorted(tuple(r) for r in token_counts.count_tokens(docs, brute.BYTE_BPE).collect())
+    passed = seen[0].groupBy("content_digest").count().collect()
+    assert len(passed) == 30 and sum(r["count"] for r in passed) == 60
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(content_digest" not in plan
+
+
 def test_empty_tables(spark):
     none = brute.documents(spark, ["x"]).limit(0)
     assert token_counts.count_tokens(none, brute.BYTE_BPE).count() == 0
