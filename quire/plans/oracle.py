@@ -224,9 +224,11 @@ r AS (SELECT {keys}, question, context, CASE WHEN none THEN {quoted(fixed.NO_CON
   CASE WHEN NOT none AND hit THEN round(least(0.95, score), 4) ELSE 0.0 END::double AS score, NOT none AND hit AS found_in_paper FROM qm)"""
 
 
-def directions(words: list[str]) -> str:
+def directions(words: list[str] | None) -> str:
     """CTE directions (doc_id, place, topic, question, reason, evidence, is_inferred) after SLOTS, with the same keywords for all.
 
+    words: None takes each document's own, from a CTE own_words (doc_id, ks).
+
     The folds are recursive: a candidate after the other, with what has been found so far.
     """
     f = fixed
@@ -240,18 +242,20 @@ def directions(words: list[str]) -> str:
     after = f"CASE WHEN c.pat = f.over OR {new('c.hit')} THEN f.found ELSE list_append(f.found, {{'inferred': 0, 'x': c.hit}}) END"
     limited = f"CASE WHEN len(f.found) >= 5 OR length(c.x) < 30 OR {new('c.x')} THEN f.found ELSE list_append(f.found, {{'inferred': 1, 'x': c.x}}) END"
     limits = all_matches(first_filled("s_discussion", "s_conclusion", "combined"), f.LIMITATION, 30, 5)
-    known = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(x), {quoted(w.lower())}) THEN {quoted(f.EXTENDING[0] + w + f.EXTENDING[1])} END" for w in words[:5])
+    ks = "([" + ", ".join(map(quoted, words)) + "]::VARCHAR[])" if words else "ks"
+    known = f"coalesce({quoted(f.EXTENDING[0])} || list_filter({ks}[1:5], lambda k: contains(lower(x), lower(k)))[1] || {quoted(f.EXTENDING[1])}"
     topic = known + ", regexp_replace(array_to_string(regexp_split_to_array(x, '\\s+')[1:8], ' '), '[.,;:]+$', ''))"
     asked = f"regexp_replace(regexp_replace(x, {quoted('(?i)' + f.FUTURE_START)}, {quoted(f.ASKED)}, 'g'), {quoted('(?i)' + f.ACTOR_START)}, {quoted(f.ASKED)})"
     question = f"substr(CASE WHEN ends_with({asked}, '?') THEN {asked} ELSE regexp_replace({asked}, '\\.+$', '') || '?' END, 1, 250)"
     cut = lambda n: f"regexp_replace(substr(x, 1, {n}), '[.,]+$', '')"
-    some = lambda n: ", ".join(words[:n])
+    some = lambda n: f"array_to_string({ks}[1:{n}], ', ')"
     templates = [
-        ("Scalability and efficiency", f"Can the proposed approach scale to larger datasets or more domains ({some(2)})?", "Scalability is a common challenge in research; extending the work to larger or more diverse settings is valuable.", f"Inferred from research domain keywords: {some(4)}"),
-        ("Cross-domain generalization", f"How well does the method generalize beyond its tested domain, particularly for {words[0]}?", "Generalization across domains is a key open challenge in most ML research.", "Inferred from the scope of evaluation described in findings."),
-        ("Robustness and fairness evaluation", "Are there biases or robustness issues in the proposed approach that could affect real-world deployment?", "Responsible AI research requires evaluation of fairness, bias, and adversarial robustness.", "Inferred: no explicit fairness/robustness analysis was identified in the paper."),
+        ("'Scalability and efficiency'", f"'Can the proposed approach scale to larger datasets or more domains (' || {some(2)} || ')?'", "'Scalability is a common challenge in research; extending the work to larger or more diverse settings is valuable.'", f"'Inferred from research domain keywords: ' || {some(4)}"),
+        ("'Cross-domain generalization'", f"'How well does the method generalize beyond its tested domain, particularly for ' || coalesce({ks}[1], 'the studied problem') || '?'", "'Generalization across domains is a key open challenge in most ML research.'", "'Inferred from the scope of evaluation described in findings.'"),
+        ("'Robustness and fairness evaluation'", "'Are there biases or robustness issues in the proposed approach that could affect real-world deployment?'", "'Responsible AI research requires evaluation of fairness, bias, and adversarial robustness.'", "'Inferred: no explicit fairness/robustness analysis was identified in the paper.'"),
     ]
-    filled = " UNION ALL ".join(f"SELECT doc_id, n + {k} AS place, {', '.join(map(quoted, t))}, true FROM told WHERE n < {3 - k}" for k, t in enumerate(templates))
+    with_words = "" if words else " JOIN own_words USING (doc_id)"
+    filled = " UNION ALL ".join(f"SELECT doc_id, n + {k} AS place, {', '.join(t)}, true FROM led{with_words} WHERE n < {3 - k}" for k, t in enumerate(templates))
     return f"""
 searched AS (SELECT doc_id, s_conclusion || chr(10) || s_discussion AS search FROM slots),
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pat, i) AS k FROM ({hits})),
@@ -262,13 +266,13 @@ explicit AS (SELECT doc_id, found FROM fold QUALIFY row_number() OVER (PARTITION
 lims AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT doc_id, {limits} AS xs FROM slots)),
 fold2 AS (SELECT doc_id, 0 AS k, found FROM explicit
   UNION ALL SELECT f.doc_id, f.k + 1, {limited} FROM fold2 f JOIN lims c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
-told AS (SELECT doc_id, found, len(found) AS n FROM fold2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
-each AS (SELECT doc_id, unnest(found).inferred AS inferred, unnest(found).x AS x, generate_subscripts(found, 1) - 1 AS place FROM told),
+led AS (SELECT doc_id, found, len(found) AS n FROM fold2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+each AS (SELECT doc_id, unnest(found).inferred AS inferred, unnest(found).x AS x, generate_subscripts(found, 1) - 1 AS place FROM led),
 directions AS (SELECT * FROM (
   SELECT doc_id, place, CASE WHEN inferred = 0 THEN {topic} ELSE {quoted(f.ADDRESSING)} || {cut(60)} END AS topic,
     CASE WHEN inferred = 0 THEN {question} ELSE {quoted(f.OVERCOME[0])} || {cut(120)} || {quoted(f.OVERCOME[1])} END AS question,
     CASE WHEN inferred = 0 THEN {quoted(f.EXPLICIT_REASON)}
-    ELSE {quoted(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each
+    ELSE {quoted(f.LIMITATION_REASON)} END AS reason, substr(x, 1, 300) AS evidence, false AS is_inferred FROM each{with_words}
   UNION ALL {filled}) WHERE place < 6)"""
 
 
@@ -326,3 +330,46 @@ sq AS (SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query
 sr AS (SELECT query_id, {keys}, round(sum(q * w), 9) AS score FROM sq JOIN sw USING (term) GROUP BY query_id, {keys}),
 sparse_top AS (SELECT query_id, {keys}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {keys}) AS rank, round(score, 6) AS score
     FROM sr WHERE score > 0.1 QUALIFY rank <= {most})"""
+
+
+#: CTE key_phrases (doc_id, rank, phrase, score) after BASE and phrases(), by a recursive fold. Edits are counted by code
+#: point: letters beyond ASCII, few in two phrases, are written as capitals first, of which a phrase has none.
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_LETTERS = "array_to_string(list_distinct(regexp_extract_all(d.phrase || e.phrase, '[^\\x00-\\x7f]')), '')"
+_NEAR = f"""1.0 - levenshtein(translate(d.phrase, {_LETTERS}, {_CAPITALS}), translate(e.phrase, {_LETTERS}, {_CAPITALS}))
+    / greatest(length(d.phrase), length(e.phrase))"""
+KEY_PHRASES = f"""
+kpo AS (SELECT doc_id, phrase, round(score, 12) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12), phrase) AS k FROM scores),
+kpf AS (SELECT doc_id, 0::BIGINT AS k, []::STRUCT(score DOUBLE, phrase VARCHAR)[] AS done FROM clean
+  UNION ALL SELECT f.doc_id, f.k + 1, CASE WHEN len(list_filter(f.done, lambda d: {_NEAR} > 0.7)) > 0 THEN f.done
+    ELSE list_append(f.done, {{'score': e.score, 'phrase': e.phrase}}) END FROM kpf f JOIN kpo e ON e.doc_id = f.doc_id AND e.k = f.k + 1
+    WHERE len(f.done) < 20),
+kpl AS (SELECT doc_id, done[1:15] AS best FROM kpf QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+key_phrases AS (SELECT doc_id, generate_subscripts(best, 1) AS rank, unnest(best).phrase AS phrase, unnest(best).score AS score FROM kpl)"""
+
+
+def listed(joined: str) -> str:
+    """The list that was joined by chr(1); an empty one gave the empty text."""
+    return f"CASE WHEN {joined} = '' THEN []::VARCHAR[] ELSE string_split({joined}, chr(1)) END"
+
+
+#: CTE analysis: one row for each document, lists as lists, after the CTE `keyed` of the insights (and what that needs) and `st`.
+ANALYSIS = f"""{KEYWORDS.removeprefix(BASE)}{DOMAIN.removeprefix(KEYWORDS)},
+own_words AS (SELECT c.doc_id, coalesce(list(term ORDER BY rank) FILTER (term IS NOT NULL), []::VARCHAR[]) AS ks FROM clean c
+    LEFT JOIN keywords USING (doc_id) GROUP BY c.doc_id),
+{directions(None)},
+meta AS ({METADATA}),
+counted AS (SELECT doc_id, count(*) AS n_sections FROM sections GROUP BY doc_id),
+have AS (SELECT DISTINCT doc_id FROM best WHERE slot LIKE 'point%'),
+some_points AS (SELECT doc_id, slot, pos, sent FROM best WHERE slot LIKE 'point%' OR (slot = 'main' AND doc_id NOT IN (SELECT doc_id FROM have))),
+first_points AS (SELECT * FROM some_points QUALIFY row_number() OVER (PARTITION BY doc_id, substr(sent, 1, 50) ORDER BY slot, pos) = 1),
+points AS (SELECT doc_id, list(sent ORDER BY slot, pos)[1:8] AS main_points FROM first_points GROUP BY doc_id),
+ways AS (SELECT doc_id, list({{'topic': topic, 'question': question, 'reason': reason, 'evidence': evidence, 'is_inferred': is_inferred}}
+    ORDER BY place) AS directions FROM directions GROUP BY doc_id),
+analysis AS (SELECT k.doc_id, m.title, m.year, m.doi, coalesce(n_sections, 0) AS n_sections, k.objective, k.methodology,
+    {listed('k.findings')} AS findings, k.contribution, {listed('st.limitations')} AS limitations, st.datasets,
+    coalesce(main_points, []::VARCHAR[]) AS main_points, k.summary, k.conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation,
+    CASE WHEN k.findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters,
+    ks AS keywords, domain, directions
+  FROM keyed k JOIN st USING (doc_id) JOIN meta m USING (doc_id) JOIN own_words USING (doc_id) JOIN domains USING (doc_id)
+    JOIN ways USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN points USING (doc_id))"""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
 from quire.operators import clusters, cues, phrases, postings, ranking, retrieval, sections
 from quire.plans import analyze, fixtures, oracle
-from quire.sources import documents, store
+from quire.sources import documents, metrics, store, tables
 from quire.streaming import ingest
+from quire.streaming import pages as page_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -207,6 +209,44 @@ def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.find(asked, path, rows, "doc_id").select("doc_id", F.col("batch").cast("long").alias("batch"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def _five_tables(spark: SparkSession, sf_dir: str, faulty: bool) -> dict[str, DataFrame]:
+    """The tables of papers and of questions asked about them. faulty: some rows break rules."""
+    docs = documents.kept(analyze.with_slots(_prepared(spark, sf_dir)), "slots")
+    key, odd = F.expr(fixtures.KEY.format("doc_id")), lambda c, k: F.lit(faulty) & (F.col("doc_id") % c == k)
+    lost = F.expr(fixtures.KEY.format("(0 - 1 - doc_id)"))
+    t = F.col("clean_text")
+    whole = docs.select(F.when(~odd(90, 11), key).alias("id"), F.when(~odd(60, 5), F.concat(F.lit("paper-"), "doc_id", F.lit(".pdf"))).alias("filename"), F.concat(F.lit("/in/"), "doc_id").alias("file_path"),
+                        F.octet_length("full_text").alias("file_size_bytes"), F.ceil(F.length("full_text") / 1500.0).alias("page_count"), sections.title(t).alias("title"), sections.year(t).alias("publication_year"), t.alias("raw_text"))
+    whole = whole.unionByName(whole.where(F.lit(faulty)).where("publication_year = 2017"))
+    heads = docs.select("doc_id", F.inline_outer("sections")).where("name is not null")
+    heads = heads.select((F.col("doc_id") * 1000 + F.col("ord")).alias("id"), F.when(odd(50, 7), lost).otherwise(key).alias("document_id"), F.col("name").alias("section_name"), F.col("heading").alias("heading_text"), F.when(~odd(70, 1), F.col("text")).alias("content"))
+    chunked = sections.chunks(docs)
+    chunked = chunked.select((F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("id"), F.when(~odd(80, 9), key).alias("document_id"), F.col("chunk_id").alias("chunk_index"), "section_name", F.col("text").alias("chunk_text"))
+    told = analyze.statements(docs).join(docs.select("doc_id", "combined"), "doc_id")
+    told = told.select(F.col("doc_id").alias("id"), F.when(odd(40, 3), F.expr(fixtures.KEY.format("(doc_id + 1)"))).otherwise(key).alias("document_id"), F.substring("combined", 1, 300).alias("executive_summary"), F.col("objective").alias("research_objective"))
+    asked = overlap_qa(spark, sf_dir).withColumn("doc_id", F.col("conv_id"))
+    asked = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(odd(30, 4), lost).otherwise(key).alias("document_id"), F.col("answer").alias("question"), "answer", F.col("score").alias("confidence_score"))
+    frames = {"documents": whole, "document_sections": heads, "document_chunks": chunked, "document_analyses": told, "qa_messages": asked}
+    return {name: tables.conform(rows, name) for name, rows in frames.items()}
+
+
+def table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.violations({name: documents.kept(rows, name) for name, rows in _five_tables(spark, sf_dir, True).items()})
+
+
+def table_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each document in each table, once every tenth document has been deleted with all that refers to it."""
+    data = tables.Database(spark, documents.shared_folder(spark, "tables"), 16)
+    frames = _five_tables(spark, sf_dir, False)
+    known = table(spark, sf_dir, "documents").select("doc_id")
+    # Questions about papers that there are none of would break a rule.
+    frames["qa_messages"] = frames["qa_messages"].join(known.select(F.expr(fixtures.KEY.format("doc_id")).alias("document_id")).distinct(), "document_id", "left_semi")
+    data.save(frames)
+    data.delete(known.where("doc_id % 10 = 3").select(F.expr(fixtures.KEY.format("doc_id")).alias("id")))
+    left = [rows.groupBy(F.col(tables.TABLES[n].document).alias("document_id")).agg(F.count("*").alias("n")).withColumn("table_name", F.lit(n)) for n, rows in data.tables().items()]
+    return functools.reduce(DataFrame.unionByName, left)
+
+
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sections.chunks(_prepared(spark, sf_dir)).select(F.col("doc_id").alias("query_id"), F.col("chunk_id").alias("rank"), "text")
     return retrieval.contexts(rows)
@@ -280,20 +320,23 @@ def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.key_phrases(_prepared(spark, sf_dir))
+    rows = phrases.key_phrases(_prepared(spark, sf_dir))
+    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), "phrase", F.round("score", 6).alias("score"))
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analysis(spark, sf_dir).withColumn("findings", F.array_join("findings", "|"))
+    rows = analyze.analyse(_papers(spark, sf_dir)).withColumn("findings", F.array_join("findings", "|"))
     return rows.select("doc_id", "objective", "methodology", "findings", "contribution", "summary", "conclusion", "key_insight", "simple_explanation", "why_it_matters")
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.analyse(_papers(spark, sf_dir))
+    """The whole analysis, lists joined and directions as JSON."""
+    rows = analyze.analyse(_papers(spark, sf_dir)).withColumns({c: F.array_join(c, "|") for c in _LISTS})
+    return rows.withColumns({"n_sections": F.col("n_sections").cast("long"), "directions": F.to_json("directions")})
 
 
 def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.as_json(analysis(spark, sf_dir))
+    return documents.as_json(analyze.analyse(_papers(spark, sf_dir)))
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,13 +347,34 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("doc_id", "clean_text", F.size("sections").cast("long").alias("n_sections"))
 
 
+def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in an order of their own, a few files at a time, put together as they come: the rows of documents_from_pages."""
+    folder = documents.shared_folder(spark, "pages")
+    rows = _pages(spark, sf_dir).withColumn("of_pages", F.count("*").over(Window.partitionBy("doc_id")).cast("int")).withColumns({"doc_id": F.col("doc_id").cast("long"), "arrived": F.timestamp_seconds(F.lit(86_400))})
+    rows.repartition(6, F.xxhash64("page_number", "doc_id")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, page_number int, raw_text string, char_count int, of_pages int, arrived timestamp").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    page_stream.start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "total_pages", "full_text", "is_scanned", "warning", "complete")
+
+
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cleaning takes in and gives out, counted as the cleaned papers are written."""
+    seen, path = Observation("cleaning"), documents.shared_folder(spark, "metrics")
+    reason = documents.problem(F.col("full_text"), F.col("clean_text"))
+    docs = text.with_clean_text(_papers(spark, sf_dir)).withColumn("problem", reason)
+    told = metrics.counts(F.col("problem"), ["no text", "too short"], {"characters in": F.length("full_text"), "characters out": F.length("clean_text")})
+    documents.kept(metrics.watched(docs, seen, *told), "cleaned")
+    metrics.record(spark, path, "cleaning", seen.get)
+    return spark.read.schema(metrics.METRICS).parquet(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
         whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights, phrase_scores, key_phrases,
-        file_pages, metadata_json, pruned_topk, sparse_topk, keyed_store,
+        file_pages, metadata_json, pruned_topk, sparse_topk, keyed_store, table_violations, table_cascade, pages_stream, ingest_metrics,
     )
 }
 
@@ -325,6 +389,53 @@ _POINTS = f"""{oracle.SLOTS}, slotted AS ({_RANKED}), rows AS (SELECT doc_id ||
     WHERE sent IS NOT NULL), {oracle.scored('rows')}, best AS (SELECT r.doc_id, r.slot, p.pos, p.sent FROM placed p JOIN
     (SELECT DISTINCT grp, doc_id, slot, most FROM rows) r USING (grp) WHERE place <= most)"""
 
+#: CTEs of the five tables: keyed_rows (table_name, id, document_id) and nulls (table_name, column_name, id).
+_TABLES_SQL = f"""{oracle.SLOTS}, {oracle.chunk_rows()}, y AS (SELECT doc_id, nullif(regexp_extract(substr(clean_text, 1, 2000),
+    '\\b(19|20)[0-9]{{2}}\\b'), '') AS year FROM clean),
+f_one AS (SELECT CASE WHEN NOT (FAULTY AND doc_id % 90 = 11) THEN {fixtures.KEY.format('doc_id')} END AS id,
+    CASE WHEN NOT (FAULTY AND doc_id % 60 = 5) THEN 'x' END AS filename, year FROM y),
+f_docs AS (SELECT * FROM f_one UNION ALL SELECT * FROM f_one WHERE FAULTY AND year = '2017'),
+f_sections AS (SELECT doc_id * 1000 + ord AS id, CASE WHEN FAULTY AND doc_id % 50 = 7 THEN {fixtures.KEY.format('(0 - 1 - doc_id)')}
+    ELSE {fixtures.KEY.format('doc_id')} END AS document_id, FAULTY AND doc_id % 70 = 1 AS bare FROM sections),
+f_chunks AS (SELECT doc_id * 100000 + chunk_id AS id, CASE WHEN NOT (FAULTY AND doc_id % 80 = 9) THEN {fixtures.KEY.format('doc_id')} END
+    AS document_id FROM chunks),
+f_analyses AS (SELECT doc_id AS id, CASE WHEN FAULTY AND doc_id % 40 = 3 THEN {fixtures.KEY.format('(doc_id + 1)')}
+    ELSE {fixtures.KEY.format('doc_id')} END AS document_id FROM clean),
+f_qa AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN FAULTY AND conv_id % 30 = 4 THEN {fixtures.KEY.format('(0 - 1 - conv_id)')}
+    ELSE {fixtures.KEY.format('conv_id')} END AS document_id FROM conversations WHERE role = 'user'),
+keyed_rows AS (SELECT 'documents' AS table_name, id, id AS document_id FROM f_docs
+    UNION ALL SELECT 'document_sections', id::varchar, document_id FROM f_sections UNION ALL SELECT 'document_chunks', id::varchar, document_id FROM f_chunks
+    UNION ALL SELECT 'document_analyses', id::varchar, document_id FROM f_analyses UNION ALL SELECT 'qa_messages', id::varchar, document_id FROM f_qa),
+nulls AS (SELECT table_name, 'id' AS column_name, id FROM keyed_rows WHERE id IS NULL
+    UNION ALL SELECT table_name, 'document_id', id FROM keyed_rows WHERE document_id IS NULL AND table_name <> 'documents'
+    UNION ALL SELECT 'documents', 'filename', id FROM f_docs WHERE filename IS NULL
+    UNION ALL SELECT 'document_sections', 'content', id::varchar FROM f_sections WHERE bare)""".replace("{", "{{").replace("}", "}}").replace("FAULTY", "{faulty}")
+
+_LISTS = ("findings", "limitations", "main_points", "keywords")
+_ANALYSED = ("title", "year", "doi", "n_sections", "objective", "methodology", "findings", "contribution", "limitations", "datasets", "main_points", "summary", "conclusion",
+             "key_insight", "simple_explanation", "why_it_matters", "keywords", "domain", "directions")
+_KEYED = f"""{_POINTS}, st AS ({oracle.statements('chr(1)')}),
+told AS (SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS t, string_agg(sent, chr(1) ORDER BY pos) AS listed FROM best
+    GROUP BY doc_id, slot),
+wide AS (SELECT doc_id,
+    {', '.join(f"max(t) FILTER (slot = '{x}') AS r_{x}" for x in ('objective', 'methodology', 'contribution', 'summary', 'conclusion', 'abstract'))},
+    max(listed) FILTER (slot = 'findings') AS r_findings FROM told GROUP BY doc_id),
+base AS (SELECT st.doc_id,
+    {', '.join(f"coalesce(nullif({x}, ''), r_{x}, '') AS {x}" for x in ('objective', 'methodology', 'contribution', 'findings'))},
+    coalesce(r_summary, '{fixed.NO_SUMMARY}') AS summary, coalesce(nullif(r_conclusion, ''), nullif(r_abstract, ''), '') AS conclusion
+    FROM st LEFT JOIN wide USING (doc_id)),
+derived AS (SELECT doc_id, 'one' AS slot, 1 AS most, summary AS t FROM base
+    UNION ALL SELECT doc_id, 'two', 2, substr(summary || ' ' || methodology, 1, 1000) FROM base),
+rows2 AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos
+    FROM ({oracle.unnested('derived', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')})
+    WHERE sent IS NOT NULL), {oracle.scored('rows2', '2')},
+told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t FROM placed2 p JOIN
+    (SELECT DISTINCT grp, doc_id, slot, most FROM rows2) r USING (grp) WHERE place <= most GROUP BY r.doc_id, r.slot),
+picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN
+    (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
+keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''),
+    one, substr(summary, 1, 200)) END AS key_insight FROM picked)"""
+
 ORACLE_SQL: dict[str, str] = {
     "rank_sentences_top3": f"""WITH {_RAW}, {oracle.scored('rows')} SELECT grp AS doc_id, pos, sent, round(score, 6) AS score
     FROM placed WHERE place <= 3""",
@@ -462,36 +573,38 @@ given AS (SELECT a.doc_id, question, CASE WHEN a.doc_id NOT IN (SELECT doc_id FR
 {oracle.answered('given', 'doc_id')}
 SELECT r.doc_id, r.question, CASE WHEN r.context = '' THEN '{fixed.NO_RELEVANT}'
     ELSE answer END AS answer, found_in_paper, score AS confidence, sources FROM r JOIN given USING (doc_id)""",
-    "insights": f"""WITH {_POINTS}, st AS ({oracle.statements('chr(1)')}),
-told AS (SELECT doc_id, slot, string_agg(sent, ' ' ORDER BY pos) AS t, string_agg(sent, chr(1) ORDER BY pos) AS listed FROM best
-    GROUP BY doc_id, slot),
-wide AS (SELECT doc_id,
-    {', '.join(f"max(t) FILTER (slot = '{x}') AS r_{x}" for x in ('objective', 'methodology', 'contribution', 'summary', 'conclusion', 'abstract'))},
-    max(listed) FILTER (slot = 'findings') AS r_findings FROM told GROUP BY doc_id),
-base AS (SELECT st.doc_id,
-    {', '.join(f"coalesce(nullif({x}, ''), r_{x}, '') AS {x}" for x in ('objective', 'methodology', 'contribution', 'findings'))},
-    coalesce(r_summary, '{fixed.NO_SUMMARY}') AS summary, coalesce(nullif(r_conclusion, ''), nullif(r_abstract, ''), '') AS conclusion
-    FROM st LEFT JOIN wide USING (doc_id)),
-derived AS (SELECT doc_id, 'one' AS slot, 1 AS most, summary AS t FROM base
-    UNION ALL SELECT doc_id, 'two', 2, substr(summary || ' ' || methodology, 1, 1000) FROM base),
-rows2 AS (SELECT doc_id || '/' || slot AS grp, doc_id, slot, most, sent, pos
-    FROM ({oracle.unnested('derived', 'doc_id, slot, most', oracle.sentences('t', 10), 'sent')})
-    WHERE sent IS NOT NULL), {oracle.scored('rows2', '2')},
-told2 AS (SELECT r.doc_id, r.slot, string_agg(p.sent, ' ' ORDER BY p.pos) AS t FROM placed2 p JOIN
-    (SELECT DISTINCT grp, doc_id, slot, most FROM rows2) r USING (grp) WHERE place <= most GROUP BY r.doc_id, r.slot),
-picked AS (SELECT *, string_split(findings, chr(1)) AS fs FROM base LEFT JOIN
-    (SELECT doc_id, max(t) FILTER (slot = 'one') AS one, max(t) FILTER (slot = 'two') AS two FROM told2 GROUP BY doc_id) USING (doc_id)),
-keyed AS (SELECT *, CASE WHEN length(contribution) > 50 THEN contribution ELSE coalesce(nullif(fs[1], ''),
-    one, substr(summary, 1, 200)) END AS key_insight FROM picked)
+    "insights": f"""WITH {_KEYED}
 SELECT doc_id, objective, methodology, replace(findings, chr(1),
     '|') AS findings, contribution, summary, conclusion, key_insight, coalesce(two, key_insight) AS simple_explanation, CASE
     WHEN findings <> '' THEN array_to_string(fs[1:2], ' ') ELSE coalesce(two, key_insight) END AS why_it_matters FROM keyed""",
+    "analysis": f"""WITH RECURSIVE {_KEYED}{oracle.ANALYSIS} SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in _LISTS)},
+    to_json(directions)::VARCHAR AS directions) FROM analysis""",
+    "analysis_json": f"""WITH RECURSIVE {_KEYED}{oracle.ANALYSIS}, a AS (SELECT * FROM analysis)
+    SELECT doc_id, to_json({{{', '.join(f'{c}: {c}' for c in _ANALYSED)}}})::VARCHAR AS json FROM a""",
+    "key_phrases": f"""WITH RECURSIVE {oracle.BASE}, {oracle.phrases()}, {oracle.KEY_PHRASES} SELECT doc_id, rank, phrase, round(score, 6) AS score
+    FROM key_phrases""",
     "phrase_scores": f"WITH {oracle.BASE}, {oracle.phrases()} SELECT doc_id, phrase, n::bigint AS n, round(score, 6) AS score FROM scores",
     "sparse_topk": f"""WITH {oracle.BASE}, {oracle.chunk_rows()}, {_RAW}, {oracle.sparse_top('chunks', 'doc_id, chunk_id')} SELECT * FROM sparse_top""",
     "keyed_store": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0)
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::bigint AS batch, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'later ' || text END)
     AS digest FROM d WHERE doc_id % 3 = 0 OR doc_id % 5 <> 0""",
+    "table_violations": f"""WITH {_TABLES_SQL.format(faulty='true')} SELECT * FROM
+    (SELECT table_name, 'null' AS rule, column_name, id AS key, count(*) AS n FROM nulls GROUP BY ALL
+    UNION ALL SELECT table_name, 'primary', 'id', id, count(*) FROM keyed_rows WHERE id IS NOT NULL GROUP BY table_name, id HAVING count(*) > 1
+    UNION ALL SELECT table_name, 'unique', 'document_id', document_id, count(*) FROM keyed_rows WHERE table_name = 'document_analyses'
+      AND document_id IS NOT NULL GROUP BY table_name, document_id HAVING count(*) > 1
+    UNION ALL SELECT table_name, 'foreign', 'document_id', document_id, count(*) FROM keyed_rows WHERE table_name <> 'documents'
+      AND document_id IS NOT NULL AND document_id NOT IN (SELECT id FROM f_docs WHERE id IS NOT NULL) GROUP BY table_name, document_id)""",
+    "table_cascade": f"""WITH {_TABLES_SQL.format(faulty='false')}
+    SELECT document_id, count(*) AS n, table_name FROM keyed_rows WHERE document_id IN (SELECT {fixtures.KEY.format('doc_id')} FROM documents WHERE doc_id % 10 <> 3)
+    GROUP BY document_id, table_name""",
     "stream_ingest": f"""WITH {oracle.BASE} SELECT c.doc_id, clean_text, coalesce(n, 0)::bigint AS n_sections FROM clean c LEFT JOIN
     (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)""",
 }
 ORACLE_SQL["pruned_topk"] = ORACLE_SQL["cosine_topk"]
+ORACLE_SQL["pages_stream"] = f"SELECT *, true AS complete FROM ({ORACLE_SQL['documents_from_pages']})"
+ORACLE_SQL["ingest_metrics"] = f"""WITH c AS (SELECT clean_text, problem, full_text FROM ({ORACLE_SQL['clean_text']}) JOIN ({fixtures.PAPERS_SQL}) USING (doc_id)),
+    m AS (SELECT count(*) AS a, count(*) FILTER (problem IS NULL) AS b, 0 AS c, count(*) FILTER (problem = 'no text') AS d,
+    count(*) FILTER (problem = 'too short') AS e, sum(length(full_text)) AS f, sum(length(clean_text)) AS g FROM c)
+    SELECT 'cleaning' AS job, 0::bigint AS batch, unnest(['rows', 'accepted', 'rejected: other', 'rejected: no text', 'rejected: too short',
+    'characters in', 'characters out']) AS metric, unnest([a, b, c, d, e, f, g])::bigint AS value FROM m"""

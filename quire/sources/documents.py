@@ -88,10 +88,15 @@ def documents_of(pages: DataFrame) -> DataFrame:
     average = F.avg("char_count")
     rows = F.array_sort(F.collect_list(F.struct("page_number", "raw_text")))
     out = pages.where("page_number is not null").groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"))
+    return with_warning(out)
+
+
+def with_warning(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, total_pages, full_text, is_scanned, warning (and others) from docs with the average of characters on a page."""
     scanned = F.col("average") < SCANNED_BELOW
     before, after = fixed.SCANNED
     warning = F.when(scanned, F.concat(F.lit(before), F.bround("average").cast("long").cast("string"), F.lit(after)))
-    return out.select("doc_id", "total_pages", "full_text", scanned.alias("is_scanned"), warning.alias("warning"))
+    return docs.select("doc_id", "total_pages", "full_text", scanned.alias("is_scanned"), warning.alias("warning"), *others)
 
 
 REQUEST = "document_id string, question string"
