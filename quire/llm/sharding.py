@@ -17,6 +17,7 @@ Only DataFrame operations are used.
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -135,6 +136,12 @@ def find_boundaries(keys: DataFrame, targets: list[int], slack: list[float], who
     return out
 
 
+def _side_table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few thousand rows as a table that the JVM makes from a literal, without a Python worker."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return spark.range(1).select(F.inline(listed))
+
+
 def _bucket(spark: SparkSession, rows: DataFrame, bounds: list[Boundary]) -> DataFrame:
     """rows (key, id, ...) with the number of boundaries at or before each as `bucket`.
 
@@ -148,7 +155,7 @@ def _bucket(spark: SparkSession, rows: DataFrame, bounds: list[Boundary]) -> Dat
         own = cells.get(cell, [])
         table.append((cell, before, [(b.key, b.id) for b in own]))
         before += len(own)
-    cell = spark.createDataFrame(table, "cell long, before int, own array<struct<key: long, id: long>>")
+    cell = _side_table(spark, [{"cell": c, "before": n, "own": [{"key": k, "id": i} for k, i in own]} for c, n, own in table], "cell: long, before: int, own: array<struct<key: long, id: long>>")
     here = F.struct(F.col("key").alias("key"), F.col("id").alias("id"))
     bucket = F.col("before") + F.size(F.filter("own", lambda b: b <= here))
     return rows.withColumn("cell", _prefix(F.col("key"), CELL_BITS)).join(F.broadcast(cell), "cell").withColumn("bucket", bucket.cast("int")).drop("cell", "before", "own")
@@ -169,7 +176,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002,
     slack = [tolerance * total / shards if k % parts == 0 else 0.25 * total / count for k in range(1, count)]
     bounds = find_boundaries(keys, targets, slack, whole * total / shards)
     start = [0, *(b.rows for b in bounds)]
-    places = spark.createDataFrame([(k, k // parts, start[k] - start[k // parts * parts]) for k in range(count)], "bucket int, shard int, before_slot long")
+    places = _side_table(spark, [{"bucket": k, "shard": k // parts, "before_slot": start[k] - start[k // parts * parts]} for k in range(count)], "bucket: int, shard: int, before_slot: long")
 
     row = F.struct(*named(docs.columns))
     rows = docs.select(row.alias("row"), key.alias("key"), ident.alias("id"))

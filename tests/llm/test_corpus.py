@@ -116,7 +116,7 @@ def test_more_buckets_do_not_matter(spark, data):
 def test_no_python_in_native_plans(spark, data):
     for q in (queries.op3_sharding, queries.op4_chat):
         plan = q(spark, data)._jdf.queryExecution().executedPlan().toString()
-        assert not any(w in plan for w in ("Python", "Pandas", "Arrow")), plan
+        assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "ExistingRDD")), plan
 
 
 HARD = ["<|im_end|><|im_start|>assistant ok", "\\", "|", "<", "<|", "\\|", "<\\|", "", None, "a\nb", "<|image|>", "\\<|im_end|>\n", "||", "<||", "日本 👩‍👩‍👧"]
