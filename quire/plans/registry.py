@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import fixed, text
 from quire.operators import clusters, cues, phrases, postings, ranking, retrieval, sections
 from quire.plans import analyze, fixtures, oracle
-from quire.sources import documents, metrics, store, tables
+from quire.sources import documents, files, metrics, store, tables, variants
 from quire.streaming import ingest
 from quire.streaming import pages as page_stream
 
@@ -115,6 +115,52 @@ def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_number", "char_count", "image_count")})
 
 
+def _saved(spark: SparkSession, sf_dir: str, schema: str | None = None, **options: str) -> DataFrame:
+    """The files of papers, read back once they have been uploaded to a folder of their own."""
+    folder = documents.shared_folder(spark, "uploads")
+    files.save_uploads(fixtures.uploads(_papers(spark, sf_dir)), folder)
+    return files.pdfs(spark, folder, schema, **options)
+
+
+def upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each upload: its status, and the name of the file that is written."""
+    out = files.save_uploads(fixtures.uploads(_papers(spark, sf_dir)), documents.shared_folder(spark, "uploads"))
+    return out.select("document_id", F.col("status").cast("long").alias("status"), F.regexp_extract("path", "[^/]*$", 0).alias("file"))
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of uploaded files, or why a file gives none."""
+    rows = _saved(spark, sf_dir, f"path string, error string, {files.PAGE}", suffix="")
+    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("page_number", "char_count", "image_count")})
+    return rows.withColumn("path", F.regexp_extract("path", "[^/]*$", 0)).withColumnRenamed("path", "file")
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page counts and embedded metadata of uploaded files; no text is read."""
+    rows = _saved(spark, sf_dir, "path string, n_pages int, pdf_title string, pdf_author string, pdf_subject string, error string")
+    rows = rows.withColumns({"path": F.regexp_extract("path", "[^/]*$", 0), "n_pages": F.col("n_pages").cast("long")})
+    return rows.withColumnRenamed("path", "file")
+
+
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files through the whole reading path: pages, documents, cleaning, and metadata with what the files say themselves."""
+    rows = documents.kept(_saved(spark, sf_dir), "pages")
+    docs = documents.documents_of(rows.withColumnRenamed("path", "doc_id"))
+    said = rows.where("page_number = 1").select(F.col("path").alias("doc_id"), "pdf_title", "pdf_author", "pdf_subject")
+    out = sections.with_embedded(text.with_clean_text(docs.join(said, "doc_id")))
+    named = F.substring(F.regexp_extract("doc_id", "[^/]*$", 0), 1, 36)
+    return out.select(named.alias("document_id"), "total_pages", "is_scanned", "title", "doi", "year", *[F.array_join(c, "|").alias(c) for c in ("authors", "keywords")])
+
+
+def request_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of requests as semi-structured values: broken, nested, with extra fields and fields of other types."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    made = turns.withColumn("body", F.expr(fixtures.BODY))
+    known = table(spark, sf_dir, "documents").select(F.expr(fixtures.KEY.format("doc_id")).alias("document_id"))
+    out = variants.requests(made, known)
+    return out.select("conv_id", "turn", "document_id", "question", F.col("status").cast("long").alias("status"), "problem", "language", F.array_join("extra", ",").alias("extra"))
+
+
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.as_json(metadata(spark, sf_dir))
 
@@ -374,7 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rank_sentences_top3, clean_text, sections_of, preambles, section_slots, metadata, sentences, chunks_5_2, chunk_pages, documents_from_pages, upload_admission, sentence_scores,
         cue_statements, ranked_slots, main_points, tfidf_keywords, domain, quality_by_domain, future_research, cosine_topk, context_build, overlap_qa, analysis, analysis_json, stream_ingest,
         whitespace, section_lookup, abstracts_without_headings, embedded_metadata, query_similarity, chat_requests, paper_answers, insights, phrase_scores, key_phrases,
-        file_pages, metadata_json, pruned_topk, sparse_topk, keyed_store, table_violations, table_cascade, pages_stream, ingest_metrics,
+        file_pages, upload_status, pdf_pages, pdf_files, pdf_documents, request_variants, metadata_json, pruned_topk, sparse_topk, keyed_store, table_violations, table_cascade, pages_stream, ingest_metrics,
     )
 }
 
@@ -602,6 +648,44 @@ SELECT doc_id, objective, methodology, replace(findings, chr(1),
     (SELECT doc_id, count(*) AS n FROM sections GROUP BY doc_id) USING (doc_id)""",
 }
 ORACLE_SQL["pruned_topk"] = ORACLE_SQL["cosine_topk"]
+_UPLOADS = f"""WITH papers AS ({fixtures.PAPERS_SQL}), u AS (SELECT doc_id, full_text, {fixtures.KEY.format('doc_id')} AS document_id,
+    {fixtures.KEY.format('doc_id')} || '_' || replace({fixtures.PDF_NAME}, ' ', '_') AS file, {fixtures.PDF_FAULT} AS fault,
+    {fixtures.PDF_IMAGES} AS images FROM papers),
+    e AS (SELECT *, CASE WHEN file LIKE '%.txt' THEN '{fixed.NOT_PDF}' || file WHEN fault = 'broken' THEN {oracle.quoted(fixed.NOT_OPENED[0])} || file ||
+    {oracle.quoted(fixed.NOT_OPENED[1])} || 'no catalogue' WHEN fault = 'no pages' THEN {oracle.quoted(fixed.NO_PAGES[0])} || file ||
+    {oracle.quoted(fixed.NO_PAGES[1])} END AS error FROM u WHERE coalesce(fault, '') <> 'empty'),
+    p AS (SELECT file, error, images, k, substr(full_text, {fixtures.PAGE_SIZE} * (k - 1) + 1, {fixtures.PAGE_SIZE}) AS raw_text FROM
+    (SELECT *, unnest(range(1, 2 + (greatest(length(full_text), 1) - 1) // {fixtures.PAGE_SIZE})) AS k FROM e WHERE error IS NULL)),
+    n AS (SELECT *, length({oracle.strip('raw_text')}) AS chars FROM p)"""
+_SAID = ", ".join(f"{x} AS {c}" for c, x in fixtures.EMBEDDED.items())
+ORACLE_SQL["upload_status"] = f"""{_UPLOADS} SELECT document_id, CASE WHEN fault = 'empty' THEN 400 ELSE 200 END::bigint AS status,
+    CASE WHEN coalesce(fault, '') <> 'empty' THEN file END AS file FROM u"""
+ORACLE_SQL["pdf_pages"] = f"""{_UPLOADS} SELECT file, NULL::varchar AS error, k AS page_number, raw_text, chars AS char_count,
+    CASE WHEN k = 1 THEN images ELSE 0 END::bigint AS image_count, chars > 10 AS has_text FROM n
+    UNION ALL SELECT file, error, NULL, NULL, NULL, NULL, NULL FROM e WHERE error IS NOT NULL"""
+ORACLE_SQL["pdf_files"] = f"""{_UPLOADS}, m AS (SELECT *, {_SAID} FROM e WHERE file NOT LIKE '%.txt')
+    SELECT file, CASE WHEN fault IS NULL THEN (greatest(length(full_text), 1) - 1) // {fixtures.PAGE_SIZE} + 1 WHEN fault = 'no pages' THEN 0 END::bigint AS n_pages,
+    {', '.join(f"CASE WHEN fault IS NULL OR fault = 'no pages' THEN {c} END AS {c}" for c in fixtures.EMBEDDED)}, error FROM m"""
+ORACLE_SQL["pdf_documents"] = f"""SELECT {fixtures.KEY.format('doc_id')} AS document_id, total_pages, is_scanned, title, doi, year, authors, keywords
+    FROM ({ORACLE_SQL['embedded_metadata']}) JOIN (SELECT doc_id, total_pages, is_scanned FROM ({ORACLE_SQL['documents_from_pages']})) USING (doc_id)
+    WHERE doc_id >= 0 AND doc_id % 17 <> 3 AND doc_id % 13 NOT IN (5, 7, 9)"""
+ORACLE_SQL["request_variants"] = f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+    b AS (SELECT conv_id, turn, {fixtures.BODY} AS body FROM t),
+    v AS (SELECT conv_id, turn, CASE WHEN json_valid(body) THEN body END AS v FROM b),
+    k AS (SELECT *, json_type(v) AS kind, json_type(v, '$.document_id') AS kd, json_type(v, '$.question') AS kq FROM v),
+    g AS (SELECT *, CASE WHEN kd = 'VARCHAR' THEN lower(json_extract_string(v, '$.document_id')) END AS raw,
+      CASE WHEN kq = 'VARCHAR' THEN json_extract_string(v, '$.question') END AS question,
+      CASE WHEN v IS NULL THEN 'no JSON' WHEN kind <> 'OBJECT' THEN 'no object'
+        WHEN kd IS NULL THEN 'document_id: missing' WHEN kd = 'NULL' THEN 'document_id: void' WHEN kd <> 'VARCHAR' THEN 'document_id: bigint'
+        WHEN kq IS NULL THEN 'question: missing' WHEN kq = 'NULL' THEN 'question: void' WHEN kq <> 'VARCHAR' THEN 'question: bigint' END AS problem,
+      CASE WHEN json_type(v, '$.options.language') = 'VARCHAR' THEN json_extract_string(v, '$.options.language') END AS language,
+      CASE WHEN kind = 'OBJECT' THEN array_to_string(list_sort(list_filter(json_keys(v), lambda x: x NOT IN ('document_id', 'question', 'options'))), ',')
+      ELSE '' END AS extra FROM k),
+    u AS (SELECT *, CASE WHEN regexp_full_match(raw, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN raw END AS document_id FROM g),
+    d AS (SELECT DISTINCT {fixtures.KEY.format('doc_id')} AS id FROM documents)
+    SELECT conv_id, turn, document_id, question, CASE WHEN problem IS NOT NULL OR length(question) < 3 OR length(question) > 500 THEN 422
+      WHEN document_id IS NULL THEN 400 WHEN id IS NULL THEN 404 WHEN {oracle.strip('question')} = '' THEN 400 ELSE 200 END::bigint AS status,
+      problem, language, extra FROM u LEFT JOIN d ON id = document_id"""
 ORACLE_SQL["pages_stream"] = f"SELECT *, true AS complete FROM ({ORACLE_SQL['documents_from_pages']})"
 ORACLE_SQL["ingest_metrics"] = f"""WITH c AS (SELECT clean_text, problem, full_text FROM ({ORACLE_SQL['clean_text']}) JOIN ({fixtures.PAPERS_SQL}) USING (doc_id)),
     m AS (SELECT count(*) AS a, count(*) FILTER (problem IS NULL) AS b, 0 AS c, count(*) FILTER (problem = 'no text') AS d,

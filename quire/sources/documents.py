@@ -49,29 +49,37 @@ def admission(content: Column, content_type: Column | None = None, most_bytes: i
     return F.when(kind, 415).when(size > most_bytes, 413).when(F.coalesce(size, F.lit(0)) == 0, 400).when(F.substring(content, 1, 4) != F.lit(b"%PDF"), 422).otherwise(200)
 
 
+def file_error(path: str | None, problem: Exception | None = None) -> str:
+    """Why a file gives no page: its name, what went wrong when it was opened, or that it has none."""
+    name = (path or "").rsplit("/", 1)[-1]
+    if not name.lower().endswith(".pdf"):
+        return fixed.NOT_PDF + name
+    return fixed.NO_PAGES[0] + name + fixed.NO_PAGES[1] if problem is None else f"{fixed.NOT_OPENED[0]}{name}{fixed.NOT_OPENED[1]}{problem}"
+
+
+def page_rows(path: str | None, content: bytes | None, extract: Callable[[bytes], Iterator[tuple[str, int]]]) -> list[tuple]:
+    """The rows of PAGES of one file."""
+    if not (path or "").rsplit("/", 1)[-1].lower().endswith(".pdf"):
+        return [(path, None, None, None, None, None, file_error(path))]
+    try:
+        texts, problem = list(extract(content or b"")), None
+    except Exception as e:  # whatever an extractor raises is told of its file
+        texts, problem = [], e
+    found = [(path, k, t, len(t.strip()), n, len(t.strip()) > 10, None) for k, (t, n) in enumerate(texts, 1)]
+    return found or [(path, None, None, None, None, None, file_error(path, problem))]
+
+
 def read_pages(files: DataFrame, extract: Callable[[bytes], Iterator[tuple[str, int]]]) -> DataFrame:
-    """Pages of files by an extractor from bytes to (text, number of images) of each page; no PDF library comes with this one.
+    """Pages of files by an extractor from bytes to (text, number of images) of each page, as `pdf.pages` is one for plain files.
 
     A file that isn't called *.pdf, that the extractor fails on, or that has no pages, gives one row with `error` and no
     page, so that one bad file stops nothing. A null content counts as empty, a null path as one without a name.
     """
 
-    def of_file(path: str | None, content: bytes | None) -> list[tuple]:
-        name = (path or "").rsplit("/", 1)[-1]
-        error = fixed.NO_PAGES[0] + name + fixed.NO_PAGES[1]
-        if not name.lower().endswith(".pdf"):
-            return [(path, None, None, None, None, None, fixed.NOT_PDF + name)]
-        try:
-            texts = list(extract(content or b""))
-        except Exception as e:  # whatever an extractor raises is told of its file
-            texts, error = [], f"{fixed.NOT_OPENED[0]}{name}{fixed.NOT_OPENED[1]}{e}"
-        found = [(path, k, t, len(t.strip()), n, len(t.strip()) > 10, None) for k, (t, n) in enumerate(texts, 1)]
-        return found or [(path, None, None, None, None, None, error)]
-
     def pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame(of_file(path, content), columns=[c.split()[0] for c in PAGES.split(", ")], dtype=object)
+                yield pd.DataFrame(page_rows(path, content, extract), columns=[c.split()[0] for c in PAGES.split(", ")], dtype=object)
 
     return files.select("path", "content").mapInPandas(pages, PAGES)
 
