@@ -144,10 +144,9 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded files through the whole reading path: pages, documents, cleaning, and metadata with what the files say themselves."""
-    rows = documents.kept(_saved(spark, sf_dir), "pages")
-    docs = documents.documents_of(rows.withColumnRenamed("path", "doc_id"))
-    said = rows.where("page_number = 1").select(F.col("path").alias("doc_id"), "pdf_title", "pdf_author", "pdf_subject")
-    out = sections.with_embedded(text.with_clean_text(docs.join(said, "doc_id")))
+    said = ("pdf_title", "pdf_author", "pdf_subject")
+    docs = documents.documents_of(_saved(spark, sf_dir).withColumnRenamed("path", "doc_id"), *said)
+    out = sections.with_embedded(text.with_clean_text(docs))
     named = F.substring(F.regexp_extract("doc_id", "[^/]*$", 0), 1, 36)
     return out.select(named.alias("document_id"), "total_pages", "is_scanned", "title", "doi", "year", *[F.array_join(c, "|").alias(c) for c in ("authors", "keywords")])
 

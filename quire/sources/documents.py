@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,12 +58,12 @@ def file_error(path: str | None, problem: Exception | None = None) -> str:
     return fixed.NO_PAGES[0] + name + fixed.NO_PAGES[1] if problem is None else f"{fixed.NOT_OPENED[0]}{name}{fixed.NOT_OPENED[1]}{problem}"
 
 
-def page_rows(path: str | None, content: bytes | None, extract: Callable[[bytes], Iterator[tuple[str, int]]]) -> list[tuple]:
-    """The rows of PAGES of one file."""
+def page_rows(path: str | None, content: Any, extract: Callable[[Any], Iterator[tuple[str, int]]]) -> list[tuple]:
+    """The rows of PAGES of one file; content: its bytes, or what else the extractor takes."""
     if not (path or "").rsplit("/", 1)[-1].lower().endswith(".pdf"):
         return [(path, None, None, None, None, None, file_error(path))]
     try:
-        texts, problem = list(extract(content or b"")), None
+        texts, problem = list(extract(b"" if content is None else content)), None
     except Exception as e:  # whatever an extractor raises is told of its file
         texts, problem = [], e
     found = [(path, k, t, len(t.strip()), n, len(t.strip()) > 10, None) for k, (t, n) in enumerate(texts, 1)]
@@ -91,12 +92,15 @@ def missing_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     return lacking.select(*[told.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in PAGES.split(", ")])
 
 
-def documents_of(pages: DataFrame) -> DataFrame:
-    """doc_id, total_pages, full_text, is_scanned, warning of documents whose pages are given; rows without a page are left out."""
+def documents_of(pages: DataFrame, *others: str) -> DataFrame:
+    """doc_id, total_pages, full_text, is_scanned, warning of documents whose pages are given; rows without a page are left out.
+
+    others: columns that all pages of a document share; where they don't, the largest value counts.
+    """
     average = F.avg("char_count")
     rows = F.array_sort(F.collect_list(F.struct("page_number", "raw_text")))
-    out = pages.where("page_number is not null").groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"))
-    return with_warning(out)
+    out = pages.where("page_number is not null").groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.array_join(rows["raw_text"], "\n").alias("full_text"), average.alias("average"), *[F.max(c).alias(c) for c in others])
+    return with_warning(out, *others)
 
 
 def with_warning(docs: DataFrame, *others: str) -> DataFrame:

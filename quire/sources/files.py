@@ -114,10 +114,13 @@ class _Reader(DataSourceReader):
             row = {"path": path, "length": length}
             if opened:
                 with files.open_input_file(place) as f:
-                    data = f.read()
+                    data = content = f.read()
             if opened and (counted or not by_page):
                 try:
-                    row["n_pages"], told = pdf.told(data)
+                    document = pdf.opened(data)
+                    # The extractor of this library takes the document that has been opened already.
+                    content = document if document and extract is pdf.pages else data
+                    row["n_pages"], told = pdf.told(document)
                     row |= {f"pdf_{k.lower()}": v for k, v in told.items()}
                     if not row["n_pages"]:
                         row["error"] = documents.file_error(path)
@@ -125,7 +128,7 @@ class _Reader(DataSourceReader):
                     row["error"] = documents.file_error(path, e)
                 if not path.lower().endswith(".pdf"):
                     row = {"path": path, "length": length, "error": documents.file_error(path, None)}
-            for page in documents.page_rows(path, data, extract) if by_page else [(None,) * 7]:
+            for page in documents.page_rows(path, content, extract) if by_page else [(None,) * 7]:
                 own = row | dict(zip(_PAGE, page[1:6], strict=True))
                 rows.append(own | {"error": page[6] or own.get("error")} if by_page else own)
                 held += 200 + len(own["raw_text"] or "")

@@ -157,15 +157,20 @@ def shown(content: bytes) -> str:
     return "".join(out)
 
 
-def pages(data: bytes) -> Iterator[tuple[str, int]]:
+def opened(data: bytes) -> Document | None:
+    """A file's document; none of an empty one."""
+    return Document(data) if data else None
+
+
+def pages(data: bytes | Document | None) -> Iterator[tuple[str, int]]:
     """(text, number of images) of each page of a file, in order; none of an empty one."""
-    if data:
-        document = Document(data)
+    document = opened(data) if isinstance(data, bytes) else data
+    if document:
         for number in document.page_numbers():
             yield document.text(number), document.images(number)
 
 
-def told(data: bytes) -> tuple[int, dict[str, str | None]]:
+def told(data: bytes | Document | None) -> tuple[int, dict[str, str | None]]:
     """The number of pages and the metadata of a file, without a look at its texts."""
-    document = Document(data) if data else None
+    document = opened(data) if isinstance(data, bytes) else data
     return (len(document.page_numbers()), document.info()) if document else (0, dict.fromkeys(INFO))
