@@ -161,10 +161,11 @@ def pdfs(spark: SparkSession, path: str, schema: str | None = None, **options: s
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def save_uploads(uploads: DataFrame, folder: str) -> DataFrame:
+def save_uploads(uploads: DataFrame, folder: str, spread: bool = True) -> DataFrame:
     """document_id, status, path, length of uploads (document_id, file_name, content), whose files are then in folder.
 
     An upload with status 200 (`documents.admission`) is written as <document_id>_<safe name>; of others path and length are null.
+    With `spread` a file lies in one of 256 folders below, by a hash of its name, as file systems get slow with very many files in one.
     A file appears whole, under its name, when it has been written, so a task that is tried again writes the same. Uploads with
     the same id and name are one file, that of one of them. A null id counts as the empty text. A name of over 200 bytes, more than
     file systems take, is its first 40 characters, a hash of all of it and its suffix.
@@ -172,8 +173,11 @@ def save_uploads(uploads: DataFrame, folder: str) -> DataFrame:
     name = F.concat(F.coalesce(F.col("document_id").cast("string"), F.lit("")), F.lit("_"), text.safe_file_name(F.col("file_name")))
     cut = F.concat(F.substring(name, 1, 40), F.lit("-"), F.substring(F.md5(name), 1, 8), F.regexp_extract(name, r"(\.[A-Za-z0-9]{1,8})?\z", 0))
     name = F.when(F.octet_length(name) > 200, cut).otherwise(name)
+    if spread:
+        name = F.concat(F.substring(F.md5(name), 1, 2), F.lit("/"), name)
     rows = uploads.select(F.col("document_id").cast("string").alias("document_id"), name.alias("name"), documents.admission(F.col("content")).alias("status"), "content")
-    FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1], recursive=True)
+    for below in [f"/{k:02x}" for k in range(256)] if spread else [""]:
+        FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1] + below, recursive=True)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = FileSystem.from_uri(folder)
@@ -186,9 +190,10 @@ def save_uploads(uploads: DataFrame, folder: str) -> DataFrame:
                     lengths.append(None)
                     continue
                 data = content.as_py()
-                with files.open_output_stream(f"{root}/.{file}-{attempt}", compression=None) as out:
+                below, _, own = f"{root}/{file}".rpartition("/")
+                with files.open_output_stream(f"{below}/.{own}-{attempt}", compression=None) as out:
                     out.write(data)
-                files.move(f"{root}/.{file}-{attempt}", f"{root}/{file}")
+                files.move(f"{below}/.{own}-{attempt}", f"{below}/{own}")
                 paths.append(f"{folder}/{file}")
                 lengths.append(len(data))
             yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("status"), pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["document_id", "status", "path", "length"])

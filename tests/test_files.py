@@ -107,10 +107,12 @@ def test_uploads(spark, tmp_path):
     for _ in range(2):
         saved = files.save_uploads(uploads, folder).collect()
     assert sorted(r.status for r in saved) == [200] * 6 + [400, 400, 422] and all((r.path is None) == (r.status != 200) for r in saved)
-    names = sorted(p.name for p in (tmp_path / "in").iterdir())
+    names = sorted(p.name for p in (tmp_path / "in").rglob("*") if p.is_file())
     assert len(names) == 5 and {"k1__my_paper.pdf", "k4_uploaded_file", "_n.pdf"} < set(names)
     assert all(len(n.encode()) <= 210 for n in names) and {r.path.rsplit("/", 1)[1] for r in saved if r.path} == set(names)
     assert files.save_uploads(uploads.limit(0), folder).count() == 0
+    flat = files.save_uploads(uploads.limit(1), f"{folder}-flat", spread=False).first()
+    assert flat.path == f"{folder}-flat/k1__my_paper.pdf" and (tmp_path / "in-flat" / "k1__my_paper.pdf").read_bytes() == body
     assert {r.raw_text for r in files.pdfs(spark, folder, "raw_text string").collect()} == {"a page of text"}
 
 
