@@ -141,3 +141,14 @@ def test_results_are_read_back(spark):
     assert back.schema.names == rows.schema.names and sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
     odd = spark.createDataFrame([("{broken",), (None,), ("[1]",), ('{"title": {"a": 1}, "n": "x"}',)], "json string")
     assert [r.n for r in variants.read_back(odd, kind).collect()] == [None] * 4
+
+
+def test_a_heading_cut_by_a_page_is_read_whole(spark, tmp_path):
+    """Papers whose references heading may lie across two pages: what their files give is what their whole texts give."""
+    from quire.plans import registry
+
+    rows = [(12 * k, "x" * (720 + k)) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {r.title: (r.doi, r.year) for r in registry.embedded_metadata(spark, f"file://{tmp_path}").collect()}
+    got = {r.title: (r.doi, r.year) for r in registry.pdf_documents(spark, f"file://{tmp_path}").collect()}
+    assert len(got) > 30 and got == {k: want[k] for k in got}
