@@ -317,3 +317,32 @@ def test_phrases_of_odd_texts(spark):
     told = {r.phrase for r in got if r.doc_id == 5}
     assert sum(r.phrase == "deep nets" for r in got) == 1 and {"deep", "deep learning", "learning of graphs", "deep nets"} <= told
     assert not any("7" in p or p.startswith("of") or p.endswith(" of") for p in told) and "learning deep" not in told
+
+
+def test_ranking_exchanges_nothing(spark):
+    """Terms as rows of their own took many times the texts' bytes in exchanges and sorts."""
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("Graphs help models. Models need graphs often. Nothing else is said here.").alias("full_text"))
+    slots = documents.kept(analyze.with_slots(analyze.prepared(docs)), "slots")
+    lists = ranking.sentence_lists(docs, ["doc_id"], "full_text")
+    asked = lists.withColumn("asked", F.slice("rows", 1, 1)["sent"])
+    for rows in (ranking.scored_lists(lists, ["doc_id"]), ranking.top_lists(lists, ["doc_id"], 2), ranking.similar_lists(asked, ["doc_id"]), analyze.ranked_slots(slots), cues.keywords(docs, "full_text"), analyze.analyse(docs)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() > 0
+
+
+def test_normal_texts_stay_in_the_jvm(spark):
+    """Characters of text.NORMAL are in NFC whatever stands beside them; only texts with others are handed to Python."""
+    import re
+    import unicodedata
+
+    plain, second = re.compile(f"[{text.NORMAL}]"), set()
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(chr(int(parts[1], 16)))
+    safe = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if plain.match(c)]
+    assert not [c for c in safe if unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or c in second]
+    texts = ["plain ﬁne “text” é", "é and 가", "Å", "", None, "語 グ が"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    got = {r.k: r.n for r in rows.select("k", text.nfc(F.col("t")).alias("n")).collect()}
+    assert got == {k: t if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
