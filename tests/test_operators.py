@@ -346,3 +346,12 @@ def test_normal_texts_stay_in_the_jvm(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
     got = {r.k: r.n for r in rows.select("k", text.nfc(F.col("t")).alias("n")).collect()}
     assert got == {k: t if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
+
+
+def test_words_of_phrases_are_not_exchanged(spark):
+    """The texts are dealt once; a row for each word took many times their bytes in sorts."""
+    docs = spark.createDataFrame([(1, "Deep learning of graphs. Deep nets of graphs win."), (2, "")], "doc_id long, clean_text string")
+    rows = phrases.phrase_scores(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    assert {r.phrase for r in rows.collect()} >= {"deep", "learning of graphs", "nets of graphs"}
