@@ -162,8 +162,7 @@ def paper_answers(questions: DataFrame, docs: DataFrame, chunked: DataFrame, pag
     """
     counted = chunked.groupBy("doc_id").agg(F.count("*").alias("_chunks"))
     start = docs.select("doc_id", F.substring("clean_text", 1, 8000).alias("_start")).join(counted, "doc_id", "left")
-    near = documents.kept(retrieved(questions, chunked, most), "near")
-    told = sections.chunk_pages(near, pages)
+    told = sections.chunk_pages(retrieved(questions, chunked, most), pages)
     out = questions.join(start, "doc_id").join(contexts(told), "query_id", "left")
     out = out.withColumn("context", F.when(F.col("_chunks").isNull(), F.col("_start")).otherwise(F.coalesce("context", F.lit(""))))
     out = answers(out)

@@ -39,6 +39,25 @@ def test_pages_of_odd_chunks(spark):
     assert sections.chunk_pages(df.limit(0), spark.createDataFrame(pages, "doc_id long, page_number int, text string")).count() == 0
 
 
+def test_ordinary_documents_exchange_no_anchors(spark, monkeypatch):
+    """Chunks are held against their document's pages in a row; by anchors, where that is too much, the pages found are the same."""
+    rng = random.Random(8)
+    rows = [(d, k, " ".join(rng.choice("abcde") * rng.randrange(1, 9) for _ in range(40))) for d in range(4) for k in range(20 * d + 1)]
+    chunked = spark.createDataFrame([*rows, (None, 0, "no document"), (9, 0, None)], "doc_id long, chunk_id int, text string")
+    of = [(d, k // 3, t) for d, k, t in rows]
+    pages = spark.createDataFrame([*of, *of[:5], (1, None, rows[0][2])], "doc_id long, page_number int, text string")
+    got = sections.chunk_pages(chunked, pages)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    want = sorted((r.doc_id or -1, r.chunk_id, r.page_numbers) for r in got.collect())
+    assert sum(len(w[2]) for w in want) > len(rows)
+    for at, most in (("SEARCHED", 100_000), ("SEARCHED", -1), ("WHOLE", 9000)):
+        with monkeypatch.context() as m:
+            m.setattr(sections, at, most)
+            got = sections.chunk_pages(chunked, pages)
+        assert "Generate" in got._jdf.queryExecution().toString()
+        assert sorted((r.doc_id or -1, r.chunk_id, r.page_numbers) for r in got.collect()) == want
+
+
 def test_pages_take_linear_time(spark):
     """Twice the chunks and pages of one document take less than two and a half times as long."""
 
