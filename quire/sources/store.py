@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.sources.documents import kept
+
 BUCKETS = 64
 BUCKET = "key_bucket"
 
@@ -27,13 +29,16 @@ def bucket_of(key: str | Column) -> Column:
     return F.pmod(F.xxhash64(k.cast("string")), F.lit(BUCKETS)).cast("int")
 
 
+def begun(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been appended at path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, with the column BUCKET; a path where nothing has been appended yet is an empty table."""
     whole = T.StructType([f for f in schema.fields if f.name != BUCKET] + [T.StructField(BUCKET, T.IntegerType())])
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], whole)
-    return spark.read.schema(whole).parquet(path)
+    return spark.read.schema(whole).parquet(path) if begun(spark, path) else spark.createDataFrame([], whole)
 
 
 def first_rows(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
@@ -63,9 +68,10 @@ def lacking(rows: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str, key: str = "doc_id", order: Sequence[str] = ()) -> None:
-    """Append the rows whose key the table at path lacks."""
+    """Append the rows whose key the table at path lacks. rows are made once: where there are keys to hold them against, they are written first."""
     new = first_rows(rows, key, order).withColumn(BUCKET, bucket_of(key))
-    fresh = lacking(new, path, key).repartition(BUCKET).sortWithinPartitions(BUCKET, key)
+    fresh = lacking(kept(new, "batch"), path, key) if begun(rows.sparkSession, path) else new
+    fresh = fresh.repartition(BUCKET).sortWithinPartitions(BUCKET, key)
     fresh.write.mode("append").partitionBy(BUCKET).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 

@@ -198,6 +198,20 @@ def test_appends_read_what_they_touch(spark, tmp_path):
     assert [tuple(r) for r in one.collect()] == [(1000, "new")] and "PartitionFilters: [key_bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_appends_make_their_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def passed(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    for k, want in ((0, 100), (50, 200), (300, 300)):
+        store.append(spark.range(k, k + 100).select(F.col("id").alias("doc_id")).mapInPandas(passed, "doc_id long"), f"file://{tmp_path}/t")
+        assert made.value == want
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 250
+
+
 def test_store_of_odd_keys(spark, tmp_path):
     path, kind = f"file://{tmp_path}/t", "k string, v int, `a.b` string"
     schema = spark.createDataFrame([], kind).schema
