@@ -8,7 +8,8 @@ by more than `patience` are too late. Pages that come for a document that has be
 the first time it comes; a page without a number, a document or a time is left out. The rows are those that
 `documents.documents_of` makes of all pages at once.
 
-A document's state is its pages, as it is one row in the end. A query that fails starts again from its checkpoint with the state as it was, and a
+A document's state is its pages, as it is one row in the end. Documents are dealt by a hash into GROUPS groups, and what is held of a group
+is one state: a call of Python for each document and batch costs far more than the document's pages. A query that fails starts again from its checkpoint with the state as it was, and a
 sink that appends by key (`store.append`) takes each document once.
 """
 
@@ -25,8 +26,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.sources import documents, store
 
-_STATE = "held string, total int, emitted boolean"
+#: A checkpoint is of one number of groups. At 100 million documents some 50,000 share one.
+GROUPS = 1 << 11
+_STATE = "held string"
 _FOUND = "doc_id long, held string, complete boolean"
+_READ = ["doc_id", "page_number", "raw_text", "char_count", "of_pages", "at"]
 _PAGES = "map<string, struct<raw_text: string, char_count: int>>"
 
 
@@ -37,30 +41,39 @@ def assembled(pages: DataFrame, patience_seconds: int = 600) -> DataFrame:
     """
 
     def gather(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, total, emitted = state.get if state.exists else ("{}", 0, False)
-        if state.hasTimedOut:
+        # By document: its pages (None: it has been emitted), their number as far as it is known, and how long it is held.
+        docs, done = json.loads(state.get[0]) if state.exists else {}, []
+        watermark, latest = state.getCurrentWatermarkMs(), {}
+        for part in () if state.hasTimedOut else parts:
+            for doc, number, text, count, of, at in zip(*(part[c].tolist() for c in _READ), strict=True):
+                doc = str(doc)
+                latest[doc] = max(latest.get(doc, watermark), at)
+                held = docs.setdefault(doc, {"pages": {}, "total": 0})
+                if held["pages"] is not None:
+                    held["pages"].setdefault(str(number), {"raw_text": text, "char_count": None if pd.isna(count) else int(count)})
+                    held["total"] = max(held["total"], 0 if pd.isna(of) else int(of))
+        for doc, at in latest.items():
+            held = docs[doc]
+            # The watermark lies `patience` behind the latest page of all.
+            held["until"] = at + 1
+            if held["pages"] is not None and 0 < held["total"] <= len(held["pages"]):
+                done.append((int(doc), json.dumps(held["pages"], ensure_ascii=False), True))
+                held["pages"] = None
+        for doc in [d for d, held in docs.items() if held["until"] < watermark]:
+            pages_held = docs.pop(doc)["pages"]
+            if pages_held is not None:
+                done.append((int(doc), json.dumps(pages_held, ensure_ascii=False), False))
+        if done:
+            yield pd.DataFrame(done, columns=["doc_id", "held", "complete"])
+        if not docs:
             state.remove()
-            if not emitted:
-                yield pd.DataFrame([(key[0], held, False)], columns=["doc_id", "held", "complete"])
             return
-        known, latest = {} if emitted else json.loads(held), state.getCurrentWatermarkMs()
-        for part in parts:
-            latest = max(latest, int(part["arrived"].max().timestamp() * 1000))
-            if emitted:
-                continue
-            for number, text, count, of in zip(part["page_number"], part["raw_text"], part["char_count"], part["of_pages"], strict=True):
-                known.setdefault(str(int(number)), {"raw_text": text, "char_count": None if pd.isna(count) else int(count)})
-                total = max(total, 0 if pd.isna(of) else int(of))
-        whole = 0 < total <= len(known)
-        if whole and not emitted:
-            yield pd.DataFrame([(key[0], json.dumps(known), True)], columns=["doc_id", "held", "complete"])
-        state.update((None if emitted or whole else json.dumps(known), total, emitted or whole))
-        # The watermark lies `patience` behind the latest page of all.
-        state.setTimeoutTimestamp(latest + 1)
+        state.update((json.dumps(docs, ensure_ascii=False),))
+        state.setTimeoutTimestamp(min(held["until"] for held in docs.values()))
 
-    rows = pages.where("doc_id is not null and page_number is not null and arrived is not null").select("doc_id", "page_number", "raw_text", "char_count", "of_pages", "arrived")
-    rows = rows.withWatermark("arrived", f"{patience_seconds} seconds")
-    found = rows.groupBy("doc_id").applyInPandasWithState(gather, _FOUND, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = pages.where("doc_id is not null and page_number is not null and arrived is not null").withWatermark("arrived", f"{patience_seconds} seconds")
+    rows = rows.select("doc_id", "page_number", "raw_text", "char_count", "of_pages", F.unix_millis("arrived").alias("at"), "arrived", F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)).alias("group"))
+    found = rows.groupBy("group").applyInPandasWithState(gather, _FOUND, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     listed = F.array_sort(F.transform(F.map_entries(F.from_json("held", _PAGES)), lambda e: F.struct(e["key"].cast("int").alias("page_number"), e["value"]["raw_text"].alias("raw_text"), e["value"]["char_count"].alias("char_count"))))
     out = found.withColumn("listed", listed)
     counts = F.array_compact("listed.char_count")

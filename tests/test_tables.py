@@ -127,6 +127,14 @@ def test_incomplete_documents_are_emitted_late(spark, tmp_path):
     assert got[4].full_text == "other\nin time" and got[4].complete and got[1].full_text == "second"
 
 
+@pytest.mark.parametrize("groups", [1, 2])
+def test_documents_that_share_a_state(spark, tmp_path, monkeypatch, groups):
+    """A call of Python and a state for each group, not for each document: the documents are those of states of their own."""
+    monkeypatch.setattr(pages, "GROUPS", groups)
+    for k, test in enumerate((test_pages_in_any_order, test_incomplete_documents_are_emitted_late)):
+        test(spark, tmp_path / str(k))
+
+
 # -- metrics --
 
 
