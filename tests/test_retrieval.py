@@ -120,6 +120,18 @@ def test_sparse_top_is_the_exhaustive_one(spark):
     assert blocks > 25 and share < 0.35  # of the words in nearly all rows every block has one
 
 
+def test_sparse_search_exchanges_no_postings(spark):
+    """Queries meet blocks in the tasks that read them, however common their terms; queries taken in several blocks find the same rows."""
+    rows = spark.createDataFrame([(k // 2, f"common words everywhere {'abcdefg'[k % 7] * 4} {'uvwxyz'[k % 5] * 3}") for k in range(600)], "row long, text string")
+    index = postings.build(rows, ["row"])
+    asked = spark.createDataFrame([(k, f"common words {'abcdefg'[k % 7] * 4}") for k in range(40)] + [(None, "common words")], "query_id long, text string")
+    shared = spark.sparkContext.broadcast(postings._by_term(postings._asked(asked, index).toArrow()))
+    shared.kind = asked.schema["query_id"].dataType
+    assert "Exchange" not in postings._against(index, shared, 5)._jdf.queryExecution().executedPlan().toString()
+    found = [sorted(tuple(r) for r in postings.search(asked, index, query_rows=n)[0].collect()) for n in (100, 7)]
+    assert found[0] == found[1] and len(found[0]) == 200 and len({r[:2] for r in found[0]}) == 200
+
+
 def test_sparse_top_of_empty_tables(spark):
     rows = spark.createDataFrame([(1, "some words here")], "row long, text string")
     asked = rows.withColumnRenamed("row", "query_id")
