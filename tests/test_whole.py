@@ -9,7 +9,7 @@ from itertools import pairwise
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
-from quire.operators import cues, ranking
+from quire.operators import cues, phrases, ranking
 from quire.plans import analyze
 
 BITS = ["a", "b-\n", "é", "-\n", "\n", "\n\n", " ", "  ", "\t", "12", "3", "Page 3 of 9", "pAGE\n3 of\n 9", "doi: 10.1234", "© 2017", "©\n 2017 z", "All rights reserved", "all rıghts reſerved", "page", "x" * 40, "y" * 85,
@@ -74,3 +74,22 @@ def test_insights_read_whole_sections(spark):
     found = [analyze.analyse(docs, whole=w, points=False).first() for w in (True, False)]
     assert any("improve the recall" in f for f in found[0].findings) and not any("improve the recall" in f for f in found[1].findings)
     assert "Our results show" in found[0].why_it_matters
+
+
+def test_phrases_read_whole_texts(spark):
+    """Words behind the first 8,000 characters make phrases; distances are those of the whole table."""
+    filler = " ".join(f"Plain filler{k} stands here." for k in range(400))
+    docs = spark.createDataFrame([(1, f"{filler} Spectral Sparsifiers shrink Graphs.")], "doc_id long, clean_text string")
+    scores = phrases.phrase_scores(docs)
+    assert "spectral sparsifiers" in {r.phrase for r in scores.collect()}
+    assert any("sparsifiers" in r.phrase for r in phrases.key_phrases(docs).collect())
+    assert "Window" not in plan(phrases.key_phrases(docs)) and plan(phrases.key_phrases(docs)).count("Exchange") == 1
+    rng = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert phrases.edits(a, b) == row[-1]
