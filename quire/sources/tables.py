@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.sources.documents import shared_folder
 
 @dataclass(frozen=True)
 class Table:
@@ -52,6 +53,7 @@ TABLES = {
     ),
 }
 DEFAULTS = {"created_at": F.current_timestamp, "updated_at": F.current_timestamp, "embedding_model": lambda: F.lit("all-MiniLM-L6-v2")}
+COMPRESSION = "zstd"
 VIOLATIONS = "table_name string, rule string, column_name string, key string, n long"
 
 
@@ -94,6 +96,14 @@ def violations(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def dealt(rows: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """rows, written to the shared folder in buckets as the tables are, so that tables made of them, row by row, aren't exchanged once more."""
+    folder = shared_folder(rows.sparkSession, label)
+    name = f"quire_{hashlib.md5(folder.encode()).hexdigest()[:12]}_{label}"
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).options(path=folder, compression=COMPRESSION).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 class Database:
     """The tables under a folder that driver and executors share."""
 
@@ -120,9 +130,9 @@ class Database:
         folder = f"{self.root}/v{version}-{self.spark._jvm.java.util.UUID.randomUUID()}"
         for name, rows in whole.items():
             key = TABLES[name].document
-            # Dealt as the buckets are, so that a bucket is one file.
-            dealt = rows.repartition(self.buckets, key)
-            dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{folder}/{name}").saveAsTable(f"{self._named(version, name)}_new")
+            # Dealt as the buckets are, so that a bucket is one file; Spark leaves rows where they are if they lie in these buckets.
+            placed = rows.repartition(self.buckets, key)
+            placed.write.bucketBy(self.buckets, key).sortBy(key).options(path=f"{folder}/{name}", compression=COMPRESSION).saveAsTable(f"{self._named(version, name)}_new")
         written = {name: self.spark.table(f"{self._named(version, name)}_new") for name in TABLES}
         broken = violations(written).limit(3).collect() if check else []
         for name in TABLES:  # the files stay; the tables are known by the version's own names from now on

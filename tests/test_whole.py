@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
 from quire.operators import cues, phrases, ranking
-from quire.plans import analyze
+from quire.plans import analyze, registry
+from quire.sources import tables
 
 BITS = ["a", "b-\n", "é", "-\n", "\n", "\n\n", " ", "  ", "\t", "12", "3", "Page 3 of 9", "pAGE\n3 of\n 9", "doi: 10.1234", "© 2017", "©\n 2017 z", "All rights reserved", "all rıghts reſerved", "page", "x" * 40, "y" * 85,
         "​", "\x07", "\x1c", "\r", " ", "ﬁ", "“", "—", "­", "_", "References", "\nreferences\n", "\n Works\n cited \n", "reſerences", "!", ". ", "It's a b'c_d e.g. the NBSP word", "Ω"]
@@ -93,3 +94,10 @@ def test_phrases_read_whole_texts(spark):
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         assert phrases.edits(a, b) == row[-1]
+
+
+def test_tables_of_papers_are_not_exchanged_again(spark, data):
+    """Papers lie in the buckets of the tables, with one of their texts; what is made of them, row by row, stays where it is."""
+    for name, rows in registry._five_tables(spark, data, False).items():
+        if name != "qa_messages":
+            assert "Exchange" not in plan(rows.repartition(registry.BUCKETS, tables.TABLES[name].document))
