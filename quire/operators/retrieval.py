@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import fixed, text
 from quire.operators import sections
@@ -111,29 +117,47 @@ def hashed_vector(t: Column, size: int = 64) -> Column:
     return _counts(_places(t, size), size)
 
 
-def _square(places: Column) -> Column:
-    """The sum of squared counts of a sorted list, in one pass: the k-th of equal places adds 2 k - 1."""
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
-    run = lambda s, p: F.when(s["last"] == p, s["run"] + 1).otherwise(F.lit(1).cast("long"))
-    return F.aggregate(places, start, lambda s, p: F.struct(p.alias("last"), run(s, p).alias("run"), (s["sum"] + 2 * run(s, p) - 1).alias("sum")), lambda s: s["sum"].cast("double"))
+@functools.lru_cache(1 << 16)
+def _first_byte(word: str) -> int:
+    return hashlib.md5(word.encode()).digest()[0]
+
+
+def _cosine(size: int):
+    """The cosine of the hashed vectors of two texts, from the words in the task that holds them."""
+
+    def counts(t: str) -> list[int]:
+        out = [0] * size
+        for w in text.all_words(t):
+            out[_first_byte(w) % size] += 1
+        return out
+
+    @F.arrow_udf(T.DoubleType())
+    def near(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        asked = functools.lru_cache(4096)(lambda t: (q := counts(t), math.sqrt(sum(x * x for x in q))))
+
+        def score(question: str | None, t: str | None) -> float | None:
+            if question is None or t is None:
+                return None
+            (q, root), c = asked(question), counts(t)
+            return sum(x * y for x, y in zip(q, c, strict=True)) / max(root * math.sqrt(sum(x * x for x in c)), 1e-10)
+
+        for part in parts:
+            yield pa.array((score(*row) for row in text.some_rows(*part)), pa.float64())
+
+    return near
 
 
 def retrieved(questions: DataFrame, chunked: DataFrame, most: int = 5, size: int = 64) -> DataFrame:
     """query_id, rank, score and the columns of chunked: of each question the nearest chunks of its own document.
 
     questions (query_id, doc_id, question); chunked (doc_id, chunk_id, text, and others). They meet by doc_id, and so a
-    question only meets the chunks of one document. The cosine is that of hashed vectors, summed over the words of
-    a chunk in one pass. Scores of 0.1 or less don't count, ties go to the later chunk.
+    question only meets the chunks of one document. The cosine is that of hashed vectors. Scores of 0.1 or less don't count, ties go to the later chunk.
     """
-    q = questions.select("query_id", "doc_id", _places(F.col("question"), size).alias("_p"))
-    q = q.select("query_id", "doc_id", _counts(F.col("_p"), size).alias("_q"), _square(F.col("_p")).alias("_qq"))
-    c = chunked.withColumn("_c", _places(F.col("text"), size))
-    c = c.withColumn("_cc", _square(F.col("_c")))
-    dot = F.aggregate("_c", F.lit(0.0), lambda s, p: s + F.get("_q", p))
-    near = dot / F.greatest(F.sqrt("_qq") * F.sqrt("_cc"), F.lit(1e-10))
-    met = q.join(c, "doc_id").withColumn("score", F.round(near, 9)).where(F.col("score") > LEAST)
+    text.small_batches(questions.sparkSession)
+    met = questions.select("query_id", "doc_id", "question").join(chunked, "doc_id")
+    met = met.withColumn("score", F.round(_cosine(size)(F.col("question"), F.col("text")), 9)).where(F.col("score") > LEAST).drop("question")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chunk_id")))
-    return met.withColumn("rank", rank).where(F.col("rank") <= most).drop("_q", "_qq", "_c", "_cc")
+    return met.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def contexts(ranked: DataFrame, budget: int = 6000) -> DataFrame:
@@ -177,22 +201,37 @@ def _not_found(message: str) -> Column:
     return F.struct(F.lit(message).alias("answer"), F.lit(0.0).alias("score"), F.lit(False).alias("found_in_paper"), F.lit(0).alias("start"), F.lit(0).alias("end")).cast(ANSWER)
 
 
+_QUESTION_STOP = frozenset(fixed.QUESTION_STOP_WORDS)
+
+
+@F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("sent", T.StringType())]))
+def _best_sentence(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def best(question: str | None, context: str | None) -> dict | None:
+        sents = text.sentence_list(context or "", 15)
+        if not sents:
+            return None
+        words = set(text.all_words(question or ""))
+        words = words - _QUESTION_STOP or words
+        shared = [len(words.intersection(text.all_words(s))) for s in sents]
+        k = shared.index(max(shared))
+        return {"score": shared[k] / (len(words) + 0.1), "sent": sents[k]}
+
+    for part in parts:
+        yield pa.array((best(*row) for row in text.some_rows(*part)), pa.struct([("score", pa.float64()), ("sent", pa.string())]))
+
+
 def answers(questions: DataFrame, question: str = "question", context: str = "context") -> DataFrame:
     """questions with `result`: the sentence that shares most of the question's content words, the earlier one on a tie.
 
     The model-free answer; a narrow pass, as every question carries its context.
     """
-    sents = F.filter(F.transform(F.split(F.substring(context, 1, 15_000), r"(?<=[.!?])\s+"), text.strip), lambda s: F.length(s) > 15)
-    words = text.word_set(F.col(question))
-    content = F.array_except(words, F.array(*map(F.lit, fixed.QUESTION_STOP_WORDS)))
-    out = questions.withColumns({"_sents": sents, "_words": F.when(F.size(content) > 0, content).otherwise(words)})
-    scores = F.transform("_sents", lambda s, i: F.struct((F.size(F.array_intersect(text.word_set(s), F.col("_words"))) / (F.size("_words") + 0.1)).alias("score"), (-i).alias("order"), s.alias("sent")))
-    out = out.withColumn("_best", F.array_max(scores))
+    text.small_batches(questions.sparkSession)
+    out = questions.withColumn("_best", _best_sentence(F.col(question), F.substring(context, 1, 15_000)))
     start = F.expr(f"locate(_best.sent, `{context}`) - 1")
     hit = F.struct(F.col("_best.sent").alias("answer"), F.round(F.least(F.lit(0.95), F.col("_best.score")), 4).alias("score"), F.lit(True).alias("found_in_paper"), start.alias("start"), (start + F.length("_best.sent")).alias("end")).cast(ANSWER)
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    result = F.when(blank(question) | blank(context) | (F.size("_sents") == 0), _not_found(fixed.NO_CONTEXT)).when(F.col("_best.score") > 0.2, hit).otherwise(_not_found(fixed.NO_ANSWER))
-    return out.withColumn("result", result).drop("_sents", "_words", "_best")
+    result = F.when(blank(question) | blank(context) | F.col("_best").isNull(), _not_found(fixed.NO_CONTEXT)).when(F.col("_best.score") > 0.2, hit).otherwise(_not_found(fixed.NO_ANSWER))
+    return out.withColumn("result", result).drop("_best")
 
 
 def question_problem(question: Column) -> Column:

@@ -9,7 +9,7 @@ from itertools import pairwise
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text
-from quire.operators import cues, phrases, ranking
+from quire.operators import cues, phrases, postings, ranking
 from quire.plans import analyze, registry
 from quire.sources import tables
 
@@ -101,3 +101,21 @@ def test_tables_of_papers_are_not_exchanged_again(spark, data):
     for name, rows in registry._five_tables(spark, data, False).items():
         if name != "qa_messages":
             assert "Exchange" not in plan(rows.repartition(registry.BUCKETS, tables.TABLES[name].document))
+
+
+def test_postings_are_the_same_without_a_table_of_terms(spark, monkeypatch):
+    """Blocks are made where their rows lie, exchanging no cells; beyond LOOKUP terms by a join: the same cells."""
+    rows = spark.createDataFrame([(k, f"common word{k % 7} and other{k} things {'more ' * (k % 3)}") for k in range(300)] + [(300, None), (301, "the")], "row long, text string").repartition(3)
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(postings, "LOOKUP", most)
+        index = postings.build(rows, ["row"])
+        cells = index.postings.select("block", F.inline("cells")).selectExpr("block * 64 + place AS id", "term", "round(raw, 9) AS raw")
+        found.append(sorted(tuple(r) for r in cells.join(index.names, "id").select("row", "term", "raw").collect()))
+    assert found[0] == found[1] and len(found[0]) > 900
+
+
+def test_pages_are_cut_before_they_are_rows(spark, data):
+    """A row for each page with the whole text in it takes the square of a text's length."""
+    explode = [x for x in plan(registry._pages(spark, data)).split("\n") if "Generate" in x]
+    assert len(explode) == 1 and "full_text" not in explode[0].split("posexplode")[1].split("[")[1]
