@@ -117,7 +117,7 @@ def hashed_vector(t: Column, size: int = 64) -> Column:
     return _counts(_places(t, size), size)
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 18)
 def _first_byte(word: str) -> int:
     return hashlib.md5(word.encode()).digest()[0]
 
